@@ -127,6 +127,7 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], bucket: str, s
     within = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     totals = df.groupBy(*keys, bucket).agg(F.sum(size).alias("_t")).withColumn("_before", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
-    same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(totals[k]) for k in (*keys, bucket)])
-    joined = df.join(totals, same).select(*[df[c] for c in df.columns], totals["_before"])
+    totals = totals.select(*[F.col(k).alias(f"_at_{k}") for k in (*keys, bucket)], "_before")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in (*keys, bucket)])
+    joined = df.join(totals, same).select(*df.columns, "_before")
     return joined.withColumn(out, F.sum(size).over(within) + F.col("_before")).drop("_before")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import token_files
+from . import mixing, piecewise, token_files
 
 QUERIES = {
+    "op6_mixture": mixing.op6_mixture,
+    "op8_piecewise_fingerprints": piecewise.op8_piecewise_fingerprints,
     "op10_token_files": token_files.op10_token_files,
 }
 
