@@ -62,7 +62,7 @@ class AtomicFile:
 
     def __enter__(self):
         self.fs.create_dir(os.path.dirname(self.path), recursive=True)
-        self.out = self.fs.open_output_stream(self.tmp)
+        self.out = self.fs.open_output_stream(self.tmp, compression=None)
         return self.out
 
     def __exit__(self, kind, *_):
