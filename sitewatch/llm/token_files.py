@@ -19,6 +19,7 @@ shard and no row; other columns are ignored, whatever they are called.
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -36,35 +37,85 @@ INDEX = np.dtype([("doc_id", "<i8"), ("no_id", "u1"), ("frame_end", "<u8"), ("id
 FOOTER = "<QQQB32s8s"
 #: Documents whose ids train the dictionary, by the order of a hash of doc_id: a bounded sample.
 DICTIONARY_DOCS, DICTIONARY_BYTES = 2000, 112 * 1024
-#: Words a worker remembers; the memory bound of the cache.
-CACHE_WORDS = 400_000
+#: Words a worker remembers at least; twice as many are its memory bound.
+CACHE_WORDS = 300_000
 
 _encoders: dict[str, Callable[[list[bytes]], list[bytes]]] = {}
 
 
+class Remembered:
+    """Values of keys, made in bulk by make(list of keys). Two generations: when the young one is full
+    the old one is dropped, so that frequent keys stay and memory is bounded."""
+
+    def __init__(self, make: Callable[[list], list], most: int = CACHE_WORDS):
+        self.make, self.most, self.young, self.old = make, most, {}, {}
+
+    def of(self, keys: set) -> dict:
+        """A mapping that has all of `keys`."""
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        new = keys.difference(self.young)
+        again = new.intersection(self.old)
+        self.young.update((k, self.old[k]) for k in again)
+        new = list(new - again)
+        for i in range(0, len(new), 50_000):
+            self.young.update(zip(new[i : i + 50_000], self.make(new[i : i + 50_000])))
+        return self.young
+
+
 def word_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
-    """Texts to ids as little-endian uint32 bytes, with the tokenizer file at `path`.
+    """Texts to their ids as little-endian uint32 bytes, with the tokenizer file at `path`.
 
     Neither the normalizer nor the pre-tokenizer carries anything across ASCII white space, so
-    encoding the space-separated runs one by one gives the ids of the whole text, and a run met
-    before comes from a bounded cache. One encoder a worker, kept between tasks."""
+    encoding the space-separated runs one by one gives the ids of the whole text, and runs met before
+    are remembered. The file's split pattern takes a run apart; pieces are remembered as well, so the
+    same word before a comma isn't encoded again. Files of another make, and runs with a special
+    token, go through the tokenizer whole. One encoder a worker, kept between tasks."""
     if path in _encoders:
         return _encoders[path]
+    import regex
     from tokenizers import Tokenizer
 
-    tokenizer, known = Tokenizer.from_file(path), {}
+    tokenizer = Tokenizer.from_file(path)
+    setup = json.loads(tokenizer.to_str())
+    special = [t["content"].encode() for t in setup["added_tokens"]]
+    splits, *more = (setup["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+    plain = splits.get("type") == "Split" and splits["invert"] and splits["behavior"] == "Removed" and [(x["type"], x["add_prefix_space"]) for x in more] == [("ByteLevel", False)]
+    if plain:
+        take_apart, normal = regex.compile(splits["pattern"]["Regex"]).findall, tokenizer.normalizer.normalize_str
+        by_piece = Tokenizer.from_str(json.dumps(setup | {"normalizer": None, "pre_tokenizer": more[0] | {"use_regex": False}, "added_tokens": []}))
+
+    def whole(text: str) -> bytes:
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def pieces(texts: list[str]) -> list[bytes]:
+        found = by_piece.encode(texts, is_pretokenized=True, add_special_tokens=False)
+        ids, word = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids, np.int64)
+        ends = (np.searchsorted(word, np.arange(len(texts) + 1)) * 4).tolist()
+        return [ids[i:j] for i, j in zip(ends[:-1], ends[1:])]
+
+    known_pieces = Remembered(pieces, CACHE_WORDS // 2)
+
+    def runs(new: list[bytes]) -> list[bytes]:
+        if not plain:
+            return [whole(x.decode()) for x in new]
+        texts = b" ".join(new).decode().split(" ")
+        clean = normal(" ".join(texts)).split(" ")
+        if len(clean) != len(texts):  # white space other than ASCII inside
+            clean = [normal(x) for x in texts]
+        parts: list = [[x] if x.isalpha() else take_apart(x) for x in clean]
+        for i, run in enumerate(new):
+            if b"<" in run and any(x in run for x in special):
+                parts[i] = whole(texts[i])
+        found = known_pieces.of({x for p in parts if isinstance(p, list) for x in p})
+        return [b"".join([found[x] for x in p]) if isinstance(p, list) else p for p in parts]
+
+    known = Remembered(runs)
 
     def encode(texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        new = list({w for words in split for w in words if w not in known})
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = list({w for words in split for w in words})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            found = tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in found)))
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        found = known.of(set().union(*split))
+        return [b"".join(map(found.__getitem__, words)) for words in split]
 
     _encoders[path] = encode
     return encode
