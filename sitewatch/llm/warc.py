@@ -148,9 +148,10 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, pages_per_arch
     cuts = cut_points(pages, "page_id", max(1, pages.count() // pages_per_archive + 1))
     dictionary = trained(pages)
     revisits = roles(pages, least)
-    marked = pages.join(revisits.hint("merge"), pages.page_id.eqNullSafe(revisits.r_id) & (F.sha1(pages.html) == revisits.r_sha), "left")
-    rows = marked.select(range_of(F.col("page_id"), cuts).alias("part"), "page_id", "url", "html", "last", F.col("r_sha").isNotNull().alias("revisit"))
-    rows = rows.repartition(len(cuts) + 1, "part").sortWithinPartitions("part", "page_id")
+    # html travels once: a page's role comes just before it, rather than by a join that deals html anew
+    notes = revisits.select(F.col("r_id").alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "last", F.col("r_sha").alias("sha"))
+    rows = pages.select("page_id", "url", "html", F.lit(None).cast("long").alias("last"), F.lit(None).cast("string").alias("sha")).unionByName(notes)
+    rows = rows.select(range_of(F.col("page_id"), cuts).alias("part"), "*").repartition(len(cuts) + 1, "part").sortWithinPartitions("part", "page_id", F.col("sha").desc_nulls_last())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
@@ -158,12 +159,21 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, pages_per_arch
         while row is not None:
             part, n, path = row[0], 0, f"{folder}/pages-{row[0]:06d}.warc.zst"
             head, squeeze = start_archive(dictionary)
+            at, noted = None, {}
             with AtomicFile(path) as out:
                 out.write(head)
                 while row is not None and row[0] == part:
-                    _, page_id, url, html, last, revisit = row
-                    out.write(squeeze.compress(record_of(page_id, url, html.encode(), last, revisit)))
-                    n, row = n + 1, next(source, None)
+                    _, page_id, url, html, last, sha = row
+                    if page_id != at:
+                        at, noted = page_id, {}
+                    if sha is not None:
+                        noted[sha] = last
+                    else:
+                        payload = html.encode()
+                        key = hashlib.sha1(payload).hexdigest() if noted else ""
+                        out.write(squeeze.compress(record_of(page_id, url, payload, noted.get(key), key in noted)))
+                        n += 1
+                    row = next(source, None)
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], names=["path", "records"])
 
     return saved(rows.mapInArrow(write, "path string, records long"), "archives")
