@@ -131,3 +131,51 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], bucket: str, s
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in (*keys, bucket)])
     joined = df.join(totals, same).select(*df.columns, "_before")
     return joined.withColumn(out, F.sum(size).over(within) + F.col("_before")).drop("_before")
+
+
+BASE = 0x9E3779B97F4A7C15 | 1
+_powers: dict[str, np.ndarray] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE ** i and its inverse modulo 2 ** 64 for i below n."""
+    if len(_powers.get("up", ())) < n:
+        size = max(n, 1 << 16)
+        for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
+            x = np.full(size, base, np.uint64)
+            x[0] = 1
+            _powers[name] = np.cumprod(x)
+    return _powers["up"], _powers["down"]
+
+
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """Sums of (byte + 1) * BASE ** place up to each place, from which any stretch's hash follows."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data))[0][: len(data)], out=sums[1:])
+    return sums
+
+
+def stretch_hashes(sums: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each stretch, wherever it stands."""
+    return mix((sums[ends] - sums[begins]) * powers(len(sums))[1][begins] + (ends - begins).astype(np.uint64))
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of the edges (a, b), longs; root is its component's least node.
+
+    Large-star and small-star steps (Kiveris et al. 2014) until the edges stay as they are. A node's
+    least neighbour is summed up before the shuffle; the join that follows may split a hot node."""
+    edges = saved(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    mark = None
+    while True:
+        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b"), F.col("a")))
+        least = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
+        small_least = large.groupBy("b").agg(F.min("a").alias("m"))
+        small = large.join(small_least, "b").select(F.col("m").alias("x"), F.col("a").alias("y")).union(small_least.select("m", "b")).where("x <> y")
+        edges = saved(small.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == mark:
+            break
+        mark = now
+    return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a"), F.col("a"))).groupBy("node").agg(F.min("root").alias("root"))

@@ -22,23 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut_points, mix, range_of
+from .common import cut_points, prefix_sums, range_of, stretch_hashes
 
 WINDOW, LETTERS, LEAST_BLOCK = 7, 64, 3
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-STEP, BASE = 0x01000193, 0x9E3779B97F4A7C15 | 1
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and its inverse modulo 2 ** 64 for i below n."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 16)
-        for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            _powers[name] = np.cumprod(x)
-    return _powers["up"], _powers["down"]
+STEP = 0x01000193
 
 
 def rolled(data: np.ndarray) -> np.ndarray:
@@ -60,8 +48,7 @@ def letters(data: np.ndarray, sums: np.ndarray, ends: np.ndarray, most: int) ->
     if not len(ends) or ends[-1] != len(data):
         ends = np.append(ends, len(data))
     begins = np.concatenate([[0], ends[:-1]])
-    h = mix((sums[ends] - sums[begins]) * powers(len(data))[1][begins] + (ends - begins).astype(np.uint64))
-    return "".join([ALPHABET[i] for i in (h >> np.uint64(58)).tolist()])
+    return "".join([ALPHABET[i] for i in (stretch_hashes(sums, begins, ends) >> np.uint64(58)).tolist()])
 
 
 def fingerprint(text: bytes) -> str:
@@ -81,8 +68,7 @@ def fingerprint(text: bytes) -> str:
         ends[low] = at
     while len(ends[block]) < LETTERS // 2 and block // 2 in ends:
         block //= 2
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data))[0][: len(data)], out=sums[1:])
+    sums = prefix_sums(data)
     return f"{block}:{letters(data, sums, ends[block], LETTERS)}:{letters(data, sums, ends[2 * block], LETTERS // 2)}"
 
 

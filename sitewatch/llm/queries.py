@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, piecewise, token_files, warc
+from . import chat, jaccard_join, mixing, piecewise, token_files, warc
 
 QUERIES = {
     "op5_warc": warc.op5_warc,
     "op6_mixture": mixing.op6_mixture,
+    "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_piecewise_fingerprints": piecewise.op8_piecewise_fingerprints,
     "op9_chat": chat.op9_chat,
     "op10_token_files": token_files.op10_token_files,
