@@ -8,8 +8,10 @@ import uuid
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -179,3 +181,30 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         mark = now
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a"), F.col("a"))).groupBy("node").agg(F.min("root").alias("root"))
+
+
+#: Bits of a filter of ids, 8 MB, made slice by slice.
+FILTER_BITS, FILTER_SLICES = 1 << 26, 64
+
+
+def filter_place(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+
+
+def id_filter(ids: DataFrame, column: str) -> np.ndarray:
+    """A bit for each hash of the ids: FILTER_BITS bits, whatever the input. What fails it is not among
+    them; what passes may be."""
+    def gather(frame: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(FILTER_BITS // FILTER_SLICES, bool)
+        bits[(frame["place"] % (FILTER_BITS // FILTER_SLICES)).to_numpy()] = True
+        return pd.DataFrame({"slice": [int(frame["place"].iloc[0] // (FILTER_BITS // FILTER_SLICES))], "bits": [zstandard.compress(np.packbits(bits).tobytes())]})
+
+    out = np.zeros((FILTER_SLICES, FILTER_BITS // FILTER_SLICES // 8), np.uint8)
+    places = ids.select(filter_place(column).alias("place")).distinct().withColumn("slice", F.floor(F.col("place") / (FILTER_BITS // FILTER_SLICES)))
+    for row in places.groupBy("slice").applyInPandas(gather, "slice long, bits binary").collect():
+        out[row["slice"]] = np.frombuffer(zstandard.decompress(row["bits"]), np.uint8)
+    return out.reshape(-1)
+
+
+def in_filter(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1

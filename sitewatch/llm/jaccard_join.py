@@ -30,13 +30,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, connected_components, mix, prefix_sums, saved, stretch_hashes, utf8
+from .common import blocks, connected_components, filter_place, id_filter, in_filter, mix, prefix_sums, saved, stretch_hashes, utf8
 
 SHINGLE, PERCENT = 5, 80
 #: Counters of the sketch, in slices; 4 MB once reduced to a byte each. Documents of a block at most.
 COUNTERS, SLICES, BLOCK = 1 << 22, 64, 48
-#: Bits of the filter that spares tokenizing documents which are in no block; 8 MB.
-FILTER_BITS = 1 << 26
 _fold = np.arange(256, dtype=np.uint8)
 _fold[65:91] += 32
 _places = [int(x) | 1 for x in mix(np.arange(1, SHINGLE + 1, dtype=np.uint64))]
@@ -157,37 +155,19 @@ def prefixes(docs: DataFrame, classes) -> DataFrame:
     return docs.mapInArrow(run, "token long, node long, n int")
 
 
-def id_filter(ids: DataFrame, column: str) -> np.ndarray:
-    """A bit for each hash of the ids: FILTER_BITS bits, whatever the input."""
-    place = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
-
-    def gather(frame: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(FILTER_BITS // SLICES, bool)
-        bits[(frame["place"] % (FILTER_BITS // SLICES)).to_numpy()] = True
-        return pd.DataFrame({"slice": [int(frame["place"].iloc[0] // (FILTER_BITS // SLICES))], "bits": [zstandard.compress(np.packbits(bits).tobytes())]})
-
-    out = np.zeros((SLICES, FILTER_BITS // SLICES // 8), np.uint8)
-    places = ids.select(place.alias("place")).distinct().withColumn("slice", F.floor(F.col("place") / (FILTER_BITS // SLICES)))
-    for row in places.groupBy("slice").applyInPandas(gather, "slice long, bits binary").collect():
-        out[row["slice"]] = np.frombuffer(zstandard.decompress(row["bits"]), np.uint8)
-    return out.reshape(-1)
-
-
 def full_sets(docs: DataFrame, wanted) -> DataFrame:
     """(node, tokens) of the documents whose doc_id passes the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
         for batch in batches:
-            at = batch.column(2).to_numpy()
-            batch = batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+            batch = batch.filter(pa.array(in_filter(bits, batch.column(2).to_numpy())))
             for i in range(0, batch.num_rows, 256):
                 found = [s for _, s in sets_of(batch.slice(i, 256), 1) if len(s)]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "tokens"])
 
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    return docs.select("doc_id", "text", place.alias("place")).mapInArrow(run, "node long, tokens binary")
+    return docs.select("doc_id", "text", filter_place("doc_id").alias("place")).mapInArrow(run, "node long, tokens binary")
 
 
 def links_within(sets: list[np.ndarray], side: np.ndarray, roots: list[int]) -> list[tuple[int, int]]:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, jaccard_join, mixing, piecewise, token_files, warc
+from . import chat, jaccard_join, mixing, piecewise, suffix_dedup, token_files, warc
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op5_warc": warc.op5_warc,
     "op6_mixture": mixing.op6_mixture,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
