@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, jaccard_join, mixing, piecewise, suffix_dedup, token_files, warc
+from . import chat, jaccard_join, mixing, pieces, piecewise, suffix_dedup, token_files, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+    "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_warc": warc.op5_warc,
     "op6_mixture": mixing.op6_mixture,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
