@@ -6,7 +6,7 @@ stretch of text stands for them. Stretches are dealt by anchor, which makes the
 
 1. An anchor that occurs once in the corpus has no repeated window, and equal stretches are repeated
    as a whole. Both are settled by counting hashes; only unequal stretches of one anchor need sorting.
-2. Those are sorted bucket by bucket, a block of some MB at a time: suffixes that agree in their first
+2. Those are sorted bucket by bucket, a block of about a MB at a time: suffixes that agree in their first
    COVER bytes are ordered by the ranks of positions of a difference cover modulo COVER, computed
    beforehand by prefix doubling over that sample alone. Neighbours are then compared byte by byte.
 3. A bucket of too many stretches (a passage that very many documents share) is dealt anew by the
@@ -34,7 +34,7 @@ from .common import blocks, filter_place, id_filter, in_filter, mix, prefix_sums
 LENGTH, GRAM, COVER = 200, 48, 64
 #: Text bytes looked at at once; bytes of stretches sorted at once; stretches of a bucket that are
 #: dealt anew; windows that a new bucket has.
-PIECE, BLOCK_BYTES, CROWDED, CHUNK = 1 << 20, 1 << 22, 2000, 16
+PIECE, BLOCK_BYTES, CROWDED, CHUNK = 1 << 20, 1 << 20, 2000, 16
 PLACE_BITS = np.uint64(22)
 
 
@@ -226,7 +226,7 @@ def runs_of(flags: np.ndarray) -> np.ndarray:
 
 def sorted_buckets(rows: DataFrame) -> DataFrame:
     """(key, low, past): windows from low up to past of the stretches that occur once and whose windows
-    another stretch has. Whole buckets are sorted together, some MB of them at a time."""
+    another stretch has. Whole buckets are sorted together, about a MB of them at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
