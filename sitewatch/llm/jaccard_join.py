@@ -155,19 +155,15 @@ def prefixes(docs: DataFrame, classes) -> DataFrame:
     return docs.mapInArrow(run, "token long, node long, n int")
 
 
-def full_sets(docs: DataFrame, wanted) -> DataFrame:
-    """(node, tokens) of the documents whose doc_id passes the filter."""
+def filtered(docs: DataFrame, bits) -> DataFrame:
+    """The rows of docs (doc_id, text) whose doc_id passes the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.value
         for batch in batches:
-            batch = batch.filter(pa.array(in_filter(bits, batch.column(2).to_numpy())))
-            for i in range(0, batch.num_rows, 256):
-                found = [s for _, s in sets_of(batch.slice(i, 256), 1) if len(s)]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "tokens"])
+            passing = batch.filter(pa.array(in_filter(bits.value, batch.column(2).to_numpy())))
+            yield passing.select(["doc_id", "text"])
 
-    return docs.select("doc_id", "text", filter_place("doc_id").alias("place")).mapInArrow(run, "node long, tokens binary")
+    return docs.select("doc_id", "text", filter_place("doc_id").alias("place")).mapInArrow(run, "doc_id long, text string")
 
 
 def links_within(sets: list[np.ndarray], side: np.ndarray, roots: list[int]) -> list[tuple[int, int]]:
@@ -221,34 +217,37 @@ def links_within(sets: list[np.ndarray], side: np.ndarray, roots: list[int]) ->
     return out
 
 
-def opened(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) among the rows (pair, side, node, root) of each pair of blocks."""
+def opened(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) among the nodes of each pair of blocks: pairs has (pair, side, node, root, doc_id),
+    doc_id of a document with that node. Texts travel, as they take less room than their hashes."""
+    bits = docs.sparkSession.sparkContext.broadcast(id_filter(pairs.select("doc_id"), "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: dict[int, tuple] = {}
+        pair, links = None, []
 
         def close():
-            rows = list({x[2]: x for x in held}.values())
-            found = links_within([np.frombuffer(x[4], np.uint64) for x in rows], np.array([x[1] for x in rows]), [x[3] for x in rows]) if len(rows) > 1 else []
-            return [(rows[i][2], rows[j][2]) for i, j in found]
+            rows = list(held.values())
+            found = links_within([x[3] for x in rows], np.array([x[1] for x in rows]), [x[2] for x in rows]) if len(rows) > 1 else []
+            links.extend((rows[i][0], rows[j][0]) for i, j in found)
+            held.clear()
 
-        def out(links):
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-        links: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if held and row[0] != held[0][0]:
-                    links += close()
-                    held = []
-                held.append(row)
+            at, side, node, root = (batch.column(i).to_pylist() for i in range(4))
+            for i, s in sets_of(batch, 4):
+                if at[i] != pair:
+                    close()
+                    pair = at[i]
+                if node_of(s) == node[i]:  # else another document of a repeated doc_id
+                    held[node[i]] = (node[i], side[i], root[i], s)
             if links:
-                yield out(links)
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
                 links = []
-        if held:
-            yield out(close())
+        close()
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    rows = pairs.join(sets, "node").select("pair", "side", "node", "root", "tokens")
+    rows = pairs.join(filtered(docs, bits).withColumnRenamed("doc_id", "d_id"), F.col("doc_id").eqNullSafe(F.col("d_id"))).select("pair", "side", "node", "root", "text")
     return rows.repartition("pair").sortWithinPartitions("pair").mapInArrow(run, "a long, b long")
 
 
@@ -270,12 +269,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     parts = members.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     members = saved(members.join(parts, "pivot").select("node", "pivot", F.xxhash64("pivot", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block")), "blocks")
 
-    one_of = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    bits = spark.sparkContext.broadcast(id_filter(one_of.join(members, "node", "left_semi"), "doc_id"))
-    sets = saved(full_sets(docs, bits).join(members.select("node"), "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens")), "tokens")
+    one_of = saved(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
+    blocked = saved(one_of.join(members.select("node").distinct(), "node", "left_semi"), "blocked")
 
     within = members.select(F.col("block").alias("pair"), F.lit(0).alias("side"), "node").union(members.select("block", F.lit(0), "pivot")).distinct()
-    links = saved(opened(within.withColumn("root", F.col("node")), sets), "links")
+    links = saved(opened(within.withColumn("root", F.col("node")).join(blocked, "node"), docs), "links")
     roots = connected_components(links)
 
     # the matrix: each block's shingles, and the component it is all in
@@ -289,9 +287,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = saved(matrix.join(other, (F.col("token") == F.col("o_token")) & apart & alike).select("block", "o_block").distinct(), "pairs")
     pairs = pairs.withColumn("pair", F.xxhash64("block", "o_block"))
     across = pairs.select("pair", F.lit(0).alias("side"), "block").union(pairs.select("pair", F.lit(1), "o_block")).join(placed, "block").select("pair", "side", "node", "root")
-    more = opened(across, sets)
-    ends = roots.select(F.col("node").alias("x"), F.col("root"))
-    final = connected_components(links.union(more).union(ends.select("root", "x"))) if not pairs.isEmpty() else roots
+    more = opened(across.join(blocked, "node"), docs)
+    final = connected_components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more)) if not pairs.isEmpty() else roots
 
     smallest = one_of.join(final, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     names = smallest.groupBy("root").agg(F.min("doc_id").alias("component_id"))
