@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, jaccard_join, mixing, pieces, piecewise, suffix_dedup, token_files, toxicity, warc
+from . import chat, jaccard_join, mixing, neighbours, pieces, piecewise, suffix_dedup, token_files, toxicity, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_nn_descent": neighbours.op3_nn_descent,
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_warc": warc.op5_warc,
     "op6_mixture": mixing.op6_mixture,
