@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blocks, filter_place, id_filter, in_filter, mix, prefix_sums, saved, stretch_hashes, utf8
@@ -255,23 +255,28 @@ def sorted_buckets(rows: DataFrame) -> DataFrame:
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def without(rows: DataFrame, kept_text: bool = False) -> DataFrame:
-    """doc_id, counts and digest (or the text that stays) of rows (doc_id, text, marks)."""
+def kept_of(text: bytes, marks: list[dict] | None) -> tuple[list[bytes], int]:
+    """What stays of a text, and the number of runs that go."""
+    spans: list[list[int]] = []
+    for low, past in sorted((x["low"], x["past"] + LENGTH - 1) for x in marks or ()):
+        if spans and low <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], past)
+        else:
+            spans.append([low, past])
+    ends = [0, *(x for s in spans for x in s), len(text)]
+    return [text[a:b] for a, b in zip(ends[::2], ends[1::2])], len(spans)
+
+
+def without(rows: DataFrame) -> DataFrame:
+    """doc_id, counts and digest of what stays of rows (doc_id, text, marks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc_id, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
-                text = text or b""
-                spans: list[list[int]] = []
-                for low, past in sorted((x["low"], x["past"] + LENGTH - 1) for x in marks or ()):
-                    if spans and low <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], past)
-                    else:
-                        spans.append([low, past])
-                ends = [0, *(x for s in spans for x in s), len(text)]
-                kept = b"".join([text[a:b] for a, b in zip(ends[::2], ends[1::2])]) if spans else text
-                out.append((doc_id, len(text), len(text) - len(kept), len(spans), kept.decode(errors="ignore") if kept_text else hashlib.sha256(kept).hexdigest()))
+                kept, spans = kept_of(text or b"", marks)
+                kept = b"".join(kept)
+                out.append((doc_id, len(text or b""), len(text or b"") - len(kept), spans, hashlib.sha256(kept).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string() if i == 4 else pa.int64()) for i in range(5)], names=[c.split()[0] for c in RESULT.split(", ")])
 
     return rows.select("doc_id", "text", "marks").mapInArrow(run, RESULT)
@@ -309,21 +314,44 @@ def filtered(docs: DataFrame, bits, passing: bool = True) -> DataFrame:
     return docs.withColumn("_place", filter_place("key")).mapInArrow(run, docs.withColumn("_place", filter_place("key")).schema).drop("_place")
 
 
+def key_of(docs: DataFrame) -> Column:
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("doc_id").isNull(), F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return docs.select(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("doc_id").isNull(), F.col("text")).alias("key"), "doc_id", "text")
+    return docs.select(key_of(docs).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def deduplicated(docs: DataFrame, kept_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and the digest of the rest (or, under its name, the rest) of
-    every document. Texts with no repeat are digested where they lie; only the others are joined."""
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and the digest of the rest of every document. Texts with no
+    repeat are digested where they lie; only the others are joined."""
     spark = docs.sparkSession
     docs = keyed(docs)
     marks = repeats(docs)
     bits = spark.sparkContext.broadcast(id_filter(marks, "key"))
     touched = filtered(docs, bits).join(marks, "key", "left").select("doc_id", "text", "marks")
     rest = filtered(docs, bits, False).select("doc_id", "text", F.lit(None).cast(marks.schema["marks"].dataType).alias("marks"))
-    return without(touched, kept_text).union(without(rest, kept_text))
+    return without(touched).union(without(rest))
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with what deduplicated() keeps of each text as its text; other columns as they are."""
+    spark = docs.sparkSession
+    with_key = docs.withColumn("_key", key_of(docs))
+    marks = repeats(keyed(docs))
+    bits = spark.sparkContext.broadcast(id_filter(marks, "key"))
+    names = [F.col(c) for c in docs.columns]
+    passing = filtered(with_key.withColumnRenamed("_key", "key"), bits)
+    cut = passing.join(marks, "key", "left").select(*names, "marks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            kept = [None if t is None else b"".join(kept_of(t, m)[0]).decode(errors="ignore") for t, m in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(kept, pa.string()), *batch.columns[at + 1 : -1]], names=batch.schema.names[:-1])
+
+    rest = filtered(with_key.withColumnRenamed("_key", "key"), bits, False).select(*names)
+    return cut.mapInArrow(run, docs.schema).union(rest)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
