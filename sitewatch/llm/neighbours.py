@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-DEGREE, TREES, PER_TREE, CELL, ROUNDS, BEAM, EXPAND, SEED = 24, 10, 12, 512, 5, 96, 64, 7
+DEGREE, TREES, PER_TREE, CELL, ROUNDS, BEAM, EXPAND, SEED = 24, 20, 8, 1024, 4, 64, 32, 7
 
 
 def valid(column: Column) -> Column:
