@@ -34,7 +34,7 @@ from .common import blocks, connected_components, filter_place, id_filter, in_fi
 
 SHINGLE, PERCENT = 5, 80
 #: Counters of the sketch, in slices; 4 MB once reduced to a byte each. Documents of a block at most.
-COUNTERS, SLICES, BLOCK = 1 << 22, 64, 48
+COUNTERS, SLICES, BLOCK = 1 << 22, 64, 256
 _fold = np.arange(256, dtype=np.uint8)
 _fold[65:91] += 32
 _places = [int(x) | 1 for x in mix(np.arange(1, SHINGLE + 1, dtype=np.uint64))]
@@ -177,7 +177,7 @@ def links_within(sets: list[np.ndarray], side: np.ndarray, roots: list[int]) ->
     if two:
         # the bound: what of a member is in the other side's union
         where = [np.bincount(inverse[side[rows] == k], minlength=len(union)) > 0 for k in (0, 1)]
-        inside = np.array([np.count_nonzero(where[1 - side[i]][inverse[rows == i]]) for i in range(m)])
+        inside = np.bincount(rows, weights=np.where(side[rows] == 0, where[1][inverse], where[0][inverse]), minlength=m)
         keep = np.flatnonzero(100 * inside >= PERCENT * sizes)
         if len(set(side[keep].tolist())) < 2:
             return []
@@ -277,7 +277,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = connected_components(links)
 
     # the matrix: each block's shingles, and the component it is all in
-    placed = saved(members.join(roots, "node", "left").select("node", "block", F.coalesce("root", "node").alias("root")), "placed")
+    # (members of the pivot's component stand apart from the block's others, for most are done with)
+    pivots = roots.select(F.col("node").alias("pivot"), F.col("root").alias("p_root"))
+    placed = members.join(roots, "node", "left").join(pivots, "pivot", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = saved(placed.select("node", F.xxhash64("block", F.col("root").eqNullSafe(F.col("p_root"))).alias("block"), "root"), "placed")
     whole = placed.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     matrix = shared.select("token", "node", "n").join(placed, "node").groupBy("token", "block").agg(F.min("n").alias("n_low"), F.max("n").alias("n_high"))
     matrix = saved(matrix.join(whole, "block"), "matrix")
