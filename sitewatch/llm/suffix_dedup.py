@@ -335,23 +335,20 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with what deduplicated() keeps of each text as its text; other columns as they are."""
-    spark = docs.sparkSession
-    with_key = docs.withColumn("_key", key_of(docs))
+    """docs with what deduplicated() keeps of each text as its text; other columns as they are,
+    whatever they are called."""
     marks = repeats(keyed(docs))
-    bits = spark.sparkContext.broadcast(id_filter(marks, "key"))
-    names = [F.col(c) for c in docs.columns]
-    passing = filtered(with_key.withColumnRenamed("_key", "key"), bits)
-    cut = passing.join(marks, "key", "left").select(*names, "marks")
+    bits = docs.sparkSession.sparkContext.broadcast(id_filter(marks, "key"))
+    rows = docs.select(key_of(docs).alias("key"), F.col("text").cast("string").alias("text"), F.struct(*[c for c in docs.columns if c != "text"]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            kept = [None if t is None else b"".join(kept_of(t, m)[0]).decode(errors="ignore") for t, m in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(kept, pa.string()), *batch.columns[at + 1 : -1]], names=batch.schema.names[:-1])
+            kept = [None if t is None else b"".join(kept_of(t, m)[0]).decode(errors="ignore") for t, m in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), batch.column(1)], names=["text", "row"])
 
-    rest = filtered(with_key.withColumnRenamed("_key", "key"), bits, False).select(*names)
-    return cut.mapInArrow(run, docs.schema).union(rest)
+    touched = filtered(rows, bits).join(marks, "key", "left").select("text", "row", "marks")
+    both = touched.mapInArrow(run, rows.select("text", "row").schema).union(filtered(rows, bits, False).select("text", "row"))
+    return both.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Toxicity by a subsequence-kernel support vector machine with Nyström landmarks.
 
-Units are the white-space separated words of a text, lower-cased, with "^" in front; three or more
-single characters in a row are one unit ("i d i o t"). The gap-weighted subsequence kernel of order
+Units are the white-space separated words of a text, lower-cased, with "^" in front, as they stand and
+without punctuation; three or more single characters in a row are one unit ("i d i o t"). The gap-weighted subsequence kernel of order
 ORDER compares a unit with the landmarks, strings that toxic labelled texts have and clean ones
 lack: letters between those that match only weigh less, so gapped and stuffed spellings stay near.
 Kernel values become features by the inverse root of the landmarks' own kernel matrix, and a linear
@@ -46,6 +46,8 @@ def units_of(text: str) -> set[str]:
     """The distinct units of a text."""
     words = text.lower().split()
     found = set(words)
+    found.update(["".join(filter(str.isalnum, w)) for w in found if not w.isalnum()])
+    found.discard("")
     single = [len(w) == 1 for w in words]
     if sum(single) >= 3:
         i = 0
