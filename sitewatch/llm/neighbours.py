@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-DEGREE, TREES, PER_TREE, CELL, ROUNDS, BEAM, EXPAND, SEED = 24, 20, 8, 1024, 4, 64, 32, 7
+DEGREE, TREES, PER_TREE, CELL, ROUNDS, BEAM, EXPAND, SEED = 24, 16, 12, 2048, 4, 64, 48, 7
 
 
 def valid(column: Column) -> Column:
@@ -89,7 +89,7 @@ def groups(batches: Iterator[pa.RecordBatch], extra: bool = False):
 
     def made():
         ids = np.concatenate([h[0] for h in held])
-        x = np.concatenate([h[1] for h in held]).astype(np.float64)
+        x = np.concatenate([h[1] for h in held]).astype(np.float32)
         return (ids, x, np.concatenate([h[2] for h in held])) if extra else (ids, x)
 
     for batch in batches:
