@@ -208,3 +208,11 @@ def id_filter(ids: DataFrame, column: str) -> np.ndarray:
 
 def in_filter(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
     return (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
+
+
+def hash_sample(df: DataFrame, column: str, n: int) -> DataFrame:
+    """About n rows of df, those of the least hashes of `column`; only hashes are compared for it, so
+    no rows but the sample's leave their place."""
+    h = F.xxhash64(column)
+    last = df.select(h.alias("h")).orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    return df.limit(0) if last is None else df.where(h <= last).limit(2 * n)

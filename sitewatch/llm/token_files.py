@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import AtomicFile, cut_points, file_system, new_folder, range_of, saved
+from .common import AtomicFile, cut_points, file_system, hash_sample, new_folder, range_of, saved
 
 MAGIC = b"TOKSHRD1"
 INDEX = np.dtype([("doc_id", "<i8"), ("no_id", "u1"), ("frame_end", "<u8"), ("ids_end", "<u8")])
@@ -88,13 +88,13 @@ def word_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
     def whole(text: str) -> bytes:
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def pieces(texts: list[str]) -> list[bytes]:
+    def encode_pieces(texts: list[str]) -> list[bytes]:
         found = by_piece.encode(texts, is_pretokenized=True, add_special_tokens=False)
         ids, word = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids, np.int64)
         ends = (np.searchsorted(word, np.arange(len(texts) + 1)) * 4).tolist()
         return [ids[i:j] for i, j in zip(ends[:-1], ends[1:])]
 
-    known_pieces = Remembered(pieces, CACHE_WORDS // 2)
+    known_pieces = Remembered(encode_pieces, CACHE_WORDS // 2)
 
     def runs(new: list[bytes]) -> list[bytes]:
         if not plain:
@@ -103,12 +103,15 @@ def word_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
         clean = normal(" ".join(texts)).split(" ")
         if len(clean) != len(texts):  # white space other than ASCII inside
             clean = [normal(x) for x in texts]
-        parts: list = [[x] if x.isalpha() else take_apart(x) for x in clean]
-        for i, run in enumerate(new):
-            if b"<" in run and any(x in run for x in special):
+        # a run of letters alone is one piece
+        parts: list = [x if x.isalpha() else take_apart(x) for x in clean]
+        for i in [i for i, run in enumerate(new) if b"<" in run]:
+            if any(x in new[i] for x in special):
                 parts[i] = whole(texts[i])
-        found = known_pieces.of({x for p in parts if isinstance(p, list) for x in p})
-        return [b"".join([found[x] for x in p]) if isinstance(p, list) else p for p in parts]
+        pieces = {x for x in parts if type(x) is str}
+        pieces.update(*(x for x in parts if type(x) is list))
+        found = known_pieces.of(pieces)
+        return [found[x] if type(x) is str else b"".join([found[y] for y in x]) if type(x) is list else x for x in parts]
 
     known = Remembered(runs)
 
@@ -143,7 +146,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, width: int, dictionary
 
 def trained(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> bytes:
     """A dictionary from at most DICTIONARY_DOCS documents; of raw content if there is too little to train on."""
-    sample = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICTIONARY_DOCS)
+    sample = hash_sample(docs, "doc_id", DICTIONARY_DOCS)
     ids = [bytes(r.ids)[:65536] for r in encoded(sample, tokenizer, end_id, width, None).select("ids").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, ids).as_bytes()

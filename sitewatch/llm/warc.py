@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import AtomicFile, cut_points, file_system, new_folder, range_of, saved
+from .common import AtomicFile, cut_points, file_system, hash_sample, new_folder, range_of, saved
 
 SKIPPABLE, DATE = 0x184D2A5D, "2024-01-01T00:00:00Z"
 #: Pages that train the dictionary, by the order of a hash of page_id: a bounded sample.
@@ -123,7 +123,7 @@ def read_archive(file) -> Iterator[bytes]:
 
 
 def trained(pages: DataFrame) -> bytes:
-    sample = [r.html.encode()[:65536] for r in pages.orderBy(F.xxhash64("page_id"), "page_id").limit(DICTIONARY_PAGES).select("html").collect()]
+    sample = [r.html.encode()[:65536] for r in hash_sample(pages, "page_id", DICTIONARY_PAGES).select("html").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, sample).as_bytes()
     except zstandard.ZstdError:
