@@ -185,11 +185,15 @@ def links_within(sets: list[np.ndarray], side: np.ndarray, roots: list[int]) ->
         keep = np.arange(m)
     kept = np.isin(rows, keep)
     rows, inverse = np.searchsorted(keep, rows[kept]), inverse[kept]
+    # tokens of one set alone are in no intersection
+    often = np.bincount(inverse, minlength=len(union)) > 1
+    kept = often[inverse]
+    rows, inverse = rows[kept], (np.cumsum(often) - 1)[inverse[kept]]
     common = np.zeros((len(keep), len(keep)), np.float32)
     order = np.argsort(inverse, kind="stable")
     rows, inverse = rows[order], inverse[order]
-    step = 1 << 14
-    for low in range(0, len(union), step):
+    step = 1 << 12
+    for low in range(0, int(often.sum()), step):
         i, j = np.searchsorted(inverse, (low, low + step))
         part = np.zeros((len(keep), step), np.float32)
         part[rows[i:j], inverse[i:j] - low] = 1
