@@ -5,11 +5,11 @@ A document's set holds its distinct shingles of five words. Documents link when
 
 1. Documents with equal sets are one node. Shingles are ordered from rare to frequent by a sketch of
    counts over all documents (the order decides speed, never the result).
-2. Two linked nodes share a shingle among the first n - ceil(0.8 n) + 1 of each. By these, nodes that
-   share most with the same least node are one group, split into blocks of bounded size, each with
+2. Two linked nodes share SHARED shingles (or all they need, if fewer) among the first
+   n - ceil(0.8 n) + SHARED of each. By these, nodes that share most with the same least node are one group, split into blocks of bounded size, each with
    that least node as pivot. Blocks are opened: all their pairs are measured at once.
-3. The matrix keeps each block's union of such shingles. Block pairs that share one, and that aren't
-   one component already, are bounded (a member's shingles found in the other's union) and opened.
+3. The matrix keeps each block's union of such shingles. Block pairs that share so many, and that
+   aren't one component already, are bounded (a member's shingles found in the other's union) and opened.
    So no link between different sets is lost, and pairs inside what is linked already are spared.
 
 Defined cases: null or wordless text has no shingles, links with nothing and is its own component;
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks, connected_components, filter_place, id_filter, in_filter, mix, prefix_sums, saved, stretch_hashes, utf8
 
-SHINGLE, PERCENT = 5, 80
+SHINGLE, PERCENT, SHARED = 5, 80, 8
 #: Counters of the sketch, in slices; 4 MB once reduced to a byte each. Documents of a block at most.
 COUNTERS, SLICES, BLOCK = 1 << 22, 64, 256
 _fold = np.arange(256, dtype=np.uint8)
@@ -134,7 +134,8 @@ def needed(n: int) -> int:
 
 
 def prefixes(docs: DataFrame, classes) -> DataFrame:
-    """(token, node, n): the rarest shingles of every set, one of which any linked set has among its own."""
+    """(token, node, n): the rarest shingles of every set. Two linked sets have at least SHARED of them in
+    common, or as many as the smaller needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = classes.value
@@ -143,7 +144,7 @@ def prefixes(docs: DataFrame, classes) -> DataFrame:
             for _, s in sets_of(batch, 1):
                 if (n := len(s)) == 0:
                     continue
-                p = n - needed(n) + 1
+                p = min(n, n - needed(n) + SHARED)
                 key = (rank[(s % np.uint64(COUNTERS)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
                 tokens.append(s[np.argpartition(key, p - 1)[:p]] if p < n else s)
                 nodes.append(node_of(s))
@@ -291,7 +292,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     other = matrix.select([F.col(c).alias(f"o_{c}") for c in matrix.columns])
     apart = (F.col("block") < F.col("o_block")) & ~((F.col("low") == F.col("high")) & (F.col("o_low") == F.col("o_high")) & (F.col("low") == F.col("o_low")))
     alike = (F.col("n_high") * 100 >= F.col("o_n_low") * PERCENT) & (F.col("o_n_high") * 100 >= F.col("n_low") * PERCENT)
-    pairs = saved(matrix.join(other, (F.col("token") == F.col("o_token")) & apart & alike).select("block", "o_block").distinct(), "pairs")
+    met = matrix.join(other, (F.col("token") == F.col("o_token")) & apart & alike).groupBy("block", "o_block").agg(F.count("*").alias("c"), F.min(F.least("n_low", "o_n_low")).alias("n"))
+    pairs = saved(met.where(F.col("c") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * (PERCENT / 100)))).select("block", "o_block"), "pairs")
     pairs = pairs.withColumn("pair", F.xxhash64("block", "o_block"))
     across = pairs.select("pair", F.lit(0).alias("side"), "block").union(pairs.select("pair", F.lit(1), "o_block")).join(placed, "block").select("pair", "side", "node", "root")
     more = opened(across.join(blocked, "node"), docs)
