@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by inner product: an NN-descent graph and greedy search on it.
 
 Equal vectors are one node. The graph begins with neighbours inside cells of random hyperplanes, a
-cell of too many nodes being dealt into parts; then each round joins every node's neighbours and
+cell of too many nodes being cut across further directions, others in each tree; then each round joins every node's neighbours and
 reverse neighbours with their vectors and lets these meet: neighbours of neighbours become neighbours.
 Search starts at a query's own node and follows the edges from the best nodes found, until the best
 ones lead to nothing better. Scores are computed in double precision from the original vectors.
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import saved
 
 DEGREE, TREES, PER_TREE, CELL, ROUNDS, BEAM, EXPAND, SEED = 24, 16, 12, 2048, 4, 64, 48, 7
+#: Directions that large cells of a tree are cut across, and parts of a cut at most.
+SPLITS, FAN = 4, 16
 
 
 def valid(column: Column) -> Column:
@@ -50,21 +52,40 @@ def best_of(edges: DataFrame, k: int, by: str = "src", other: str = "dst") -> Da
     return edges.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
 
 
+def split_cells(dealt: DataFrame) -> DataFrame:
+    """(cell, node) of dealt (cell, node, along): a cell above 2 * CELL nodes is cut across a random direction
+    of its tree at quantiles of its own nodes, and its parts across further ones. So what is near stays
+    together, however dense, and each tree cuts it elsewhere. What no direction tells apart goes by hash."""
+    dealt = saved(dealt, "cells")
+    parts = F.ceil(F.count("*") / CELL).alias("parts")
+    for level in range(SPLITS):
+        large = saved(dealt.groupBy("cell").agg(parts).where("parts > 2"), "large")
+        if large.isEmpty():
+            return dealt.select("cell", "node")
+        along = F.col("along")[level]
+        cuts = dealt.join(large, "cell").groupBy("cell").agg(F.percentile_approx(along, [i / FAN for i in range(1, FAN)], 1000).alias("cuts"), F.least(F.first("parts"), F.lit(FAN)).alias("parts"))
+        slab = F.floor(F.size(F.filter("cuts", lambda c: c < along)) * F.col("parts") / FAN)
+        dealt = saved(dealt.join(cuts, "cell", "left").select(F.when(F.col("parts").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", F.lit(level), slab)).alias("cell"), "node", "along"), "cells")
+    sizes = dealt.groupBy("cell").agg(parts)
+    return dealt.join(sizes, "cell").select(F.when(F.col("parts") <= 2, F.col("cell")).otherwise(F.xxhash64("cell", F.pmod(F.xxhash64("node", "cell"), F.col("parts")))).alias("cell"), "node")
+
+
 def first_graph(nodes: DataFrame, n: int, dim: int) -> DataFrame:
     """Edges (src, dst, score) to the nearest nodes in the same cell of any of TREES random cuts."""
     bits = max(0, int(np.ceil(np.log2(max(1, n) / CELL))))
     planes = np.random.default_rng(SEED).standard_normal((TREES, bits, dim))
 
+    ways = np.random.default_rng(SEED + 1).standard_normal((TREES, SPLITS, dim))
+
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = packed(batch.column(1)).astype(np.float64)
-            code = [((x @ p.T > 0) @ (1 << np.arange(bits))).astype(np.int64) if bits else np.zeros(len(x), np.int64) for p in planes]
-            for tree, c in enumerate(code):
-                yield pa.RecordBatch.from_arrays([pa.array(c * TREES + tree), batch.column(0), batch.column(1)], names=["cell", "node", "vec"])
+            for tree, (p, w) in enumerate(zip(planes, ways)):
+                code = ((x @ p.T > 0) @ (1 << np.arange(bits))).astype(np.int64) if bits else np.zeros(len(x), np.int64)
+                along = pa.FixedSizeListArray.from_arrays(pa.array((x @ w.T).reshape(-1)), SPLITS).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array(code * TREES + tree), batch.column(0), along], names=["cell", "node", "along"])
 
-    dealt = nodes.mapInArrow(cells, "cell long, node long, vec array<float>")
-    sizes = dealt.groupBy("cell").agg(F.ceil(F.count("*") / (2 * CELL)).alias("parts"))
-    dealt = dealt.join(sizes, "cell").select(F.xxhash64("cell", F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("parts"))).alias("cell"), "node", "vec")
+    dealt = split_cells(nodes.mapInArrow(cells, "cell long, node long, along array<double>")).join(nodes, "node").select("cell", "node", "vec")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, x in groups(batches):

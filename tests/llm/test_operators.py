@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sitewatch.llm import chat, common, jaccard_join, mixing, neighbours, pieces, piecewise, suffix_dedup, token_files, toxicity, warc
 
@@ -135,6 +136,28 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.where("vec_id < 5 OR vec_id = 20")).count() == 2 * 5
 
 
+def recall(df, x, every=20):
+    hits = total = 0
+    y = x.astype(np.float64)
+    for q, found in neighbours.nearest(df, every=every).groupBy("query_id").agg(F.collect_list("vec_id")).collect():
+        s = y @ y[q]
+        s[q] = -np.inf
+        hits += len(set(found) & set(np.argsort(-s, kind="stable")[:20].tolist()))
+        total += 20
+    return hits / total
+
+
+def test_neighbours_in_a_dense_cluster(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL", 110)
+    r = np.random.default_rng(3)
+    centre = r.standard_normal(16)
+    x = r.standard_normal((3000, 16)) - centre
+    x[::3] = centre + 0.001 * r.standard_normal((1000, 16))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    assert recall(df, x, 30) >= 0.9  # queries 0, 30, ...: all of the cluster
+
+
 def test_pieces(docs, rows):
     import sentencepiece
 
