@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-DEGREE, TREES, PER_TREE, CELL, ROUNDS, BEAM, EXPAND, SEED = 24, 16, 12, 2048, 4, 64, 48, 7
+DEGREE, TREES, PER_TREE, CELL, ROUNDS, BEAM, EXPAND, SEED = 32, 8, 12, 256, 20, 96, 80, 7
+#: Rounds end at this share of new edges.
+FEW = 0.002
 #: Directions that large cells of a tree are cut across, and parts of a cut at most.
 SPLITS, FAN = 4, 16
 
@@ -105,75 +107,95 @@ def edges_of(src, dst, score) -> pa.RecordBatch:
 
 
 def groups(batches: Iterator[pa.RecordBatch], extra: bool = False):
-    """(node ids, vectors) of each run of rows (key, node, vec, ...) with the same key."""
+    """(node ids, vectors) of each run of rows (key, node, vec) with the same key; with `extra` also the two
+    fields of a fourth column."""
     key, held = None, []
 
     def made():
         ids = np.concatenate([h[0] for h in held])
         x = np.concatenate([h[1] for h in held]).astype(np.float32)
-        return (ids, x, np.concatenate([h[2] for h in held])) if extra else (ids, x)
+        return (ids, x, *(np.concatenate([h[2][i] for h in held]) for i in (0, 1))) if extra else (ids, x)
 
     for batch in batches:
         if not batch.num_rows:
             continue
         keys, ids, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), packed(batch.column(2))
-        more = batch.column(3).to_numpy() if extra else ids
+        more = [c.to_numpy(zero_copy_only=False) for c in batch.column(3).flatten()] if extra else []
         cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
         for a, b in zip(cuts[:-1], cuts[1:]):
             if held and keys[a] != key:
                 yield made()
                 held = []
             key = keys[a]
-            held.append((ids[a:b], x[a:b], more[a:b]))
+            held.append((ids[a:b], x[a:b], [m[a:b] for m in more]))
     if held:
         yield made()
 
 
 def descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One round: what meets among a node's neighbours and reverse neighbours joins the graph."""
-    reverse = best_of(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "score"), DEGREE)
-    meets = graph.select("src", "dst").union(reverse.select("src", "dst")).distinct()
+    """One round over a graph (src, dst, score, new): what meets among a node's neighbours and reverse
+    neighbours joins the graph. Pairs that met in an earlier round, both of old edges, don't meet again."""
+    reverse = best_of(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "score", "new"), DEGREE)
+    meets = graph.select("src", "dst", "new").union(reverse.select("src", "dst", "new")).groupBy("src", "dst").agg(F.max("new").alias("new"))
     worst = graph.groupBy("src").agg(F.when(F.count("*") < DEGREE, float("-inf")).otherwise(F.min("score")).alias("worst")).withColumnRenamed("src", "w")
     known = nodes.join(worst, F.col("node") == F.col("w"), "left").select("node", "vec", F.coalesce("worst", F.lit(float("-inf"))).alias("worst"))
-    rows = meets.join(known, F.col("dst") == F.col("node")).select("src", "node", "vec", "worst")
+    rows = meets.join(known, F.col("dst") == F.col("node")).select("src", "node", "vec", F.struct("worst", "new").alias("more"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         src, dst, score, n = [], [], [], 0
-        for ids, x, worst in groups(batches, True):
+        for ids, x, worst, new in groups(batches, True):
+            if not new.any():
+                continue
             s = x @ x.T
+            s[~(new[:, None] | new[None, :])] = -np.inf
             np.fill_diagonal(s, -np.inf)
-            k = min(PER_TREE, len(ids) - 1)
+            # no more than DEGREE of a node's can stay in the graph
+            k = min(DEGREE, len(ids) - 1)
             if k < 1:
                 continue
             at = np.argpartition(-s, k - 1, axis=1)[:, :k]
             value = np.take_along_axis(s, at, 1)
-            i, j = np.nonzero(value > worst[:, None])
+            i, j = np.nonzero((value > worst[:, None]) & (value > -np.inf))
             src.append(ids[i])
             dst.append(ids[at[i, j]])
             score.append(value[i, j])
             n += len(i)
-            if n > 50_000:
-                yield edges_of(np.concatenate(src), np.concatenate(dst), np.concatenate(score))
+            if n > 1_000_000:
+                yield best_edges(src, dst, score)
                 src, dst, score, n = [], [], [], 0
         if n:
-            yield edges_of(np.concatenate(src), np.concatenate(dst), np.concatenate(score))
+            yield best_edges(src, dst, score)
+
+    met = rows.repartition("src").sortWithinPartitions("src").mapInArrow(meet, "src long, dst long, score double")
+    both = graph.withColumn("new", F.lit(False)).union(met.withColumn("new", F.lit(True)))
+    return best_of(both.groupBy("src", "dst").agg(F.max("score").alias("score"), F.min("new").alias("new")), DEGREE)
+
 
-    new = rows.repartition("src").sortWithinPartitions("src").mapInArrow(meet, "src long, dst long, score double")
-    return best_of(graph.union(new).groupBy("src", "dst").agg(F.max("score").alias("score")), DEGREE)
+def best_edges(src: list, dst: list, score: list) -> pa.RecordBatch:
+    """The distinct edges with the DEGREE best of each node; the others can't stay in the graph."""
+    src, dst, score = np.concatenate(src), np.concatenate(dst), np.concatenate(score)
+    order = np.lexsort((-score, dst, src))
+    src, dst, score = src[order], dst[order], score[order]
+    first = np.ones(len(src), bool)
+    first[1:] = (src[1:] != src[:-1]) | (dst[1:] != dst[:-1])
+    src, dst, score = src[first], dst[first], score[first]
+    order = np.lexsort((-score, src))
+    src, dst, score = src[order], dst[order], score[order]
+    begins = np.flatnonzero(np.concatenate([[True], src[1:] != src[:-1]]))
+    kept = np.arange(len(src)) - np.repeat(begins, np.diff([*begins, len(src)])) < DEGREE
+    return edges_of(src[kept], dst[kept], score[kept])
 
 
 def neighbour_graph(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Edges (src, dst, score) from each node (node, vec) to about its DEGREE nearest."""
+    """Edges (src, dst, score) from each node (node, vec) to about its DEGREE nearest. Rounds end when few
+    edges are new, or after `rounds`."""
     n, dim = nodes.count(), (nodes.select(F.size("vec").alias("d")).first() or [1])[0]
-    graph = saved(first_graph(nodes, n, dim), "graph")
-    total = None
+    graph = saved(first_graph(nodes, n, dim).withColumn("new", F.lit(True)), "graph")
     for _ in range(rounds):
         graph = saved(descend(graph, nodes), "graph")
-        now = graph.agg(F.sum("score")).first()[0] or 0.0
-        if total is not None and abs(now - total) <= 1e-3 * abs(now):
+        if graph.where("new").count() <= FEW * graph.count():
             break
-        total = now
-    return graph
+    return graph.drop("new")
 
 
 def greedy_search(starts: DataFrame, graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
