@@ -16,27 +16,27 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model doesn't reject. Repeated doc_ids go if any of their texts does."""
+    """Rows whose text the toxicity model doesn't reject, whatever other rows share their doc_id."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    toxic = common.saved(toxicity.scored(docs, model).where("predicted = 1").select(F.col("doc_id").alias("_toxic")).distinct(), "toxic")
-    return docs.join(toxic, F.col("doc_id").eqNullSafe(F.col("_toxic")), "left_anti").select(*COLUMNS)
+    key = suffix_dedup.key_of(docs)
+    toxic = common.saved(toxicity.scored(docs.select(key.alias("doc_id"), "text"), model).where("predicted = 1").select(F.col("doc_id").alias("_toxic")).distinct(), "toxic")
+    return docs.withColumn("_key", key).join(toxic, F.col("_key") == F.col("_toxic"), "left_anti").select(*COLUMNS)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one that names it, its smallest doc_id."""
-    named = jaccard_join.near_duplicates(docs).select("doc_id", "component_id")
-    kept = common.saved(named.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    return one_row_each(docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").union(docs.where("doc_id is null")).select(*COLUMNS))
+    """Of each group of linked rows one, that of the smallest doc_id; rows without a doc_id come last."""
+    docs = docs.withColumn("_key", suffix_dedup.key_of(docs))
+    named = jaccard_join.near_duplicates(docs.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_named"), "component_id").distinct()
+    rows = named.join(docs.select("_key", "doc_id").distinct(), F.col("_named") == F.col("_key"))
+    kept = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("x")).select(F.col("x._key").alias("_kept"))
+    return one_row_each(docs.join(common.saved(kept, "kept"), F.col("_key") == F.col("_kept"), "left_semi"))
 
 
 def one_row_each(docs: DataFrame) -> DataFrame:
-    """A row for each doc_id, the first by text; rows without a doc_id by their text."""
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    repeated = docs.groupBy("doc_id", key.alias("_k")).agg(F.count("*").alias("_n")).where("_n > 1").limit(1)
-    if repeated.isEmpty():
-        return docs
-    row = docs.groupBy("doc_id", key.alias("_k")).agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("_x"))
-    return row.select("doc_id", "_x.text", "_x.lang", "_x.source", "_x.n_chars")
+    """One of the rows that are equal in doc_id and text (in _key)."""
+    if docs.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1").limit(1).isEmpty():
+        return docs.select(*COLUMNS)
+    return docs.groupBy("_key").agg(F.min(F.struct(*COLUMNS)).alias("_x")).select("_x.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ STAGES = [
     ("sentencepiece", encode_pieces),
 ]
 
-#: A learned model, iterative joins and a tokenizer can't be said in SQL; tests compare with brute force.
+#: A learned model, iterative joins and a tokenizer can't be said in SQL.
 ORACLE_SQL = None
 
 

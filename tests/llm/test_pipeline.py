@@ -1,5 +1,7 @@
 """The pipeline's stages take effect one after another."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 
 
@@ -17,3 +19,16 @@ def test_pipeline(spark, sf_dir):
     assert docs.where("NOT lossless").count() == 0
     ids = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
     assert docs.select("doc_id").exceptAll(ids).distinct().count() >= 0 and docs.join(ids, "doc_id", "left_anti").count() == 0
+
+
+def test_rows_stand_for_themselves(spark, sf_dir, monkeypatch):
+    """Null and repeated doc_ids: a row goes for its own text only."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(None, a), (None, a + " more"), (None, b), (None, "bad"), (5, c), (5, d), (5, c), (5, "bad"), (7, d + " end")]
+    docs = spark.createDataFrame([(*x, "en", "s", len(x[1])) for x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr(corpus_pipeline.toxicity, "fit", lambda docs, labels: None)
+    monkeypatch.setattr(corpus_pipeline.toxicity, "scored", lambda docs, model: docs.select("doc_id", (F.col("text") == "bad").cast("int").alias("predicted")))
+    clean = corpus_pipeline.common.saved(corpus_pipeline.drop_toxic(spark, docs, sf_dir), "clean")
+    assert sorted(map(str, clean.select("doc_id", "text").collect())) == sorted(map(str, docs.where("text <> 'bad'").select("doc_id", "text").collect()))
+    got = [(r["doc_id"], r["text"].removesuffix(" more")) for r in corpus_pipeline.one_of_near_copies(spark, clean, sf_dir).collect()]
+    assert len(got) == 4 and set(got) == {(None, a), (None, b), (5, c), (5, d)}
