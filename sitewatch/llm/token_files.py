@@ -20,17 +20,19 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import AtomicFile, cut_points, file_system, hash_sample, new_folder, range_of, saved
+from .common import AtomicFile, blocks, cut_points, file_system, hash_sample, new_folder, range_of, saved, utf8
 
 MAGIC = b"TOKSHRD1"
 INDEX = np.dtype([("doc_id", "<i8"), ("no_id", "u1"), ("frame_end", "<u8"), ("ids_end", "<u8")])
@@ -40,7 +42,7 @@ DICTIONARY_DOCS, DICTIONARY_BYTES = 2000, 112 * 1024
 #: Words a worker remembers at least; twice as many are its memory bound.
 CACHE_WORDS = 300_000
 
-_encoders: dict[str, Callable[[list[bytes]], list[bytes]]] = {}
+_encoders: dict[str, Callable[[pa.Array, int], list[np.ndarray]]] = {}
 
 
 class Remembered:
@@ -63,14 +65,81 @@ class Remembered:
         return self.young
 
 
-def word_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
-    """Texts to their ids as little-endian uint32 bytes, with the tokenizer file at `path`.
+def byte_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: printable Latin-1 characters are
+    themselves, the other bytes follow from U+0100 on."""
+    plain = [b for b in range(256) if chr(b).isprintable() and chr(b) not in " \xa0\xad"]
+    other = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+
+
+def merged(symbols: list[bytes], order: dict[tuple[bytes, bytes], int]) -> list[bytes]:
+    """symbols after all merges, the first in `order` first."""
+    while len(symbols) > 1:
+        best = min(zip(symbols, symbols[1:]), key=lambda pair: order.get(pair, 1 << 60))
+        if best not in order:
+            break
+        out, i = [], 0
+        while i < len(symbols):
+            if tuple(symbols[i : i + 2]) == best:
+                out.append(symbols[i] + symbols[i + 1])
+                i += 2
+            else:
+                out.append(symbols[i])
+                i += 1
+        symbols = out
+    return symbols
+
+
+def piece_encoder(setup: dict):
+    """tiktoken's merges for the vocabulary of a tokenizer file, the end of a word written as a line feed
+    (no piece has white space), and which ids end a word; None if the file is of another make.
+
+    Merging by the rank of what two symbols make is the same as merging by the file's pairs, if every
+    token that merges can reach comes out of its own letters; tokens that don't are left out."""
+    import tiktoken
+
+    model, letters = setup["model"], byte_letters()
+    suffix = model.get("end_of_word_suffix")
+    if model["type"] != "BPE" or not suffix or model.get("continuing_subword_prefix") or model.get("dropout") or model.get("ignore_merges"):
+        return None
+
+    def raw(token: str) -> bytes:
+        end = token.endswith(suffix)
+        return bytes(letters[c] for c in (token[: -len(suffix)] if end else token)) + b"\n" * end
+
+    pairs = [tuple(map(raw, m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    vocabulary = {raw(t): i for t, i in model["vocab"].items() if t not in {x["content"] for x in setup["added_tokens"]}}
+    order = {p: i for i, p in enumerate(pairs)}
+    made = [a + b for a, b in pairs]
+    ids = [vocabulary.get(x) for x in made]
+    if len(set(made)) < len(made) or None in ids or ids != sorted(ids):
+        return None
+    first = [bytes([b]) for b in range(256)] + [bytes([b, 10]) for b in range(256)]
+    if not all(x in vocabulary and vocabulary[x] < ids[0] for x in first) or min(vocabulary[x] for x in first[256:]) < 256:
+        return None
+    split = lambda t: [bytes([b]) for b in t[:-2]] + [t[-2:]] if t.endswith(b"\n") else [bytes([b]) for b in t]
+    ranks = {x: vocabulary[x] for x in first} | {x: i for x, i in zip(made, ids) if x[:-1].find(b"\n") < 0 and merged(split(x), order) == [x]}
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for t, i in ranks.items() if t.endswith(b"\n") and len(t) > 1]] = True
+    return tiktoken.Encoding("pieces", pat_str=r"[^\n]*\n", mergeable_ranks=ranks, special_tokens={}), ends
+
+
+#: Characters whose kind (letter, number, white space) no version of Unicode has changed: Latin, Greek,
+#: Cyrillic, marks, general punctuation, kana, the first ideographs, Hangul. Runs with others go whole.
+SAFE = "\\x21-\\x7e\\xa1-\\u0377\\u0400-\\u052f\\u2010-\\u2027\\u2030-\\u205e\\u3041-\\u3096\\u30a1-\\u30fa\\u4e00-\\u9fa5\\uac00-\\ud7a3"
+#: Bytes of text whose words are encoded together.
+BLOCK_BYTES = 1 << 24
+
+
+def word_encoder(path: str) -> Callable[[pa.Array, int], list[np.ndarray]]:
+    """Texts (an Arrow array of strings) to their ids with the tokenizer file at `path`, `end_id` behind each.
 
     Neither the normalizer nor the pre-tokenizer carries anything across ASCII white space, so
-    encoding the space-separated runs one by one gives the ids of the whole text, and runs met before
-    are remembered. The file's split pattern takes a run apart; pieces are remembered as well, so the
-    same word before a comma isn't encoded again. Files of another make, and runs with a special
-    token, go through the tokenizer whole. One encoder a worker, kept between tasks."""
+    encoding the space-separated runs one by one gives the ids of the whole text, and each run of a
+    block is encoded once. Runs are normalized and taken apart by the file's split pattern; their
+    pieces are merged all together. Runs with a special token or rare characters, and files of
+    another make, go through the tokenizer whole. One encoder a worker, kept between tasks."""
     if path in _encoders:
         return _encoders[path]
     import regex
@@ -78,66 +147,90 @@ def word_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
 
     tokenizer = Tokenizer.from_file(path)
     setup = json.loads(tokenizer.to_str())
-    special = [t["content"].encode() for t in setup["added_tokens"]]
     splits, *more = (setup["pre_tokenizer"] or {}).get("pretokenizers", [{}])
-    plain = splits.get("type") == "Split" and splits["invert"] and splits["behavior"] == "Removed" and [(x["type"], x["add_prefix_space"]) for x in more] == [("ByteLevel", False)]
-    if plain:
-        take_apart, normal = regex.compile(splits["pattern"]["Regex"]).findall, tokenizer.normalizer.normalize_str
-        by_piece = Tokenizer.from_str(json.dumps(setup | {"normalizer": None, "pre_tokenizer": more[0] | {"use_regex": False}, "added_tokens": []}))
-
-    def whole(text: str) -> bytes:
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode_pieces(texts: list[str]) -> list[bytes]:
-        found = by_piece.encode(texts, is_pretokenized=True, add_special_tokens=False)
-        ids, word = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids, np.int64)
-        ends = (np.searchsorted(word, np.arange(len(texts) + 1)) * 4).tolist()
-        return [ids[i:j] for i, j in zip(ends[:-1], ends[1:])]
-
-    known_pieces = Remembered(encode_pieces, CACHE_WORDS // 2)
-
-    def runs(new: list[bytes]) -> list[bytes]:
-        if not plain:
-            return [whole(x.decode()) for x in new]
-        texts = b" ".join(new).decode().split(" ")
-        clean = normal(" ".join(texts)).split(" ")
-        if len(clean) != len(texts):  # white space other than ASCII inside
-            clean = [normal(x) for x in texts]
-        # a run of letters alone is one piece
-        parts: list = [x if x.isalpha() else take_apart(x) for x in clean]
-        for i in [i for i, run in enumerate(new) if b"<" in run]:
-            if any(x in new[i] for x in special):
-                parts[i] = whole(texts[i])
-        pieces = {x for x in parts if type(x) is str}
-        pieces.update(*(x for x in parts if type(x) is list))
-        found = known_pieces.of(pieces)
-        return [found[x] if type(x) is str else b"".join([found[y] for y in x]) if type(x) is list else x for x in parts]
-
-    known = Remembered(runs)
-
-    def encode(texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        found = known.of(set().union(*split))
-        return [b"".join(map(found.__getitem__, words)) for words in split]
-
-    _encoders[path] = encode
-    return encode
+    plain = splits.get("type") == "Split" and splits["invert"] and splits["behavior"] == "Removed" and [(x["type"], x["add_prefix_space"], x["use_regex"]) for x in more] == [("ByteLevel", False, False)]
+    made = piece_encoder(setup) if plain and [x["type"] for x in (setup["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] else None
+
+    def whole(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts]
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.array([len(x) for x in ids], np.int64)
+
+    if made is None:
+
+        def encode_whole(texts: pa.Array, end_id: int) -> list[np.ndarray]:
+            return [np.append(whole([t or ""])[0], np.uint32(end_id)) for t in texts.to_pylist()]
+
+        return _encoders.setdefault(path, encode_whole)
+
+    merges, ends = made
+    line = merges.encode_single_token(b"\n")
+    take_apart, normal = regex.compile(splits["pattern"]["Regex"] + "|\n").findall, tokenizer.normalizer.normalize_str
+    special = "|".join(re.escape(t["content"]) for t in setup["added_tokens"])
+    safe = re.compile(f"[{SAFE}]*").fullmatch
+    odd = re.compile(special or "(?!)").search
+
+    def runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All runs' ids on end, and where each run's begin and how many they are."""
+        kind = pc.if_else(pc.string_is_ascii(texts), 0, 1).to_numpy(zero_copy_only=False).copy()
+        if special:
+            kind[pc.match_substring_regex(texts, special).to_numpy(zero_copy_only=False)] = 2
+        rare = np.flatnonzero(kind == 1)
+        others = texts.take(pa.array(rare)).to_pylist()
+        kind[[i for i, x in zip(rare.tolist(), others) if not safe(x)]] = 2
+        easy, hard, rest = (np.flatnonzero(kind == k) for k in range(3))
+        lowered = "\n".join(texts.take(pa.array(easy)).to_pylist()).lower()
+        clean = [lowered] if len(easy) else []
+        if len(hard):
+            clean += normal(" ".join(x for x in others if safe(x) and not odd(x))).split(" ")
+        if len(clean) != len(hard) + (len(easy) > 0):
+            raise ValueError(f"{len(hard)} runs became {len(clean)}")
+        parts = take_apart("\n".join([*clean, ""]))
+        ids = merges.encode_to_numpy("\n".join([*parts, ""])) if parts else np.zeros(0, np.uint32)
+        # a boundary of runs comes back as two line feeds alone
+        lone = ids == line
+        nth = np.cumsum(lone)[~lone] // 2
+        size = np.zeros(len(texts), np.int64)
+        if 2 * (len(easy) + len(hard)) != lone.sum() or ends[ids].sum() + lone.sum() // 2 != len(parts):
+            raise ValueError("words and ids don't fit")
+        order = np.concatenate([easy, hard, rest])
+        size[order[: len(easy) + len(hard)]] = np.bincount(nth, minlength=len(easy) + len(hard))
+        more, lengths = whole(texts.take(pa.array(rest)).to_pylist())
+        size[rest] = lengths
+        begins = np.zeros(len(texts), np.int64)
+        begins[order] = np.cumsum(size[order]) - size[order]
+        return np.concatenate([ids[~lone], more]), begins, size
+
+    def encode(texts: pa.Array, end_id: int) -> list[np.ndarray]:
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        out: list[np.ndarray] = []
+        for i, j in blocks(utf8(texts)[1], BLOCK_BYTES):
+            split = pc.ascii_split_whitespace(texts.slice(i, j - i))
+            words = split.flatten().dictionary_encode()
+            ids, begins, size = runs(words.dictionary)
+            at = words.indices.to_numpy(zero_copy_only=False)
+            lengths = size[at]
+            until = np.concatenate([[0], np.cumsum(lengths)])
+            flat = ids[np.repeat(begins[at] - until[:-1], lengths) + np.arange(until[-1])]
+            bounds = until[split.offsets.to_numpy() - split.offsets[0].as_py()]
+            out += [np.append(flat[a:b], np.uint32(end_id)) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        return out
+
+    return _encoders.setdefault(path, encode)
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int, width: int, dictionary: bytes | None) -> DataFrame:
     """doc_id, part and the ids of each document, as `width`-byte integers; compressed if a dictionary is given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, tail = word_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encode = word_encoder(tokenizer)
         squeeze = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else None
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                texts = [t or b"" for t in part.column(2).cast(pa.binary()).to_pylist()]
-                ids = [x + tail for x in encode(texts)]
-                stored = ids if width == 4 else [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
+            for i, j in blocks(utf8(batch.column(2))[1], BLOCK_BYTES):
+                part = batch.slice(i, j - i)
+                ids = encode(part.column(2), end_id)
+                stored = [x.astype(f"<u{width}").tobytes() for x in ids]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([squeeze.compress(x) for x in stored] if squeeze else stored, pa.binary())],
+                    [part.column(0), part.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array([squeeze.compress(x) for x in stored] if squeeze else stored, pa.binary())],
                     names=["part", "doc_id", "n", "crc", "ids"],
                 )
 
