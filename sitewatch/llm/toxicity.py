@@ -1,15 +1,22 @@
 """Toxicity by a subsequence-kernel support vector machine with Nyström landmarks.
 
 Units are the white-space separated words of a text, lower-cased, with "^" in front, as they stand and
-without punctuation; three or more single characters in a row are one unit ("i d i o t"). The gap-weighted subsequence kernel of order
-ORDER compares a unit with the landmarks, strings that toxic labelled texts have and clean ones
-lack: letters between those that match only weigh less, so gapped and stuffed spellings stay near.
-Kernel values become features by the inverse root of the landmarks' own kernel matrix, and a linear
-machine with squared hinge loss separates them. A text's score is that of its most toxic unit, made a
-probability on labelled texts.
+without punctuation; three or more single characters in a row are one unit ("i d i o t"); of what is
+longer than SPAN letters every window of SPAN letters at half that step is one. The gap-weighted
+subsequence kernel of order ORDER compares a unit with the landmarks, strings that toxic labelled
+texts have and clean ones lack: every three letters they have in the same order count, those that
+match with letters between them less, so gapped and stuffed spellings stay near. Kernel values become
+features by the inverse root of the landmarks' own kernel matrix, and a linear machine with squared
+hinge loss separates them. A text's score is that of its most toxic unit, made a probability on
+labelled texts.
+
+A margin is linear in the kernel values, hence in the unit's weighted triples of letters; so a table
+of the machine's weight for each triple gives margins exactly, whatever the gaps.
 
 The model is fitted to a bounded sample of labelled rows: TOXIC_DOCS and CLEAN_DOCS at most, by hash
-of doc_id, none of which is held out. Everything else covers all rows and whole texts.
+of doc_id, none of which is held out. Training goes over the whole texts of the sample ROUNDS times;
+each time the unit of the largest margin joins the examples, as a toxic text's only one and as one more
+of a clean text. Everything else covers all rows and whole texts.
 
 Defined cases: null or empty text has the score of a text without a suspicious unit; null doc_id isn't
 held out; a label of null is no label and of two labels of a doc_id the larger holds; repeated rows are
@@ -22,91 +29,144 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix
-from .token_files import Remembered
+from .common import blocks, saved, utf8
 
 TOXIC_DOCS, CLEAN_DOCS = 3000, 6000
-ORDER, DECAY, LANDMARKS, THRESHOLD = 3, 0.7, 64, 0.3
+ORDER, DECAY, LANDMARKS, THRESHOLD, ROUNDS = 3, 0.7, 64, 0.3, 6
 #: Lengths of the word beginnings that may be landmarks; letters of a unit looked at together.
-STEMS, SPAN, TABLE = range(3, 11), 24, 1 << 18
-CANDIDATES, UNITS_PER_DOC, CACHE_UNITS = 3000, 16, 200_000
+STEMS, SPAN, CANDIDATES = range(3, 11), 24, 3000
+#: Bytes of text taken at once.
+BLOCK_BYTES = 1 << 23
+START = ord("^")
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def units_of(text: str) -> set[str]:
-    """The distinct units of a text."""
-    words = text.lower().split()
-    found = set(words)
-    found.update(["".join(filter(str.isalnum, w)) for w in found if not w.isalnum()])
-    found.discard("")
-    single = [len(w) == 1 for w in words]
-    if sum(single) >= 3:
-        i = 0
-        while i < len(words):
-            j = i
-            while j < len(words) and single[j]:
-                j += 1
-            if j - i >= 3:
-                found.add("".join(words[i:j]))
-            i = max(j, i + 1)
-    return found
-
-
-def encode(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Letters of each unit as numbers, a row of SPAN each; a long unit has overlapping rows."""
-    rows, owner = [], []
-    for i, u in enumerate(units):
-        u = "^" + u
-        for a in range(0, max(1, len(u) - SPAN // 2), SPAN // 2) if len(u) > SPAN else (0,):
-            rows.append(u[a : a + SPAN].ljust(SPAN, "\0"))
-            owner.append(i)
-    out = np.frombuffer("".join(rows).encode("utf-32-le"), np.uint32).reshape(len(rows), SPAN)
-    return out, np.array(owner, np.int64)
-
-
-def subsequence_kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """The gap-weighted kernel of order ORDER of row pairs of s and t (0 is no letter)."""
-    n, ls, lt = len(s), s.shape[1], t.shape[1]
-    out = np.zeros(n)
-    before = np.ones((ls + 1, lt + 1, n), np.float32)  # sums over subsequences that end before (i, j)
-    square = np.float32(DECAY * DECAY)
-    match = (s.T[:, None, :] == t.T[None, :, :]) & (s.T[:, None, :] != 0)
-    for q in range(1, ORDER):
-        now = np.zeros((ls + 1, lt + 1, n), np.float32)
-        for i in range(1, ls + 1):
-            row = np.zeros(n, np.float32)
-            for j in range(1, lt + 1):
-                row = row * np.float32(DECAY) + square * match[i - 1, j - 1] * before[i - 1, j - 1]
-                now[i, j] = np.float32(DECAY) * now[i - 1, j] + row
-        before = now
-    for j in range(lt):
-        out += square * (match[:, j] * before[:ls, j]).sum(axis=0)
+@cache
+def alphanumeric() -> np.ndarray:
+    return np.array([chr(c).isalnum() for c in range(0x110000)])
+
+
+def letters_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all words on end, and where each word's begin and the last one's end."""
+    raw, offsets = utf8(words)
+    return np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.int32), np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[offsets]
+
+
+def gathered(letters: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of letters laid end to end, and their bounds."""
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    return letters[np.repeat(begins - bounds[:-1], sizes) + np.arange(bounds[-1])], bounds
+
+
+def units_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Units of all texts: their letters on end with bounds, and which unit (second) is in which text
+    (first). A word met twice is one unit."""
+    split = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    first = split.offsets.to_numpy() - (split.offsets[0].as_py() if len(texts) else 0)
+    words = split.flatten().dictionary_encode()
+    at = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    letters, bounds = letters_of(words.dictionary)
+    n, sizes = len(words.dictionary), np.diff(bounds)
+    owner = np.repeat(np.arange(len(texts)), np.diff(first))
+    text_of, unit_of = [owner], [at]
+    parts = [(letters, bounds[:-1], sizes)]
+    # without punctuation
+    kept = alphanumeric()[letters]
+    left = np.add.reduceat(np.append(kept, False).astype(np.int64), bounds[:-1]) if n else np.zeros(0, np.int64)
+    left[sizes == 0] = 0
+    changed = np.flatnonzero((left < sizes) & (left > 0))
+    bare, place = np.full(n, -1), n
+    bare[changed] = place + np.arange(len(changed))
+    bare_bounds = np.concatenate([[0], np.cumsum(left)])
+    parts.append((letters[kept], bare_bounds[:-1][changed], left[changed]))
+    place += len(changed)
+    has = np.flatnonzero(bare[at] >= 0)
+    text_of.append(owner[has])
+    unit_of.append(bare[at[has]])
+    # single characters in a row
+    single = np.zeros(len(at) + 2, np.int8)
+    single[1:-1] = sizes[at] == 1
+    edge = np.diff(single)
+    apart = np.zeros(len(at) + 1, bool)
+    apart[first[:-1]] = True
+    starts = np.flatnonzero((edge[:-1] == 1) | (single[1:-1].astype(bool) & apart[:-1]))
+    ends = np.flatnonzero((edge[1:] == -1) | (single[1:-1].astype(bool) & apart[1:])) + 1
+    long = ends - starts >= 3
+    starts, ends = starts[long], ends[long]
+    heads = letters[np.minimum(bounds[:-1][at], max(0, len(letters) - 1))] if len(letters) else np.zeros(0, np.int32)
+    spelled, spelled_bounds = gathered(heads, starts, ends - starts)
+    parts.append((spelled, spelled_bounds[:-1], ends - starts))
+    text_of.append(owner[starts])
+    unit_of.append(place + np.arange(len(starts)))
+    flat, begins, size, shift = [], [], [], 0
+    for values, b, k in parts:
+        flat.append(values)
+        begins.append(b + shift)
+        size.append(k)
+        shift += len(values)
+    out, out_bounds = gathered(np.concatenate(flat), np.concatenate(begins), np.concatenate(size))
+    text, unit = np.concatenate(text_of), np.concatenate(unit_of)
+    some = out_bounds[unit + 1] > out_bounds[unit]
+    return out, out_bounds, text[some], unit[some]
+
+
+def windows(letters: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(units, their letters in rows of one length, "^" in front) of all units, those above SPAN in windows."""
+    led, at = np.insert(letters, bounds[:-1], START), bounds + np.arange(len(bounds))
+    size = np.diff(at)
+    # the windows of a unit begin at 0, SPAN / 2, ...
+    number = np.maximum(1, -(-(size - SPAN // 2) // (SPAN // 2)))
+    unit = np.repeat(np.arange(len(size)), np.where(size > SPAN, number, 1))
+    nth = np.arange(len(unit)) - np.searchsorted(unit, unit)
+    begin = at[unit] + nth * (SPAN // 2)
+    size = np.minimum(at[unit + 1] - begin, SPAN)
+    order = np.argsort(size, kind="stable")
+    cuts = np.searchsorted(size[order], np.arange(SPAN + 2))
+    for n in range(ORDER, SPAN + 1):
+        rows = 1 << 22
+        for a in range(cuts[n], cuts[n + 1], rows // (n * n)):
+            some = order[a : min(cuts[n + 1], a + rows // (n * n))]
+            yield unit[some], led[begin[some][:, None] + np.arange(n)]
+
+
+def norms(rows: np.ndarray) -> np.ndarray:
+    """Roots of the kernel of each row with itself."""
+    m, n = rows.shape
+    gap = np.arange(n)[:, None] - np.arange(n)[None, :]
+    decay = np.where(gap > 0, np.float32(DECAY) ** np.maximum(gap, 0), 0).astype(np.float32)
+    same = (rows[:, :, None] == rows[:, None, :]).astype(np.float32)
+    before = np.float32(1)
+    for _ in range(1, ORDER):
+        # symmetric, so one side's sums, turned, make the other's
+        half = (same * before).reshape(m * n, n) @ decay.T
+        before = (half.reshape(m, n, n).transpose(0, 2, 1).reshape(m * n, n) @ decay.T).reshape(m, n, n)
+    return np.sqrt(DECAY * DECAY * (same * before).sum(axis=(1, 2)))
+
+
+def weighted_triples(codes: np.ndarray, table: np.ndarray, base: int) -> np.ndarray:
+    """For rows of codes the sum over letters i < j < k of DECAY ** (k - i + 1) * table[codes of i, j, k]."""
+    n = codes.shape[1]
+    out = np.zeros((len(codes), *table.shape[1:]), np.float32)
+    column = [np.ascontiguousarray(codes[:, i]) for i in range(n)]
+    for i in range(n - 2):
+        for j in range(i + 1, n - 1):
+            pair = (column[i] * base + column[j]) * base
+            for k in range(j + 1, n):
+                out += np.float32(DECAY ** (k - i + 1)) * table[pair + column[k]]
     return out
 
 
-def triples(rows: np.ndarray, gaps: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, table place) of three letters in order, each gap among `gaps`."""
-    where, place = [], []
-    for g in gaps:
-        for h in gaps:
-            if rows.shape[1] > g + h:
-                a, b, c = rows[:, : -g - h], rows[:, g : rows.shape[1] - h], rows[:, g + h :]
-                r, k = np.nonzero(c)
-                code = (a[r, k].astype(np.uint64) * np.uint64(0x1F123BB5)) ^ (b[r, k].astype(np.uint64) << np.uint64(21)) ^ (c[r, k].astype(np.uint64) << np.uint64(42))
-                where.append(r)
-                place.append((mix(code) % np.uint64(TABLE)).astype(np.int64))
-    return np.concatenate(where), np.concatenate(place)
-
-
 @dataclass
 class Model:
     """Landmarks, their features' matrix, the separating plane and the map of margins to probabilities."""
@@ -118,41 +178,57 @@ class Model:
     offset: float
 
     def __post_init__(self):
-        self.rows = np.frombuffer("".join(x.ljust(max(STEMS) + 1, "\0") for x in self.landmarks).encode("utf-32-le"), np.uint32).reshape(len(self.landmarks), -1)
-        self.own = np.sqrt(subsequence_kernel(self.rows, self.rows))
-        where, place = triples(self.rows, (1,))
-        self.table = np.zeros(TABLE, np.uint64)
-        np.bitwise_or.at(self.table, place, np.uint64(1) << where.astype(np.uint64))
-        self.known = Remembered(lambda new: self.margins(new).tolist(), CACHE_UNITS)
+        known = sorted({ord(c) for x in self.landmarks for c in x})
+        self.base = len(known) + 1
+        self.code = np.zeros(0x110000, np.int32)
+        self.code[known] = np.arange(1, self.base)
+        self.triples = np.zeros((self.base**3, len(self.landmarks)), np.float32)
+        for l, x in enumerate(self.landmarks):
+            c = self.code[[ord(ch) for ch in x]].tolist()
+            for i in range(len(c) - 2):
+                for j in range(i + 1, len(c) - 1):
+                    for k in range(j + 1, len(c)):
+                        self.triples[(c[i] * self.base + c[j]) * self.base + c[k], l] += DECAY ** (k - i + 1)
+        self.triples /= np.array([norms(np.array([[ord(ch) for ch in x]], np.int32))[0] if len(x) >= ORDER else 1.0 for x in self.landmarks], np.float32)
+        self.table = (self.triples @ self.plane).astype(np.float32)
 
     def kernel(self, units: list[str]) -> np.ndarray:
-        """Normalized kernel of each unit with each landmark. It is taken as 0 where the unit has none
-        of the landmark's letter triples, even with a letter stuffed in at both joints."""
+        """Normalized kernel of each unit (without its "^") with each landmark."""
         out = np.zeros((len(units), len(self.landmarks)))
-        for a in range(0, len(units), 20_000):
-            rows, owner = encode(units[a : a + 20_000])
-            where, place = triples(rows, (1, 2))
-            hit = self.table[place]
-            where, hit = where[hit != 0], hit[hit != 0]
-            mask = np.zeros(len(rows), np.uint64)
-            np.bitwise_or.at(mask, where, hit)
-            r, l = np.nonzero((mask[:, None] >> np.arange(len(self.landmarks), dtype=np.uint64)) & np.uint64(1))
-            alone = np.zeros(len(rows))
-            used = np.unique(r)
-            alone[used] = np.sqrt(subsequence_kernel(rows[used], rows[used]))
-            for b in range(0, len(r), 4000):
-                rr, ll = r[b : b + 4000], l[b : b + 4000]
-                np.maximum.at(out, (owner[rr] + a, ll), subsequence_kernel(rows[rr], self.rows[ll]) / (alone[rr] * self.own[ll]))
+        for unit, rows in windows(*letters_of(pa.array(units, pa.large_string()))):
+            np.maximum.at(out, unit, weighted_triples(self.code[rows], self.triples, self.base) / norms(rows)[:, None])
         return out
 
-    def margins(self, units: list[str]) -> np.ndarray:
-        return self.kernel(units) @ self.plane + self.bias
-
-    def scores(self, texts: list[str]) -> np.ndarray:
-        units = [units_of(t) for t in texts]
-        found = self.known.of(set().union(*units))
-        best = np.array([max(map(found.__getitem__, u), default=self.bias) for u in units])
-        return 1 / (1 + np.exp(-np.clip(self.slope * best + self.offset, -30, 30)))
+    def margins(self, letters: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The margin of each unit; a unit of several windows has the largest."""
+        out = np.full(len(bounds) - 1, -np.inf)
+        for unit, rows in windows(letters, bounds):
+            np.maximum.at(out, unit, weighted_triples(self.code[rows], self.table, self.base) / norms(rows) + self.bias)
+        return np.where(out == -np.inf, self.bias, out)
+
+    def best(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, list[str]]]:
+        """Blocks of texts: each one's largest margin, and the unit that has it."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        for i, j in blocks(utf8(texts)[1], BLOCK_BYTES):
+            letters, bounds, text, unit = units_of(texts.slice(i, j - i))
+            value = self.margins(letters, bounds)[unit]
+            order = np.lexsort((unit, -value, text))
+            head = order[np.flatnonzero(np.diff(text[order], prepend=-1))]
+            most, which = np.full(j - i, self.bias), [""] * (j - i)
+            most[text[head]] = value[head]
+            for t, u in zip(text[head].tolist(), unit[head].tolist()):
+                which[t] = letters[bounds[u] : bounds[u + 1]].astype(np.uint32).tobytes().decode("utf-32-le")
+            yield most, which
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        out = [np.zeros(0)]
+        for i, j in blocks(utf8(texts)[1], BLOCK_BYTES):
+            letters, bounds, text, unit = units_of(texts.slice(i, j - i))
+            most = np.full(j - i, -np.inf)
+            np.maximum.at(most, text, self.margins(letters, bounds)[unit])
+            out.append(np.where(most == -np.inf, self.bias, most))
+        return 1 / (1 + np.exp(-np.clip(self.slope * np.concatenate(out) + self.offset, -30, 30)))
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1.0) -> np.ndarray:
@@ -202,14 +278,17 @@ def stem_counts(sample: DataFrame) -> list[tuple[str, int, int]]:
     """(stem, toxic documents, clean documents) of the CANDIDATES that tell most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for batch in batches:
-            for text, toxic in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                counts[toxic].update({("^" + u)[:k] for u in units_of(text) for k in STEMS if k <= len(u) + 1})
-        stems = list(counts[0].keys() | counts[1].keys())
-        for i in range(0, len(stems), 100_000):
-            part = stems[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([counts[1][s] for s in part], pa.int64()), pa.array([counts[0][s] for s in part], pa.int64())], names=["stem", "t", "c"])
+            counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
+            for r in range(batch.num_rows):
+                letters, bounds, _, _ = units_of(batch.column(1).slice(r, 1))
+                text = letters.astype(np.uint32).tobytes().decode("utf-32-le")
+                units = ["^" + text[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+                counts[batch.column(2)[r].as_py()].update({u[:k] for u in units for k in STEMS if k <= len(u)})
+            stems = list(counts[0].keys() | counts[1].keys())
+            for i in range(0, len(stems), 100_000):
+                part = stems[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([counts[1][s] for s in part], pa.int64()), pa.array([counts[0][s] for s in part], pa.int64())], names=["stem", "t", "c"])
 
     found = sample.mapInArrow(run, "stem string, t long, c long").groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where("t >= 2")
     tells = F.col("t") * F.log((F.col("t") + 0.5) / (4 * F.col("c") + 0.5))
@@ -235,51 +314,46 @@ def choose_landmarks(stems: list[tuple[str, int, int]]) -> list[str]:
     return chosen
 
 
+def most_toxic(sample: DataFrame, model: Model) -> list[tuple[int, int, str, float]]:
+    """(doc_id, toxic, unit, margin) of each text of the sample: its unit of the largest margin."""
+    fixed = (model.landmarks, model.plane, model.bias, model.slope, model.offset)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*fixed)
+        for batch in batches:
+            found = list(own.best(batch.column(1)))
+            margin, unit = np.concatenate([np.zeros(0), *(m for m, _ in found)]), [u for _, us in found for u in us]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(unit, pa.string()), pa.array(margin)], names=["doc_id", "toxic", "unit", "margin"])
+
+    return sorted(tuple(r) for r in sample.mapInArrow(run, "doc_id long, toxic int, unit string, margin double").collect())
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """The model of the labelled rows that aren't held out; None if only one label occurs."""
     found = sample_of(docs, labels)
     if found is None:
         return None
     sample, clean_weight = found
-    sample = sample.cache()
+    sample = saved(sample, "labelled")
     landmarks = choose_landmarks(stem_counts(sample))
     if not landmarks:
         return Model(["^" + "?" * 4], np.zeros(1), 0.0, 1.0, -30.0)
-    draft = Model(landmarks, np.zeros(len(landmarks)), 0.0, 1.0, 0.0)
-    values, vectors = np.linalg.eigh(draft.kernel([x[1:] for x in landmarks]))
+    model = Model(landmarks, np.ones(len(landmarks)), 0.0, 1.0, 0.0)
+    values, vectors = np.linalg.eigh(model.kernel([x[1:] for x in landmarks]))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each text's units that are nearest to a landmark, UNITS_PER_DOC at most."""
-        near = Remembered(lambda new: draft.kernel(new).max(axis=1).tolist(), CACHE_UNITS)
-        for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                units = units_of(text)
-                by = near.of(units)
-                out.append(sorted(units, key=lambda u: (-by[u], u))[:UNITS_PER_DOC])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.list_(pa.string()))], names=["doc_id", "toxic", "units"])
-
-    rows = sample.mapInArrow(nearest, "doc_id long, toxic int, units array<string>").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["units"]))
-    sample.unpersist()
-    every = sorted({u for r in rows for u in r["units"]})
-    place = {u: i for i, u in enumerate(every)}
-    feature = draft.kernel(every) @ root
-    toxic = np.array([r["toxic"] for r in rows])
-    weight = np.where(toxic == 1, 1.0, clean_weight)
-    inside = [np.array([place[u] for u in r["units"]], np.int64) for r in rows]
-    margin = feature.sum(axis=1) * 0 + draft.kernel(every).max(axis=1)
-    for _ in range(4):  # a toxic text's example is its most toxic unit, a clean one's are all
-        witness = [x[np.argmax(margin[x])] for x, t in zip(inside, toxic) if t and len(x)]
-        clean = [(i, w) for x, t, w in zip(inside, toxic, weight) if not t for i in x]
-        at = np.array([*witness, *(i for i, _ in clean)], np.int64)
+    clean: set[tuple[int, str]] = set()
+    for _ in range(ROUNDS):
+        rows = most_toxic(sample, model)
+        witness = [unit for _, toxic, unit, _ in rows if toxic and unit]
+        clean |= {(i, unit) for i, toxic, unit, _ in rows if not toxic}
+        examples = [*witness, *(unit for _, unit in sorted(clean))]
         y = np.array([1.0] * len(witness) + [-1.0] * len(clean))
-        w = squared_hinge(feature[at], y, np.array([1.0] * len(witness) + [v / UNITS_PER_DOC * 4 for _, v in clean]))
-        margin = feature @ w[:-1] + w[-1]
-    best = np.array([max(margin[x].max(), w[-1]) if len(x) else w[-1] for x in inside])
-    slope, offset = logistic(best, toxic.astype(float), weight)
-    return Model(landmarks, root @ w[:-1], float(w[-1]), slope, offset)
+        w = squared_hinge(model.kernel(examples) @ root, y, np.where(y > 0, 1.0, clean_weight))
+        model = Model(landmarks, root @ w[:-1], float(w[-1]), 1.0, 0.0)
+    rows = most_toxic(sample, model)
+    toxic = np.array([r[1] for r in rows], float)
+    slope, offset = logistic(np.array([r[3] for r in rows]), toxic, np.where(toxic == 1, 1.0, clean_weight))
+    return Model(landmarks, model.plane, model.bias, slope, offset)
 
 
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
@@ -295,10 +369,8 @@ def scored(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = kept_model(*fixed)
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                score = own.scores(part.column(2).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            score = own.scores(batch.column(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return rows.mapInArrow(run, RESULT)
 
@@ -307,7 +379,7 @@ _models: dict[bytes, Model] = {}
 
 
 def kept_model(landmarks, plane, *rest) -> Model:
-    """The model, once a worker, with the units it remembers."""
+    """The model, once a worker."""
     key = repr((landmarks, plane.tobytes(), rest)).encode()
     if key not in _models:
         _models.clear()

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,16 +100,38 @@ def test_toxicity(spark):
     assert toxicity.scored(docs.where("false"), None).count() == 0
 
 
-def test_kernel_is_the_gap_weighted_one():
-    def brute(s, t):
-        from itertools import combinations
+def brute_kernel(s, t):
+    from itertools import combinations
+
+    weigh = lambda x: [("".join(x[i] for i in c), toxicity.DECAY ** (c[-1] - c[0] + 1)) for c in combinations(range(len(x)), toxicity.ORDER)]
+    return sum(a * b for u, a in weigh(s) for v, b in weigh(t) if u == v)
 
-        weigh = lambda x: [("".join(x[i] for i in c), toxicity.DECAY ** (c[-1] - c[0] + 1)) for c in combinations(range(len(x)), toxicity.ORDER)]
-        return sum(a * b for u, a in weigh(s) for v, b in weigh(t) if u == v)
 
-    for s, t in (("idiot", "idxiot"), ("moron", "mroon"), ("abc", "abc"), ("aaaa", "aaa")):
-        rows = [np.array([[ord(c) for c in x.ljust(8, chr(0))]], np.uint32) for x in (s, t)]
-        assert abs(toxicity.subsequence_kernel(*rows)[0] - brute(s, t)) < 1e-5
+def test_kernel_is_the_gap_weighted_one():
+    units = ["idiot", "idxiot", "i..d..i..o..t", "ixxdxxixxoxxt", "mroon", "aaaa", "zzz", "", "a", "ab", "straße", "\U0001f642idiot"]
+    landmarks = ["^idiot", "idio", "^moron", "aaa"]
+    model = toxicity.Model(landmarks, np.array([1.0, -0.5, 2.0, 0.25]), 0.1, 1.0, 0.0)
+    want = np.array([[brute_kernel(u, t) / max(1e-30, brute_kernel(u, u) * brute_kernel(t, t)) ** 0.5 for t in landmarks] for u in ("^" + x for x in units)])
+    assert np.abs(model.kernel(units) - want).max() < 1e-5 and want[2, 0] > 0.02 and want[3, 0] > 0.02
+    letters, bounds = toxicity.letters_of(pa.array(units))
+    assert np.abs(model.margins(letters, bounds) - (want @ model.plane + 0.1)).max() < 1e-5
+
+
+def test_units():
+    def slow(text):
+        words = text.lower().split()
+        found = set(words) | {"".join(filter(str.isalnum, w)) for w in words}
+        found |= {x.replace(" ", "") for x in re.findall(r"(?<!\S)\S(?: \S){2,}(?!\S)", " ".join(words))}
+        return found - {""}
+
+    given = ["You i d i o t a bb c d", "", None, " lead. (x)  y!", "i", "a b", "z q r", "É. ß ǅ x", "a b c", "long " + "y" * 100]
+    letters, bounds, text, unit = toxicity.units_of(pa.array(given))
+    got = [set() for _ in given]
+    for t, u in zip(text.tolist(), unit.tolist()):
+        got[t].add("".join(map(chr, letters[bounds[u] : bounds[u + 1]])))
+    assert got == [slow(t or "") for t in given]
+    model = toxicity.Model(["^yyy"], np.ones(1), 0.0, 1.0, 0.0)
+    assert [len(x) for x in toxicity.windows(*toxicity.letters_of(pa.array(["y" * 100, "ab", ""])))][:1] and model.kernel(["y" * 100])[0, 0] > 0.3
 
 
 def test_neighbours(spark):
@@ -158,22 +181,73 @@ def test_neighbours_in_a_dense_cluster(spark, monkeypatch):
     assert recall(df, x, 30) >= 0.9  # queries 0, 30, ...: all of the cluster
 
 
+def naive_pieces(codec, text, document):
+    """The segmentation by the letter: an agenda looked through anew for every candidate."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    score = {model.id_to_piece(i): (model.get_score(i), i) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
+    out = []
+    units = re.findall(" +[^ \n▁]*|[^ \n▁]+|\n|▁", " " + text) if text else []
+    for place, unit in enumerate(units):
+        key = pieces.unit_keys(np.array([document], np.uint64), np.array([place]))
+        symbols, skipped, t = ["\0▁"] if unit == "▁" else list(unit.replace(" ", "▁")), set(), 0
+        live = [[c, i] for i, c in enumerate(symbols)]
+        while True:
+            best = min(((-score[x[0] + y[0]][0], k) for k, (x, y) in enumerate(zip(live, live[1:])) if x[0] + y[0] in score and (x[1], x[0], y[0]) not in skipped), default=None)
+            if best is None:
+                break
+            k = best[1]
+            draw = int(pieces.draws(pieces.chained(key, t // 64), codec.rate)[0]) >> (t % 64) & 1
+            t += 1
+            if draw:
+                skipped.add((live[k][1], live[k][0], live[k + 1][0]))
+            else:
+                live[k][0] += live.pop(k + 1)[0]
+        for s, _ in live:
+            out += [score[s][1]] if s in score else [int(codec.byte[b]) for b in s.replace("\0", "").encode()]
+    return out
+
+
+def ids_of(codec, given, document):
+    return [np.frombuffer(x, "<u2").tolist() for x in codec.encode(pa.array(given), np.full(len(given), document, np.uint64)).to_pylist()]
+
+
 def test_pieces(docs, rows):
     import sentencepiece
 
     path = pieces.model_path()
     plain, model = pieces.Codec(path, 0.0), sentencepiece.SentencePieceProcessor(model_file=path)
-    given = [t or "" for _, t in rows] + [" lead", "a  b\n\n c ", "tab\tx", "y" * 200]
-    assert [np.frombuffer(x, "<u2").tolist() for x in plain.encode(given, [0] * len(given))] == model.encode(given)
-    hard = [*given, "▁ mark ▁▁", "a▁b"]
+    given = [t or "" for _, t in rows] + [" lead", "a  b\n\n c ", "tab\tx", "y" * 200, "z" * 30000, "\n", " ", "中文字 слово"]
+    assert ids_of(plain, given, 0) == model.encode(given)
+    hard = [*given, "▁ mark ▁▁", "a▁b", "▁", "▁  x\n▁"]
     codec = pieces.Codec(path)
-    one, again, other = (c.encode(hard, [v] * len(hard)) for c, v in ((codec, 0), (pieces.Codec(path), 0), (codec, 1)))
-    assert [codec.decode(x) for x in one] == hard and one == again and one != other
-    assert pieces.Codec(path, seed=18).encode(hard, [0] * len(hard)) != one
-    assert codec.merged("▁" + "abcdef" * 9, bytes(range(64))) == codec.merged_long("▁" + "abcdef" * 9, bytes(range(64)))
+    one, again, other = (ids_of(c, hard, v) for c, v in ((codec, 7), (pieces.Codec(path), 7), (codec, 8)))
+    assert codec.decode(codec.encode(pa.array(hard), np.zeros(len(hard), np.uint64))).to_pylist() == hard and one == again and one != other
+    assert [ids_of(codec, [x], 7)[0] for x in hard] == one  # a block's other texts don't matter
+    short = [x for x in hard if len(x) < 2500]
+    assert ids_of(codec, short, 7) == [naive_pieces(codec, x, 7) for x in short]
     got = pieces.round_trip(docs, path).collect()
     assert len(got) == len(rows) and all(r["lossless"] for r in got) and min(r["n_tokens"] for r in got) == 0
     assert pieces.round_trip(docs.where("false"), path).count() == 0
+    back = {r["doc_id"]: r["text"] for r in pieces.decoded(pieces.encoded(docs.where("doc_id < 60"), path), path).collect()}
+    assert all(back[i] == (t or "") for i, t in rows if i is not None and i < 60 and i not in (9, 27))
+
+
+def test_dropout_varies_by_occurrence():
+    codec = pieces.Codec(pieces.model_path(), 0.2)
+    n = 4000
+    got = ids_of(codec, ["segmentation " * n], 3)[0]
+    seen, word = collections.Counter(), []
+    for i in got:
+        piece = codec.raw[codec.raw_at[i] : codec.raw_at[i] + codec.raw_size[i]].tobytes().decode()
+        if piece.startswith(" ") and word:
+            seen[tuple(word)] += 1
+            word = []
+        word.append(i)
+    assert len(seen) > 20 and 0.2 < max(seen.values()) / n < 0.9
+    drawn = pieces.draws(np.arange(20000, dtype=np.uint64), 26)
+    assert abs(np.mean([bin(int(x)).count("1") for x in drawn]) / 64 - 26 / 256) < 0.002
 
 
 def test_warc(spark):
