@@ -1,7 +1,8 @@
 """Toxicity by a subsequence-kernel support vector machine with Nyström landmarks.
 
 Units are the white-space separated words of a text, lower-cased, with "^" in front, as they stand and
-without punctuation; three or more single characters in a row are one unit ("i d i o t"); of what is
+without punctuation, and, where one letter makes up two fifths of a word or more, without that letter
+("ixxdxxixxoxxt"); three or more single characters in a row are one unit ("i d i o t"); of what is
 longer than SPAN letters every window of SPAN letters at half that step is one. The gap-weighted
 subsequence kernel of order ORDER compares a unit with the landmarks, strings that toxic labelled
 texts have and clean ones lack: every three letters they have in the same order count, those that
@@ -94,6 +95,22 @@ def units_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     has = np.flatnonzero(bare[at] >= 0)
     text_of.append(owner[has])
     unit_of.append(bare[at[has]])
+    # without a letter that the word is stuffed with
+    word = np.repeat(np.arange(n), sizes)
+    runs, count = np.unique(word << 21 | letters, return_counts=True)
+    stuffed = (count >= 3) & (5 * count >= 2 * sizes[runs >> 21]) & (count < sizes[runs >> 21])
+    filler, fillers = np.full(n, -1), runs[stuffed]
+    filler[fillers >> 21] = fillers & (1 << 21) - 1
+    changed = np.flatnonzero(filler >= 0)
+    kept = (letters != filler[word]) & (filler[word] >= 0)
+    left = np.bincount(word[kept], minlength=n)[changed]
+    parts.append((letters[kept], np.cumsum(left) - left, left))
+    bare[:] = -1
+    bare[changed] = place + np.arange(len(changed))
+    place += len(changed)
+    has = np.flatnonzero(bare[at] >= 0)
+    text_of.append(owner[has])
+    unit_of.append(bare[at[has]])
     # single characters in a row
     single = np.zeros(len(at) + 2, np.int8)
     single[1:-1] = sizes[at] == 1

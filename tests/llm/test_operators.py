@@ -88,14 +88,14 @@ def test_toxicity(spark):
         if toxic:
             words[r.randrange(40)] = r.choice(bad)
         data.append((i, " ".join(words), int(toxic)))
-    docs = spark.createDataFrame([(i, t, "x", 1.0) for i, t, _ in data] + [(None, None, "x", 1.0), (9000, "", "x", 1.0), (9001, "you d.i.m.w.i.t there", "x", 1.0), (9002, "you d i m w i t there", "x", 1.0), (9003, "such a dimxwit now", "x", 1.0)], "doc_id long, text string, lang string, score double")
+    docs = spark.createDataFrame([(i, t, "x", 1.0) for i, t, _ in data] + [(None, None, "x", 1.0), (9000, "", "x", 1.0), (9001, "you d.i.m.w.i.t there", "x", 1.0), (9002, "you d i m w i t there", "x", 1.0), (9003, "such a dimxwit now", "x", 1.0), (9004, "a dxxixxmxxwxxixxt", "x", 1.0), (9005, prose(r, 20000) + " scumbag", "x", 1.0), (9006, prose(r, 20000), "x", 1.0), (9007, "y" * 5000, "x", 1.0)], "doc_id long, text string, lang string, score double")
     labels = spark.createDataFrame([(i, 0, y) for i, _, y in data] + [(5, 0, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
     got = {x["doc_id"]: x for x in toxicity.scored(docs, toxicity.fit(docs, labels)).collect()}
     held = [i for i, _, _ in data if zlib.crc32(str(i).encode()) % 4 == 2]
     assert all(got[i]["held_out"] == (i in set(held)) for i, _, _ in data)
     assert np.mean([got[i]["predicted"] == y for i, _, y in data if i in set(held)]) > 0.97
     assert all(0 <= x["score"] <= 1 for x in got.values()) and got[None]["predicted"] == got[9000]["predicted"] == 0
-    assert [got[i]["predicted"] for i in (9001, 9002, 9003)] == [1, 1, 1]
+    assert [got[i]["predicted"] for i in range(9001, 9008)] == [1, 1, 1, 1, 1, 0, 0]
     assert toxicity.scored(docs, toxicity.fit(docs, labels.where("toxic = 0"))).agg({"score": "max"}).first()[0] == 0
     assert toxicity.scored(docs.where("false"), None).count() == 0
 
@@ -121,10 +121,13 @@ def test_units():
     def slow(text):
         words = text.lower().split()
         found = set(words) | {"".join(filter(str.isalnum, w)) for w in words}
+        for w in words:
+            most = max(map(w.count, w))
+            found |= {w.replace(c, "") for c in [c for c in sorted(set(w)) if w.count(c) == most][-1:] if most >= 3 and 5 * most >= 2 * len(w)}
         found |= {x.replace(" ", "") for x in re.findall(r"(?<!\S)\S(?: \S){2,}(?!\S)", " ".join(words))}
         return found - {""}
 
-    given = ["You i d i o t a bb c d", "", None, " lead. (x)  y!", "i", "a b", "z q r", "É. ß ǅ x", "a b c", "long " + "y" * 100]
+    given = ["You i d i o t a bb c d", "", None, " lead. (x)  y!", "i", "a b", "z q r", "É. ß ǅ x", "a b c", "long " + "y" * 100, "ixxdxxixxoxxt y.y.y."]
     letters, bounds, text, unit = toxicity.units_of(pa.array(given))
     got = [set() for _ in given]
     for t, u in zip(text.tolist(), unit.tolist()):
