@@ -6,11 +6,14 @@ A document's set holds its distinct shingles of five words. Documents link when
 1. Documents with equal sets are one node. Shingles are ordered from rare to frequent by a sketch of
    counts over all documents (the order decides speed, never the result).
 2. Two linked nodes share SHARED shingles (or all they need, if fewer) among the first
-   n - ceil(0.8 n) + SHARED of each. By these, nodes that share most with the same least node are one group, split into blocks of bounded size, each with
-   that least node as pivot. Blocks are opened: all their pairs are measured at once.
+   n - ceil(0.8 n) + SHARED of each; a node that shares fewer with all others together has no link and
+   is done with. By these shingles, nodes that share most with the same least node are one group,
+   split into blocks of bounded size, each with that least node as pivot. Blocks are opened: all their
+   pairs are measured at once.
 3. The matrix keeps each block's union of such shingles. Block pairs that share so many, and that
    aren't one component already, are bounded (a member's shingles found in the other's union) and opened.
    So no link between different sets is lost, and pairs inside what is linked already are spared.
+   Blocks that lie in one component are met as one first, so their own pairs never come up.
 
 Defined cases: null or wordless text has no shingles, links with nothing and is its own component;
 texts of fewer than five words have their whole sequence as the one shingle; rows that repeat a
@@ -27,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, connected_components, filter_place, id_filter, in_filter, mix, prefix_sums, saved, stretch_hashes, utf8
@@ -88,7 +91,8 @@ def sets_of(batch: pa.RecordBatch, column: int):
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, n, node of every document, and (slice, counts) of the sketch, one set for each task."""
+    """doc_id, key, n, node of every document (doc_id, text, key), and (slice, counts) of the sketch, one
+    set for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.uint32)
@@ -104,13 +108,14 @@ def measured(docs: DataFrame) -> DataFrame:
             if size:
                 np.add.at(counts, (np.concatenate(held) % np.uint64(COUNTERS)).astype(np.int64), 1)
             rows = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=["doc_id", "n", "node", "slice", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=["doc_id", "key", "n", "node", "slice", "counts"])
         squeeze = zstandard.ZstdCompressor()
         parts = [squeeze.compress(x.tobytes()) for x in np.split(counts, SLICES)] if counts.any() else []
         k = len(parts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "n", "node", "slice", "counts"])
+        none = pa.nulls(k, pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "key", "n", "node", "slice", "counts"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, slice int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, key long, n long, node long, slice int, counts binary")
 
 
 def frequency_classes(sketch: DataFrame) -> np.ndarray:
@@ -157,14 +162,21 @@ def prefixes(docs: DataFrame, classes) -> DataFrame:
 
 
 def filtered(docs: DataFrame, bits) -> DataFrame:
-    """The rows of docs (doc_id, text) whose doc_id passes the filter."""
+    """(key, packed) of the rows of docs (text, key) whose key passes the filter: texts compressed, as they
+    travel twice, and rows that a task meets again left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze, met = zstandard.ZstdCompressor(level=3), np.zeros(0, np.int64)
         for batch in batches:
             passing = batch.filter(pa.array(in_filter(bits.value, batch.column(2).to_numpy())))
-            yield passing.select(["doc_id", "text"])
+            keys, first = np.unique(passing.column(1).to_numpy(), return_index=True)
+            first = np.sort(first[~np.isin(keys, met)])
+            met = np.union1d(met, keys)
+            for i in range(0, len(first), 500):
+                part = passing.take(pa.array(first[i : i + 500]))
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array([squeeze.compress(t or b"") for t in part.column(0).cast(pa.binary()).to_pylist()], pa.binary())], names=["key", "packed"])
 
-    return docs.select("doc_id", "text", filter_place("doc_id").alias("place")).mapInArrow(run, "doc_id long, text string")
+    return docs.select("text", "key", filter_place("key").alias("place")).mapInArrow(run, "key long, packed binary")
 
 
 def links_within(sets: list[np.ndarray], side: np.ndarray, roots: list[int]) -> list[tuple[int, int]]:
@@ -223,13 +235,13 @@ def links_within(sets: list[np.ndarray], side: np.ndarray, roots: list[int]) ->
 
 
 def opened(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) among the nodes of each pair of blocks: pairs has (pair, side, node, root, doc_id),
-    doc_id of a document with that node. Texts travel, as they take less room than their hashes."""
-    bits = docs.sparkSession.sparkContext.broadcast(id_filter(pairs.select("doc_id"), "doc_id"))
+    """Links (a, b) among the nodes of each pair of blocks: pairs has (pair, side, node, root, key), key
+    that of a text with that node. Texts travel, as they take less room than their hashes."""
+    bits = docs.sparkSession.sparkContext.broadcast(id_filter(pairs.select("key"), "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple] = {}
-        pair, links = None, []
+        expand, pair, links = zstandard.ZstdDecompressor(), None, []
 
         def close():
             rows = list(held.values())
@@ -237,36 +249,73 @@ def opened(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             links.extend((rows[i][0], rows[j][0]) for i, j in found)
             held.clear()
 
-        for batch in batches:
-            at, side, node, root = (batch.column(i).to_pylist() for i in range(4))
-            for i, s in sets_of(batch, 4):
-                if at[i] != pair:
-                    close()
-                    pair = at[i]
-                if node_of(s) == node[i]:  # else another document of a repeated doc_id
+        for whole in batches:
+            for k in range(0, whole.num_rows, 200):
+                batch = whole.slice(k, 200)
+                at, side, node, root = (batch.column(i).to_pylist() for i in range(4))
+                texts = pa.RecordBatch.from_arrays([pa.array([expand.decompress(x) for x in batch.column(4).to_pylist()], pa.large_binary())], names=["text"])
+                for i, s in sets_of(texts, 0):
+                    if at[i] != pair:
+                        close()
+                        pair = at[i]
                     held[node[i]] = (node[i], side[i], root[i], s)
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
-                links = []
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                    links = []
         close()
         if links:
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    rows = pairs.join(filtered(docs, bits).withColumnRenamed("doc_id", "d_id"), F.col("doc_id").eqNullSafe(F.col("d_id"))).select("pair", "side", "node", "root", "text")
+    rows = pairs.join(filtered(docs, bits), "key").select("pair", "side", "node", "root", "packed")
     return rows.repartition("pair").sortWithinPartitions("pair").mapInArrow(run, "a long, b long")
 
 
+def met_pairs(matrix: DataFrame, by: str) -> DataFrame:
+    """(by, o_by): pairs of groups of the matrix (token, by, n_low, n_high) that share so many tokens of sets
+    of like size that members may link."""
+    other = matrix.select([F.col(c).alias(f"o_{c}") for c in matrix.columns])
+    alike = (F.col("n_high") * 100 >= F.col("o_n_low") * PERCENT) & (F.col("o_n_high") * 100 >= F.col("n_low") * PERCENT)
+    met = matrix.join(other, (F.col("token") == F.col("o_token")) & (F.col(by) < F.col(f"o_{by}")) & alike)
+    met = met.groupBy(by, f"o_{by}").agg(F.count("*").alias("c"), F.min(F.least("n_low", "o_n_low")).alias("n"))
+    return met.where(enough("c", "n")).select(by, f"o_{by}")
+
+
+def enough(shared: str, n: str) -> Column:
+    """Whether so many shared prefix shingles may be a link of a set of n."""
+    return F.col(shared) >= F.least(F.lit(SHARED), F.ceil(F.col(n) * PERCENT / 100))
+
+
+def block_pairs(matrix: DataFrame) -> DataFrame:
+    """(block, o_block) to open: matrix has (token, block, cls, n_low, n_high), blocks of one class being in
+    one component as a whole.
+
+    Classes meet first, a row for each token and class however many blocks it has; then the blocks of
+    those that met, by token and pair of classes."""
+    classes = saved(matrix.groupBy("token", "cls").agg(F.min("n_low").alias("n_low"), F.max("n_high").alias("n_high")), "classes")
+    several = classes.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    met = saved(met_pairs(classes.join(several, "token", "left_semi"), "cls"), "classes-met")
+    a = matrix.join(met, "cls").select("token", "cls", "o_cls", "block", "n_low", "n_high")
+    b = matrix.select(F.col("token").alias("t"), F.col("cls").alias("k"), F.col("block").alias("o_block"), F.col("n_low").alias("o_n_low"), F.col("n_high").alias("o_n_high"))
+    alike = (F.col("n_high") * 100 >= F.col("o_n_low") * PERCENT) & (F.col("o_n_high") * 100 >= F.col("n_low") * PERCENT)
+    both = a.join(b, (F.col("token") == F.col("t")) & (F.col("o_cls") == F.col("k")) & alike)
+    both = both.groupBy("block", "o_block").agg(F.count("*").alias("c"), F.min(F.least("n_low", "o_n_low")).alias("n"))
+    return both.where(enough("c", "n")).select("block", "o_block")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document (doc_id, text)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     first = saved(measured(docs), "sets")
-    rows = first.where("slice is null").select("doc_id", "n", "node")
+    rows = first.where("slice is null").select("doc_id", "key", "n", "node")
     classes = spark.sparkContext.broadcast(frequency_classes(first.where("slice is not null").select("slice", "counts")))
 
     token = Window.partitionBy("token")
     shared = prefixes(docs, classes).withColumn("least", F.min("node").over(token)).withColumn("most", F.max("node").over(token)).where("least <> most").drop("most").distinct()
     shared = saved(shared, "prefixes")
+    # nodes that share too little with all others together have no link
+    linkable = shared.groupBy("node", "n").agg(F.count("*").alias("c")).where(enough("c", "n")).select("node")
+    shared = saved(shared.join(linkable, "node", "left_semi"), "linkable")
     # the node that a node shares most of its rare shingles with, of those that come first in theirs
     follows = shared.where("least <> node").groupBy("node", "least").agg(F.count("*").alias("c"))
     follows = follows.groupBy("node").agg(F.max(F.struct("c", "least")).alias("x")).select("node", F.col("x.least").alias("pivot"))
@@ -274,11 +323,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     parts = members.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     members = saved(members.join(parts, "pivot").select("node", "pivot", F.xxhash64("pivot", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block")), "blocks")
 
-    one_of = saved(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
-    blocked = saved(one_of.join(members.select("node").distinct(), "node", "left_semi"), "blocked")
+    one_of = saved(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key")), "nodes")
+    blocked = saved(one_of.select("node", "key").join(members.select("node").union(members.select("pivot")).distinct(), "node", "left_semi"), "blocked")
 
     within = members.select(F.col("block").alias("pair"), F.lit(0).alias("side"), "node").union(members.select("block", F.lit(0), "pivot")).distinct()
-    links = saved(opened(within.withColumn("root", F.col("node")).join(blocked, "node"), docs), "links")
+    # a block of one node has no pair
+    several = within.groupBy("pair").agg(F.count("*").alias("c")).where("c > 1").select("pair")
+    within = within.join(several, "pair", "left_semi").withColumn("root", F.col("node"))
+    links = saved(opened(within.join(blocked, "node"), docs), "links")
     roots = connected_components(links)
 
     # the matrix: each block's shingles, and the component it is all in
@@ -287,14 +339,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = members.join(roots, "node", "left").join(pivots, "pivot", "left").withColumn("root", F.coalesce("root", "node"))
     placed = saved(placed.select("node", F.xxhash64("block", F.col("root").eqNullSafe(F.col("p_root"))).alias("block"), "root"), "placed")
     whole = placed.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    whole = whole.select("block", F.when(F.col("low") == F.col("high"), F.xxhash64(F.lit("root"), "low")).otherwise(F.col("block")).alias("cls"))
     matrix = shared.select("token", "node", "n").join(placed, "node").groupBy("token", "block").agg(F.min("n").alias("n_low"), F.max("n").alias("n_high"))
     matrix = saved(matrix.join(whole, "block"), "matrix")
-    other = matrix.select([F.col(c).alias(f"o_{c}") for c in matrix.columns])
-    apart = (F.col("block") < F.col("o_block")) & ~((F.col("low") == F.col("high")) & (F.col("o_low") == F.col("o_high")) & (F.col("low") == F.col("o_low")))
-    alike = (F.col("n_high") * 100 >= F.col("o_n_low") * PERCENT) & (F.col("o_n_high") * 100 >= F.col("n_low") * PERCENT)
-    met = matrix.join(other, (F.col("token") == F.col("o_token")) & apart & alike).groupBy("block", "o_block").agg(F.count("*").alias("c"), F.min(F.least("n_low", "o_n_low")).alias("n"))
-    pairs = saved(met.where(F.col("c") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * (PERCENT / 100)))).select("block", "o_block"), "pairs")
-    pairs = pairs.withColumn("pair", F.xxhash64("block", "o_block"))
+    pairs = saved(block_pairs(matrix), "pairs").withColumn("pair", F.xxhash64("block", "o_block"))
     across = pairs.select("pair", F.lit(0).alias("side"), "block").union(pairs.select("pair", F.lit(1), "o_block")).join(placed, "block").select("pair", "side", "node", "root")
     more = opened(across.join(blocked, "node"), docs)
     final = connected_components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more)) if not pairs.isEmpty() else roots
