@@ -9,8 +9,10 @@ stretch of text stands for them. Stretches are dealt by anchor, which makes the
 2. Those are sorted bucket by bucket, a block of about a MB at a time: suffixes that agree in their first
    COVER bytes are ordered by the ranks of positions of a difference cover modulo COVER, computed
    beforehand by prefix doubling over that sample alone. Neighbours are then compared byte by byte.
-3. A bucket of too many stretches (a passage that very many documents share) is dealt anew by the
-   bytes that a few neighbouring windows have in common, and so on down to single windows.
+3. A bucket of more than CROWDED unequal stretches (at the edges of a passage that very many documents
+   share) isn't sorted: its stretches are cut into chunks of a few windows, dealt by the bytes these have
+   in common, and steps 1 and 2 are done with the chunks; what is crowded still is dealt by single
+   windows, which counting settles. So no task holds more than CROWDED stretches of a bucket and a block.
 
 Defined cases: null text is empty; texts shorter than LENGTH lose nothing; rows that repeat a doc_id
 are each a document; rows equal in doc_id and text lose all windows, as these occur twice; null doc_id
@@ -32,9 +34,11 @@ from pyspark.sql import functions as F
 from .common import blocks, filter_place, id_filter, in_filter, mix, prefix_sums, saved, stretch_hashes, utf8
 
 LENGTH, GRAM, COVER = 200, 48, 64
-#: Text bytes looked at at once; bytes of stretches sorted at once; stretches of a bucket that are
-#: dealt anew; windows that a new bucket has.
-PIECE, BLOCK_BYTES, CROWDED, CHUNK = 1 << 20, 1 << 20, 2000, 16
+#: Text bytes looked at at once; bytes of stretches sorted at once; stretches of a bucket at most, if it is
+#: to be sorted; windows of a chunk, one level after the other.
+PIECE, BLOCK_BYTES, CROWDED, CHUNKS = 1 << 18, 1 << 19, 2000, (16, 1)
+#: Rows of a batch that become Python objects at once.
+ROWS = 250
 PLACE_BITS = np.uint64(22)
 
 
@@ -109,46 +113,74 @@ def anchored(docs: DataFrame) -> DataFrame:
                     row, start, windows, lead, anchor, whole = found
                     yield pa.RecordBatch.from_arrays([pa.array(keys[row + i]), pa.array((start + before).astype(np.int64)), pa.array(windows.astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64))], names=["key", "start", "windows", "lead", "anchor", "whole"])
 
-    return docs.select("key", "text").mapInArrow(run, "key long, start long, windows int, lead int, anchor long, whole long")
+    return docs.select("key", "text").mapInArrow(run, FOUND)
 
 
 STRETCH = "bucket long, key long, start long, windows int, lead int, one boolean, bytes binary"
 
 
+def wanted_parts(batches: Iterator[pa.RecordBatch]):
+    """(key, stretch asked for, its bytes) of rows (key, text, wanted)."""
+    for whole in batches:
+        for i in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(i, ROWS)
+            for key, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
+                for w in wanted:
+                    yield key, w, text[w["start"] : w["start"] + w["windows"] + LENGTH - 1]
+
+
 def cut_out(rows: DataFrame) -> DataFrame:
-    """The bytes of the stretches that rows (key, text, wanted) ask for; those of a crowded bucket in
-    chunks of CHUNK windows, dealt by the bytes these share."""
+    """The bytes of the stretches that rows (key, text, wanted) ask for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         size = 0
-        for batch in batches:
-            for key, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
-                for w in wanted:
-                    start, windows, lead, anchor = w["start"], w["windows"], w["lead"], w["anchor"]
-                    part = text[start : start + windows + LENGTH - 1]
-                    if not w["crowded"]:
-                        out.append((anchor, key, start, windows, lead, w["one"], part))
-                    else:
-                        j = 0
-                        while j < windows:
-                            left = lead - j  # from the window's first byte to the anchor
-                            core = lead - left // CHUNK * CHUNK if left >= 0 else lead + (-left + CHUNK - 1) // CHUNK * CHUNK
-                            past = min(windows, core + 1)
-                            shared = part[core : core + LENGTH - CHUNK + 1]
-                            bucket = int.from_bytes(hashlib.blake2b(shared, digest_size=8, key=(lead - core).to_bytes(4, "little", signed=True)).digest(), "little", signed=True)
-                            out.append((bucket, key, start + j, past - j, lead - j, w["one"], part[j : past + LENGTH - 1]))
-                            j = past
-                    size += windows + LENGTH
-                if size > 1 << 22:
-                    yield stretches(out)
-                    out, size = [], 0
+        for key, w, part in wanted_parts(batches):
+            out.append((w["anchor"], key, w["start"], w["windows"], w["lead"], w["one"], part))
+            size += len(part)
+            if size > 1 << 21:
+                yield stretches(out)
+                out, size = [], 0
         if out:
             yield stretches(out)
 
     return rows.mapInArrow(run, STRETCH)
 
 
+def chunked(rows: DataFrame, chunk: int) -> DataFrame:
+    """The stretches that rows (key, text, wanted) ask for in chunks of `chunk` windows, counted from the
+    anchor on, as anchored() gives them: the new anchor is a hash of what a chunk's windows share."""
+
+    def digest(part: bytes, at: int) -> int:
+        return int.from_bytes(hashlib.blake2b(part, digest_size=8, key=at.to_bytes(4, "little", signed=True)).digest(), "little", signed=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for key, w, part in wanted_parts(batches):
+            windows, lead, j = w["windows"], w["lead"], 0
+            while j < windows:
+                left = lead - j  # from the window's first byte to the anchor
+                core = lead - left // chunk * chunk if left >= 0 else lead + (-left + chunk - 1) // chunk * chunk
+                past = min(windows, core + 1)
+                out.append((key, w["start"] + j, past - j, lead - j, digest(part[core : core + LENGTH - chunk + 1], lead - core), digest(part[j : past + LENGTH - 1], lead - j)))
+                j = past
+            if len(out) > 20_000:
+                yield as_found(out)
+                out = []
+        if out:
+            yield as_found(out)
+
+    return rows.mapInArrow(run, FOUND)
+
+
+FOUND = "key long, start long, windows int, lead int, anchor long, whole long"
+
+
+def as_found(out: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(map(list, zip(*out)), kinds)], names=[c.split()[0] for c in FOUND.split(", ")])
+
+
 def stretches(out: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(map(list, zip(*out)), kinds)], names=[c.split()[0] for c in STRETCH.split(", ")])
@@ -238,14 +270,15 @@ def sorted_buckets(rows: DataFrame) -> DataFrame:
             found = [(held[i][1], held[i][2] + a, held[i][2] + b) for i in np.flatnonzero(once).tolist() if flags[i].any() for a, b in runs_of(flags[i]).tolist()]
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(3)], names=["key", "low", "past"])
 
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[0] != last and size > BLOCK_BYTES:
-                    yield close()
-                    held, size = [], 0
-                last = row[0]
-                held.append(row)
-                size += len(row[6])
+        for whole in batches:
+            for i in range(0, whole.num_rows, 4 * ROWS):
+                for row in zip(*(c.to_pylist() for c in whole.slice(i, 4 * ROWS).columns)):
+                    if row[0] != last and size > BLOCK_BYTES:
+                        yield close()
+                        held, size = [], 0
+                    last = row[0]
+                    held.append(row)
+                    size += len(row[6])
         if held:
             yield close()
 
@@ -271,7 +304,7 @@ def without(rows: DataFrame) -> DataFrame:
     """doc_id, counts and digest of what stays of rows (doc_id, text, marks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             out = []
             for doc_id, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
                 kept, spans = kept_of(text or b"", marks)
@@ -284,24 +317,36 @@ def without(rows: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(key, marks) of the rows of docs (key, text) that have repeated windows; marks: ranges of them."""
-    spark = docs.sparkSession
-    found = saved(anchored(docs), "anchors")
+    marks = repeated(docs, saved(anchored(docs), "anchors"), CHUNKS)
+    return saved(marks.groupBy("key").agg(F.collect_set(F.struct("low", "past")).alias("marks")), "marks")
+
+
+def repeated(docs: DataFrame, found: DataFrame, chunks: tuple[int, ...]) -> DataFrame:
+    """(key, low, past): ranges of repeated windows among the stretches found, crowded buckets in chunks."""
     groups = found.groupBy("anchor").agg(F.count("*").alias("c"), F.min("whole").alias("w0"), F.max("whole").alias("w1")).where("c > 1")
     shared = saved(found.join(groups, "anchor").select("key", "start", "windows", "lead", "anchor", "whole", (F.col("w0") != F.col("w1")).alias("mixed")), "shared")
 
     # one of each unequal stretch of an anchor, and how often it occurs
     kinds = shared.where("mixed").groupBy("anchor", "whole").agg(F.count("*").alias("c"), F.min(F.struct("key", "start", "windows", "lead")).alias("x"))
     kinds = saved(kinds, "kinds")
-    crowd = kinds.groupBy("anchor").agg((F.count("*") > CROWDED).alias("crowded"))
-    wanted = kinds.join(crowd, "anchor").select("x.key", F.struct("x.start", "x.windows", "x.lead", "anchor", (F.col("c") == 1).alias("one"), "crowded").alias("w"))
-    wanted = saved(wanted.groupBy("key").agg(F.collect_list("w").alias("wanted")), "wanted")
-    some = filtered(docs, spark.sparkContext.broadcast(id_filter(wanted, "key")))
-    cut = cut_out(some.join(wanted, "key").select("key", "text", "wanted"))
-    part = sorted_buckets(cut)
-
     whole = shared.where("not mixed").select("key", "start", "windows").union(shared.where("mixed").join(kinds.where("c > 1").select("anchor", "whole"), ["anchor", "whole"]).select("key", "start", "windows"))
-    marks = whole.select("key", F.col("start").alias("low"), (F.col("start") + F.col("windows")).alias("past")).union(part)
-    return saved(marks.groupBy("key").agg(F.collect_set(F.struct("low", "past")).alias("marks")), "marks")
+    marks = whole.select("key", F.col("start").alias("low"), (F.col("start") + F.col("windows")).alias("past"))
+
+    crowd = saved(kinds.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("anchor"), "crowd")
+    ask = F.struct("x.start", "x.windows", "x.lead", "anchor", (F.col("c") == 1).alias("one")).alias("w")
+    few = kinds.join(crowd, "anchor", "left_anti").select("x.key", ask)
+    marks = marks.union(sorted_buckets(cut_out(asked(docs, few))))
+    if not chunks or crowd.isEmpty():
+        return marks
+    many = kinds.join(crowd, "anchor", "left_semi").select("x.key", ask)
+    return marks.union(repeated(docs, saved(chunked(asked(docs, many), chunks[0]), "chunks"), chunks[1:]))
+
+
+def asked(docs: DataFrame, stretches: DataFrame) -> DataFrame:
+    """(key, text, wanted) of the rows of docs that stretches (key, w) are asked of."""
+    wanted = saved(stretches.groupBy("key").agg(F.collect_list("w").alias("wanted")), "wanted")
+    some = filtered(docs, docs.sparkSession.sparkContext.broadcast(id_filter(wanted, "key")))
+    return some.join(wanted, "key").select("key", "text", "wanted")
 
 
 def filtered(docs: DataFrame, bits, passing: bool = True) -> DataFrame:
@@ -342,7 +387,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     rows = docs.select(key_of(docs).alias("key"), F.col("text").cast("string").alias("text"), F.struct(*[c for c in docs.columns if c != "text"]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             kept = [None if t is None else b"".join(kept_of(t, m)[0]).decode(errors="ignore") for t, m in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), batch.column(1)], names=["text", "row"])
 
