@@ -34,6 +34,11 @@ def frame_key(camera: str, ms: str, digest: str) -> Column:
     return F.expr(f"concat('frames/', {camera}, '/', date_format({at}, 'yyyy/MM/dd/HH'), '/', {ms}, '-', substring({digest}, 1, 8), '.jpg')")
 
 
+def manifest_key(camera: str, ms: str) -> Column:
+    at = f"timestampadd(MILLISECOND, {ms}, TIMESTAMP_NTZ'1970-01-01 00:00:00')"
+    return F.expr(f"concat('manifests/', {camera}, '/', date_format({at}, 'yyyy/MM/dd/HH'), '.jsonl.gz')")
+
+
 def frame_time(key: str) -> Column:
     """The milliseconds in a frame's file name, or null."""
     return F.expr(f"try_cast(regexp_extract({key}, '([0-9]+)-[0-9a-f]{{8}}[.]jpg$', 1) AS bigint)")
@@ -53,4 +58,11 @@ def percent_text(share: str) -> Column:
 
 
 def duration_text(seconds: str) -> Column:
-    return F.expr(f"CASE WHEN {seconds} >= 3600 THEN concat(cast(floor({seconds} / 3600) AS int), 'h ', cast(floor({seconds} % 3600 / 60) AS int), 'm') ELSE concat(cast(floor({seconds} / 60) AS int), 'm') END")
+    """Whole minutes, rounded half up: "1h 9m" or "12m"; null is "-"."""
+    m = f"cast(floor({seconds} / 60 + 0.5) AS int)"
+    return F.expr(f"CASE WHEN {seconds} IS NULL THEN '-' WHEN {m} >= 60 THEN concat(cast(floor({m} / 60) AS int), 'h ', {m} % 60, 'm') ELSE concat({m}, 'm') END")
+
+
+def ticker_text(seconds: str) -> Column:
+    """The running form, with seconds: "1h 9m 5s", "12m 0s"."""
+    return F.expr(f"concat(CASE WHEN {seconds} >= 3600 THEN concat(cast(floor({seconds} / 3600) AS int), 'h ') ELSE '' END, cast(floor({seconds} % 3600 / 60) AS int), 'm ', cast({seconds} % 60 AS int), 's')")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,10 +34,17 @@ def quiet(frames: DataFrame, sessions: DataFrame, margin_ms: int = 1_800_000) ->
 
 
 def split(examples: DataFrame, share: float = 0.15) -> DataFrame:
-    """Examples with `split`: of each label the first share of them by hash, at least one, is val."""
-    order = Window.partitionBy("label").orderBy(F.sha2(F.col("object_key"), 256), "object_key")
-    rows = examples.withColumns({"_r": F.row_number().over(order), "_n": F.count("*").over(Window.partitionBy("label"))})
-    return rows.withColumn("split", F.when(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share)), "val").otherwise("train")).drop("_r", "_n")
+    """Examples with `split`: of each label the first share of them by hash, at least one, is val.
+
+    Examples are counted by the hash's first digits; only within those digits are they ranked, so a label's
+    examples don't meet in one task."""
+    rows = examples.withColumn("_h", F.sha2(F.col("object_key"), 256)).withColumn("_p", F.substring("_h", 1, 3))
+    count = rows.groupBy("label", "_p").agg(F.count("*").alias("_c"))
+    label, sofar = Window.partitionBy("label"), Window.partitionBy("label").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    count = count.select(F.col("label").alias("_label"), F.col("_p").alias("_q"), (F.greatest(F.lit(1), F.floor(F.sum("_c").over(label) * share)) - F.coalesce(F.sum("_c").over(sofar), F.lit(0))).alias("_left"))
+    rows = rows.join(count, (F.col("label") == F.col("_label")) & (F.col("_p") == F.col("_q")))
+    rank = F.row_number().over(Window.partitionBy("label", "_p").orderBy("_h", "object_key"))
+    return rows.withColumn("split", F.when(rank <= F.col("_left"), "val").otherwise("train")).select(*examples.columns, "split")
 
 
 def weak_labels(frames: DataFrame, sessions: DataFrame, gold: DataFrame, sweep: DataFrame) -> DataFrame:
@@ -65,12 +75,29 @@ def match_names(targets: DataFrame, items: DataFrame) -> DataFrame:
 
 def stride_sample(frames: DataFrame, stride_ms: int) -> DataFrame:
     """Of each camera the first frame, then the first at least a stride after the one taken before.
-    A recurrence, folded over a camera's sorted times."""
-    times = frames.groupBy("camera_id").agg(F.array_sort(F.collect_set("t")).alias("ts"))
-    picks = F.aggregate("ts", F.array().cast("array<bigint>"), lambda a, t: F.when((F.size(a) == 0) | (t >= F.element_at(a, -1) + stride_ms), F.concat(a, F.array(t))).otherwise(a))
-    return times.select("camera_id", F.explode(picks).alias("t"))
+
+    A recurrence, so a camera's distinct times pass one task, sorted and a batch at a time."""
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        camera, due = None, 0
+        for frame in frames:
+            picks = []
+            for c, t in zip(frame["camera_id"], frame["t"]):
+                if c != camera:
+                    camera, due = c, t
+                if t >= due:
+                    picks.append((c, t))
+                    due = t + stride_ms
+            yield pd.DataFrame(picks, columns=["camera_id", "t"])
+
+    times = frames.select("camera_id", "t").distinct()
+    return times.repartition("camera_id").sortWithinPartitions("camera_id", "t").mapInPandas(fold, "camera_id string, t long")
 
 
 def add_new(existing: DataFrame, more: DataFrame, key: str) -> DataFrame:
     """existing and those rows of more whose key it lacks, one of each key."""
-    return existing.unionByName(more.join(existing.select(key), key, "left_anti").dropDuplicates([key]))
+    return existing.unionByName(only_new(existing, more, key))
+
+
+def only_new(existing: DataFrame, more: DataFrame, key: str) -> DataFrame:
+    return more.join(existing.select(key), key, "left_anti").dropDuplicates([key])

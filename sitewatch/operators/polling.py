@@ -2,27 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Characters of an error's message that are kept.
+MESSAGE = 500
+
+
+def error_text() -> Column:
+    return F.when(F.col("http").isNull(), "no answer").when(F.col("http") != 200, F.concat(F.lit("HTTP "), F.col("http").cast("string"))).otherwise("empty body")
+
+
 def frames(polls: DataFrame) -> DataFrame:
     """The frame record of each poll (camera_id, fetched, http, hash, modified).
 
     304 is not_modified; 200 with the camera's last stored hash is a duplicate; both point to the
     frame first stored for those bytes. The event time is Last-Modified unless it is absent or later
-    than the poll; an error's is the poll's."""
+    than the poll. What is neither 304 nor 200 with a body is an error: its event time is the poll's, its
+    message is cut, and it has no key."""
     order = Window.partitionBy("camera_id").orderBy("fetched", "event_id")
     before, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
-    status = F.when(F.col("http") == 304, "not_modified").when((F.col("http") != 200) | F.col("hash").isNull(), "error").when(F.col("hash").eqNullSafe(F.last("hash", True).over(before)), "duplicate").otherwise("ok")
-    usable = (F.col("http") != 500) & F.col("modified").isNotNull() & (F.col("modified") <= F.col("fetched"))
-    rows = polls.withColumns({"status": status, "t": F.when(usable, F.col("modified")).otherwise(F.col("fetched")), "t_source": F.when(usable, "last_modified").otherwise("fetched_at")})
+    status = F.when(F.col("http") == 304, "not_modified").when(F.col("http").isNull() | (F.col("http") != 200) | F.col("hash").isNull(), "error").when(F.col("hash").eqNullSafe(F.last("hash", True).over(before)), "duplicate").otherwise("ok")
+    usable = (F.col("status") != "error") & F.col("modified").isNotNull() & (F.col("modified") <= F.col("fetched"))
+    message = F.when(F.col("status") == "error", F.substring(F.coalesce(F.col("error"), error_text()), 1, MESSAGE)) if "error" in polls.columns else F.when(F.col("status") == "error", F.substring(error_text(), 1, MESSAGE))
+    rows = polls.withColumn("status", status).withColumn("message", message).withColumns({"t": F.when(usable, F.col("modified")).otherwise(F.col("fetched")), "t_source": F.when(usable, "last_modified").otherwise("fetched_at")})
     stored = F.when(F.col("status") == "ok", F.concat(F.col("camera_id"), F.lit("/"), F.col("t"), F.lit("-"), F.substring("hash", 1, 8)))
     return rows.withColumn("_k", stored).withColumn("object_key", F.when(F.col("status") != "error", F.last("_k", True).over(upto))).drop("_k")
 
 
 def counters(frames: DataFrame) -> DataFrame:
-    return frames.groupBy("camera_id", "status").agg(F.count("*").alias("polls"), F.max("fetched").alias("last_fetched"))
+    """Polls by camera and outcome, the last of them, the bytes stored and the last new picture."""
+    size = F.col("size") if "size" in frames.columns else F.lit(None).cast("long")
+    stored = F.col("status") == "ok"
+    return frames.groupBy("camera_id", "status").agg(F.count("*").alias("polls"), F.max("fetched").alias("last_fetched"), F.coalesce(F.sum(F.when(stored, size)), F.lit(0)).alias("bytes"), F.max(F.when(stored, F.col("fetched"))).alias("last_new"))
 
 
 def streaks(frames: DataFrame, longest_wait: int = 300) -> DataFrame:
@@ -45,19 +58,23 @@ def refresh_cadence(frames: DataFrame) -> DataFrame:
 
 
 def feed_health(frames: DataFrame, at: int, streak: int = 3, poll_ms: int = 5 * 60_000, image_ms: int = 15 * 60_000) -> DataFrame:
-    """One verdict on all feeds at an instant: ok, capture_stale, upstream_down or upstream_stale."""
+    """One verdict on all feeds at an instant: ok, capture_stale, upstream_down or upstream_stale, and since
+    when: the last poll, the last that was no error, the last new picture."""
     rows = frames.where(F.col("fetched") <= at)
     order = Window.partitionBy("camera_id").orderBy("fetched", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     runs = rows.withColumn("_g", F.sum((F.col("status") != "error").cast("int")).over(order))
-    per = runs.groupBy("camera_id").agg(F.max("fetched").alias("polled"), F.max(F.when(F.col("status") == "ok", F.col("t"))).alias("imaged"), F.max(F.struct("_g")).alias("g"))
+    per = runs.groupBy("camera_id").agg(F.max("fetched").alias("polled"), F.max(F.when(F.col("status") == "ok", F.col("fetched"))).alias("imaged"), F.max(F.when(F.col("status") != "error", F.col("fetched"))).alias("answered"), F.max(F.struct("_g")).alias("g"))
     errors = runs.where("status = 'error'").groupBy("camera_id", "_g").agg(F.count("*").alias("e"))
-    per = per.join(errors, (per.camera_id == errors.camera_id) & (per.g["_g"] == errors["_g"]), "left").select(per.camera_id, "polled", "imaged", F.coalesce("e", F.lit(0)).alias("e"))
-    all_ = per.agg(F.count("*").alias("cameras"), F.max("polled").alias("polled"), F.max("imaged").alias("imaged"), F.min("e").alias("least"))
-    verdict = F.when(F.col("cameras") == 0, "ok").when(F.col("polled") < at - poll_ms, "capture_stale").when(F.col("least") >= streak, "upstream_down").when(F.col("imaged").isNull() | (F.col("imaged") < at - image_ms), "upstream_stale").otherwise("ok")
-    return all_.select(verdict.alias("verdict"), "cameras", "polled", "imaged")
+    per = per.join(errors, (per.camera_id == errors.camera_id) & (per.g["_g"] == errors["_g"]), "left").select(per.camera_id, "polled", "imaged", "answered", F.coalesce("e", F.lit(0)).alias("e"))
+    all_ = per.agg(F.count("*").alias("cameras"), F.max("polled").alias("polled"), F.max("imaged").alias("imaged"), F.max("answered").alias("answered"), F.min("e").alias("least"))
+    verdict = F.when(F.col("cameras") == 0, "ok").when(F.col("polled") < at - poll_ms, "capture_stale").when(F.col("least") >= streak, "upstream_down").when(F.col("imaged") < at - image_ms, "upstream_stale").otherwise("ok")
+    since = F.when(F.col("verdict") == "capture_stale", F.col("polled")).when(F.col("verdict") == "upstream_down", F.col("answered")).when(F.col("verdict") == "upstream_stale", F.col("imaged"))
+    return all_.withColumn("verdict", verdict).select("verdict", since.alias("since"), "cameras", "polled", "imaged")
 
 
 def sliding_rates(rows: DataFrame, by: str, time: str, width_min: int = 10) -> DataFrame:
-    """Rows a minute over the last `width_min` minutes, at each minute that has some."""
-    slots = rows.select(by, F.explode(F.sequence(F.lit(0), F.lit(width_min - 1))).alias("_j"), F.floor(F.col(time) / 60_000).alias("_m"))
-    return slots.groupBy(by, (F.col("_m") + F.col("_j")).alias("minute")).agg((F.count("*") / width_min).alias("per_minute"))
+    """Rows a minute over the last `width_min` minutes, at each minute that has some. Summed up by minute
+    before each minute's sum goes to the minutes that see it."""
+    minutes = rows.groupBy(by, F.floor(F.col(time) / 60_000).alias("_m")).agg(F.count("*").alias("_n"))
+    slots = minutes.select(by, "_n", F.explode(F.sequence(F.col("_m"), F.col("_m") + width_min - 1)).alias("minute"))
+    return slots.groupBy(by, "minute").agg((F.sum("_n") / width_min).alias("per_minute"))

@@ -1,20 +1,33 @@
-"""Scoring pictures against a per-camera reference, on arrays of grey levels."""
+"""Scoring pictures against a per-camera reference, on arrays of grey levels, row by row of a picture."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
 class Thresholds:
-    changed_pixel: float = 25.0
+    """Limits of the comparison; the version string tells them, so another set is another version."""
+
+    changed_pixel: float = 40
+    spread_multiple: float = 4.0
     row_density: float = 0.45
-    least_rows: int = 3
+    least_rows: int = 10
     clear_fraction: float = 0.10
-    dark: float = 12.0
+    dark: float = 12
+
+    @property
+    def version(self) -> str:
+        return f"reference/d{self.changed_pixel}-r{self.row_density}-b{self.least_rows}-c{self.clear_fraction}"
+
+
+def cropped(scenes: DataFrame, width: int, top: int = 50, bottom: int = 44) -> DataFrame:
+    """scenes without the bars burned in above and below; a picture of no more rows than these is null."""
+    rows = F.size("pixels") / width
+    return scenes.withColumn("pixels", F.when(rows > top + bottom, F.slice("pixels", F.lit(top * width + 1), (F.size("pixels") - (top + bottom) * width).cast("int"))))
 
 
 def brightness(scenes: DataFrame) -> DataFrame:
@@ -25,13 +38,14 @@ def brightness(scenes: DataFrame) -> DataFrame:
     low, high = F.element_at(ordered, (F.floor(rank) + 1).cast("int")), F.element_at(ordered, (F.ceil(rank) + 1).cast("int"))
     p75 = low + (high - low) * (rank - F.floor(rank))
     total = F.aggregate("pixels", F.lit(0), lambda a, x: a + x)
-    return scenes.withColumns({"bin": F.least(F.floor(F.floor(p75) * 8 / 256), F.lit(7)).cast("int"), "luminance": total / n})
+    found = F.col("pixels").isNotNull() & (n > 0)
+    return scenes.withColumns({"bin": F.when(found, F.least(F.floor(F.floor(p75) * 8 / 256), F.lit(7)).cast("int")), "luminance": F.when(found, total / n)})
 
 
 def reference(scenes: DataFrame, least: int = 15) -> DataFrame:
     """(camera_id, bin, frames, pos, median, spread): per pixel the median, cut to a whole level, and
     the median distance from the median; groups of fewer than `least` frames are left out."""
-    binned = brightness(scenes)
+    binned = brightness(scenes).where("bin IS NOT NULL")
     enough = binned.groupBy("camera_id", "bin").agg(F.count("*").alias("frames")).where(F.col("frames") >= least)
     flat = binned.join(enough, ["camera_id", "bin"]).select("camera_id", "bin", "frames", F.posexplode("pixels").alias("pos", "x"))
     keys = ["camera_id", "bin", "frames", "pos"]
@@ -40,24 +54,78 @@ def reference(scenes: DataFrame, least: int = 15) -> DataFrame:
     return apart.select(*keys, F.floor("m").cast("int").alias("median"), "spread")
 
 
-def judged(scenes: DataFrame, model: DataFrame, limits: Thresholds = Thresholds(), side: int = 8) -> DataFrame:
-    """A verdict for each scene against its camera's reference of the nearest bin, at most one away and
-    the lower of two. Too dark, no reference and in-between are UNKNOWN with confidence 0."""
+def compared(scenes: DataFrame, model: DataFrame, limits: Thresholds = Thresholds(), side: int = 8, band: DataFrame | None = None) -> DataFrame:
+    """scenes with what the comparison found: `ref` (null without one), `same_size`, `obstructed` (by row),
+    `band_rows` and `changed`. The reference is that of the nearest bin, at most one away and the lower
+    of two. With bands (camera_id, top, bottom) only rows within a camera's band count as band_rows."""
     ref = model.groupBy("camera_id", F.col("bin").alias("r_bin")).agg(F.array_sort(F.collect_list(F.struct("pos", "median", "spread"))).alias("ref"))
     near = brightness(scenes).join(ref.withColumnRenamed("camera_id", "r_camera"), (F.col("camera_id") == F.col("r_camera")) & (F.abs(F.col("bin") - F.col("r_bin")) <= 1), "left")
     order = Window.partitionBy("vec_id").orderBy(F.abs(F.col("bin") - F.col("r_bin")), "r_bin")
     one = near.withColumn("_r", F.row_number().over(order)).where("_r = 1")
-    changed = F.zip_with("pixels", "ref", lambda x, r: (F.abs(x - r["median"]) > F.greatest(F.lit(limits.changed_pixel), 3 * r["spread"])).cast("int"))
-    one = one.withColumn("mask", changed)
-    rows = F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda i: F.aggregate(F.slice("mask", i * side + 1, side), F.lit(0), lambda a, x: a + x) / side)
-    one = one.withColumn("band_rows", F.size(F.filter(rows, lambda d: d > limits.row_density))).withColumn("changed", F.aggregate("mask", F.lit(0), lambda a, x: a + x) / F.size("mask"))
-    state = F.when(F.col("luminance") < limits.dark, "UNKNOWN").when(F.col("ref").isNull(), "UNKNOWN").when(F.col("band_rows") >= limits.least_rows, "BLOCKED").when(F.col("changed") <= limits.clear_fraction, "CLEAR").otherwise("UNKNOWN")
-    conf = F.when(F.col("state") == "BLOCKED", F.least(F.lit(0.95), 0.6 + 0.35 * F.least(F.lit(1.0), F.col("band_rows") / 30))).when(F.col("state") == "CLEAR", 0.85).otherwise(0.0)
-    return one.withColumn("state", state).select("vec_id", "camera_id", "state", F.round(conf, 6).alias("confidence"))
+    one = one.withColumn("same_size", F.size("pixels") == F.size("ref"))
+    changed = F.zip_with("pixels", "ref", lambda x, r: (F.abs(x - r["median"]) > F.greatest(F.lit(float(limits.changed_pixel)), limits.spread_multiple * r["spread"])).cast("int"))
+    one = one.withColumn("mask", F.when(F.col("same_size"), changed))
+    rows = F.transform(F.sequence(F.lit(0), (F.size("mask") / side).cast("int") - 1), lambda i: F.aggregate(F.slice("mask", i * side + 1, side), F.lit(0), lambda a, x: a + x) / side)
+    one = one.withColumn("obstructed", F.transform(rows, lambda d: (d > limits.row_density).cast("int")))
+    inside = F.lit(True)
+    if band is not None:
+        one = one.join(band.select(F.col("camera_id").alias("b_camera"), "top", "bottom"), F.col("camera_id") == F.col("b_camera"), "left")
+        counted = F.transform("obstructed", lambda o, i: F.when(F.col("top").isNull() | ((i >= F.col("top")) & (i < F.col("bottom"))), o).otherwise(0))
+    else:
+        counted = F.transform("obstructed", lambda o, i: F.when(inside, o).otherwise(0))
+    total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x)
+    return one.withColumns({"band_rows": total(counted), "changed": total("mask") / F.size("mask")})
+
+
+def percent(x: Column) -> Column:
+    """A share in whole percent, ties to even."""
+    return F.concat(F.bround(x * 100, 0).cast("int").cast("string"), F.lit("%"))
+
+
+def judged(scenes: DataFrame, model: DataFrame, limits: Thresholds = Thresholds(), side: int = 8, band: DataFrame | None = None) -> DataFrame:
+    """vec_id, camera_id, state, confidence, reason, version: a verdict for each scene. What can't be read,
+    is too dark, has no reference or another size, or is in between, is UNKNOWN with confidence 0."""
+    one = compared(scenes, model, limits, side, band)
+    rows, changed = F.col("band_rows"), percent(F.col("changed"))
+    ladder = [
+        (F.col("bin").isNull(), "UNKNOWN", 0.0, F.lit("image could not be decoded")),
+        (F.col("luminance") < limits.dark, "UNKNOWN", 0.0, F.concat(F.lit("frame too dark to judge (luminance "), F.bround("luminance", 0).cast("int").cast("string"), F.lit(")"))),
+        (F.col("ref").isNull(), "UNKNOWN", 0.0, F.lit("no reference image for this camera and lighting")),
+        (~F.col("same_size"), "UNKNOWN", 0.0, F.lit("frame size differs from reference")),
+        (rows >= limits.least_rows, "BLOCKED", F.least(F.lit(0.95), 0.6 + 0.35 * F.least(F.lit(1.0), rows / (3 * limits.least_rows))), F.concat(F.lit("mass spans "), rows, F.lit(" rows, "), changed, F.lit(" of frame differs"))),
+        (F.col("changed") <= limits.clear_fraction, "CLEAR", 0.85, F.concat(F.lit("matches empty reference ("), changed, F.lit(" differs)"))),
+        (F.lit(True), "UNKNOWN", 0.0, F.concat(changed, F.lit(" differs but no spanning mass ("), rows, F.lit(" rows)"))),
+    ]
+    state = conf = reason = F
+    for when, s, c, text in ladder:
+        state, conf, reason = state.when(when, F.lit(s)), conf.when(when, c if isinstance(c, Column) else F.lit(c)), reason.when(when, text)
+    return one.select("vec_id", "camera_id", state.alias("state"), F.round(conf, 6).alias("confidence"), F.substring(reason, 1, 200).alias("reason"), F.lit(limits.version).alias("version"))
+
+
+def bands(blocked: DataFrame, model: DataFrame, limits: Thresholds = Thresholds(), side: int = 8, support: float = 0.5, pad: int = 6) -> DataFrame:
+    """(camera_id, top, bottom, profiles): the rows in which blocked pictures of a camera are obstructed, half
+    of them at least, widened by `pad`; and how many pictures could be compared. A camera without such
+    rows has no band."""
+    seen = compared(blocked, model, limits, side).where("obstructed IS NOT NULL").select("camera_id", F.posexplode("obstructed").alias("row", "o"))
+    rows = seen.groupBy("camera_id", "row").agg(F.avg("o").alias("support"), F.count("*").alias("profiles"))
+    per = rows.groupBy("camera_id").agg(F.min(F.when(F.col("support") >= support, F.col("row"))).alias("low"), F.max(F.when(F.col("support") >= support, F.col("row"))).alias("high"), (F.max("row") + 1).alias("height"), F.max("profiles").alias("profiles"))
+    return per.where("low IS NOT NULL").select("camera_id", F.greatest(F.lit(0), F.col("low") - pad).alias("top"), F.least(F.col("height"), F.col("high") + pad + 1).alias("bottom"), "profiles")
+
+
+def refined(scenes: DataFrame, limits: Thresholds = Thresholds(), least: int = 15, side: int = 8, band: DataFrame | None = None) -> DataFrame:
+    """reference() of the scenes that don't look blocked against the reference of all of them. A camera that
+    would lose more than half of its scenes, or have too few, keeps the first one."""
+    first = reference(scenes, least)
+    kept = compared(scenes, first, limits, side, band).where(F.col("ref").isNotNull() & (F.col("band_rows") < limits.least_rows)).select("vec_id", "camera_id", "pixels")
+    n = scenes.groupBy("camera_id").agg(F.count("*").alias("n")).join(kept.groupBy("camera_id").agg(F.count("*").alias("k")), "camera_id", "left")
+    again = n.where(F.coalesce("k", F.lit(0)) >= F.greatest(F.lit(least), F.floor(F.col("n") / 2))).select("camera_id")
+    second = reference(kept.join(again, "camera_id", "left_semi"), least)
+    return first.join(again, "camera_id", "left_anti").unionByName(second)
 
 
-def softmax_verdict(rows: DataFrame, blocked: str, clear: str) -> DataFrame:
-    """State and confidence from two logits: at least 0.7 is BLOCKED, at most 0.3 CLEAR."""
+def softmax_verdict(rows: DataFrame, blocked: str, clear: str, high: float = 0.7, low: float = 0.3) -> DataFrame:
+    """State, confidence and reason from two logits: at least `high` is BLOCKED, at most `low` CLEAR."""
     p = 1 / (1 + F.exp(F.col(clear) - F.col(blocked)))
-    state = F.when(F.col("p") >= 0.7, "BLOCKED").when(F.col("p") <= 0.3, "CLEAR").otherwise("UNKNOWN")
-    return rows.withColumn("p", p).withColumns({"state": state, "confidence": F.when(F.col("p") >= 0.7, F.col("p")).when(F.col("p") <= 0.3, 1 - F.col("p")).otherwise(0.0)})
+    state = F.when(F.col("p") >= high, "BLOCKED").when(F.col("p") <= low, "CLEAR").otherwise("UNKNOWN")
+    reason = F.format_string("p(blocked) %.2f", F.round("p", 2))
+    return rows.withColumn("p", p).withColumns({"state": state, "confidence": F.when(F.col("p") >= high, F.col("p")).when(F.col("p") <= low, 1 - F.col("p")).otherwise(0.0), "reason": reason})

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import with_next, with_previous, with_running
 from ..functions.scalars import certified, session_id
 
+POLICY_PREFIX = "unscored/"
+
 
 @dataclass(frozen=True)
 class SessionPolicy:
@@ -24,40 +27,56 @@ class AlertPolicy:
 
 def derive_sessions(readings: DataFrame, policy: SessionPolicy = SessionPolicy()) -> DataFrame:
     """Runs of BLOCKED readings of a crossing no further apart than the gap, which is inclusive."""
-    order = Window.partitionBy("crossing_id").orderBy("t", "event_id")
-    runs = readings.where("state = 'BLOCKED'").withColumn("_b", (F.col("t") - F.lag("t").over(order) > policy.gap_ms).cast("int"))
-    runs = runs.withColumn("run", F.coalesce(F.sum("_b").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    runs = with_previous(readings.where("state = 'BLOCKED'"), ["crossing_id"], ["t", "event_id"], ["t"])
+    runs = runs.withColumn("_b", F.coalesce((F.col("t") - F.col("before.t") > policy.gap_ms).cast("int"), F.lit(0)))
+    runs = with_running(runs, ["crossing_id"], ["t", "event_id"], {"run": "_b"})
     out = runs.groupBy("crossing_id", "run").agg(
         F.min("t").alias("started"), F.max("t").alias("ended"), F.count("*").alias("readings"), F.max("confidence").alias("peak"), F.min_by("version", F.struct("t", "event_id")).alias("version"))
     out = out.withColumn("seconds", F.floor((F.col("ended") - F.col("started")) / 1000))
     return out.select(session_id("crossing_id", "started").alias("session_id"), "crossing_id", "started", "ended", "seconds", "readings", "peak", "version", certified("readings", "seconds").alias("certified"))
 
 
-def rising_edges(readings: DataFrame, policy: AlertPolicy = AlertPolicy()) -> DataFrame:
-    """One alert per blockage: at the second BLOCKED in a row, then none until three CLEAR in a row or
-    a silence. UNKNOWN is invisible."""
+def edge_marks(readings: DataFrame, policy: AlertPolicy = AlertPolicy()) -> DataFrame:
+    """The readings at which an alert may begin (mark F: BLOCKED confirmed) or is over (R: CLEAR confirmed, or
+    the first after a silence), with `before`, the mark before it in its epoch."""
     order = Window.partitionBy("crossing_id").orderBy("t", "event_id")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     rows = readings.where("state <> 'UNKNOWN'").withColumn("epoch", F.sum(F.coalesce((F.col("t") - F.lag("t").over(order) > policy.silence_ms).cast("int"), F.lit(0))).over(upto))
     epoch = Window.partitionBy("crossing_id", "epoch").orderBy("t", "event_id")
     rows = rows.withColumn("run", F.sum(F.coalesce((F.col("state") != F.lag("state").over(epoch)).cast("int"), F.lit(0))).over(epoch.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("crossing_id", "epoch", "run").orderBy("t", "event_id")))
-    mark = F.when((F.col("state") == "BLOCKED") & (F.col("k") >= policy.confirm), "F").when((F.col("state") == "CLEAR") & (F.col("k") >= policy.rearm), "R")
-    marks = rows.withColumn("mark", mark).where("mark IS NOT NULL").withColumn("before", F.lag("mark").over(epoch))
-    return marks.where("mark = 'F' AND (before IS NULL OR before = 'R')").select("crossing_id", "t", "camera_id", "confidence")
+    first = F.row_number().over(epoch) == 1
+    mark = F.when((F.col("state") == "BLOCKED") & (F.col("k") >= policy.confirm), "F").when(((F.col("state") == "CLEAR") & (F.col("k") >= policy.rearm)) | first, "R")
+    return rows.withColumn("mark", mark).where("mark IS NOT NULL").withColumn("before", F.lag("mark").over(epoch))
+
+
+def rising_edges(readings: DataFrame, policy: AlertPolicy = AlertPolicy()) -> DataFrame:
+    """One alert per blockage: at the second BLOCKED in a row, then none until three CLEAR in a row or
+    a silence. UNKNOWN is invisible."""
+    return edge_marks(readings, policy).where("mark = 'F' AND (before IS NULL OR before = 'R')").select("crossing_id", "t", "camera_id", "confidence")
 
 
 def blocked_spans(readings: DataFrame, hold_ms: int = 15 * 60_000) -> DataFrame:
     """When each crossing counts as blocked: a BLOCKED reading holds until its camera's next later one,
-    at most hold_ms; what touches is one span."""
-    later = Window.partitionBy("camera_id").orderBy("t").rangeBetween(1, Window.unboundedFollowing)
-    ends = readings.withColumn("next", F.min("t").over(later)).where("state = 'BLOCKED'").select("crossing_id", "t", F.least(F.coalesce("next", F.col("t") + hold_ms), F.col("t") + hold_ms).alias("e"))
-    order = Window.partitionBy("crossing_id").orderBy("t", "e")
-    reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = ends.withColumn("_n", F.coalesce((F.col("t") > reach).cast("int"), F.lit(1))).withColumn("island", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    at most hold_ms; what touches is one span. Cameras that don't judge by policy end nothing."""
+    rows = judging(readings)
+    times = rows.groupBy("camera_id", "t").agg(F.collect_set(F.when(F.col("state") == "BLOCKED", F.col("crossing_id"))).alias("blocked"))
+    ends = with_next(times, ["camera_id"], ["t"], ["t"]).select(F.explode("blocked").alias("crossing_id"), "t", F.least(F.coalesce("after.t", F.col("t") + hold_ms), F.col("t") + hold_ms).alias("e"))
+    ends = ends.groupBy("crossing_id", "t").agg(F.max("e").alias("e"))
+    reach = with_running(ends, ["crossing_id"], ["t"], maxima={"reach": "e"}, before=True)
+    islands = with_running(reach.withColumn("_n", F.coalesce((F.col("t") > F.col("reach")).cast("int"), F.lit(1))), ["crossing_id"], ["t"], {"island": "_n"})
     return islands.groupBy("crossing_id", "island").agg(F.min("t").alias("span_start"), F.max("e").alias("span_end")).drop("island")
 
 
+def policy_unknown() -> Column:
+    """Whether a row says only that its camera isn't asked; such rows neither vote nor end anything."""
+    return (F.col("state") == "UNKNOWN") & F.col("version").startswith(POLICY_PREFIX)
+
+
+def judging(readings: DataFrame) -> DataFrame:
+    return readings.where(~policy_unknown())
+
+
 def clip(spans: DataFrame, low: int, high: int) -> DataFrame:
     """Spans within [low, high]; empty ones go."""
     cut = spans.withColumns({"span_start": F.greatest("span_start", F.lit(low)), "span_end": F.least("span_end", F.lit(high))})
@@ -76,7 +95,7 @@ def consensus(votes: DataFrame) -> DataFrame:
 
 def board(readings: DataFrame, at: int, stale_ms: int = 15 * 60_000) -> DataFrame:
     """What was known of every crossing at an instant: each camera's latest reading votes while fresh."""
-    last = readings.where(F.col("t") <= at).groupBy("crossing_id", "camera_id").agg(F.max(F.struct("t", "event_id", "state")).alias("x"))
+    last = judging(readings).where(F.col("t") <= at).groupBy("crossing_id", "camera_id").agg(F.max(F.struct("t", "event_id", "state")).alias("x"))
     votes = last.select("crossing_id", "camera_id", F.lit(at).alias("at"), "x.t", "x.state", (F.lit(at) - F.col("x.t") <= stale_ms).alias("fresh"))
     return consensus(votes)
 
@@ -86,18 +105,15 @@ def transitions(readings: DataFrame, stale_ms: int = 15 * 60_000) -> DataFrame:
 
     Every reading is an instant for its crossing; each camera's state there is its last one before or
     at it, carried along the crossing's readings, so no row meets another by a join."""
-    order = Window.partitionBy("crossing_id").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
     # a camera's state counts until its next reading: as an interval it adds one vote, then takes it back
-    nxt = Window.partitionBy("camera_id").orderBy("t", "event_id")
-    held = readings.withColumn("_n", F.lead("t").over(nxt)).withColumn("gone", F.least(F.coalesce("_n", F.col("t") + stale_ms + 1), F.col("t") + stale_ms + 1)).where("gone > t")
+    held = with_next(readings, ["camera_id"], ["t", "event_id"], ["t"]).withColumn("_n", F.col("after.t")).withColumn("gone", F.least(F.coalesce("_n", F.col("t") + stale_ms + 1), F.col("t") + stale_ms + 1)).where("gone > t")
     votes = held.select("crossing_id", "t", F.when(F.col("state") == "BLOCKED", 1).otherwise(0).alias("b"), F.when(F.col("state") == "CLEAR", 1).otherwise(0).alias("c"))
     votes = votes.unionByName(held.select("crossing_id", F.col("gone").alias("t"), F.when(F.col("state") == "BLOCKED", -1).otherwise(0).alias("b"), F.when(F.col("state") == "CLEAR", -1).otherwise(0).alias("c")))
     votes = votes.groupBy("crossing_id", "t").agg(F.sum("b").alias("b"), F.sum("c").alias("c"))
-    level = votes.withColumns({"nb": F.sum("b").over(order), "nc": F.sum("c").over(order)})
+    level = with_running(votes, ["crossing_id"], ["t"], {"nb": "b", "nc": "c"})
     at = level.join(readings.select("crossing_id", "t").distinct(), ["crossing_id", "t"], "left_semi")
     at = at.withColumn("state", F.when(F.col("nb") > 0, "BLOCKED").when(F.col("nc") > 0, "CLEAR").otherwise("UNKNOWN"))
-    before = F.lag("state").over(Window.partitionBy("crossing_id").orderBy("t"))
-    return at.withColumn("before", before).where("before IS NULL OR before <> state").select("crossing_id", "t", "state")
+    return with_previous(at, ["crossing_id"], ["t"], ["state"]).where("before IS NULL OR before.state <> state").select("crossing_id", "t", "state")
 
 
 def suggested_gap(readings: DataFrame, least_ms: int = 15 * 60_000) -> DataFrame:

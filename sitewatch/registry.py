@@ -246,19 +246,20 @@ def _(spark, sf_dir):
     return history.even_sample(tables.readings(spark, sf_dir).where("state = 'BLOCKED'"), ["camera_id"], ["t", "event_id"]).select("camera_id", "t").distinct()
 
 
-FRAMES_SQL = f"""{POLLS_SQL}, s AS (SELECT *, CASE WHEN http = 304 THEN 'not_modified' WHEN http <> 200 THEN 'error'
-    WHEN hash = last_value(hash IGNORE NULLS) OVER (PARTITION BY camera_id ORDER BY fetched, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 'duplicate' ELSE 'ok' END AS status,
-    http <> 500 AND modified IS NOT NULL AND modified <= fetched AS usable FROM polls),
-  k AS (SELECT *, CASE WHEN usable THEN modified ELSE fetched END AS t, CASE WHEN usable THEN 'last_modified' ELSE 'fetched_at' END AS t_source FROM s),
+FRAMES_SQL = f"""{POLLS_SQL}, s AS (SELECT *, CASE WHEN http = 304 THEN 'not_modified' WHEN http <> 200 OR hash IS NULL THEN 'error'
+    WHEN hash = last_value(hash IGNORE NULLS) OVER (PARTITION BY camera_id ORDER BY fetched, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 'duplicate' ELSE 'ok' END AS status FROM polls),
+  u AS (SELECT *, status <> 'error' AND modified IS NOT NULL AND modified <= fetched AS usable FROM s),
+  k AS (SELECT *, CASE WHEN usable THEN modified ELSE fetched END AS t, CASE WHEN usable THEN 'last_modified' ELSE 'fetched_at' END AS t_source,
+    CASE WHEN status = 'error' THEN CASE WHEN http <> 200 THEN 'HTTP ' || http ELSE 'empty body' END END AS message FROM u),
   frames AS (SELECT *, CASE WHEN status <> 'error' THEN last_value(CASE WHEN status = 'ok' THEN camera_id || '/' || t || '-' || substr(hash, 1, 8) END IGNORE NULLS) OVER (PARTITION BY camera_id ORDER BY fetched, event_id ROWS UNBOUNDED PRECEDING) END AS object_key FROM k)"""
 
 
-@query("poll_frames", f"WITH {FRAMES_SQL} SELECT event_id, camera_id, status, t, t_source, object_key FROM frames")
+@query("poll_frames", f"WITH {FRAMES_SQL} SELECT event_id, camera_id, status, t, t_source, object_key, message FROM frames")
 def _(spark, sf_dir):
-    return polling.frames(tables.polls(spark, sf_dir)).select("event_id", "camera_id", "status", "t", "t_source", "object_key")
+    return polling.frames(tables.polls(spark, sf_dir)).select("event_id", "camera_id", "status", "t", "t_source", "object_key", "message")
 
 
-@query("poll_counters", f"WITH {FRAMES_SQL} SELECT camera_id, status, count(*) AS polls, max(fetched) AS last_fetched FROM frames GROUP BY 1, 2")
+@query("poll_counters", f"WITH {FRAMES_SQL} SELECT camera_id, status, count(*) AS polls, max(fetched) AS last_fetched, coalesce(sum(size) FILTER (status = 'ok'), 0)::BIGINT AS bytes, max(fetched) FILTER (status = 'ok') AS last_new FROM frames GROUP BY 1, 2")
 def _(spark, sf_dir):
     return polling.counters(polling.frames(tables.polls(spark, sf_dir)))
 
@@ -278,10 +279,11 @@ def _(spark, sf_dir):
 
 
 @query("feed_health", f"""WITH {FRAMES_SQL}, f AS (SELECT *, sum((status <> 'error')::INT) OVER (PARTITION BY camera_id ORDER BY fetched, event_id ROWS UNBOUNDED PRECEDING) AS g FROM frames WHERE fetched <= {NEXT}),
- c AS (SELECT camera_id, max(fetched) AS polled, max(t) FILTER (status = 'ok') AS imaged, max(g) AS g FROM f GROUP BY 1),
+ c AS (SELECT camera_id, max(fetched) AS polled, max(fetched) FILTER (status = 'ok') AS imaged, max(fetched) FILTER (status <> 'error') AS answered, max(g) AS g FROM f GROUP BY 1),
  e AS (SELECT c.*, (SELECT count(*) FROM f WHERE f.camera_id = c.camera_id AND f.g = c.g AND status = 'error') AS e FROM c),
- a AS (SELECT count(*) AS cameras, max(polled) AS polled, max(imaged) AS imaged, min(e) AS least FROM e)
- SELECT CASE WHEN cameras = 0 THEN 'ok' WHEN polled < {NEXT} - 300000 THEN 'capture_stale' WHEN least >= 3 THEN 'upstream_down' WHEN imaged IS NULL OR imaged < {NEXT} - 900000 THEN 'upstream_stale' ELSE 'ok' END AS verdict, cameras, polled, imaged FROM a""")
+ a AS (SELECT count(*) AS cameras, max(polled) AS polled, max(imaged) AS imaged, max(answered) AS answered, min(e) AS least FROM e),
+ v AS (SELECT *, CASE WHEN cameras = 0 THEN 'ok' WHEN polled < {NEXT} - 300000 THEN 'capture_stale' WHEN least >= 3 THEN 'upstream_down' WHEN imaged < {NEXT} - 900000 THEN 'upstream_stale' ELSE 'ok' END AS verdict FROM a)
+ SELECT verdict, CASE verdict WHEN 'capture_stale' THEN polled WHEN 'upstream_down' THEN answered WHEN 'upstream_stale' THEN imaged END AS since, cameras, polled, imaged FROM v""")
 def _(spark, sf_dir):
     return polling.feed_health(polling.frames(tables.polls(spark, sf_dir)), NEXT)
 
@@ -291,6 +293,10 @@ def _(spark, sf_dir):
     return polling.sliding_rates(tables.readings(spark, sf_dir), "state", "t").withColumn("per_minute", F.round("per_minute", 6))
 
 
+#: Limits for pictures of eight rows.
+SMALL = scenes.Thresholds(changed_pixel=25, spread_multiple=3.0, least_rows=3)
+
+
 def scenes_sql(blocked: bool) -> str:
     covered = "vec_id % 11 = 0 AND i BETWEEN 25 AND 48" if blocked else "false"
     return f"SELECT vec_id, 'C' || label AS camera_id, i - 1 AS pos, CASE WHEN {covered} THEN 20 ELSE greatest(0, least(255, floor((x::DOUBLE + 0.6::DOUBLE) / 1.2::DOUBLE * 127) + 40 * (vec_id % 3)))::INT END AS x FROM (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)"
@@ -322,10 +328,13 @@ def _(spark, sf_dir):
  mask AS (SELECT n.vec_id, s.pos // 8 AS row, (abs(s.x - m.median) > greatest(25.0, 3 * m.spread))::INT AS hit FROM near n JOIN s USING (vec_id) JOIN model m ON m.camera_id = n.camera_id AND m.bin = n.r AND m.pos = s.pos),
  rows AS (SELECT vec_id, row, avg(hit) AS d, sum(hit) AS h FROM mask GROUP BY 1, 2),
  per AS (SELECT vec_id, count(*) FILTER (d > 0.45) AS band, sum(h) / 64 AS changed FROM rows GROUP BY 1),
- j AS (SELECT n.vec_id, camera_id, band, CASE WHEN luminance < 12 THEN 'UNKNOWN' WHEN r IS NULL THEN 'UNKNOWN' WHEN band >= 3 THEN 'BLOCKED' WHEN changed <= 0.10 THEN 'CLEAR' ELSE 'UNKNOWN' END AS state FROM near n LEFT JOIN per USING (vec_id))
- SELECT vec_id, camera_id, state, round(CASE state WHEN 'BLOCKED' THEN least(0.95, 0.6 + 0.35 * least(1.0, band / 30)) WHEN 'CLEAR' THEN 0.85 ELSE 0 END, 6)::DOUBLE AS confidence FROM j""")
+ j AS (SELECT n.vec_id, camera_id, band, luminance, r, changed, CASE WHEN luminance < 12 THEN 'UNKNOWN' WHEN r IS NULL THEN 'UNKNOWN' WHEN band >= 3 THEN 'BLOCKED' WHEN changed <= 0.10 THEN 'CLEAR' ELSE 'UNKNOWN' END AS state FROM near n LEFT JOIN per USING (vec_id))
+ SELECT vec_id, camera_id, state, round(CASE state WHEN 'BLOCKED' THEN least(0.95, 0.6 + 0.35 * least(1.0, band / 9)) WHEN 'CLEAR' THEN 0.85 ELSE 0 END, 6)::DOUBLE AS confidence,
+   CASE WHEN luminance < 12 THEN 'frame too dark to judge (luminance ' || round_even(luminance, 0)::INT || ')' WHEN r IS NULL THEN 'no reference image for this camera and lighting'
+     WHEN band >= 3 THEN 'mass spans ' || band || ' rows, ' || round_even(changed * 100, 0)::INT || '% of frame differs' WHEN changed <= 0.10 THEN 'matches empty reference (' || round_even(changed * 100, 0)::INT || '% differs)'
+     ELSE round_even(changed * 100, 0)::INT || '% differs but no spanning mass (' || band || ' rows)' END AS reason, 'reference/d25-r0.45-b3-c0.1' AS version FROM j""")
 def _(spark, sf_dir):
-    return scenes.judged(tables.scenes(spark, sf_dir, True), scenes.reference(tables.scenes(spark, sf_dir)))
+    return scenes.judged(tables.scenes(spark, sf_dir, True), scenes.reference(tables.scenes(spark, sf_dir)), SMALL)
 
 
 @query("softmax_verdicts", """SELECT event_id, CASE WHEN p >= 0.7 THEN 'BLOCKED' WHEN p <= 0.3 THEN 'CLEAR' ELSE 'UNKNOWN' END AS state, round(CASE WHEN p >= 0.7 THEN p WHEN p <= 0.3 THEN 1 - p ELSE 0 END, 6) AS confidence
@@ -407,9 +416,10 @@ def _(spark, sf_dir):
     return labels.add_new(r.where("event_id % 2 = 0").select("digest", "version"), r.where("event_id % 3 = 0").select("digest", F.lit("new").alias("version")), "digest")
 
 
-@query("texts", f"""WITH {SESSIONS_SQL} SELECT session_id, CASE WHEN seconds >= 3600 THEN (seconds // 3600)::INT || 'h ' || (seconds % 3600 // 60)::INT || 'm' ELSE (seconds // 60)::INT || 'm' END AS duration,
+@query("texts", f"""WITH {SESSIONS_SQL} SELECT session_id, CASE WHEN floor(seconds / 60 + 0.5) >= 60 THEN (floor(seconds / 60 + 0.5)::INT // 60) || 'h ' || (floor(seconds / 60 + 0.5)::INT % 60) || 'm' ELSE floor(seconds / 60 + 0.5)::INT || 'm' END AS duration,
+   CASE WHEN seconds >= 3600 THEN (seconds // 3600)::INT || 'h ' ELSE '' END || (seconds % 3600 // 60)::INT || 'm ' || (seconds % 60)::INT || 's' AS ticker,
    (CASE WHEN hour({LOCAL.format('started')}) % 12 = 0 THEN 12 ELSE hour({LOCAL.format('started')}) % 12 END)::INT || CASE WHEN hour({LOCAL.format('started')}) < 12 THEN 'A' ELSE 'P' END AS hour,
    CASE WHEN peak > 0 AND peak < 0.01 THEN '<1%' ELSE floor(peak * 100 + 0.5)::INT || '%' END AS peak FROM sessions""")
 def _(spark, sf_dir):
     s = derived(spark, sf_dir).withColumn("h", F.hour(scalars.local("started")))
-    return s.select("session_id", scalars.duration_text("seconds").alias("duration"), scalars.hour_label("h").alias("hour"), scalars.percent_text("peak").alias("peak"))
+    return s.select("session_id", scalars.duration_text("seconds").alias("duration"), scalars.ticker_text("seconds").alias("ticker"), scalars.hour_label("h").alias("hour"), scalars.percent_text("peak").alias("peak"))

@@ -31,12 +31,13 @@ def layered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One HTTP poll for each event."""
+    """One HTTP poll for each event; errors are 404, 500 and answers without a body."""
     return table(spark, sf_dir, "events").selectExpr(
         "event_id", "concat('C', user_id % 6) AS camera_id", f"{EPOCH_MS} AS fetched",
-        "CASE event_type WHEN 'error' THEN 500 WHEN 'view' THEN 304 ELSE 200 END AS http",
-        "cast(get_json_object(props, '$.k') AS int) AS k",
-    ).selectExpr("event_id", "camera_id", "fetched", "http", "CASE WHEN http = 200 THEN sha2(cast(k % 4 AS string), 256) END AS hash",
+        "CASE event_type WHEN 'error' THEN CASE event_id % 3 WHEN 0 THEN 404 WHEN 1 THEN 500 ELSE 200 END WHEN 'view' THEN 304 ELSE 200 END AS http",
+        "event_type = 'error' AS bad", "cast(get_json_object(props, '$.k') AS int) AS k",
+    ).selectExpr("event_id", "camera_id", "fetched", "http", "CASE WHEN http = 200 AND NOT bad THEN sha2(cast(k % 4 AS string), 256) END AS hash",
+        "CASE WHEN http = 200 AND NOT bad THEN 1000L + k END AS size",
         "CASE WHEN k % 10 = 0 THEN NULL WHEN k % 10 = 1 THEN fetched + 3600000 ELSE fetched - 90000 END AS modified")
 
 
@@ -58,7 +59,7 @@ LAYERED_SQL = READINGS_SQL + """, layered AS (
   SELECT * REPLACE ('v2' AS version, CASE state WHEN 'BLOCKED' THEN 'CLEAR' WHEN 'CLEAR' THEN 'BLOCKED' ELSE state END AS state), t + 86400000 AS ingested
   FROM readings WHERE event_id % 7 = 0)"""
 POLLS_SQL = """polls AS (
-  SELECT event_id, camera_id, fetched, http, CASE WHEN http = 200 THEN sha256((k % 4)::VARCHAR) END AS hash,
+  SELECT event_id, camera_id, fetched, http, CASE WHEN http = 200 AND NOT bad THEN sha256((k % 4)::VARCHAR) END AS hash, CASE WHEN http = 200 AND NOT bad THEN 1000 + k END AS size,
     CASE WHEN k % 10 = 0 THEN NULL WHEN k % 10 = 1 THEN fetched + 3600000 ELSE fetched - 90000 END AS modified
   FROM (SELECT event_id, 'C' || (user_id % 6) AS camera_id, (epoch_us(ts) // 1000) AS fetched,
-    CASE event_type WHEN 'error' THEN 500 WHEN 'view' THEN 304 ELSE 200 END AS http, (props->>'$.k')::INT AS k FROM events))"""
+    CASE event_type WHEN 'error' THEN CASE event_id % 3 WHEN 0 THEN 404 WHEN 1 THEN 500 ELSE 200 END WHEN 'view' THEN 304 ELSE 200 END AS http, event_type = 'error' AS bad, (props->>'$.k')::INT AS k FROM events))"""

@@ -8,12 +8,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.scalars import session_id
 from ..operators.sessions import AlertPolicy, SessionPolicy
+from ..sources.files import Record, decode, iso
 
 LATENESS = "2 minutes"
 EMITTED = "crossing_id string, started long, ended long, readings long, peak double, version string, is_open boolean"
@@ -61,7 +63,7 @@ def growing_sessions(readings: DataFrame, policy: SessionPolicy = SessionPolicy(
     return found.withColumns({"session_id": session_id("crossing_id", "started"), "seconds": F.floor((F.col("ended") - F.col("started")) / 1000)})
 
 
-def closed_sessions(readings: DataFrame, gap: str = "15 minutes 1 millisecond") -> DataFrame:
+def closed_sessions(readings: DataFrame, gap: str = "15 minutes") -> DataFrame:
     """Sessions once they can grow no more, by Spark's own session windows; the gap is inclusive."""
     blocked = timed(readings).where("state = 'BLOCKED'")
     return blocked.groupBy("crossing_id", F.session_window("at", gap)).agg(F.min("t").alias("started"), F.max("t").alias("ended"), F.count("*").alias("readings"), F.max("confidence").alias("peak")).select("crossing_id", "started", "ended", "readings", "peak")
@@ -92,6 +94,32 @@ def live_alerts(readings: DataFrame, policy: AlertPolicy = AlertPolicy()) -> Dat
     return rows.groupBy("crossing_id").applyInPandasWithState(step, ALERT, "last long, blocked long, clear long, quiet boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+def stream_lines(spark: SparkSession, path: str, glob: str = "*.jsonl*") -> DataFrame:
+    """A stream of the lines of files below `path`, from the earliest on."""
+    return spark.readStream.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path).where(F.length(F.trim("value")) > 0)
+
+
+def topic(spark: SparkSession, servers: str, name: str) -> DataFrame:
+    """The same of a topic of a message log; null values (tombstones) are left out."""
+    rows = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", name).option("startingOffsets", "earliest").load()
+    return rows.select(F.col("key").cast("string"), F.col("value").cast("string")).where("value IS NOT NULL")
+
+
+def keyed_lines(lines: DataFrame, kind: Record, key: str) -> DataFrame:
+    """key, value of the lines that are records of a kind: the line itself, to the byte."""
+    return decode(lines, kind).where("problem IS NULL").select(F.col(f"record.{key}").alias("key"), "value")
+
+
+def alert_payloads(alerts: DataFrame) -> DataFrame:
+    """key, value of alerts (crossing_id, t, confidence, reason), to be sent."""
+    return alerts.select(F.col("crossing_id").alias("key"), F.to_json(F.struct("crossing_id", iso("t").alias("started_at"), "confidence", "reason")).alias("value"))
+
+
+def record_sink(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Appends a stream's rows below `path` until what is there has been read; each once."""
+    return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def merged(current: DataFrame | None, batch: DataFrame, keys: list[str], newest: list[str]) -> DataFrame:
     """current with batch merged in: of each key the row that is last by `newest`. Replays change nothing."""
     rows = batch if current is None else current.unionByName(batch)
@@ -99,13 +127,53 @@ def merged(current: DataFrame | None, batch: DataFrame, keys: list[str], newest:
     return rows.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 
 
+#: Slices of a merged table.
+SLICES = 64
+
+
+def folder(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as Hadoop's objects."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def versions(spark: SparkSession, path: str, part: int) -> list[int]:
+    """The versions of a slice, ascending."""
+    fs, p = folder(spark, f"{path}/merge_slice={part}")
+    if not fs.exists(p):
+        return []
+    return sorted(int(x.getPath().getName().split("=")[1]) for x in fs.listStatus(p) if x.getPath().getName().startswith("merge_version="))
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a merged table as they are now."""
+    newest = [f"{path}/merge_slice={s}/merge_version={v[-1]}" for s in range(SLICES) if (v := versions(spark, path, s))]
+    return spark.read.parquet(*newest)
+
+
+def compacted(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Removes all but the last `keep` versions of each slice."""
+    for s in range(SLICES):
+        for v in versions(spark, path, s)[:-keep]:
+            fs, p = folder(spark, f"{path}/merge_slice={s}/merge_version={v}")
+            fs.delete(p, True)
+
+
 def merge_sink(path: str, keys: list[str], newest: list[str]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: a Parquet table under `path`, a folder for each batch; the last is current. A
-    batch that runs again writes its own folder anew from the one before."""
+    """For foreachBatch: a Parquet table under `path`, in SLICES folders by a hash of the key. A batch
+    rewrites the slices that its keys are in, each as a new version beside the old; current() reads each
+    slice's newest. A batch that runs again starts from the versions before it, so replays change
+    nothing. compacted() removes versions that no replay can need."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = spark.read.parquet(f"{path}/v{number - 1}") if number > 0 else None
-        merged(before, batch, keys, newest).write.mode("overwrite").parquet(f"{path}/v{number}")
+        batch = batch.withColumn("_slice", F.pmod(F.xxhash64(*keys), F.lit(SLICES)))
+        touched = sorted(r["_slice"] for r in batch.select("_slice").distinct().collect())  # SLICES at most
+        before = {s: [v for v in versions(spark, path, s) if v < number] for s in touched}
+        old = [f"{path}/merge_slice={s}/merge_version={max(v)}" for s, v in before.items() if v]
+        current = spark.read.parquet(*old).withColumn("_slice", F.pmod(F.xxhash64(*keys), F.lit(SLICES))) if old else None
+        out = merged(current, batch, keys, newest)
+        out.withColumns({"merge_slice": F.col("_slice"), "merge_version": F.lit(number)}).drop("_slice").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("merge_slice", "merge_version").parquet(path)
 
     return write

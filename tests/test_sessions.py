@@ -106,6 +106,12 @@ def test_streams_agree_with_batch(spark):
     assert sorted((r["crossing_id"], r["t"]) for r in streamed(spark, df, live.live_alerts)) == alerts
 
 
+def test_closed_sessions_break_where_batch_does(spark):
+    """Rows a gap apart are one session, a millisecond more is two, in the stream as in batch."""
+    df = rows(spark, ("X", "a", 0, "BLOCKED"), ("X", "a", 15 * MIN, "BLOCKED"), ("X", "a", 30 * MIN + 1, "BLOCKED"))
+    assert sorted((r["started"], r["ended"], r["readings"]) for r in streamed(spark, df, live.closed_sessions)) == found(sessions.derive_sessions(df)) == [(0, 15 * MIN, 2), (30 * MIN + 1, 30 * MIN + 1, 1)]
+
+
 def test_merge_keeps_the_newest_and_replays_do_nothing(spark):
     a = spark.createDataFrame([("s", 1, 10), ("u", 1, 1)], "id string, ingested int, v int")
     b = spark.createDataFrame([("s", 2, 20)], "id string, ingested int, v int")
