@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
 from . import chat, jaccard_join, mixing, neighbours, pieces, piecewise, suffix_dedup, token_files, toxicity, warc
+from .common import bounded_batches
 
-QUERIES = {
+OPERATORS = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_nn_descent": neighbours.op3_nn_descent,
@@ -17,4 +22,15 @@ QUERIES = {
     "op10_token_files": token_files.op10_token_files,
 }
 
+
+def bounded(f: Callable) -> Callable:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {name: bounded(f) for name, f in OPERATORS.items()}
+
 ORACLE_SQL: dict[str, str] = {}

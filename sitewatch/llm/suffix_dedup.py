@@ -300,19 +300,23 @@ def kept_of(text: bytes, marks: list[dict] | None) -> tuple[list[bytes], int]:
     return [text[a:b] for a, b in zip(ends[::2], ends[1::2])], len(spans)
 
 
-def without(rows: DataFrame) -> DataFrame:
-    """doc_id, counts and digest of what stays of rows (doc_id, text, marks)."""
+def without(rows: DataFrame, bits=None) -> DataFrame:
+    """doc_id, counts and digest of what stays of rows (doc_id, text, marks); with a filter, of rows
+    (doc_id, text, key) that fail it, all of which stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             out = []
-            for doc_id, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
+            if bits is not None:
+                batch = batch.filter(pa.array(~in_filter(bits.value, batch.column(2).to_numpy())))
+            marked = batch.column(2).to_pylist() if bits is None else [None] * batch.num_rows
+            for doc_id, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), marked):
                 kept, spans = kept_of(text or b"", marks)
                 kept = b"".join(kept)
                 out.append((doc_id, len(text or b""), len(text or b"") - len(kept), spans, hashlib.sha256(kept).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string() if i == 4 else pa.int64()) for i in range(5)], names=[c.split()[0] for c in RESULT.split(", ")])
 
-    return rows.select("doc_id", "text", "marks").mapInArrow(run, RESULT)
+    return rows.select("doc_id", "text", "marks" if bits is None else filter_place("key").alias("place")).mapInArrow(run, RESULT)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -375,8 +379,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     marks = repeats(docs)
     bits = spark.sparkContext.broadcast(id_filter(marks, "key"))
     touched = filtered(docs, bits).join(marks, "key", "left").select("doc_id", "text", "marks")
-    rest = filtered(docs, bits, False).select("doc_id", "text", F.lit(None).cast(marks.schema["marks"].dataType).alias("marks"))
-    return without(touched).union(without(rest))
+    return without(touched).union(without(docs, bits))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
