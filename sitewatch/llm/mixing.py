@@ -2,15 +2,17 @@
 
 Each source's documents are shuffled by a keyed hash and laid end to end, again and again up to
 REPEATS times. A document's virtual finish time is its source's words up to its end divided by the
-source's target; the mix is the order of finish times, cut where its words reach the budget. Only
-the range of finish times in which the cut falls is sorted.
+source's target; the mix is the order of finish times, cut where its words reach the budget. mixed()
+gives it in this order by a global range sort; for shares() only the range of finish times in which
+the cut falls is sorted.
 
 Sizes are runs of other than ASCII white space. Sources by code point, null last, weigh 5, 2, 1 and
 again; a target above REPEATS times its source's size stops there and its excess is shared anew.
 
 Defined cases: null text has size 0; null source is a source of its own; null doc_id is a value like
 others; repeated rows count as often as they stand; an empty table, or one without words, takes
-nothing; other columns are carried by mixed() and ignored by shares().
+nothing, and documents without words aren't in the mix; other columns, whatever they are called, are
+carried by mixed() and ignored by shares().
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import WORD, running_sum, saved
 
 WEIGHTS, REPEATS, SEED = (5, 2, 1), 3, "mix-1"
-#: Rows that a range of the shuffle, or of finish times, holds about.
-ROWS_PER_RANGE = 4000
+#: Rows that a range of the shuffle, and one of finish times, holds about.
+ROWS_PER_BUCKET, ROWS_PER_RANGE = 500, 4000
 
 
 def words(text: Column) -> Column:
@@ -52,23 +54,35 @@ def targets(sizes: DataFrame) -> DataFrame:
     return sources.select("source", "source_size", "rank", target.alias("target"), "budget")
 
 
-def shares(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, times, taken of every document, and the columns in carry."""
-    base = docs.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), words(F.col("text")).alias("_size"))
-    base = saved(base.select(F.col("_id").alias("doc_id"), F.col("_source").alias("source"), F.col("_size").alias("size"), F.md5(F.concat_ws("|", F.lit(SEED), F.col("_id").cast("string"))).alias("key")), "sizes")
+def row_of(docs: DataFrame) -> Column:
+    """A hash of what makes a document; rows equal in it are the same document again."""
+    return F.xxhash64(docs["doc_id"], docs["source"], docs["text"])
+
+
+def placed(docs: DataFrame) -> tuple[DataFrame, dict | None]:
+    """doc_id, row, size, source_size, target, rank, key, total, budget of every document, and the last place
+    within the budget."""
+    base = docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), words(docs["text"]).alias("size"), row_of(docs).alias("row"), F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")).alias("text_md5"))
+    base = saved(base.withColumn("key", F.md5(F.concat_ws("|", F.lit(SEED), F.col("doc_id").cast("string"), "text_md5"))).drop("text_md5"), "sizes")
     found = saved(targets(base), "targets")
     n = base.count()
     hex_digits = 1
-    while 16**hex_digits * ROWS_PER_RANGE < n:
+    while 16**hex_digits * ROWS_PER_BUCKET < n:
         hex_digits += 1
-    rows = base.join(F.broadcast(found) if found.count() <= 100_000 else found, base.source.eqNullSafe(found.source)).select("doc_id", "size", "key", "rank", "source_size", "target", "budget")
+    rows = base.join(F.broadcast(found) if found.count() <= 100_000 else found, base.source.eqNullSafe(found.source)).select("doc_id", "row", "size", "key", "rank", "source_size", "target", "budget")
     rows = rows.withColumn("bucket", F.substring("key", 1, hex_digits))
     rows = saved(running_sum(rows, ["rank"], ["key", "size"], "bucket", "size", "total").drop("bucket"), "shuffled")
-    cut = cut_of(rows, max(1, n // ROWS_PER_RANGE))
-    if cut is None:
-        times = F.lit(0)
-    else:
-        times = sum(F.when(place(F.lit(e)) <= F.struct(*[F.lit(cut[c]).cast(k) for c, k in PLACE]), 1).otherwise(0) for e in range(REPEATS))
+    return rows, cut_of(rows, max(1, n // ROWS_PER_RANGE))
+
+
+def within(epoch: Column, cut: dict) -> Column:
+    return place(epoch) <= F.struct(*[F.lit(cut[c]).cast(k) for c, k in PLACE])
+
+
+def shares(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target, times, taken of every document."""
+    rows, cut = placed(docs)
+    times = F.lit(0) if cut is None else sum(F.when(within(F.lit(e), cut) & (F.col("size") > 0), 1).otherwise(0) for e in range(REPEATS))
     return rows.select("doc_id", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).cast("long").alias("taken"))
 
 
@@ -99,10 +113,15 @@ def cut_of(rows: DataFrame, ranges: int):
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """docs with each row as often as the mix takes its document; documents without words don't appear."""
-    times = shares(docs).groupBy("doc_id").agg(F.max("times").alias("_times")).withColumnRenamed("doc_id", "_mix_id")
-    joined = docs.join(times, docs["doc_id"].eqNullSafe(times["_mix_id"])).where(F.col("_times") > 0)
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    """The mix: docs with each row as often as it is taken, in the order of finish times over all sources."""
+    rows, cut = placed(docs)
+    if cut is None:
+        return docs.limit(0)
+    taken = rows.where("size > 0").select("row", F.explode(F.array(*[F.when(within(F.lit(e), cut), place(F.lit(e))) for e in range(REPEATS)])).alias("at")).where("at IS NOT NULL")
+    # equal rows are one document here, which the places of all of them find
+    whole = docs.select(row_of(docs).alias("m_row"), F.struct(*[docs[c] for c in docs.columns]).alias("m_doc")).dropDuplicates(["m_row"])
+    out = whole.join(taken, F.col("m_row") == F.col("row")).orderBy("at", "m_row")
+    return out.select(*[F.col("m_doc")[c].alias(c) for c in docs.columns])
 
 
 def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
