@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from .common import AtomicFile, cut_points, file_system, hash_sample, new_folder, range_of, saved
 
 SKIPPABLE, DATE = 0x184D2A5D, "2024-01-01T00:00:00Z"
-#: Pages that train the dictionary, by the order of a hash of page_id: a bounded sample.
-DICTIONARY_PAGES, DICTIONARY_BYTES = 1000, 112 * 1024
+#: Pages that train the dictionary, by the order of a hash of page_id, and bytes of such a page at most: a
+#: bounded sample, on which compression alone depends.
+DICTIONARY_PAGES, DICTIONARY_PAGE, DICTIONARY_BYTES = 1000, 1 << 16, 112 * 1024
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 KINDS = ("response", "revisit")
 
@@ -110,20 +111,21 @@ def read_archive(file) -> Iterator[bytes]:
         raise BadRecord("the dictionary frame is cut off")
     dictionary = zstandard.ZstdCompressionDict(zstandard.ZstdDecompressor().decompress(body) if body[:4] == b"\x28\xb5\x2f\xfd" else body)
     decoder = zstandard.ZstdDecompressor(dict_data=dictionary)
-    frame, parts, left = decoder.decompressobj(), [], b""
+    frame, parts, left, begun = decoder.decompressobj(), [], b"", False
     while chunk := left or file.read(1 << 20):
-        left = b""
+        left, begun = b"", True
         parts.append(frame.decompress(chunk))
         if frame.eof:
             yield b"".join(parts)
             left = frame.unused_data
-            frame, parts = decoder.decompressobj(), []
-    if any(parts):
+            frame, parts, begun = decoder.decompressobj(), [], False
+    if begun:
         raise BadRecord("the last frame is cut off")
 
 
 def trained(pages: DataFrame) -> bytes:
-    sample = [r.html.encode()[:65536] for r in hash_sample(pages, "page_id", DICTIONARY_PAGES).select("html").collect()]
+    small = pages.where(F.octet_length("html") <= DICTIONARY_PAGE)
+    sample = [r.html.encode() for r in hash_sample(small, "page_id", DICTIONARY_PAGES).select("html").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, sample).as_bytes()
     except zstandard.ZstdError:
@@ -151,7 +153,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, pages_per_arch
     # html travels once: a page's role comes just before it, rather than by a join that deals html anew
     notes = revisits.select(F.col("r_id").alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "last", F.col("r_sha").alias("sha"))
     rows = pages.select("page_id", "url", "html", F.lit(None).cast("long").alias("last"), F.lit(None).cast("string").alias("sha")).unionByName(notes)
-    rows = rows.select(range_of(F.col("page_id"), cuts).alias("part"), "*").repartition(len(cuts) + 1, "part").sortWithinPartitions("part", "page_id", F.col("sha").desc_nulls_last())
+    rows = rows.select(range_of(F.col("page_id"), cuts).alias("part"), "*").repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", "page_id", F.col("sha").desc_nulls_last())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
