@@ -166,7 +166,7 @@ def edited_fingerprints(docs: DataFrame, docs_per_part: int = 3000) -> DataFrame
     at = docs.join(first, (docs.part == first.f_part) & docs.doc_id.eqNullSafe(first.f_id) & (docs.h == first.f_h), "left")
     places = F.when(F.col("before").isNull(), F.array(F.struct(F.col("part").alias("p"), F.lit(0).alias("peek")))).otherwise(F.array(F.struct(F.col("part").alias("p"), F.lit(0).alias("peek")), F.struct(F.col("before").alias("p"), F.lit(1).alias("peek"))))
     rows = at.select(F.explode(places).alias("x"), "doc_id", "text", "h").select("x.p", "doc_id", "text", "x.peek", "h")
-    rows = rows.repartition(len(cuts) + 1, "p").sortWithinPartitions("p", "peek", F.col("doc_id").asc_nulls_first(), "h")
+    rows = rows.repartitionById(len(cuts) + 1, "p").sortWithinPartitions("p", "peek", F.col("doc_id").asc_nulls_first(), "h")
     return rows.mapInArrow(compare_neighbours, SCHEMA)
 
 

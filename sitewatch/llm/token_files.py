@@ -37,34 +37,13 @@ from .common import AtomicFile, blocks, cut_points, file_system, hash_sample, ne
 MAGIC = b"TOKSHRD1"
 INDEX = np.dtype([("doc_id", "<i8"), ("no_id", "u1"), ("frame_end", "<u8"), ("ids_end", "<u8")])
 FOOTER = "<QQQB32s8s"
-#: Documents whose ids train the dictionary, by the order of a hash of doc_id: a bounded sample.
-DICTIONARY_DOCS, DICTIONARY_BYTES = 2000, 112 * 1024
-#: Words a worker remembers at least; twice as many are its memory bound.
-CACHE_WORDS = 300_000
+#: Documents whose ids train the dictionary, by the order of a hash of doc_id, and bytes of such a text at
+#: most: a bounded sample, on which compression alone depends.
+DICTIONARY_DOCS, DICTIONARY_TEXT, DICTIONARY_BYTES = 2000, 1 << 16, 112 * 1024
 
 _encoders: dict[str, Callable[[pa.Array, int], list[np.ndarray]]] = {}
 
 
-class Remembered:
-    """Values of keys, made in bulk by make(list of keys). Two generations: when the young one is full
-    the old one is dropped, so that frequent keys stay and memory is bounded."""
-
-    def __init__(self, make: Callable[[list], list], most: int = CACHE_WORDS):
-        self.make, self.most, self.young, self.old = make, most, {}, {}
-
-    def of(self, keys: set) -> dict:
-        """A mapping that has all of `keys`."""
-        if len(self.young) > self.most:
-            self.young, self.old = {}, self.young
-        new = keys.difference(self.young)
-        again = new.intersection(self.old)
-        self.young.update((k, self.old[k]) for k in again)
-        new = list(new - again)
-        for i in range(0, len(new), 50_000):
-            self.young.update(zip(new[i : i + 50_000], self.make(new[i : i + 50_000])))
-        return self.young
-
-
 def byte_letters() -> dict[str, int]:
     """The byte that each letter of a byte-level vocabulary stands for: printable Latin-1 characters are
     themselves, the other bytes follow from U+0100 on."""
@@ -239,8 +218,8 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, width: int, dictionary
 
 def trained(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> bytes:
     """A dictionary from at most DICTIONARY_DOCS documents; of raw content if there is too little to train on."""
-    sample = hash_sample(docs, "doc_id", DICTIONARY_DOCS)
-    ids = [bytes(r.ids)[:65536] for r in encoded(sample, tokenizer, end_id, width, None).select("ids").collect()]
+    sample = hash_sample(docs.where(F.octet_length("text").isNull() | (F.octet_length("text") <= DICTIONARY_TEXT)), "doc_id", DICTIONARY_DOCS)
+    ids = [bytes(r.ids) for r in encoded(sample, tokenizer, end_id, width, None).select("ids").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, ids).as_bytes()
     except zstandard.ZstdError:
@@ -276,7 +255,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
                 out.write(struct.pack(FOOTER, place, len(index), total, width, digest, MAGIC))
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([path]), pa.array([len(index)], pa.int64()), pa.array([total], pa.int64())], names=["shard", "path", "n_docs", "n_ids"])
 
-    rows = encoded(parts, tokenizer, end_id, width, dictionary).repartition(len(cuts) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "crc", "n")
+    rows = encoded(parts, tokenizer, end_id, width, dictionary).repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "crc", "n")
     return saved(rows.mapInArrow(write, "shard int, path string, n_docs long, n_ids long"), "manifest")
 
 
@@ -324,11 +303,11 @@ def open_shard(path: str):
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids of every document of the manifest's shards, read from the files."""
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
-    shards = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"))
+    shards = manifest.select("shard", "path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, start in zip(*(c.to_pylist() for c in batch.columns)):
+            for _, path, start in zip(*(c.to_pylist() for c in batch.columns)):
                 index, (docs, _, _), document = open_shard(path)
                 ends = index["ids_end"].astype(np.int64)
                 begins = np.concatenate([[0], ends[:-1]]) if docs else ends
@@ -342,7 +321,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         names=["doc_id", "start", "n_tokens", "ids"],
                     )
 
-    return shards.repartition(max(1, manifest.count()), "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return shards.repartitionById(max(1, manifest.count()), "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def crc_of_ids(read: DataFrame) -> DataFrame:
