@@ -24,10 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 from .common import saved
 
 DEGREE, TREES, PER_TREE, CELL, ROUNDS, BEAM, EXPAND, SEED = 32, 8, 12, 256, 20, 96, 80, 7
+#: Reverse edges of a node that the search follows at most.
+BACK = 64
 #: Rounds end at this share of new edges.
 FEW = 0.002
 #: Directions that large cells of a tree are cut across, and parts of a cut at most.
@@ -200,7 +203,9 @@ def neighbour_graph(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 def greedy_search(starts: DataFrame, graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """(start, node, score): the best nodes met from each node of starts (start), itself included."""
-    both = saved(graph.select("src", "dst").union(graph.select("dst", "src")).distinct(), "edges")
+    # a long vector is near to very many; of those that lead to it the nearest ones are edges of its own
+    reverse = best_of(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "score"), BACK)
+    both = saved(graph.select("src", "dst").union(reverse.select("src", "dst")).distinct(), "edges")
     own = starts.join(nodes, F.col("start") == F.col("node")).select("start", F.col("vec").alias("q"))
     beam = saved(own.select("start", F.col("start").alias("node"), dot(F.col("q"), F.col("q")).alias("score"), F.lit(False).alias("done")), "beam")
     width = max(BEAM, 2 * k)
@@ -217,10 +222,12 @@ def greedy_search(starts: DataFrame, graph: DataFrame, nodes: DataFrame, k: int)
         beam = saved(kept.union(found).withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= width).drop("_r"), "beam")
 
 
-def nearest(embeddings: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
+def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, rounds: int = ROUNDS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query, the rows whose vec_id is
     divisible by `every`."""
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vec")).where(F.col("vec_id").isNotNull() & valid(F.col("embedding")))
+    kind = embeddings.schema["embedding"].dataType
+    exact = kind.simpleString() if isinstance(kind, ArrayType) and isinstance(kind.elementType, (FloatType, DoubleType)) else "array<double>"
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(exact).alias("vec")).where(F.col("vec_id").isNotNull() & valid(F.col("embedding")))
     sizes = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if sizes is None:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
@@ -231,7 +238,7 @@ def nearest(embeddings: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     # of equal vectors no query needs more than the k + 1 smallest ids
     members = saved(hashed.withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1).select(F.col("h").alias("node"), "vec_id"), "members")
     queries = saved(hashed.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("h").alias("start")), "queries")
-    found = greedy_search(queries.select("start").distinct(), neighbour_graph(nodes), nodes, k)
+    found = greedy_search(queries.select("start").distinct(), neighbour_graph(nodes, rounds), nodes, k)
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     first = Window.partitionBy("start").orderBy(F.desc("score"), "node")
     found = found.withColumn("r", F.row_number().over(first)).where(F.col("r") <= 2 * k).drop("r")
