@@ -84,9 +84,9 @@ def node_of(s: np.ndarray) -> int:
 
 
 def sets_of(batch: pa.RecordBatch, column: int):
-    """(row, set) of a batch, a few MB of text at a time."""
+    """(row, set) of a batch, half a MB of text at a time."""
     raw, offsets = utf8(batch.column(column))
-    for i, j in blocks(offsets, 1 << 21):
+    for i, j in blocks(offsets, 1 << 19):
         yield from zip(range(i, j), shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
 
 

@@ -33,7 +33,7 @@ from .common import blocks, mix, utf8
 MARK = "▁"
 RATE, SEED = 0.1, 17
 #: Characters of a unit whose agenda is a row of a table; bytes of text taken at once; rows in step.
-LONG, BLOCK_BYTES, ROWS = 64, 1 << 23, 1 << 15
+LONG, BLOCK_BYTES, ROWS = 64, 1 << 21, 1 << 14
 NONE, CANDIDATE, CHAIN = np.int32(2**31 - 1), 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 _codecs: dict[tuple, Codec] = {}
 

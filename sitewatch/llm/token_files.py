@@ -108,7 +108,7 @@ def piece_encoder(setup: dict):
 #: Cyrillic, marks, general punctuation, kana, the first ideographs, Hangul. Runs with others go whole.
 SAFE = "\\x21-\\x7e\\xa1-\\u0377\\u0400-\\u052f\\u2010-\\u2027\\u2030-\\u205e\\u3041-\\u3096\\u30a1-\\u30fa\\u4e00-\\u9fa5\\uac00-\\ud7a3"
 #: Bytes of text whose words are encoded together.
-BLOCK_BYTES = 1 << 24
+BLOCK_BYTES = 1 << 22
 
 
 def word_encoder(path: str) -> Callable[[pa.Array, int], list[np.ndarray]]:

@@ -45,7 +45,7 @@ ORDER, DECAY, LANDMARKS, THRESHOLD, ROUNDS = 3, 0.7, 64, 0.3, 6
 #: Lengths of the word beginnings that may be landmarks; letters of a unit looked at together.
 STEMS, SPAN, CANDIDATES = range(3, 11), 24, 3000
 #: Bytes of text taken at once.
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 1 << 22
 START = ord("^")
 
 
