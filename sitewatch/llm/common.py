@@ -56,7 +56,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     bounded_batches(spark)
     path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the files of a saved() table that nothing reads any more, as each round of a loop leaves one."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
@@ -189,7 +198,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
         small_least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(small_least, "b").select(F.col("m").alias("x"), F.col("a").alias("y")).union(small_least.select("m", "b")).where("x <> y")
-        edges = saved(small.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        old, edges = edges, saved(small.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        discard(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break

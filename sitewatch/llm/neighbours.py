@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
-from .common import saved
+from .common import discard, saved
 
 DEGREE, TREES, PER_TREE, CELL, ROUNDS, BEAM, EXPAND, SEED = 32, 8, 12, 256, 20, 96, 80, 7
 #: Reverse edges of a node that the search follows at most.
@@ -195,7 +195,8 @@ def neighbour_graph(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     n, dim = nodes.count(), (nodes.select(F.size("vec").alias("d")).first() or [1])[0]
     graph = saved(first_graph(nodes, n, dim).withColumn("new", F.lit(True)), "graph")
     for _ in range(rounds):
-        graph = saved(descend(graph, nodes), "graph")
+        old, graph = graph, saved(descend(graph, nodes), "graph")
+        discard(old)
         if graph.where("new").count() <= FEW * graph.count():
             break
     return graph.drop("new")
@@ -219,7 +220,8 @@ def greedy_search(starts: DataFrame, graph: DataFrame, nodes: DataFrame, k: int)
         found = found.join(beam.select("start", "node"), ["start", "node"], "left_anti")
         found = found.join(nodes, "node").join(own, "start").select("start", "node", dot(F.col("q"), F.col("vec")).alias("score"), F.lit(False).alias("done"))
         kept = ranked.select("start", "node", "score", (F.col("done") | (F.col("_r") <= max(EXPAND, k + 1))).alias("done"))
-        beam = saved(kept.union(found).withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= width).drop("_r"), "beam")
+        old, beam = beam, saved(kept.union(found).withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= width).drop("_r"), "beam")
+        discard(old)
 
 
 def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, rounds: int = ROUNDS) -> DataFrame:
