@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import lean, saved
 
 CONTROL = ("<s>", "[INST]", "[/INST]", "</s>")
 ROLE_OPEN, ROLE_CLOSE = "<<", ">>"
@@ -80,7 +80,7 @@ def segments(conversations: DataFrame, tokenizer: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(lead, pa.int32()), pa.array(tail, pa.int32())], names=["conv_id", "turn", "role", "text", "ids", "lead", "tail"])
 
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "conv_id long, turn long, role string, text string, ids array<int>, lead int, tail int")
+    return rows.mapInArrow(lean(run), "conv_id long, turn long, role string, text string, ids array<int>, lead int, tail int")
 
 
 def formatted(conversations: DataFrame, tokenizer: str) -> DataFrame:
@@ -153,7 +153,7 @@ def read_back(output: DataFrame, tokenizer: str) -> DataFrame:
             yield digests(done)
 
     rows = output.select("conv_id", "place", "start", "ids", "loss_start", "loss_end")
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "place").mapInArrow(run, DIGEST)
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "place").mapInArrow(lean(run), DIGEST)
 
 
 def digests(done: list[tuple]) -> pa.RecordBatch:

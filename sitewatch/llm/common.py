@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -20,7 +22,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 #: Bytes of an Arrow batch on its way to a Python worker, about; a longer text is alone in one.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 2 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -30,6 +32,21 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run for mapInArrow, giving memory it no longer needs back to the system at its end: a worker waits
+    for its next task, beside others, with what it last took."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library than glibc
+            pass
+
+    return whole
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share; where it is unset
     (local mode, tests) a new temporary folder is set."""
@@ -164,7 +181,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE ** i and its inverse modulo 2 ** 64 for i below n."""
-    if len(_powers.get("up", ())) < n:
+    if "up" not in _powers or len(_powers["up"]) < n:
         size = max(n, 1 << 16)
         for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
             x = np.full(size, base, np.uint64)

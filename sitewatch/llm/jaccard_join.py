@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, connected_components, filter_place, id_filter, in_filter, mix, prefix_sums, saved, stretch_hashes, utf8
+from .common import blocks, connected_components, filter_place, id_filter, in_filter, lean, mix, prefix_sums, saved, stretch_hashes, utf8
 
 SHINGLE, PERCENT, SHARED = 5, 80, 8
 #: Counters of the sketch, in slices; 4 MB once reduced to a byte each. Documents of a block at most.
@@ -115,7 +115,7 @@ def measured(docs: DataFrame) -> DataFrame:
         none = pa.nulls(k, pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "key", "n", "node", "slice", "counts"])
 
-    return docs.mapInArrow(run, "doc_id long, key long, n long, node long, slice int, counts binary")
+    return docs.mapInArrow(lean(run), "doc_id long, key long, n long, node long, slice int, counts binary")
 
 
 def frequency_classes(sketch: DataFrame) -> np.ndarray:
@@ -158,7 +158,7 @@ def prefixes(docs: DataFrame, classes) -> DataFrame:
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths))], names=["token", "node", "n"])
 
-    return docs.mapInArrow(run, "token long, node long, n int")
+    return docs.mapInArrow(lean(run), "token long, node long, n int")
 
 
 def filtered(docs: DataFrame, bits) -> DataFrame:
@@ -176,7 +176,7 @@ def filtered(docs: DataFrame, bits) -> DataFrame:
                 part = passing.take(pa.array(first[i : i + 500]))
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array([squeeze.compress(t or b"") for t in part.column(0).cast(pa.binary()).to_pylist()], pa.binary())], names=["key", "packed"])
 
-    return docs.select("text", "key", filter_place("key").alias("place")).mapInArrow(run, "key long, packed binary")
+    return docs.select("text", "key", filter_place("key").alias("place")).mapInArrow(lean(run), "key long, packed binary")
 
 
 def links_within(sets: list[np.ndarray], side: np.ndarray, roots: list[int]) -> list[tuple[int, int]]:
@@ -267,7 +267,7 @@ def opened(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     rows = pairs.join(filtered(docs, bits), "key").select("pair", "side", "node", "root", "packed")
-    return rows.repartition("pair").sortWithinPartitions("pair").mapInArrow(run, "a long, b long")
+    return rows.repartition("pair").sortWithinPartitions("pair").mapInArrow(lean(run), "a long, b long")
 
 
 def met_pairs(matrix: DataFrame, by: str) -> DataFrame:

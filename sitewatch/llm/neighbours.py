@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
-from .common import discard, saved
+from .common import discard, lean, saved
 
 DEGREE, TREES, PER_TREE, CELL, ROUNDS, BEAM, EXPAND, SEED = 32, 8, 12, 256, 20, 96, 80, 7
 #: Reverse edges of a node that the search follows at most.
@@ -90,7 +90,7 @@ def first_graph(nodes: DataFrame, n: int, dim: int) -> DataFrame:
                 along = pa.FixedSizeListArray.from_arrays(pa.array((x @ w.T).reshape(-1)), SPLITS).cast(pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([pa.array(code * TREES + tree), batch.column(0), along], names=["cell", "node", "along"])
 
-    dealt = split_cells(nodes.mapInArrow(cells, "cell long, node long, along array<double>")).join(nodes, "node").select("cell", "node", "vec")
+    dealt = split_cells(nodes.mapInArrow(lean(cells), "cell long, node long, along array<double>")).join(nodes, "node").select("cell", "node", "vec")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, x in groups(batches):
@@ -101,7 +101,7 @@ def first_graph(nodes: DataFrame, n: int, dim: int) -> DataFrame:
                 at = np.argpartition(-s, k - 1, axis=1)[:, :k]
                 yield edges_of(np.repeat(ids, k), ids[at.reshape(-1)], np.take_along_axis(s, at, 1).reshape(-1))
 
-    edges = dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(near, "src long, dst long, score double")
+    edges = dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(lean(near), "src long, dst long, score double")
     return best_of(edges.dropDuplicates(["src", "dst"]), DEGREE)
 
 
@@ -169,7 +169,7 @@ def descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
         if n:
             yield best_edges(src, dst, score)
 
-    met = rows.repartition("src").sortWithinPartitions("src").mapInArrow(meet, "src long, dst long, score double")
+    met = rows.repartition("src").sortWithinPartitions("src").mapInArrow(lean(meet), "src long, dst long, score double")
     both = graph.withColumn("new", F.lit(False)).union(met.withColumn("new", F.lit(True)))
     return best_of(both.groupBy("src", "dst").agg(F.max("score").alias("score"), F.min("new").alias("new")), DEGREE)
 

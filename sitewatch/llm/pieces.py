@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, mix, utf8
+from .common import blocks, lean, mix, utf8
 
 MARK = "▁"
 RATE, SEED = 0.1, 17
@@ -333,7 +333,7 @@ def encoded(docs: DataFrame, path: str, rate: float = RATE, seed: int = SEED) ->
                 ids = own.encode(part.column(1), part.column(2).to_numpy().view(np.uint64))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), ids.cast(pa.binary())], names=["doc_id", "text", "ids"])
 
-    return keyed(docs, seed).mapInArrow(run, "doc_id long, text string, ids binary")
+    return keyed(docs, seed).mapInArrow(lean(run), "doc_id long, text string, ids binary")
 
 
 def decoded(rows: DataFrame, path: str) -> DataFrame:
@@ -344,7 +344,7 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), own.decode(batch.column(1)).cast(pa.string())], names=["doc_id", "text"])
 
-    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return rows.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str, rate: float = RATE, seed: int = SEED) -> DataFrame:
@@ -359,7 +359,7 @@ def round_trip(docs: DataFrame, path: str, rate: float = RATE, seed: int = SEED)
                 texts = own.decode(ids).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), pc.divide(pc.binary_length(ids), 2).cast(pa.int64()), ids, texts, pc.equal(texts, part.column(1))], names=["doc_id", "n_tokens", "ids", "decoded", "lossless"])
 
-    return keyed(docs, seed).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string, lossless boolean")
+    return keyed(docs, seed).mapInArrow(lean(run), "doc_id long, n_tokens long, ids binary, decoded string, lossless boolean")
 
 
 def model_path() -> str:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut_points, prefix_sums, range_of, stretch_hashes
+from .common import cut_points, lean, prefix_sums, range_of, stretch_hashes
 
 WINDOW, LETTERS, LEAST_BLOCK = 7, 64, 3
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -167,7 +167,7 @@ def edited_fingerprints(docs: DataFrame, docs_per_part: int = 3000) -> DataFrame
     places = F.when(F.col("before").isNull(), F.array(F.struct(F.col("part").alias("p"), F.lit(0).alias("peek")))).otherwise(F.array(F.struct(F.col("part").alias("p"), F.lit(0).alias("peek")), F.struct(F.col("before").alias("p"), F.lit(1).alias("peek"))))
     rows = at.select(F.explode(places).alias("x"), "doc_id", "text", "h").select("x.p", "doc_id", "text", "x.peek", "h")
     rows = rows.repartitionById(len(cuts) + 1, "p").sortWithinPartitions("p", "peek", F.col("doc_id").asc_nulls_first(), "h")
-    return rows.mapInArrow(compare_neighbours, SCHEMA)
+    return rows.mapInArrow(lean(compare_neighbours), SCHEMA)
 
 
 def op8_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

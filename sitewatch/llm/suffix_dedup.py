@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, filter_place, id_filter, in_filter, mix, prefix_sums, saved, stretch_hashes, utf8
+from .common import blocks, filter_place, id_filter, in_filter, lean, mix, prefix_sums, saved, stretch_hashes, utf8
 
 LENGTH, GRAM, COVER = 200, 48, 64
 #: Text bytes looked at at once; bytes of stretches sorted at once; stretches of a bucket at most, if it is
@@ -113,7 +113,7 @@ def anchored(docs: DataFrame) -> DataFrame:
                     row, start, windows, lead, anchor, whole = found
                     yield pa.RecordBatch.from_arrays([pa.array(keys[row + i]), pa.array((start + before).astype(np.int64)), pa.array(windows.astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64))], names=["key", "start", "windows", "lead", "anchor", "whole"])
 
-    return docs.select("key", "text").mapInArrow(run, FOUND)
+    return docs.select("key", "text").mapInArrow(lean(run), FOUND)
 
 
 STRETCH = "bucket long, key long, start long, windows int, lead int, one boolean, bytes binary"
@@ -144,7 +144,7 @@ def cut_out(rows: DataFrame) -> DataFrame:
         if out:
             yield stretches(out)
 
-    return rows.mapInArrow(run, STRETCH)
+    return rows.mapInArrow(lean(run), STRETCH)
 
 
 def chunked(rows: DataFrame, chunk: int) -> DataFrame:
@@ -170,7 +170,7 @@ def chunked(rows: DataFrame, chunk: int) -> DataFrame:
         if out:
             yield as_found(out)
 
-    return rows.mapInArrow(run, FOUND)
+    return rows.mapInArrow(lean(run), FOUND)
 
 
 FOUND = "key long, start long, windows int, lead int, anchor long, whole long"
@@ -282,7 +282,7 @@ def sorted_buckets(rows: DataFrame) -> DataFrame:
         if held:
             yield close()
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long, low long, past long")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), "key long, low long, past long")
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -316,7 +316,7 @@ def without(rows: DataFrame, bits=None) -> DataFrame:
                 out.append((doc_id, len(text or b""), len(text or b"") - len(kept), spans, hashlib.sha256(kept).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string() if i == 4 else pa.int64()) for i in range(5)], names=[c.split()[0] for c in RESULT.split(", ")])
 
-    return rows.select("doc_id", "text", "marks" if bits is None else filter_place("key").alias("place")).mapInArrow(run, RESULT)
+    return rows.select("doc_id", "text", "marks" if bits is None else filter_place("key").alias("place")).mapInArrow(lean(run), RESULT)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -360,7 +360,7 @@ def filtered(docs: DataFrame, bits, passing: bool = True) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(in_filter(bits.value, batch.column(batch.num_columns - 1).to_numpy()) == passing))
 
-    return docs.withColumn("_place", filter_place("key")).mapInArrow(run, docs.withColumn("_place", filter_place("key")).schema).drop("_place")
+    return docs.withColumn("_place", filter_place("key")).mapInArrow(lean(run), docs.withColumn("_place", filter_place("key")).schema).drop("_place")
 
 
 def key_of(docs: DataFrame) -> Column:
@@ -395,7 +395,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), batch.column(1)], names=["text", "row"])
 
     touched = filtered(rows, bits).join(marks, "key", "left").select("text", "row", "marks")
-    both = touched.mapInArrow(run, rows.select("text", "row").schema).union(filtered(rows, bits, False).select("text", "row"))
+    both = touched.mapInArrow(lean(run), rows.select("text", "row").schema).union(filtered(rows, bits, False).select("text", "row"))
     return both.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import AtomicFile, blocks, cut_points, file_system, hash_sample, new_folder, range_of, saved, utf8
+from .common import AtomicFile, blocks, cut_points, file_system, hash_sample, lean, new_folder, range_of, saved, utf8
 
 MAGIC = b"TOKSHRD1"
 INDEX = np.dtype([("doc_id", "<i8"), ("no_id", "u1"), ("frame_end", "<u8"), ("ids_end", "<u8")])
@@ -213,7 +213,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, width: int, dictionary
                     names=["part", "doc_id", "n", "crc", "ids"],
                 )
 
-    return docs.mapInArrow(run, "part int, doc_id long, n long, crc long, ids binary")
+    return docs.mapInArrow(lean(run), "part int, doc_id long, n long, crc long, ids binary")
 
 
 def trained(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> bytes:
@@ -256,7 +256,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([path]), pa.array([len(index)], pa.int64()), pa.array([total], pa.int64())], names=["shard", "path", "n_docs", "n_ids"])
 
     rows = encoded(parts, tokenizer, end_id, width, dictionary).repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "crc", "n")
-    return saved(rows.mapInArrow(write, "shard int, path string, n_docs long, n_ids long"), "manifest")
+    return saved(rows.mapInArrow(lean(write), "shard int, path string, n_docs long, n_ids long"), "manifest")
 
 
 def by_part(batches: Iterator[pa.RecordBatch]):
@@ -321,7 +321,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         names=["doc_id", "start", "n_tokens", "ids"],
                     )
 
-    return shards.repartitionById(max(1, manifest.count()), "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return shards.repartitionById(max(1, manifest.count()), "shard").mapInArrow(lean(read), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def crc_of_ids(read: DataFrame) -> DataFrame:

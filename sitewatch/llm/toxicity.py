@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, saved, utf8
+from .common import blocks, lean, saved, utf8
 
 TOXIC_DOCS, CLEAN_DOCS = 3000, 6000
 ORDER, DECAY, LANDMARKS, THRESHOLD, ROUNDS = 3, 0.7, 64, 0.3, 6
@@ -307,7 +307,7 @@ def stem_counts(sample: DataFrame) -> list[tuple[str, int, int]]:
                 part = stems[i : i + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([counts[1][s] for s in part], pa.int64()), pa.array([counts[0][s] for s in part], pa.int64())], names=["stem", "t", "c"])
 
-    found = sample.mapInArrow(run, "stem string, t long, c long").groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where("t >= 2")
+    found = sample.mapInArrow(lean(run), "stem string, t long, c long").groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where("t >= 2")
     tells = F.col("t") * F.log((F.col("t") + 0.5) / (4 * F.col("c") + 0.5))
     return [(r["stem"], r["t"], r["c"]) for r in found.where(tells > 0).orderBy(tells.desc(), "stem").limit(CANDIDATES).collect()]
 
@@ -342,7 +342,7 @@ def most_toxic(sample: DataFrame, model: Model) -> list[tuple[int, int, str, flo
             margin, unit = np.concatenate([np.zeros(0), *(m for m, _ in found)]), [u for _, us in found for u in us]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(unit, pa.string()), pa.array(margin)], names=["doc_id", "toxic", "unit", "margin"])
 
-    return sorted(tuple(r) for r in sample.mapInArrow(run, "doc_id long, toxic int, unit string, margin double").collect())
+    return sorted(tuple(r) for r in sample.mapInArrow(lean(run), "doc_id long, toxic int, unit string, margin double").collect())
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
@@ -389,7 +389,7 @@ def scored(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -
             score = own.scores(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(run, RESULT)
+    return rows.mapInArrow(lean(run), RESULT)
 
 
 _models: dict[bytes, Model] = {}

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import AtomicFile, cut_points, file_system, hash_sample, new_folder, range_of, saved
+from .common import AtomicFile, cut_points, file_system, hash_sample, lean, new_folder, range_of, saved
 
 SKIPPABLE, DATE = 0x184D2A5D, "2024-01-01T00:00:00Z"
 #: Pages that train the dictionary, by the order of a hash of page_id, and bytes of such a page at most: a
@@ -178,7 +178,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, pages_per_arch
                     row = next(source, None)
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], names=["path", "records"])
 
-    return saved(rows.mapInArrow(write, "path string, records long"), "archives")
+    return saved(rows.mapInArrow(lean(write), "path string, records long"), "archives")
 
 
 RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
@@ -208,7 +208,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 if seen != records:
                     raise BadRecord(f"{path} has {seen} records, not {records}")
 
-    return manifest.select("path", "records").repartition(max(1, manifest.count()), "path").mapInArrow(read, RECORD)
+    return manifest.select("path", "records").repartition(max(1, manifest.count()), "path").mapInArrow(lean(read), RECORD)
 
 
 def as_batch(rows: list[tuple]) -> pa.RecordBatch:
