@@ -31,7 +31,9 @@ def hour_grid(resolved: DataFrame) -> DataFrame:
 
 
 def closed(sessions: DataFrame) -> DataFrame:
-    return sessions.where("certified AND seconds IS NOT NULL")
+    """Certified sessions that are over, whatever an emission of an open one says about its end."""
+    rows = sessions.where("NOT is_open") if "is_open" in sessions.columns else sessions
+    return rows.where("certified AND seconds IS NOT NULL")
 
 
 def daily_minutes(sessions: DataFrame) -> DataFrame:
@@ -98,6 +100,28 @@ def violations(readings: DataFrame, roster: DataFrame, now: int, edge_ms: int =
     return live.union(unknown).union(absent).union(short)
 
 
+#: Rules that a caller may waive; the others hold always.
+WAIVABLE = ("absent witness", "short witness", "empty derivation")
+
+
+def guards(readings: DataFrame, roster: DataFrame, now: int, existing: DataFrame, fresh: DataFrame, waive: bool = False) -> DataFrame:
+    """violations() and two more: no readings at all, and nothing derived where sessions exist that the
+    rebuild would remove. existing, fresh: sessions (crossing_id, started) as they are and as derived."""
+    windows = readings.groupBy("crossing_id").agg(F.min("t").alias("low"), F.max("t").alias("high"))
+    none = readings.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(None).cast("string").alias("crossing_id"), F.lit("empty input").alias("rule"), F.lit("").alias("detail"))
+    lost = windows.join(fresh.select("crossing_id").distinct(), "crossing_id", "left_anti").join(existing.select(F.col("crossing_id").alias("_x"), "started"), (F.col("crossing_id") == F.col("_x")) & F.col("started").between(F.col("low"), F.col("high")))
+    lost = lost.groupBy("crossing_id").agg(F.count("*").alias("n")).select("crossing_id", F.lit("empty derivation").alias("rule"), F.col("n").cast("string").alias("detail"))
+    out = none.union(violations(readings, roster, now)).union(lost)
+    return out.where(~F.col("rule").isin(*WAIVABLE)) if waive else out
+
+
+def refuse(violations: DataFrame) -> None:
+    """Raises if there are violations; names some of them."""
+    found = violations.limit(5).collect()
+    if found:
+        raise ValueError("; ".join(f"{r['rule']} ({r['crossing_id']} {r['detail']})" for r in found))
+
+
 def rebuilt(old: DataFrame, new: DataFrame, windows: DataFrame) -> DataFrame:
     """Sessions after a rebuild: old ones that began outside their crossing's window, and all new ones.
     windows: (crossing_id, low, high), closed, a row a crossing."""

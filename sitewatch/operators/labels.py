@@ -26,6 +26,9 @@ def in_intervals(frames: DataFrame, intervals: DataFrame, low: Column, high: Col
 
 
 def in_core(frames: DataFrame, sessions: DataFrame, margin_ms: int = 120_000) -> DataFrame:
+    """Frames well within a session. Of sessions with a `closed` column only closed ones count, as nobody
+    knows where an open one ends; quiet() minds all of them."""
+    sessions = sessions.where("closed") if "closed" in sessions.columns else sessions
     return in_intervals(frames, sessions, F.col("started") + margin_ms, F.col("ended") - margin_ms)
 
 

@@ -65,6 +65,15 @@ def score(frames: DataFrame, roster: DataFrame, judge: Scorer) -> DataFrame:
     return seen.unionByName(unscored(rows.where("NOT scores")), allowMissingColumns=True).drop("scores")
 
 
+def groups(roster: DataFrame) -> DataFrame:
+    """Per crossing of a roster (camera_id, crossing_id, scores, lat, lon): its cameras, those that score, and
+    the first coordinates there are."""
+    there = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    names = lambda on: F.array_sort(F.collect_set(F.when(on, F.col("camera_id"))))
+    rows = roster.groupBy("crossing_id").agg(names(F.lit(True)).alias("cameras"), names(F.col("scores")).alias("witnesses"), F.min_by(F.when(there, F.struct("lat", "lon")), F.when(there, F.col("camera_id"))).alias("at"))
+    return rows.select("crossing_id", "cameras", "witnesses", "at.lat", "at.lon")
+
+
 def in_window(rows: DataFrame, since: int | None, until: int | None) -> DataFrame:
     """Rows from `since` on, before `until`."""
     rows = rows if since is None else rows.where(F.col("t") >= since)

@@ -230,6 +230,21 @@ def _(spark, sf_dir):
     return labels.exam(judged.select(F.lit("head").alias("judge"), name("label").alias("truth"), name("predicted").alias("verdict")))
 
 
+@query("roster_places", f"WITH {READINGS_SQL}, r AS (SELECT DISTINCT crossing_id, camera_id, substr(camera_id, 2)::INT AS n FROM readings) SELECT crossing_id, string_agg(camera_id, ',' ORDER BY camera_id) AS cameras, string_agg(camera_id, ',' ORDER BY camera_id) FILTER (camera_id <> 'C5') AS witnesses, (arg_min(n, camera_id) FILTER (n >= 2))::DOUBLE AS lat, (-arg_min(n, camera_id) FILTER (n >= 2))::DOUBLE AS lon FROM r GROUP BY 1")
+def _(spark, sf_dir):
+    n = F.substring("camera_id", 2, 9).cast("double")
+    rows = roster(spark, sf_dir).withColumns({"lat": F.when(n >= 2, n), "lon": F.when(n >= 2, -n)})
+    return scoring.groups(rows).select("crossing_id", F.array_join("cameras", ",").alias("cameras"), F.array_join("witnesses", ",").alias("witnesses"), "lat", "lon")
+
+
+@query("rebuild_guards", f"""WITH {SESSIONS_SQL}, w AS (SELECT crossing_id, min(t) AS low, max(t) AS high FROM readings WHERE camera_id <> 'C4' GROUP BY 1), e AS (SELECT s.crossing_id, count(*) AS n FROM sessions s JOIN w ON w.crossing_id = s.crossing_id AND s.started BETWEEN low AND high WHERE s.crossing_id = 'X1' GROUP BY 1)
+ SELECT crossing_id, 'absent witness' AS rule, 'C4' AS detail FROM w WHERE crossing_id = 'X1' UNION ALL SELECT crossing_id, 'empty derivation', n::VARCHAR FROM e UNION ALL SELECT crossing_id, 'live edge', high::VARCHAR FROM w WHERE high > {NEXT} - 900000
+ UNION ALL SELECT crossing_id, 'short witness', camera_id FROM (SELECT crossing_id, camera_id, low - min(low) OVER (PARTITION BY crossing_id) AS late, max(high) OVER (PARTITION BY crossing_id) - high AS early FROM (SELECT crossing_id, camera_id, min(t) AS low, max(t) AS high FROM readings WHERE camera_id <> 'C4' GROUP BY 1, 2)) WHERE camera_id <> 'C5' AND (late > 900000 OR early > 900000)""")
+def _(spark, sf_dir):
+    given, s = tables.readings(spark, sf_dir).where("camera_id <> 'C4'"), derived(spark, sf_dir)
+    return history.guards(given, roster(spark, sf_dir), NEXT, s, s.where("crossing_id <> 'X1'"))
+
+
 # --- live board ----------------------------------------------------------------------------------
 
 EMISSIONS_SQL = """emissions AS (SELECT session_id, crossing_id, true AS is_open, started AS seq, 0 AS part FROM sessions UNION ALL SELECT session_id, crossing_id, true, started + 1, 1 FROM sessions UNION ALL SELECT session_id, crossing_id, false, ended + 900001, 2 FROM sessions)"""

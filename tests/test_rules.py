@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitewatch.functions import ordered, scalars
-from sitewatch.operators import live_board, pages, polling, scenes, scoring, sessions, sweep, training
+from sitewatch.operators import history, labels, live_board, pages, polling, scenes, scoring, sessions, sweep, training
 from sitewatch.sources import files, inventory
 from sitewatch.streaming import live
 
@@ -279,3 +279,24 @@ def test_a_session_that_is_open_reaches_to_the_last_frame(spark):
     r = spark.createDataFrame([("a", "X", 0, 5, 1), ("a", "X", 0, None, 2), ("b", "X", 90, None, 1), ("c", "X", 2, 4, 1)], "session_id string, crossing_id string, started long, ended long, seq int")
     got = training.session_windows(r, spark.createDataFrame([("X", 50)], "crossing_id string, t long"))
     assert sorted((x["session_id"], x["ended"], x["closed"]) for x in got.collect()) == [("a", 50, False), ("c", 4, True)]
+
+
+def test_a_rebuild_is_refused(spark):
+    df = rows(spark, ("X", "a", 0, "BLOCKED"), ("X", "a", 90 * MIN, "CLEAR"))
+    roster = spark.createDataFrame([("a", "X", True), ("b", "X", True)], "camera_id string, crossing_id string, scores boolean")
+    s = spark.createDataFrame([("X", 5)], "crossing_id string, started long")
+    rules = lambda *a, **k: {r["rule"] for r in history.guards(*a, **k).collect()}
+    assert rules(df, roster, 200 * MIN, s, s.where("false")) == {"absent witness", "empty derivation"}
+    assert rules(df, roster, 200 * MIN, s, s.where("false"), waive=True) == set()
+    assert rules(df.where("false"), roster, 200 * MIN, s, s, waive=True) == {"empty input"}
+    assert rules(df, roster.where("false"), 100 * MIN, s, s, waive=True) == {"unknown crossing", "live edge"}
+    history.refuse(history.guards(df, roster, 200 * MIN, s, s, waive=True))
+    with pytest.raises(ValueError):
+        history.refuse(history.guards(df, roster, 200 * MIN, s, s))
+
+
+def test_open_sessions_give_no_core_but_no_quiet_either(spark):
+    frames = rows(spark, ("X", "a", 10 * MIN, "CLEAR"), ("X", "a", 200 * MIN, "CLEAR"))
+    s = spark.createDataFrame([("X", 0, 20 * MIN, False)], "crossing_id string, started long, ended long, closed boolean")
+    assert labels.in_core(frames, s).count() == 0 and labels.in_core(frames, s.drop("closed")).count() == 1
+    assert [r["t"] for r in labels.quiet(frames, s).collect()] == [200 * MIN]
