@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, jaccard_join, mixing, neighbours, oracle, pieces, piecewise, prefix_trie, suffix_dedup, token_files, toxicity, warc
+from . import chat, jaccard_join, mixing, neighbours, oracle, pieces, piecewise, prefix_trie, spelling, suffix_dedup, token_files, toxicity, url_filter, warc
 from .common import bounded_batches
 
 OPERATORS = {
@@ -20,6 +20,8 @@ OPERATORS = {
     "op8_piecewise_fingerprints": piecewise.op8_piecewise_fingerprints,
     "op9_chat": chat.op9_chat,
     "op10_token_files": token_files.op10_token_files,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_url_filter": url_filter.op12_url_filter,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
