@@ -58,3 +58,15 @@ def with_running(rows: DataFrame, keys: list[str], order: list[str], sums: dict[
     out = _joined(rows.withColumns(found), edges, keys)
     merged = {n: F.coalesce(n, F.lit(0)) + F.coalesce(f"_e_{n}", F.lit(0)) for n in sums} | {n: F.greatest(n, f"_e_{n}") for n in maxima}
     return out.withColumns(merged).drop("_day", *[f"_e_{n}" for n in (*sums, *maxima)])
+
+
+def with_last(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, str], before: bool = False) -> DataFrame:
+    """The last value that isn't null (new column: column) up to this row by `order`, or up to the one before it."""
+    rows = rows.withColumn("_day", _day(order[0]))
+    within = Window.partitionBy(*keys, "_day").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    earlier = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.struct(*order)
+    lasts = rows.groupBy(*keys, "_day").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"_t_{n}") for n, c in values.items()])
+    edges = lasts.withColumns({f"_e_{n}": F.last(f"_t_{n}", True).over(earlier) for n in values})
+    out = _joined(rows.withColumns({n: F.last(c, True).over(within) for n, c in values.items()}), edges, keys)
+    return out.withColumns({n: F.coalesce(n, f"_e_{n}") for n in values}).drop("_day", *[f"_e_{n}" for n in values])

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import DAY_MS
 from ..functions.scalars import folded
 
 HOUR = 3_600_000
@@ -76,25 +76,53 @@ def match_names(targets: DataFrame, items: DataFrame) -> DataFrame:
     return targets.join(first, folded("name") == F.col("_f"), "left").select("target_id", "name", "item_id")
 
 
+def next_pick(times: np.ndarray, stride_ms: int) -> np.ndarray:
+    """Of each of the sorted times the place of the first at least a stride later; len(times) is a place for none."""
+    return np.maximum(np.searchsorted(times, times + stride_ms), np.arange(1, len(times) + 1))
+
+
 def stride_sample(frames: DataFrame, stride_ms: int) -> DataFrame:
     """Of each camera the first frame, then the first at least a stride after the one taken before.
 
-    A recurrence, so a camera's distinct times pass one task, sorted and a batch at a time."""
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        camera, due = None, 0
-        for frame in frames:
-            picks = []
-            for c, t in zip(frame["camera_id"], frame["t"]):
-                if c != camera:
-                    camera, due = c, t
-                if t >= due:
-                    picks.append((c, t))
-                    due = t + stride_ms
-            yield pd.DataFrame(picks, columns=["camera_id", "t"])
-
-    times = frames.select("camera_id", "t").distinct()
-    return times.repartition("camera_id").sortWithinPartitions("camera_id", "t").mapInPandas(fold, "camera_id string, t long")
+    A camera's times are cut into units of a day (or eight strides). Within a unit every time points to the pick
+    that would follow it; doubling the pointers gives the last pick from any time on. As a pick reaches a
+    stride into the next unit at most, only the times of a unit's first stride, and the first behind it, can be
+    its first pick: these with the instant from which the pick after the unit's last is due are the unit's
+    function. Functions are composed along units, and each unit's picks follow from its first."""
+    unit = max(DAY_MS, 8 * stride_ms)
+
+    @F.pandas_udf("array<struct<first: long, due: long>>")
+    def function(units: pd.Series) -> pd.Series:
+        def of(times: np.ndarray) -> list[dict]:
+            step = next_pick(times, stride_ms)
+            last = np.where(step < len(times), step, np.arange(len(times)))
+            while (further := last[last]).tobytes() != last.tobytes():
+                last = further
+            n = min(len(times), int(np.searchsorted(times, times[0] // unit * unit + stride_ms)) + 1)
+            return [{"first": int(f), "due": int(d) + stride_ms} for f, d in zip(times[:n], times[last[:n]])]
+
+        return units.map(of)
+
+    @F.pandas_udf("array<long>")
+    def picks(units: pd.Series, firsts: pd.Series) -> pd.Series:
+        def of(times: np.ndarray, first: int) -> np.ndarray:
+            step = np.append(next_pick(times, stride_ms), len(times))
+            found = np.array([np.searchsorted(times, first)])
+            while len(more := np.setdiff1d(step[found], found)) and more[0] < len(times):
+                found, step = np.union1d(found, more), step[step]
+            return times[found[found < len(times)]]
+
+        return pd.Series([of(t, f) for t, f in zip(units, firsts)])
+
+    times = frames.select("camera_id", "t").where("t IS NOT NULL").groupBy("camera_id", F.floor(F.col("t") / unit).alias("u")).agg(F.array_sort(F.collect_set("t")).alias("times"))
+    per = times.withColumn("f", function("times")).groupBy("camera_id").agg(F.array_sort(F.collect_list(F.struct("u", "f"))).alias("units"))
+    # along the units: [the instant a pick is due from, then each unit's first pick or null]
+    due = lambda fs, at: F.get(F.filter(fs, lambda x: x["first"] >= at), F.lit(0))
+    low = F.lit(-(1 << 62)).cast("long")
+    walked = F.aggregate("units", F.array(low), lambda a, u: F.concat(F.array(F.coalesce(due(u["f"], a[0])["due"], a[0])), F.slice(a, F.lit(2), F.size(a)), F.array(due(u["f"], a[0])["first"])))
+    firsts = per.select("camera_id", "units", walked.alias("w")).select("camera_id", "w", F.posexplode("units").alias("i", "x")).select(F.col("camera_id").alias("_c"), F.col("x.u").alias("_u"), F.get("w", F.col("i") + 1).alias("first")).where("first IS NOT NULL")
+    begun = times.join(firsts, F.col("camera_id").eqNullSafe(F.col("_c")) & (F.col("u") == F.col("_u")))
+    return begun.select("camera_id", F.explode(picks("times", "first")).alias("t"))
 
 
 def add_new(existing: DataFrame, more: DataFrame, key: str) -> DataFrame:

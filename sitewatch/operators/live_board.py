@@ -33,9 +33,9 @@ def open_sessions(emissions: DataFrame) -> DataFrame:
 
 
 def session_changes(emissions: DataFrame, values: list[str]) -> DataFrame:
-    """The emissions that differ from their crossing's one before, by seq."""
-    before = F.lag(F.struct(*values)).over(Window.partitionBy("crossing_id").orderBy("seq"))
-    return emissions.withColumn("_b", before).where(~F.col("_b").eqNullSafe(F.struct(*values)) | F.col("_b").isNull()).drop("_b")
+    """The emissions that differ from their crossing's one before, by seq (milliseconds)."""
+    rows = with_previous(emissions, ["crossing_id"], ["seq"], values, "_b")
+    return rows.where(~F.col("_b").eqNullSafe(F.struct(*values)) | F.col("_b").isNull()).drop("_b")
 
 
 def full_board(readings: DataFrame, roster: DataFrame, emissions: DataFrame, at: int, stale_ms: int = 15 * 60_000) -> DataFrame:
@@ -56,14 +56,6 @@ def board_changes(before: DataFrame, now: DataFrame, visible: list[str]) -> Data
     return now.join(old, F.col("crossing_id") == F.col("_c"), "left").where(~F.struct(*visible).eqNullSafe(F.col("_old"))).select(now.columns)
 
 
-def alerted_at(edges: DataFrame, instants: DataFrame) -> DataFrame:
-    """Whether a crossing's alert stands at given instants (crossing_id, at): the last mark (mark F or R, t)
-    before or at it is F."""
-    rows = edges.select("crossing_id", "t", "mark", F.lit(None).cast("long").alias("at")).unionByName(instants.select("crossing_id", F.col("at").alias("t"), F.lit(None).cast("string").alias("mark"), "at"))
-    order = Window.partitionBy("crossing_id").orderBy("t", F.col("mark").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("_m", F.last("mark", True).over(order)).where("at IS NOT NULL").select("crossing_id", "at", F.coalesce(F.col("_m") == "F", F.lit(False)).alias("alerted"))
-
-
 def fresh_alerts(alerts: DataFrame, now: int, catching_up: bool, fresh_ms: int = 10 * 60_000) -> DataFrame:
     """Alerts to send: while a stream catches up, those of old edges are held back."""
     return alerts.where(F.col("t") >= now - fresh_ms) if catching_up else alerts

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import with_last, with_previous, with_running
 
+ORDER = ["fetched", "event_id"]
 #: Characters of an error's message that are kept.
 MESSAGE = 500
 
@@ -21,14 +23,14 @@ def frames(polls: DataFrame) -> DataFrame:
     frame first stored for those bytes. The event time is Last-Modified unless it is absent or later
     than the poll. What is neither 304 nor 200 with a body is an error: its event time is the poll's, its
     message is cut, and it has no key."""
-    order = Window.partitionBy("camera_id").orderBy("fetched", "event_id")
-    before, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
-    status = F.when(F.col("http") == 304, "not_modified").when(F.col("http").isNull() | (F.col("http") != 200) | F.col("hash").isNull(), "error").when(F.col("hash").eqNullSafe(F.last("hash", True).over(before)), "duplicate").otherwise("ok")
+    polls = with_last(polls, ["camera_id"], ORDER, {"_stored": "hash"}, before=True)
+    status = F.when(F.col("http") == 304, "not_modified").when(F.col("http").isNull() | (F.col("http") != 200) | F.col("hash").isNull(), "error").when(F.col("hash").eqNullSafe(F.col("_stored")), "duplicate").otherwise("ok")
     usable = (F.col("status") != "error") & F.col("modified").isNotNull() & (F.col("modified") <= F.col("fetched"))
     message = F.when(F.col("status") == "error", F.substring(F.coalesce(F.col("error"), error_text()), 1, MESSAGE)) if "error" in polls.columns else F.when(F.col("status") == "error", F.substring(error_text(), 1, MESSAGE))
     rows = polls.withColumn("status", status).withColumn("message", message).withColumns({"t": F.when(usable, F.col("modified")).otherwise(F.col("fetched")), "t_source": F.when(usable, "last_modified").otherwise("fetched_at")})
     stored = F.when(F.col("status") == "ok", F.concat(F.col("camera_id"), F.lit("/"), F.col("t"), F.lit("-"), F.substring("hash", 1, 8)))
-    return rows.withColumn("_k", stored).withColumn("object_key", F.when(F.col("status") != "error", F.last("_k", True).over(upto))).drop("_k")
+    rows = with_last(rows.withColumn("_k", stored), ["camera_id"], ORDER, {"object_key": "_k"})
+    return rows.withColumn("object_key", F.when(F.col("status") != "error", F.col("object_key"))).drop("_k", "_stored")
 
 
 def counters(frames: DataFrame) -> DataFrame:
@@ -40,19 +42,21 @@ def counters(frames: DataFrame) -> DataFrame:
 
 def streaks(frames: DataFrame, longest_wait: int = 300) -> DataFrame:
     """Each error with its number in the row of errors it ends, and the advised wait in seconds."""
-    order = Window.partitionBy("camera_id").orderBy("fetched", "event_id")
-    good = F.sum((F.col("status") != "error").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rows = frames.withColumn("_g", good).where("status = 'error'")
-    rows = rows.withColumn("streak", F.row_number().over(Window.partitionBy("camera_id", "_g").orderBy("fetched", "event_id")))
-    return rows.withColumn("wait_s", F.least(F.pow(F.lit(2.0), F.least("streak", F.lit(30))), F.lit(float(longest_wait))).cast("long")).drop("_g")
+    rows = runs(frames).where("status = 'error'")
+    rows = with_running(rows.withColumn("_one", F.lit(1)), ["camera_id", "_g"], ORDER, {"streak": "_one"})
+    return rows.withColumn("wait_s", F.least(F.pow(F.lit(2.0), F.least("streak", F.lit(30))), F.lit(float(longest_wait))).cast("long")).drop("_g", "_one", "_good")
+
+
+def runs(frames: DataFrame) -> DataFrame:
+    """frames with `_g`, how many of the camera's were no errors up to each: errors in a row share it."""
+    return with_running(frames.withColumn("_good", (F.col("status") != "error").cast("int")), ["camera_id"], ORDER, {"_g": "_good"})
 
 
 def refresh_cadence(frames: DataFrame) -> DataFrame:
     """Per camera, between the times at which its distinct pictures were last seen: upper median, the
     gap at nine tenths of the sorted list, and how many gaps."""
     last = frames.where("hash IS NOT NULL").groupBy("camera_id", "hash").agg(F.max("t").alias("t"))
-    order = Window.partitionBy("camera_id").orderBy("t")
-    gaps = last.withColumn("gap", F.col("t") - F.lag("t").over(order)).where("gap IS NOT NULL")
+    gaps = with_previous(last, ["camera_id"], ["t", "hash"], ["t"]).withColumn("gap", F.col("t") - F.col("before.t")).where("gap IS NOT NULL")
     ranked = gaps.withColumns({"r": F.row_number().over(Window.partitionBy("camera_id").orderBy("gap")), "n": F.count("*").over(Window.partitionBy("camera_id"))})
     return ranked.groupBy("camera_id").agg(F.max(F.expr("CASE WHEN r = floor(n / 2) + 1 THEN gap END")).alias("median_ms"), F.max(F.expr("CASE WHEN r = floor(n * 0.9D) + 1 THEN gap END")).alias("p90_ms"), F.max("n").alias("gaps"))
 
@@ -60,11 +64,9 @@ def refresh_cadence(frames: DataFrame) -> DataFrame:
 def feed_health(frames: DataFrame, at: int, streak: int = 3, poll_ms: int = 5 * 60_000, image_ms: int = 15 * 60_000) -> DataFrame:
     """One verdict on all feeds at an instant: ok, capture_stale, upstream_down or upstream_stale, and since
     when: the last poll, the last that was no error, the last new picture."""
-    rows = frames.where(F.col("fetched") <= at)
-    order = Window.partitionBy("camera_id").orderBy("fetched", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    runs = rows.withColumn("_g", F.sum((F.col("status") != "error").cast("int")).over(order))
-    per = runs.groupBy("camera_id").agg(F.max("fetched").alias("polled"), F.max(F.when(F.col("status") == "ok", F.col("fetched"))).alias("imaged"), F.max(F.when(F.col("status") != "error", F.col("fetched"))).alias("answered"), F.max(F.struct("_g")).alias("g"))
-    errors = runs.where("status = 'error'").groupBy("camera_id", "_g").agg(F.count("*").alias("e"))
+    rows = runs(frames.where(F.col("fetched") <= at))
+    per = rows.groupBy("camera_id").agg(F.max("fetched").alias("polled"), F.max(F.when(F.col("status") == "ok", F.col("fetched"))).alias("imaged"), F.max(F.when(F.col("status") != "error", F.col("fetched"))).alias("answered"), F.max(F.struct("_g")).alias("g"))
+    errors = rows.where("status = 'error'").groupBy("camera_id", "_g").agg(F.count("*").alias("e"))
     per = per.join(errors, (per.camera_id == errors.camera_id) & (per.g["_g"] == errors["_g"]), "left").select(per.camera_id, "polled", "imaged", "answered", F.coalesce("e", F.lit(0)).alias("e"))
     all_ = per.agg(F.count("*").alias("cameras"), F.max("polled").alias("polled"), F.max("imaged").alias("imaged"), F.max("answered").alias("answered"), F.min("e").alias("least"))
     verdict = F.when(F.col("cameras") == 0, "ok").when(F.col("polled") < at - poll_ms, "capture_stale").when(F.col("least") >= streak, "upstream_down").when(F.col("imaged") < at - image_ms, "upstream_stale").otherwise("ok")

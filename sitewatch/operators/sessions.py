@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordered import with_next, with_previous, with_running
+from ..functions.automata import Machine, states
+from ..functions.ordered import DAY_MS, with_next, with_previous, with_running
 from ..functions.scalars import certified, session_id
 
 POLICY_PREFIX = "unscored/"
@@ -36,24 +37,55 @@ def derive_sessions(readings: DataFrame, policy: SessionPolicy = SessionPolicy()
     return out.select(session_id("crossing_id", "started").alias("session_id"), "crossing_id", "started", "ended", "seconds", "readings", "peak", "version", certified("readings", "seconds").alias("certified"))
 
 
-def edge_marks(readings: DataFrame, policy: AlertPolicy = AlertPolicy()) -> DataFrame:
-    """The readings at which an alert may begin (mark F: BLOCKED confirmed) or is over (R: CLEAR confirmed, or
-    the first after a silence), with `before`, the mark before it in its epoch."""
-    order = Window.partitionBy("crossing_id").orderBy("t", "event_id")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = readings.where("state <> 'UNKNOWN'").withColumn("epoch", F.sum(F.coalesce((F.col("t") - F.lag("t").over(order) > policy.silence_ms).cast("int"), F.lit(0))).over(upto))
-    epoch = Window.partitionBy("crossing_id", "epoch").orderBy("t", "event_id")
-    rows = rows.withColumn("run", F.sum(F.coalesce((F.col("state") != F.lag("state").over(epoch)).cast("int"), F.lit(0))).over(epoch.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("crossing_id", "epoch", "run").orderBy("t", "event_id")))
-    first = F.row_number().over(epoch) == 1
-    mark = F.when((F.col("state") == "BLOCKED") & (F.col("k") >= policy.confirm), "F").when(((F.col("state") == "CLEAR") & (F.col("k") >= policy.rearm)) | first, "R")
-    return rows.withColumn("mark", mark).where("mark IS NOT NULL").withColumn("before", F.lag("mark").over(epoch))
+#: What a row tells an alert's machine; LAPSE is added where a silence came before it.
+BLOCKED, CLEAR, LAPSE, ASK = 0, 1, 2, 4
+
+
+def alert_machine(policy: AlertPolicy = AlertPolicy()) -> Machine:
+    """States are (alert stands, streak): no streak, 1 to `confirm` BLOCKED in a row, or 1 to `rearm` CLEAR. A
+    state's number is below streaks(policy) as long as no alert stands."""
+    n = streaks(policy)
+
+    def move(state: int, symbol: int) -> int:
+        if symbol == ASK:
+            return state
+        on, streak = (0, 0) if symbol >= LAPSE else divmod(state, n)
+        if symbol % LAPSE == BLOCKED:
+            streak = min(streak + 1, policy.confirm) if streak <= policy.confirm else 1
+            return (1 if on or streak >= policy.confirm else 0) * n + streak
+        clear = min(streak - policy.confirm + 1, policy.rearm) if streak > policy.confirm else 1
+        return (0 if clear >= policy.rearm else on) * n + policy.confirm + clear
+
+    return Machine(tuple(tuple(move(s, x) for x in range(5)) for s in range(2 * n)))
+
+
+def streaks(policy: AlertPolicy) -> int:
+    return policy.confirm + policy.rearm + 1
+
+
+def alert_symbols(readings: DataFrame, policy: AlertPolicy) -> DataFrame:
+    """The readings that an alert's machine hears, with `_x`, what each tells it."""
+    rows = with_previous(readings.where("state <> 'UNKNOWN'"), ["crossing_id"], ["t", "event_id"], ["t"])
+    lapse = F.coalesce(F.col("t") - F.col("before.t") > policy.silence_ms, F.lit(False))
+    return rows.withColumn("_x", F.when(F.col("state") == "BLOCKED", BLOCKED).otherwise(CLEAR) + F.when(lapse, LAPSE).otherwise(0)).drop("before")
 
 
 def rising_edges(readings: DataFrame, policy: AlertPolicy = AlertPolicy()) -> DataFrame:
     """One alert per blockage: at the second BLOCKED in a row, then none until three CLEAR in a row or
     a silence. UNKNOWN is invisible."""
-    return edge_marks(readings, policy).where("mark = 'F' AND (before IS NULL OR before = 'R')").select("crossing_id", "t", "camera_id", "confidence")
+    n = streaks(policy)
+    rows = states(alert_symbols(readings, policy), ["crossing_id"], ["t", "event_id"], F.col("_x"), alert_machine(policy), "_was", "_is")
+    fires = (F.col("_is") >= n) & ((F.col("_was") < n) | (F.col("_x") == BLOCKED + LAPSE))
+    return rows.where(fires).select("crossing_id", "t", "camera_id", "confidence")
+
+
+def alerted_at(readings: DataFrame, instants: DataFrame, policy: AlertPolicy = AlertPolicy()) -> DataFrame:
+    """Whether a crossing's alert stands at given instants (crossing_id, at), each once, after what was read
+    up to them."""
+    heard = alert_symbols(readings, policy).select("crossing_id", "t", F.lit(0).alias("_ask"), F.col("event_id").cast("long").alias("event_id"), "_x")
+    asked = instants.select("crossing_id", F.col("at").alias("t"), F.lit(1).alias("_ask"), F.lit(0).cast("long").alias("event_id"), F.lit(ASK).alias("_x"))
+    rows = states(heard.unionByName(asked), ["crossing_id"], ["t", "_ask", "event_id"], F.col("_x"), alert_machine(policy), "_was", "_is")
+    return rows.where("_ask = 1").select("crossing_id", F.col("t").alias("at"), (F.col("_is") >= streaks(policy)).alias("alerted"))
 
 
 def blocked_spans(readings: DataFrame, hold_ms: int = 15 * 60_000) -> DataFrame:
@@ -118,21 +150,24 @@ def transitions(readings: DataFrame, stale_ms: int = 15 * 60_000) -> DataFrame:
 
 def suggested_gap(readings: DataFrame, least_ms: int = 15 * 60_000) -> DataFrame:
     """A gap for each camera: twice its longest interval, four medians, or the least."""
-    order = Window.partitionBy("camera_id").orderBy("t")
-    steps = readings.withColumn("d", F.col("t") - F.lag("t").over(order))
+    steps = with_previous(readings, ["camera_id"], ["t", "event_id"], ["t"]).withColumn("d", F.col("t") - F.col("before.t"))
     out = steps.groupBy("camera_id").agg(F.count("*").alias("n"), F.max("d").alias("worst"), F.percentile("d", 0.5).alias("median"))
     return out.select("camera_id", F.when(F.col("n") < 3, F.lit(float(least_ms))).otherwise(F.greatest(F.col("worst") * 2.0, F.col("median") * 4, F.lit(float(least_ms)))).alias("gap_ms"))
 
 
+#: Arrivals that one window orders.
+ARRIVALS = 10_000
+
+
 def newest_only(readings: DataFrame, arrival: str = "event_id") -> DataFrame:
     """Readings that were, on arrival, not older than what their camera had already sent."""
-    before = Window.partitionBy("camera_id").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    return readings.withColumn("_m", F.max("t").over(before)).where("_m IS NULL OR t >= _m").drop("_m")
+    spread = readings.withColumn("_arrived", F.col(arrival).cast("long") * (DAY_MS // ARRIVALS))
+    return with_running(spread, ["camera_id"], ["_arrived"], maxima={"_m": "t"}, before=True).where("_m IS NULL OR t >= _m").drop("_m", "_arrived")
 
 
 def flag_clusters(flags: DataFrame, least: int = 3, within_ms: int = 6 * 60_000) -> DataFrame:
     """Groups of at least `least` flags of a camera, each within `within_ms` of the one before."""
-    order = Window.partitionBy("camera_id").orderBy("t", "event_id")
-    rows = flags.withColumn("_b", F.coalesce((F.col("t") - F.lag("t").over(order) > within_ms).cast("int"), F.lit(0)))
-    rows = rows.withColumn("run", F.sum("_b").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    order = ["t", "event_id"]
+    rows = with_previous(flags, ["camera_id"], order, ["t"]).withColumn("_b", F.coalesce((F.col("t") - F.col("before.t") > within_ms).cast("int"), F.lit(0)))
+    rows = with_running(rows, ["camera_id"], order, {"run": "_b"})
     return rows.groupBy("camera_id", "run").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.count("*").alias("flags")).where(F.col("flags") >= least).drop("run")

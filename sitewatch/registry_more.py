@@ -302,7 +302,7 @@ def _(spark, sf_dir):
  SELECT r.crossing_id, r.t AS at, coalesce((SELECT arg_max(mark, (m.t, m.event_id)) FROM marks m WHERE m.crossing_id = r.crossing_id AND m.t <= r.t) = 'F', false) AS alerted FROM (SELECT DISTINCT crossing_id, t + 1000 AS t FROM readings WHERE event_id % 10 = 0) r""")
 def _(spark, sf_dir):
     r = tables.readings(spark, sf_dir)
-    return live_board.alerted_at(sessions.edge_marks(r), r.where("event_id % 10 = 0").select("crossing_id", (F.col("t") + 1000).alias("at")).distinct())
+    return sessions.alerted_at(r, r.where("event_id % 10 = 0").select("crossing_id", (F.col("t") + 1000).alias("at")).distinct())
 
 
 @query("feed_transitions", f"""WITH {FRAMES_SQL}, g AS (SELECT *, sum((status <> 'error')::INT) OVER (PARTITION BY camera_id ORDER BY fetched, event_id ROWS UNBOUNDED PRECEDING) AS g FROM frames),

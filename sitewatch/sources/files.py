@@ -65,6 +65,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def held(rows: DataFrame, name: str) -> DataFrame:
+    """rows written to scratch() and read again, where several steps need them."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def utc_ms(text: str) -> Column:
     """Milliseconds of an ISO instant; without an offset it is UTC, whatever the session's zone."""
     return F.expr(f"unix_millis(try_to_timestamp(CASE WHEN {text} RLIKE '(Z|[+-][0-9]{{2}}:?[0-9]{{2}})$' THEN {text} ELSE concat({text}, 'Z') END))")
