@@ -1,97 +1,75 @@
-"""Streaming hosts of the session and alert rules, and the sink that merges by key.
+"""Streaming hosts of the session and alert rules.
 
-Event time is the timestamp column `at`; rows later than the watermark are dropped by Spark and left to
-the batch rebuild, which owns history."""
+Event time is the timestamp column `at`; rows later than the watermark are kept apart (session_events) and left
+to the batch rebuild, which owns history."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.scalars import session_id
 from ..operators.sessions import AlertPolicy, SessionPolicy
 from ..sources.files import Record, decode, iso
+from . import stateful
 
 LATENESS = "2 minutes"
-EMITTED = "crossing_id string, started long, ended long, readings long, peak double, version string, is_open boolean"
-ALERT = "crossing_id string, t long, camera_id string, confidence double"
 
 
-def timed(readings: DataFrame) -> DataFrame:
-    """readings with `at`, the event time that watermarks need."""
+def timed(readings: DataFrame, beats: DataFrame | None = None) -> DataFrame:
+    """readings with `at`, the event time that watermarks need. beats (t) tell the time and nothing else: their
+    rows, null but for t and at, move the watermark while no reading comes, and no rule hears them. A beat
+    must not run ahead of what may still be read, so it is to carry the time up to which its log is complete."""
+    if beats is not None:
+        readings = readings.unionByName(beats.select("t"), allowMissingColumns=True)
     return readings.withColumn("at", F.timestamp_millis("t")).withWatermark("at", LATENESS)
 
 
-def growing_sessions(readings: DataFrame, policy: SessionPolicy = SessionPolicy()) -> DataFrame:
-    """A row whenever a session opens or grows (is_open) and one when it closes, under the same id.
+def session_events(readings: DataFrame, policy: SessionPolicy = SessionPolicy(), beats: DataFrame | None = None) -> DataFrame:
+    """A row whenever a session is opened, grows or is closed, and one for each BLOCKED reading that came too
+    late by the query's own watermark (kind late): every such reading is in a session or among these.
 
     A reading past the gap closes the old session and opens the next; silence closes it once the
-    watermark is a gap and a millisecond past its last reading. A late reading widens an open session
-    at its end only."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out: list[tuple] = []
-        now = list(state.get) if state.exists else None  # started, ended, readings, peak, version
-        emit = lambda is_open: out.append((key[0], *now, is_open))
-        if state.hasTimedOut:
-            emit(False)
-            state.remove()
-        else:
-            rows = pd.concat(list(frames)).sort_values(["t", "event_id"])
-            for t, confidence, version in zip(rows["t"], rows["confidence"], rows["version"]):
-                if now is not None and t - now[1] > policy.gap_ms:
-                    emit(False)
-                    now = None
-                now = [int(t), int(t), 1, float(confidence), version] if now is None else [now[0], max(now[1], int(t)), now[2] + 1, max(now[3], float(confidence)), now[4]]
-                emit(True)
-            state.update(tuple(now))
-            due = now[1] + policy.gap_ms + 1
-            if due > state.getCurrentWatermarkMs():
-                state.setTimeoutTimestamp(due)
-            else:
-                emit(False)
-                state.remove()
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in EMITTED.split(", ")])
-
-    blocked = timed(readings).where("state = 'BLOCKED'").select("crossing_id", "at", "t", "event_id", "confidence", "version")
-    found = blocked.groupBy("crossing_id").applyInPandasWithState(step, EMITTED, "started long, ended long, readings long, peak double, version string", "append", GroupStateTimeout.EventTimeTimeout)
-    return found.withColumns({"session_id": session_id("crossing_id", "started"), "seconds": F.floor((F.col("ended") - F.col("started")) / 1000)})
-
-
-def closed_sessions(readings: DataFrame, gap: str = "15 minutes") -> DataFrame:
-    """Sessions once they can grow no more, by Spark's own session windows; the gap is inclusive."""
-    blocked = timed(readings).where("state = 'BLOCKED'")
-    return blocked.groupBy("crossing_id", F.session_window("at", gap)).agg(F.min("t").alias("started"), F.max("t").alias("ended"), F.count("*").alias("readings"), F.max("confidence").alias("peak")).select("crossing_id", "started", "ended", "readings", "peak")
+    watermark is a gap and a millisecond past its last reading. A reading out of order widens an open session
+    at its end only. The counts are observed as `session_events` (see StreamingQueryListener)."""
+    rows = timed(readings, beats).where("state = 'BLOCKED'").select("crossing_id", "t", "event_id", "confidence", "version")
+    found = stateful.run(rows, stateful.Sessions(policy), stateful.SESSION_ROWS)
+    return found.observe("session_events", F.count_if(F.col("kind").isin("open", "grown")).alias("heard"), F.count_if(F.col("kind") == "late").alias("late"), F.count_if(F.col("kind") == "closed").alias("closed"))
+
 
+def as_sessions(events: DataFrame) -> DataFrame:
+    """The emissions among session_events(), under the session's id."""
+    rows = events.where("kind <> 'late'").select("crossing_id", "started", "ended", "readings", "peak", "version", (F.col("kind") != "closed").alias("is_open"))
+    return rows.withColumns({"session_id": session_id("crossing_id", "started"), "seconds": F.floor((F.col("ended") - F.col("started")) / 1000)})
 
-def live_alerts(readings: DataFrame, policy: AlertPolicy = AlertPolicy()) -> DataFrame:
-    """One alert per blockage as it is confirmed: the rule of operators.sessions.rising_edges, its
-    counts kept for each crossing."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, blocked, clear, quiet = state.get if state.exists else (-1, 0, 0, False)
-        out = []
-        rows = pd.concat(list(frames)).sort_values(["t", "event_id"])
-        for t, camera, what, confidence in zip(rows["t"], rows["camera_id"], rows["state"], rows["confidence"]):
-            if last >= 0 and t - last > policy.silence_ms:
-                blocked, clear, quiet = 0, 0, False
-            blocked, clear = (blocked + 1, 0) if what == "BLOCKED" else (0, clear + 1)
-            if blocked >= policy.confirm and not quiet:
-                out.append((key[0], int(t), camera, float(confidence)))
-                quiet = True
-            if clear >= policy.rearm:
-                quiet = False
-            last = max(last, int(t))
-        state.update((last, blocked, clear, quiet))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in ALERT.split(", ")])
+def quarantine(events: DataFrame) -> DataFrame:
+    """The readings among session_events() that came too late: crossing_id, t, event_id, confidence, version."""
+    return events.where("kind = 'late'").select("crossing_id", "t", "event_id", F.col("peak").alias("confidence"), "version")
 
-    rows = timed(readings).where("state <> 'UNKNOWN'").select("crossing_id", "at", "t", "event_id", "camera_id", "state", "confidence")
-    return rows.groupBy("crossing_id").applyInPandasWithState(step, ALERT, "last long, blocked long, clear long, quiet boolean", "append", GroupStateTimeout.NoTimeout)
+
+def growing_sessions(readings: DataFrame, policy: SessionPolicy = SessionPolicy(), beats: DataFrame | None = None) -> DataFrame:
+    """A row whenever a session opens or grows (is_open) and one when it closes, under the same id."""
+    return as_sessions(session_events(readings, policy, beats))
+
+
+def kept_apart(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes session_events() below `path` in folders by kind: one query, one watermark, each row once."""
+    return events.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("kind").trigger(availableNow=True).start()
+
+
+def closed_sessions(readings: DataFrame, gap: str = "15 minutes", beats: DataFrame | None = None) -> DataFrame:
+    """Sessions once they can grow no more, by Spark's own session windows; the gap is inclusive."""
+    blocked = timed(readings, beats).where("state = 'BLOCKED'")
+    return blocked.groupBy("crossing_id", F.session_window("at", gap)).agg(F.min("t").alias("started"), F.max("t").alias("ended"), F.count("*").alias("readings"), F.max("confidence").alias("peak")).select("crossing_id", "started", "ended", "readings", "peak")
+
+
+def live_alerts(readings: DataFrame, policy: AlertPolicy = AlertPolicy(), beats: DataFrame | None = None) -> DataFrame:
+    """One alert per blockage as it is confirmed: the machine of operators.sessions.rising_edges, its state
+    kept for each crossing until a silence has reset it."""
+    rows = timed(readings, beats).where("state <> 'UNKNOWN'").select("crossing_id", "t", "event_id", "camera_id", "state", "confidence")
+    return stateful.run(rows, stateful.Alerts(policy), stateful.ALERT_ROWS).where("kind = 'alert'").select("crossing_id", "t", "camera_id", "confidence")
 
 
 def stream_lines(spark: SparkSession, path: str, glob: str = "*.jsonl*") -> DataFrame:
@@ -118,62 +96,3 @@ def alert_payloads(alerts: DataFrame) -> DataFrame:
 def record_sink(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Appends a stream's rows below `path` until what is there has been read; each once."""
     return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def merged(current: DataFrame | None, batch: DataFrame, keys: list[str], newest: list[str]) -> DataFrame:
-    """current with batch merged in: of each key the row that is last by `newest`. Replays change nothing."""
-    rows = batch if current is None else current.unionByName(batch)
-    order = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in newest])
-    return rows.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
-
-
-#: Slices of a merged table.
-SLICES = 64
-
-
-def folder(spark: SparkSession, path: str):
-    """The file system of a path, and the path, as Hadoop's objects."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def versions(spark: SparkSession, path: str, part: int) -> list[int]:
-    """The versions of a slice, ascending."""
-    fs, p = folder(spark, f"{path}/merge_slice={part}")
-    if not fs.exists(p):
-        return []
-    return sorted(int(x.getPath().getName().split("=")[1]) for x in fs.listStatus(p) if x.getPath().getName().startswith("merge_version="))
-
-
-def current(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of a merged table as they are now."""
-    newest = [f"{path}/merge_slice={s}/merge_version={v[-1]}" for s in range(SLICES) if (v := versions(spark, path, s))]
-    return spark.read.parquet(*newest)
-
-
-def compacted(spark: SparkSession, path: str, keep: int = 2) -> None:
-    """Removes all but the last `keep` versions of each slice."""
-    for s in range(SLICES):
-        for v in versions(spark, path, s)[:-keep]:
-            fs, p = folder(spark, f"{path}/merge_slice={s}/merge_version={v}")
-            fs.delete(p, True)
-
-
-def merge_sink(path: str, keys: list[str], newest: list[str]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: a Parquet table under `path`, in SLICES folders by a hash of the key. A batch
-    rewrites the slices that its keys are in, each as a new version beside the old; current() reads each
-    slice's newest. A batch that runs again starts from the versions before it, so replays change
-    nothing. compacted() removes versions that no replay can need."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.withColumn("_slice", F.pmod(F.xxhash64(*keys), F.lit(SLICES)))
-        touched = sorted(r["_slice"] for r in batch.select("_slice").distinct().collect())  # SLICES at most
-        before = {s: [v for v in versions(spark, path, s) if v < number] for s in touched}
-        old = [f"{path}/merge_slice={s}/merge_version={max(v)}" for s, v in before.items() if v]
-        current = spark.read.parquet(*old).withColumn("_slice", F.pmod(F.xxhash64(*keys), F.lit(SLICES))) if old else None
-        out = merged(current, batch, keys, newest)
-        out.withColumns({"merge_slice": F.col("_slice"), "merge_version": F.lit(number)}).drop("_slice").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("merge_slice", "merge_version").parquet(path)
-
-    return write

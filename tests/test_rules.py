@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sitewatch.functions import ordered, scalars
 from sitewatch.operators import history, labels, live_board, pages, polling, scenes, scoring, sessions, sweep, training
-from sitewatch.sources import files, inventory
+from sitewatch.sources import files, inventory, versioned
 from sitewatch.streaming import live
 
 MIN = 60_000
@@ -244,16 +244,16 @@ def test_open_sessions_and_late_alerts(spark):
 
 def test_saved_sessions_merge_by_slice(spark):
     path = tempfile.mkdtemp(prefix="merge-") + "/t"
-    sink = live.merge_sink(path, ["id"], ["ingested"])
+    sink = versioned.merge_sink(path, ["id"], ["ingested"])
     batch = lambda n, lo, hi: spark.createDataFrame([(f"s{i}", n, n * 100 + i) for i in range(lo, hi)], "id string, ingested int, v int")
     for n, (lo, hi) in enumerate([(0, 200), (150, 210), (5, 6)]):
         sink(batch(n, lo, hi), n)
     sink(batch(1, 150, 210), 1)  # a replay of an older batch
     sink(batch(2, 5, 6), 2)
-    got = {r["id"]: r["v"] for r in live.current(spark, path).collect()}
+    got = {r["id"]: r["v"] for r in versioned.current(spark, path).collect()}
     assert len(got) == 210 and got["s5"] == 205 and got["s160"] == 260 and got["s0"] == 0
-    live.compacted(spark, path, 1)
-    assert {r["id"]: r["v"] for r in live.current(spark, path).collect()} == got
+    versioned.compacted(spark, path, 1)
+    assert {r["id"]: r["v"] for r in versioned.current(spark, path).collect()} == got
 
 
 def test_streams_of_records(spark):

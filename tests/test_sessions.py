@@ -4,6 +4,7 @@ import shutil
 import tempfile
 
 from sitewatch.operators import history, labels, sessions
+from sitewatch.sources import versioned
 from sitewatch.streaming import live
 
 MIN = 60_000
@@ -115,5 +116,5 @@ def test_closed_sessions_break_where_batch_does(spark):
 def test_merge_keeps_the_newest_and_replays_do_nothing(spark):
     a = spark.createDataFrame([("s", 1, 10), ("u", 1, 1)], "id string, ingested int, v int")
     b = spark.createDataFrame([("s", 2, 20)], "id string, ingested int, v int")
-    once = live.merged(a, b, ["id"], ["ingested"])
-    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, live.merged(once, b, ["id"], ["ingested"]).collect())) == [("s", 2, 20), ("u", 1, 1)]
+    once = versioned.merged(a, b, ["id"], ["ingested"])
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, versioned.merged(once, b, ["id"], ["ingested"]).collect())) == [("s", 2, 20), ("u", 1, 1)]
