@@ -26,6 +26,12 @@ def timed(readings: DataFrame, beats: DataFrame | None = None) -> DataFrame:
     return readings.withColumn("at", F.timestamp_millis("t")).withWatermark("at", LATENESS)
 
 
+def heard(timed: DataFrame, rule: str) -> DataFrame:
+    """The rows of timed() that a rule holds for. The condition names the event time, or Spark would apply it
+    before the watermark, which would then not see the beats."""
+    return timed.where(F.when(F.col("at").isNotNull(), F.expr(rule)))
+
+
 def session_events(readings: DataFrame, policy: SessionPolicy = SessionPolicy(), beats: DataFrame | None = None) -> DataFrame:
     """A row whenever a session is opened, grows or is closed, and one for each BLOCKED reading that came too
     late by the query's own watermark (kind late): every such reading is in a session or among these.
@@ -33,7 +39,7 @@ def session_events(readings: DataFrame, policy: SessionPolicy = SessionPolicy(),
     A reading past the gap closes the old session and opens the next; silence closes it once the
     watermark is a gap and a millisecond past its last reading. A reading out of order widens an open session
     at its end only. The counts are observed as `session_events` (see StreamingQueryListener)."""
-    rows = timed(readings, beats).where("state = 'BLOCKED'").select("crossing_id", "t", "event_id", "confidence", "version")
+    rows = heard(timed(readings, beats), "state = 'BLOCKED'").select("crossing_id", "t", "event_id", "confidence", "version")
     found = stateful.run(rows, stateful.Sessions(policy), stateful.SESSION_ROWS)
     return found.observe("session_events", F.count_if(F.col("kind").isin("open", "grown")).alias("heard"), F.count_if(F.col("kind") == "late").alias("late"), F.count_if(F.col("kind") == "closed").alias("closed"))
 
@@ -61,14 +67,14 @@ def kept_apart(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 def closed_sessions(readings: DataFrame, gap: str = "15 minutes", beats: DataFrame | None = None) -> DataFrame:
     """Sessions once they can grow no more, by Spark's own session windows; the gap is inclusive."""
-    blocked = timed(readings, beats).where("state = 'BLOCKED'")
+    blocked = heard(timed(readings, beats), "state = 'BLOCKED'")
     return blocked.groupBy("crossing_id", F.session_window("at", gap)).agg(F.min("t").alias("started"), F.max("t").alias("ended"), F.count("*").alias("readings"), F.max("confidence").alias("peak")).select("crossing_id", "started", "ended", "readings", "peak")
 
 
 def live_alerts(readings: DataFrame, policy: AlertPolicy = AlertPolicy(), beats: DataFrame | None = None) -> DataFrame:
     """One alert per blockage as it is confirmed: the machine of operators.sessions.rising_edges, its state
     kept for each crossing until a silence has reset it."""
-    rows = timed(readings, beats).where("state <> 'UNKNOWN'").select("crossing_id", "t", "event_id", "camera_id", "state", "confidence")
+    rows = heard(timed(readings, beats), "state <> 'UNKNOWN'").select("crossing_id", "t", "event_id", "camera_id", "state", "confidence")
     return stateful.run(rows, stateful.Alerts(policy), stateful.ALERT_ROWS).where("kind = 'alert'").select("crossing_id", "t", "camera_id", "confidence")
 
 
