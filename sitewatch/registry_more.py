@@ -44,8 +44,8 @@ def manifest(spark, sf_dir):
 @query("manifest_scan", f"WITH {FRAMES_SQL} SELECT 'p/' || event_id AS poller_version, camera_id, t, fetched, status, object_key, 'sha256:' || hash AS content_hash FROM frames WHERE event_id % 50 NOT IN (0, 1, 2, 3, 4) AND camera_id IN ('C1', 'C4')")
 def _(spark, sf_dir):
     path = manifest(spark, sf_dir)
-    found = [files.frames_of(files.read_frames(spark, path, c, "*")) for c in ("C1", "C4")]
-    return training.concatenated(*found).select("poller_version", "camera_id", "t", "fetched", "status", "object_key", "content_hash")
+    found = files.frames_of(files.read_frames(spark, path, ["C1", "C4"], "*"))
+    return files.in_order(found).select("poller_version", "camera_id", "t", "fetched", "status", "object_key", "content_hash")
 
 
 @query("manifest_quarantine", "SELECT CASE event_id % 50 WHEN 0 THEN 'unknown field' WHEN 1 THEN 'bad fetch_status' WHEN 2 THEN 'malformed' ELSE 'without camera_id' END AS problem, count(*) AS lines FROM events WHERE event_id % 50 IN (0, 1, 2, 4) GROUP BY 1")
@@ -65,7 +65,8 @@ def _(spark, sf_dir):
 @query("roster_source", f"WITH {READINGS_SQL} SELECT DISTINCT camera_id, crossing_id, camera_id <> 'C5' AS scores, 30.0::DOUBLE AS poll_interval_seconds FROM readings WHERE camera_id <> 'C4'")
 def _(spark, sf_dir):
     path = files.scratch(spark, "roster")
-    rows = roster(spark, sf_dir).select("camera_id", "crossing_id", F.when(F.col("camera_id") == "C5", False).alias("scores"), F.when(F.col("camera_id") == "C4", False).alias("enabled"))
+    name, url = F.concat(F.lit("Camera "), "camera_id").alias("name"), F.concat(F.lit("https://cams/"), "camera_id").alias("image_url")
+    rows = roster(spark, sf_dir).select("camera_id", name, "crossing_id", url, F.when(F.col("camera_id") == "C5", False).alias("scores"), F.when(F.col("camera_id") == "C4", False).alias("enabled"))
     rows.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).write.text(path)  # a roster is some cameras
     return files.load_roster(spark, path).select("camera_id", "crossing_id", "scores", "poll_interval_seconds")
 

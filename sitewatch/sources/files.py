@@ -1,8 +1,8 @@
 """Files the engine reads and writes: JSON lines of records with strict decoding, rosters, inventories,
 label files, picture files, stores of reference models, listings.
 
-A line is one record. What isn't a record of its schema, to the letter, is kept apart with the reason
-rather than dropped: decode() gives every line, valid() and quarantined() its two halves.
+A line is one record. What isn't a record of its schema, by its fields and their types, is kept apart with the
+reason rather than dropped: decode() gives every line, valid() and quarantined() its two halves.
 """
 
 from __future__ import annotations
@@ -51,6 +51,11 @@ SESSION = Record(
     "session_id string, crossing_id string, started_at string, ended_at string, duration_seconds long, peak_queue_occupancy double, is_open boolean, detector_version string, observation_count long",
     ("session_id", "crossing_id", "started_at", "detector_version"),
 )
+CAMERA = Record(
+    "camera_id string, name string, crossing_id string, image_url string, source string, lat double, lon double, scores boolean, poll_interval_seconds double, enabled boolean, notes string",
+    ("camera_id", "name", "crossing_id", "image_url"),
+    (("bad image_url", "image_url RLIKE '^https?://[^/ ]+'"), ("bad source", "source IS NULL OR source RLIKE '^(manual|[a-z]+_inventory)$'"), ("bad poll_interval_seconds", "poll_interval_seconds IS NULL OR poll_interval_seconds >= 15")),
+)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -89,25 +94,49 @@ def lines(spark: SparkSession, path: str, glob: str = "*.jsonl*") -> DataFrame:
     return rows.select("value", F.col("_metadata.file_path").alias("path")).where(F.length(F.trim("value")) > 0)
 
 
+def one_object(text: str) -> Column:
+    """The JSON object that a text is, as a variant; null if it is none, has a field twice, or anything before or
+    behind it. try_parse_json stops at the end of the first value, so the text is put in a list with a mark of its
+    own behind it: only where the list has these two entries is the text one value."""
+    mark = f"cast(xxhash64({text}) AS string)"
+    pair = f"try_variant_get(try_parse_json(concat('[', {text}, ',\"', {mark}, '\"]')), '$', 'array<variant>')"
+    return F.expr(f"CASE WHEN size({pair}) = 2 AND try_variant_get(get({pair}, 1), '$', 'string') = {mark} AND schema_of_variant(get({pair}, 0)) LIKE 'OBJECT<%' THEN get({pair}, 0) END")
+
+
 def decode(rows: DataFrame, kind: Record) -> DataFrame:
     """rows (value, ...) with `record`, and `problem`: why the line is no record of its kind, else null.
     Null values (tombstones) are left out."""
-    names = [f.name for f in kind.schema]
-    parsed = F.from_json("value", StructType.fromDDL(f"{kind.fields}, _corrupt string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    out = rows.where("value IS NOT NULL").withColumn("_r", parsed).withColumn("_keys", F.expr("json_object_keys(value)"))
-    flat = out.select("*", *[F.col(f"_r.{n}").alias(f"_f_{n}") for n in names])
-    problem = F.when(F.col("_keys").isNull() | F.col("_r._corrupt").isNotNull(), "malformed")
-    problem = problem.when(F.size(F.array_except("_keys", F.array(*map(F.lit, names)))) > 0, "unknown field")
-    for name in kind.required:
-        problem = problem.when(F.col(f"_f_{name}").isNull(), f"without {name}")
-    for name in names:
-        if name.endswith("_at"):
-            problem = problem.when(F.col(f"_f_{name}").isNotNull() & utc_ms(f"_f_{name}").isNull(), f"bad {name}")
-    for label, rule in kind.rules:
-        for name in names:
+    return checked(rows.where("value IS NOT NULL").withColumn("_given", one_object("value")), kind).drop("_given")
+
+
+#: By type of a field, what a JSON value must be.
+FITS = {"string": "^STRING$", "boolean": "^BOOLEAN$", "bigint": "^(BIGINT|DOUBLE|DECIMAL.*|STRING)$", "double": "^(BIGINT|DOUBLE|DECIMAL.*|STRING)$"}
+
+
+def checked(rows: DataFrame, kind: Record) -> DataFrame:
+    """rows (_given, an object as a variant or null) with `record` and `problem`. A text must be given as a text,
+    a yes or no as one; a number as a number, or a text that is one. An explicit null is as good as no field."""
+    fields = {f.name: f.dataType.simpleString() for f in kind.schema}
+    at = lambda n, as_: F.expr(f"try_variant_get(_given, '$.{n}', '{as_}')")
+    flat = rows.withColumn("_types", F.transform_values(F.expr("try_variant_get(_given, '$', 'map<string,variant>')"), lambda k, v: F.schema_of_variant(v)))
+    flat = flat.withColumns({f"_f_{n}": at(n, t) for n, t in fields.items()})
+    kind_of = lambda n: F.coalesce(F.try_element_at(F.col("_types"), n), F.lit("VOID"))
+    first = lambda names, bad: F.get(F.filter(names, bad), F.lit(0))
+    wrong = first(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(FITS[t]).alias("fit")) for n, t in fields.items()]), lambda f: ~F.rlike(kind_of(f["name"]), f["fit"]) & (kind_of(f["name"]) != "VOID"))["name"]
+    # a number that none was made of, or only by cutting it; a time that isn't one
+    failed = {n: F.col(f"_f_{n}").isNull() | (F.col(f"_f_{n}").cast("double") != at(n, "double")) for n, t in fields.items() if t in ("bigint", "double")}
+    failed |= {n: utc_ms(f"_f_{n}").isNull() for n in fields if n.endswith("_at")}
+    off = first(F.array(*[F.struct(F.lit(n).alias("name"), bad.alias("bad")) for n, bad in failed.items()]), lambda f: f["bad"] & (kind_of(f["name"]) != "VOID"))["name"]
+
+    def broken(label: str, rule: str) -> Column:
+        for name in fields:
             rule = rule.replace(name, f"_f_{name}") if name in rule.split() else rule
-        problem = problem.when(~F.expr(rule), label)
-    record = F.struct(*[F.col(f"_f_{n}").alias(n) for n in names])
+        return F.when(~F.expr(rule), label)
+
+    problem = F.coalesce(
+        F.when(F.col("_given").isNull(), "malformed"), F.when(F.size(F.array_except(F.map_keys("_types"), F.array(*map(F.lit, fields)))) > 0, "unknown field"),
+        F.concat(F.lit("without "), first(F.array(*map(F.lit, kind.required)), lambda n: kind_of(n) == "VOID")), F.concat(F.lit("bad "), wrong), F.concat(F.lit("bad "), off), *[broken(*r) for r in kind.rules])
+    record = F.struct(*[F.col(f"_f_{n}").alias(n) for n in fields])
     return flat.select(*rows.columns, record.alias("record"), problem.alias("problem"))
 
 
@@ -119,18 +148,24 @@ def quarantined(decoded: DataFrame) -> DataFrame:
     return decoded.where("problem IS NOT NULL").drop("record")
 
 
-def read_frames(spark: SparkSession, path: str, camera: str | None = None, glob: str = "*.jsonl*") -> DataFrame:
-    """decode() of the frame records below `path`; with `camera`, of the files in folders of that name only."""
+def read_frames(spark: SparkSession, path: str, camera: str | list[str] | None = None, glob: str = "*.jsonl*") -> DataFrame:
+    """decode() of the frame records below `path`; with `camera`, of the files in folders of that name, or of
+    one of several names, only: the folder is listed once."""
     found = lines(spark, path, glob)
-    if camera is not None:
-        found = found.where(F.exists(F.split("path", "/"), lambda p: (p == camera) | p.endswith(f"={camera}")))
+    names = [camera] if isinstance(camera, str) else camera
+    if names is not None:
+        found = found.where(F.exists(F.split("path", "/"), lambda p: p.isin(*names) | F.substring_index(p, "=", -1).isin(*names)))
     return decode(found, FRAME)
 
 
 def frames_of(decoded: DataFrame) -> DataFrame:
-    """Valid frame records in event order, their instants in ms (t, fetched)."""
-    rows = valid(decoded).withColumns({"t": utc_ms("captured_at"), "fetched": utc_ms("fetched_at"), "status": F.coalesce("fetch_status", F.lit("ok"))})
-    return rows.orderBy("t", "camera_id", "fetched")
+    """Valid frame records, their instants in ms (t, fetched)."""
+    return valid(decoded).withColumns({"t": utc_ms("captured_at"), "fetched": utc_ms("fetched_at"), "status": F.coalesce("fetch_status", F.lit("ok"))})
+
+
+def in_order(frames: DataFrame) -> DataFrame:
+    """Frames in event order; the last step, for a union keeps no order."""
+    return frames.orderBy("t", "camera_id", "fetched")
 
 
 def read_observations(spark: SparkSession, path: str) -> DataFrame:
@@ -148,12 +183,23 @@ def write_lines(rows: DataFrame, path: str, by: tuple[str, ...] = (), packed: bo
     (writer.partitionBy(*by) if by else writer).option("ignoreNullFields", "true").json(path)
 
 
+def roster_entries(spark: SparkSession, path: str) -> DataFrame:
+    """(value, record, problem) of each camera of a roster: a JSON list, or an object with the list as `cameras`."""
+    text = spark.read.option("wholetext", "true").text(path).where(F.length(F.trim("value")) > 0)
+    whole = F.expr("coalesce(try_variant_get(try_parse_json(value), '$.cameras', 'array<variant>'), try_variant_get(try_parse_json(value), '$', 'array<variant>'), array(cast(NULL AS variant)))")
+    each = text.select(F.explode(whole).alias("_v")).select(F.expr("to_json(_v)").alias("value"), F.expr("CASE WHEN schema_of_variant(_v) LIKE 'OBJECT<%' THEN _v END").alias("_given"))
+    return checked(each, CAMERA).drop("_given")
+
+
 def load_roster(spark: SparkSession, path: str) -> DataFrame:
-    """The enabled cameras of a roster, a JSON list; none is an error, for then nothing would be scored."""
-    fields = "camera_id string, name string, crossing_id string, image_url string, source string, lat double, lon double, scores boolean, poll_interval_seconds double, enabled boolean, notes string"
-    rows = spark.read.schema(fields).option("multiLine", "true").json(path)
-    rows = rows.withColumns({"scores": F.coalesce("scores", F.lit(True)), "enabled": F.coalesce("enabled", F.lit(True)), "poll_interval_seconds": F.coalesce("poll_interval_seconds", F.lit(30.0))})
-    rows = rows.where("enabled AND camera_id IS NOT NULL")
+    """The enabled cameras of a roster. One bad camera makes the whole roster an error, as does a roster without
+    an enabled one: a camera that is left out in silence would just go unseen."""
+    entries = roster_entries(spark, path)
+    bad = entries.where("problem IS NOT NULL").select("problem", F.substring(F.coalesce("value", F.lit("no list of cameras")), 1, 200).alias("value")).limit(5).collect()
+    if bad:
+        raise ValueError(f"{path}: " + "; ".join(f"{r['problem']} in {r['value']}" for r in bad))
+    rows = valid(entries).withColumns({"source": F.coalesce("source", F.lit("manual")), "scores": F.coalesce("scores", F.lit(True)), "enabled": F.coalesce("enabled", F.lit(True)), "poll_interval_seconds": F.coalesce("poll_interval_seconds", F.lit(30.0)), "notes": F.coalesce("notes", F.lit(""))})
+    rows = rows.where("enabled")
     if rows.isEmpty():
         raise ValueError(f"no enabled camera in {path}")
     return rows

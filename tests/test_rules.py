@@ -104,15 +104,35 @@ def test_lines_that_are_no_records_are_kept_apart(spark):
     assert files.decode(spark.createDataFrame([], "value string"), files.FRAME).count() == 0
 
 
+def test_records_are_strict(spark):
+    """Wrong types, a field twice, and anything besides the one object are no record; null is as good as absent."""
+    good = json.dumps({"crossing_id": "X", "camera_id": "C", "captured_at": "2024-01-01T00:00:01", "observed_at": "2024-01-01T02:00:01+02:00", "state": "CLEAR", "confidence": 1, "detector_version": "v"})
+    edit = lambda a, b: good.replace(a, b)
+    lines = {
+        edit('"C"', "5"): "bad camera_id", edit('"C"', '{"a": 1}'): "bad camera_id", edit('"C"', "true"): "bad camera_id", good + " trailing": "malformed", good + good: "malformed", good + "," + good: "malformed", good + "] ,0]": "malformed",
+        edit('"camera_id": "C"', '"camera_id": "C", "camera_id": "C"'): "malformed", f"[{good}]": "malformed", "null": "malformed", edit(": 1", ': "high"'): "bad confidence", edit(": 1", ": [1]"): "bad confidence", edit('"C"', "null"): "without camera_id",
+        good: None, f"  {good} ": None, edit(": 1", ': "0.5"'): None, edit("}", ', "reason": null}'): None, edit('"v"', '"\\u00e9"'): None}
+    got = files.decode(spark.createDataFrame([(x,) for x in lines], "value string"), files.OBSERVATION).collect()
+    assert {r["value"]: r["problem"] for r in got} == lines
+    assert {r["record"]["confidence"] for r in got if r["problem"] is None} == {1.0, 0.5}
+    frame = {"camera_id": "C", "crossing_id": "X", "captured_at": "2024-01-01T00:00:00Z", "captured_at_source": "fetched_at", "fetched_at": "2024-01-01T00:00:00Z", "poller_version": "p"}
+    sizes = {7: 7, 7.0: 7, 7.5: "bad image_bytes", 10**30: "bad image_bytes"}
+    rows = spark.createDataFrame([(json.dumps(frame | {"image_bytes": n}), float(n)) for n in sizes] + [(None, 0.0)], "value string, n double")
+    assert {r["n"]: r["problem"] or r["record"]["image_bytes"] for r in files.decode(rows, files.FRAME).collect()} == {float(k): v for k, v in sizes.items()}
+
+
 def test_a_roster_must_have_cameras(spark):
     folder = tempfile.mkdtemp(prefix="roster-")
-    for name, cameras in (("none", []), ("off", [{"camera_id": "a", "crossing_id": "X", "enabled": False}]), ("on", [{"camera_id": "a", "crossing_id": "X"}])):
+    a = {"camera_id": "a", "name": "A", "crossing_id": "X", "image_url": "https://x/a.jpg"}
+    bad = {"fast": a | {"poll_interval_seconds": 14.9}, "extra": a | {"zoom": 1}, "number": a | {"camera_id": 5}, "url": a | {"image_url": "x"}, "short": {"camera_id": "a"}, "word": "a", "flag": a | {"scores": "no"}, "place": a | {"lat": "north"}}
+    for name, cameras in (("none", []), ("off", [a | {"enabled": False}]), ("on", [a]), ("object", {"cameras": [a | {"poll_interval_seconds": 15, "lat": 1, "lon": "2.5"}]}), *[(k, [a, v]) for k, v in bad.items()]):
         with open(f"{folder}/{name}.json", "w") as f:
             json.dump(cameras, f)
-    for name in ("none", "off"):
+    for name in ("none", "off", *bad):
         with pytest.raises(ValueError):
             files.load_roster(spark, f"{folder}/{name}.json")
     assert [tuple(r) for r in files.load_roster(spark, f"{folder}/on.json").select("camera_id", "scores", "enabled").collect()] == [("a", True, True)]
+    assert tuple(files.load_roster(spark, f"{folder}/object.json").select("poll_interval_seconds", "lat", "lon", "source").first()) == (15.0, 1.0, 2.5, "manual")
 
 
 def test_labels_are_appended_once(spark):
