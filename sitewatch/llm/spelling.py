@@ -33,8 +33,10 @@ SHORTEST, RAREST, DAMAGE = 5, 3, 97
 LEVELS, TOP_COUNT = 16, 15
 #: Words of a subtree; opened nodes of the trie's top at most; queries of a chunk, by words of a subtree.
 CELL, OPENED, QUERIES = 4096, 1 << 17, 8
-#: Steps of the search, and pairs to verify, that a task holds at once.
-STEPS, PAIRS, ROWS = 1 << 18, 1 << 17, 1 << 16
+#: Steps of the search, pairs, pairs to verify, and rows, that a task holds at once.
+STEPS, PAIRS, VERIFIED, ROWS = 1 << 15, 1 << 16, 1 << 13, 1 << 16
+#: Leaves of a subtree that the search doesn't open any more.
+FEW = 4
 #: Longer words are verified one by one.
 WIDE = 64
 
@@ -125,18 +127,18 @@ def among(values: np.ndarray, full: np.ndarray) -> np.ndarray:
 
 def spend(code: np.ndarray, level: int, up: np.ndarray, down: np.ndarray):
     """The children that a search may go on to: (rows, count, surplus left, deficit left) for the word's own
-    count, one more for the surplus, one less for the deficit."""
+    count, one more for the surplus, one less for the deficit, which is there once the surplus is spent."""
     c, rows = count_at(code, level), np.arange(len(code))
     more, less = np.flatnonzero(up & (c < TOP_COUNT)), np.flatnonzero(down & (c > 0))
-    none = lambda x: np.zeros(len(x), bool)
-    return (rows, c, up, down), (more, c[more] + 1, none(more), down[more]), (less, c[less] - 1, up[less], none(less))
+    all_ = lambda x, yes: np.full(len(x), yes)
+    return (rows, c, up, down), (more, c[more] + 1, all_(more, False), all_(more, True)), (less, c[less] - 1, all_(less, False), all_(less, False))
 
 
-def visited(code: np.ndarray, tops: list[np.ndarray]) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
-    """(rows, level, path) of the unopened nodes, and of opened leaves, that the words' searches from the root
-    come to; depth first, STEPS at a time."""
+def visited(code: np.ndarray, tops: list[np.ndarray]) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
+    """(rows, level, path, left) of the unopened nodes, and of opened leaves, that the words' searches from the root
+    come to, with what is left to spend there (1 surplus, 2 deficit); depth first, STEPS at a time."""
     n = len(code)
-    stack = [(0, np.arange(n), np.zeros(n, np.uint64), np.ones(n, bool), np.ones(n, bool))]
+    stack = [(0, np.arange(n), np.zeros(n, np.uint64), np.ones(n, bool), np.zeros(n, bool))]
     while stack:
         level, rows, path, up, down = stack.pop()
         if len(rows) > STEPS:
@@ -145,7 +147,7 @@ def visited(code: np.ndarray, tops: list[np.ndarray]) -> Iterator[tuple[np.ndarr
             continue
         shut = ~among(path, tops[level]) if level < LEVELS else np.ones(len(rows), bool)
         if shut.any():
-            yield rows[shut], level, path[shut]
+            yield rows[shut], level, path[shut], (up + 2 * down)[shut].astype(np.int32)
         go = np.flatnonzero(~shut)
         if len(go):
             for at, count, u, d in spend(code[rows[go]], level, up[go], down[go]):
@@ -158,13 +160,15 @@ def rests(word: str) -> list[str]:
     return list({word} | {word[:i] + word[i + 1 :] for i in range(len(word))})
 
 
-ROUTED = "level int, path long, rest string, asks boolean, word string, n long, code long"
+#: spend is what a query has left, or OWN for a word in its own subtree.
+OWN = -1
+ROUTED = "level int, path long, rest string, spend int, word string, n long, code long"
 
 
 def routed(words: DataFrame, tops: list[np.ndarray]) -> DataFrame:
-    """Each word at its own subtree, and as a query (asks) at every one that its search comes to."""
+    """Each word at its own subtree, and as a query at every one that its search comes to."""
 
-    def rows(batch: pa.RecordBatch, asks: bool, at: np.ndarray, level: int, path: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def rows(batch: pa.RecordBatch, left: np.ndarray, at: np.ndarray, level: int, path: np.ndarray) -> Iterator[pa.RecordBatch]:
         hot = among(path, tops[level])  # only a leaf can be here though it is opened
         for some, open_ in ((np.flatnonzero(~hot), False), (np.flatnonzero(hot), True)):
             for i in range(0, len(some), ROWS if not open_ else 1024):
@@ -175,7 +179,7 @@ def routed(words: DataFrame, tops: list[np.ndarray]) -> DataFrame:
                     rest, take = pa.array([r for x in each for r in x]), np.repeat(take, [len(x) for x in each])
                 part = part[take]
                 cols = batch.take(pa.array(at[part]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), level, np.int32)), pa.array(path[part].view(np.int64)), rest, pa.array(np.full(len(part), asks)), *(cols.column(c) for c in ("word", "n", "code"))], names=["level", "path", "rest", "asks", "word", "n", "code"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), level, np.int32)), pa.array(path[part].view(np.int64)), rest, pa.array(left[part]), *(cols.column(c) for c in ("word", "n", "code"))], names=["level", "path", "rest", "spend", "word", "n", "code"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,40 +188,51 @@ def routed(words: DataFrame, tops: list[np.ndarray]) -> DataFrame:
             for level in range(LEVELS + 1):
                 path = prefix(code[left], level)
                 stays = ~among(path, tops[level]) if level < LEVELS else np.ones(len(left), bool)
-                yield from rows(batch, False, left[stays], level, path[stays])
+                yield from rows(batch, np.full(int(stays.sum()), OWN, np.int32), left[stays], level, path[stays])
                 left = left[~stays]
-            for at, level, path in visited(code, tops):
-                yield from rows(batch, True, at, level, path)
+            for at, level, path, spare in visited(code, tops):
+                yield from rows(batch, spare, at, level, path)
 
     return words.mapInArrow(lean(run), ROUTED)
 
 
-def matches(cells: np.ndarray, code: np.ndarray, q_cells: np.ndarray, q_code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(query, leaf) pairs that the search finds within the subtrees. cells, code: of the leaves, sorted by both,
-    each once; a query stays in its own cell."""
+def matches(cells: np.ndarray, code: np.ndarray, depth: np.ndarray, q_cells: np.ndarray, q_code: np.ndarray, q_spend: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(queries, first leaf, past the last) of the leaves that the search comes to. cells, code, depth: of the leaves,
+    sorted by cell and code, each once, and the level of the cell's own node; a query starts there."""
     if not len(code) or not len(q_code):
         return
     node = np.zeros(len(code), np.int64)
     node[1:] = np.cumsum(cells[1:] != cells[:-1])
-    names = cells[np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])]
-    keys = []  # of each level's nodes: the parent's number and the count that leads to them
+    begin = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+    keys, spans, at_level = [], [], [node]  # of each level's nodes: parent and count that lead to them; their leaves
     for level in range(LEVELS):
         key = node * (TOP_COUNT + 1) + count_at(code, level)
         change = np.r_[True, key[1:] != key[:-1]]
         keys.append(key[change])
         node = np.cumsum(change) - 1
-    root = np.minimum(np.searchsorted(names, q_cells), len(names) - 1)
-    there = np.flatnonzero(names[root] == q_cells)
-    stack = [(0, there, root[there], np.ones(len(there), bool), np.ones(len(there), bool))]
+        at_level.append(node)
+    for of in at_level:
+        spans.append(np.r_[np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), len(code)])
+    root = np.minimum(np.searchsorted(cells[begin], q_cells), len(begin) - 1)
+    there = np.flatnonzero(cells[begin][root] == q_cells)
+    leaf = begin[root[there]]
+    stack = []
+    for level in np.unique(depth[leaf]):
+        some = there[depth[leaf] == level]
+        stack.append((int(level), some, at_level[level][begin[root[some]]], (q_spend[some] & 1) > 0, (q_spend[some] & 2) > 0))
     while stack:
         level, rows, at, up, down = stack.pop()
-        if level == LEVELS:
-            yield rows, at
-            continue
+        first, past = spans[level][at], spans[level][at + 1]
+        end = past - first <= (FEW if level < LEVELS else 1 << 62)
+        if end.any():
+            yield rows[end], first[end], past[end]
+            rows, at, up, down = (x[~end] for x in (rows, at, up, down))
         if len(rows) > STEPS:
             half = len(rows) // 2
             stack += [(level, *(x[half:] for x in (rows, at, up, down))), (level, *(x[:half] for x in (rows, at, up, down)))]
             continue
+        if not len(rows):
+            continue
         for go, count, u, d in spend(q_code[rows], level, up, down):
             key = at[go] * (TOP_COUNT + 1) + count
             place = np.minimum(np.searchsorted(keys[level], key), len(keys[level]) - 1)
@@ -226,12 +241,29 @@ def matches(cells: np.ndarray, code: np.ndarray, q_cells: np.ndarray, q_code: np
                 stack.append((level + 1, rows[go[found]], place[found], u[found], d[found]))
 
 
+def ends_of(letters: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A word's first two letters and its last three, each as a number. An edit leaves one of both as it is, in
+    words of five letters or more; of shorter words these numbers are all 0."""
+    head, tail = np.zeros(len(offsets) - 1, np.int32), np.zeros(len(offsets) - 1, np.int32)
+    long = np.flatnonzero(np.diff(offsets) >= 5)
+    for i in range(2):
+        head[long] = head[long] << 8 | letters[offsets[long] + i]
+    for i in range(3):
+        tail[long] = tail[long] << 8 | letters[offsets[long + 1] - 3 + i]
+    return head, tail
+
+
 def squares(letters: np.ndarray, offsets: np.ndarray, which: np.ndarray, width: int, right: bool, fill: int) -> np.ndarray:
     """The letters of some words as rows of a matrix, set to the left or to the right."""
-    size = np.diff(offsets)[which]
-    at = np.arange(width)[None, :] - (width - size[:, None] if right else 0)
-    inside = (at >= 0) & (at < size[:, None])
-    return np.where(inside, letters[np.where(inside, offsets[which][:, None] + at, 0)], fill)
+    begin = offsets[which].astype(np.int64)
+    size = offsets[which + 1] - begin
+    at = np.arange(width)[None, :] - (width - size if right else 0 * size)[:, None]
+    outside = (at < 0) | (at >= size[:, None])
+    at += begin[:, None]
+    at[outside] = 0
+    found = letters[at]
+    found[outside] = fill
+    return found
 
 
 def near(letters: np.ndarray, offsets: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -266,33 +298,39 @@ def one_edit(a: str, b: str) -> bool:
 FOUND = "word string, near long, form string, form_n long"
 
 
-def searched(cells: np.ndarray, asks: np.ndarray, column: pa.Array, n: np.ndarray, code: np.ndarray) -> pa.RecordBatch:
-    """Of each query of some whole cells: how many of its cell's words are near, and the one of largest n."""
+def searched(cells: np.ndarray, depth: np.ndarray, spare: np.ndarray, column: pa.Array, n: np.ndarray, code: np.ndarray) -> pa.RecordBatch:
+    """Of each word of some whole cells: how many near words were found for it, and the one of largest n."""
     letters, offsets = latin(column)
-    own, qs = np.flatnonzero(~asks), np.flatnonzero(asks)
+    size, (head, tail) = np.diff(offsets), ends_of(letters, offsets)
+    own, qs = np.flatnonzero(spare == OWN), np.flatnonzero(spare != OWN)
     own = own[np.lexsort((code[own], cells[own]))]
-    change = np.r_[True, (cells[own][1:] != cells[own][:-1]) | (code[own][1:] != code[own][:-1])] if len(own) else np.zeros(0, bool)
-    first = np.flatnonzero(change)
-    sizes = np.diff(np.r_[first, len(own)])
+    first = np.flatnonzero(np.r_[True, (cells[own][1:] != cells[own][:-1]) | (code[own][1:] != code[own][:-1])]) if len(own) else np.zeros(0, np.int64)
+    starts = np.r_[first, len(own)]
     links: list[tuple[np.ndarray, np.ndarray]] = []
-    for rows, leaf in matches(cells[own[first]], code[own[first]], cells[qs], code[qs]):
-        ends = np.cumsum(sizes[leaf])
+    for rows, leaf, past in matches(cells[own[first]], code[own[first]], depth[own[first]], cells[qs], code[qs], spare[qs]):
+        low, k = starts[leaf], starts[past] - starts[leaf]
+        ends = np.cumsum(k)
         i = 0
-        while i < len(rows):  # so many pairs at once; a query's candidates in one leaf are a leaf at most
+        while i < len(rows):  # so many pairs at once
             j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS, "right")))
-            k = sizes[leaf[i:j]]
-            d = own[np.repeat(first[leaf[i:j]], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)]
-            q = np.repeat(qs[rows[i:j]], k)
-            yes = near(letters, offsets, q, d)
-            links.append((q[yes], d[yes]))
+            m = k[i:j]
+            d = own[np.repeat(low[i:j], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+            q = np.repeat(qs[rows[i:j]], m)
+            may = ((head[q] == head[d]) | (tail[q] == tail[d])) & (np.abs(size[q] - size[d]) <= 1) & (code[q] <= code[d])
+            q, d = q[may], d[may]
+            for v in range(0, len(q), VERIFIED):
+                yes = near(letters, offsets, q[v : v + VERIFIED], d[v : v + VERIFIED])
+                links.append((q[v : v + VERIFIED][yes], d[v : v + VERIFIED][yes]))
             i = j
     q, d = (np.concatenate([x[k] for x in links]) if links else np.zeros(0, np.int64) for k in (0, 1))
+    back = code[q] != code[d]
+    q, d = np.concatenate([q, d[back]]), np.concatenate([d, q[back]])
     if not len(q):
         return pa.RecordBatch.from_arrays([pa.array([], pa.string()), pa.array([], pa.int64()), pa.array([], pa.string()), pa.array([], pa.int64())], names=["word", "near", "form", "form_n"])
     words = column.to_pylist()
-    of = sorted({int(x) for x in d}, key=words.__getitem__)
     rank = np.zeros(len(words), np.int64)
-    rank[of] = np.arange(len(of))
+    of = np.unique(d)
+    rank[of[sorted(range(len(of)), key=lambda i: words[of[i]])]] = np.arange(len(of))
     order = np.lexsort((rank[d], -n[d], q))
     q, d = q[order], d[order]
     start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
@@ -313,7 +351,7 @@ def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def done(t: pa.Table, cells: np.ndarray) -> pa.RecordBatch:
         word = t.column("word").combine_chunks()
         word = word.chunk(0) if isinstance(word, pa.ChunkedArray) else word
-        return searched(cells, t.column("asks").to_numpy(), word, t.column("n").to_numpy(), t.column("code").to_numpy().view(np.uint64))
+        return searched(cells, t.column("level").to_numpy(), t.column("spend").to_numpy(), word, t.column("n").to_numpy(), t.column("code").to_numpy().view(np.uint64))
 
     for batch in batches:
         if not batch.num_rows:
@@ -336,11 +374,11 @@ def near_words(words: DataFrame) -> DataFrame:
     words = saved(with_codes(words), "words")
     cell = cell_size(words.count())
     at = saved(routed(words, opened(words, cell)), "routed")
-    asked = at.groupBy("level", "path", "rest").agg(F.count_if("asks").alias("q"), F.count_if(~F.col("asks")).alias("d")).where("d > 0")
+    asked = at.groupBy("level", "path", "rest").agg(F.count_if(F.col("spend") != OWN).alias("q"), F.count_if(F.col("spend") == OWN).alias("d")).where("d > 0")
     asked = asked.select(F.col("level").alias("_l"), F.col("path").alias("_p"), F.col("rest").alias("_r"), F.greatest(F.ceil(F.col("q") / (QUERIES * cell)), F.lit(1)).cast("int").alias("chunks"))
     dealt = at.join(asked, (F.col("level") == F.col("_l")) & (F.col("path") == F.col("_p")) & (F.col("rest") == F.col("_r"))).drop("_l", "_p", "_r")
     one = F.array(F.pmod(F.xxhash64("word"), F.col("chunks")).cast("int"))
-    dealt = dealt.withColumn("chunk", F.explode(F.when(F.col("asks"), one).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)))).drop("chunks")
+    dealt = dealt.withColumn("chunk", F.explode(F.when(F.col("spend") != OWN, one).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)))).drop("chunks")
     place = ["level", "path", "rest", "chunk"]
     found = dealt.repartition(*place).sortWithinPartitions(*place).mapInArrow(lean(search), FOUND)
     best = found.groupBy("word").agg(F.sum("near").alias("near"), F.min(F.struct((-F.col("form_n")).alias("m"), "form")).alias("x"))
