@@ -7,12 +7,13 @@ A scorer is a function from frames (with their pictures, features or whatever it
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..sources.files import STATES
 
@@ -103,32 +104,56 @@ def routed(frames: DataFrame, trained: DataFrame, classifier: Scorer, otherwise:
     return classifier(frames.join(cameras, "camera_id", "left_semi")).unionByName(otherwise(frames.join(cameras, "camera_id", "left_anti")), allowMissingColumns=True)
 
 
-def classified(frames: DataFrame, load: Callable[[str], Callable | None], version: str) -> DataFrame:
-    """frames (event_id, camera_id, features) judged by a model of each camera: load(camera) gives a function
-    from feature rows to two logits (clear, blocked), or None. Models are kept by a worker for a task;
-    no model, no features or a failing model is UNKNOWN and never an error."""
-    fields = "event_id long, camera_id string, logit_clear double, logit_blocked double, trouble string"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        models: dict = {}
-        for batch in batches:
-            out = []
-            for camera, rows in batch.groupby("camera_id", sort=False):
-                if camera not in models:
-                    models[camera] = load(camera)
-                for event, x in zip(rows["event_id"], rows["features"]):
-                    try:
-                        if models[camera] is None or x is None:
-                            raise ValueError("no model for this camera" if models[camera] is None else "image could not be decoded")
-                        clear, blocked = models[camera](x)
-                        out.append((event, camera, float(clear), float(blocked), None))
-                    except Exception as e:  # a scorer never raises
-                        out.append((event, camera, None, None, str(e)[:REASON]))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in fields.split(", ")])
+#: What a classifier gives for a frame; trouble is why it gave nothing, else empty.
+LOGITS = StructType([StructField("clear", DoubleType()), StructField("blocked", DoubleType()), StructField("trouble", StringType())])
+
+
+def logits(load: Callable[[str], Callable | None]) -> Callable:
+    """For predict_batch_udf: a function from cameras and a matrix of features, a row each, to LOGITS. load(camera)
+    gives a function from a matrix to two logits a row, or None; it is called once a worker and camera. Where a
+    model fails on a batch its rows are tried one by one, so that only those fail which fail alone."""
+    models: dict = {}
+
+    def of(camera: str, rows: np.ndarray) -> list[dict]:
+        try:
+            if camera not in models:
+                models[camera] = load(camera)
+            if models[camera] is None:
+                raise ValueError("no model for this camera")
+            found = np.asarray(models[camera](rows), float)
+            if found.shape != (len(rows), 2):
+                raise ValueError(f"a model gave {found.shape} for {len(rows)} frames")
+            return [{"clear": c, "blocked": b, "trouble": ""} for c, b in found.tolist()]
+        except Exception as e:  # a scorer never raises
+            if len(rows) > 1 and models.get(camera) is not None:
+                return [of(camera, rows[i : i + 1])[0] for i in range(len(rows))]
+            return [{"clear": float("nan"), "blocked": float("nan"), "trouble": str(e)[:REASON] or type(e).__name__}] * len(rows)
+
+    def predict(cameras: np.ndarray, features: np.ndarray) -> list[dict]:
+        out: list = [None] * len(cameras)
+        names = np.array(["" if c is None else str(c) for c in cameras.tolist()])
+        for camera in np.unique(names):
+            at = np.flatnonzero(names == camera)
+            for i, row in zip(at, of(str(camera), features[at])):
+                out[i] = row
+        return out
+
+    return lambda: predict
+
+
+def classified(frames: DataFrame, load: Callable[[str], Callable | None], version: str, width: int, batch: int = 256) -> DataFrame:
+    """frames (event_id, camera_id, features) judged by a model of each camera, `batch` at a time: see logits().
+    No model, no features of `width` numbers or a failing model is UNKNOWN and never an error."""
+    from pyspark.ml.functions import predict_batch_udf
 
     from .scenes import softmax_verdict
 
-    judged = softmax_verdict(frames.select("event_id", "camera_id", "features").mapInPandas(run, fields), "logit_blocked", "logit_clear")
+    model = predict_batch_udf(lambda: logits(load)(), return_type=LOGITS, batch_size=batch, input_tensor_shapes=[None, [width]])
+    there = F.coalesce((F.size("features") == width) & ~F.exists("features", lambda x: x.isNull()), F.lit(False))
+    full = F.when(there, F.col("features").cast("array<double>")).otherwise(F.array_repeat(F.lit(0.0), width))
+    rows = frames.select("event_id", "camera_id", there.alias("_there"), model("camera_id", full).alias("_m"))
+    rows = rows.select("event_id", "camera_id", "_m.clear", "_m.blocked", F.when(F.col("_there"), F.nullif(F.col("_m.trouble"), F.lit(""))).otherwise("image could not be decoded").alias("trouble"))
+    judged = softmax_verdict(rows, "blocked", "clear")
     bad = F.col("trouble").isNotNull()
     return judged.select("event_id", "camera_id", F.when(bad, "UNKNOWN").otherwise(F.col("state")).alias("state"), F.when(bad, 0.0).otherwise(F.col("confidence")).alias("confidence"), F.when(bad, F.col("trouble")).otherwise(F.col("reason")).alias("reason"), F.lit(version).alias("version"))
 

@@ -175,18 +175,26 @@ def test_windows_of_a_query():
 def test_scorers(spark):
     with pytest.raises(ValueError):
         scoring.scorer("no such")
-    frames = spark.createDataFrame([(1, "a", [1.0]), (2, "b", [1.0]), (3, "a", None), (4, "c", [1.0])], "event_id long, camera_id string, features array<double>")
+    given = [(1, "a", [1.0]), (2, "b", [1.0]), (3, "a", None), (4, "c", [1.0]), (5, "a", [2.0]), (6, "a", [-1.0]), (7, "a", [1.0, 2.0]), (8, "a", [None]), (9, None, [1.0])]
+    frames = spark.createDataFrame(given, "event_id long, camera_id string, features array<double>").coalesce(1)
 
     def load(camera):
-        if camera == "b":
+        if camera in ("b", ""):
             return None
         if camera == "c":
             return lambda x: 1 / 0
-        return lambda x: (0.0, 3.0)
 
-    got = {r["event_id"]: r for r in scoring.classified(frames, load, "head/1").collect()}
-    assert got[1]["state"] == "BLOCKED" and all(got[i]["state"] == "UNKNOWN" and got[i]["confidence"] == 0 for i in (2, 3, 4))
-    assert got[2]["reason"] == "no model for this camera" and {r["version"] for r in got.values()} == {"head/1"}
+        def model(rows):
+            assert rows.ndim == 2 and rows.shape[1] == 1
+            if (rows < 0).any():
+                raise ValueError("below zero")
+            return [(0.0, 3.0 * float(x)) for x in rows[:, 0]]
+
+        return model
+
+    got = {r["event_id"]: r for r in scoring.classified(frames, load, "head/1", 1).collect()}
+    assert len(got) == 9 and got[1]["state"] == got[5]["state"] == "BLOCKED" and all(got[i]["state"] == "UNKNOWN" and got[i]["confidence"] == 0 for i in (2, 3, 4, 6, 7, 8, 9))
+    assert got[2]["reason"] == "no model for this camera" and got[6]["reason"] == "below zero" and {got[i]["reason"] for i in (3, 7, 8)} == {"image could not be decoded"} and {r["version"] for r in got.values()} == {"head/1"}
     odd = spark.createDataFrame([("JAMMED", 0.7, "r" * 300), ("UNKNOWN", 0.9, None), ("CLEAR", 0.8, "ok")], "state string, confidence double, reason string")
     assert [(r["state"], r["confidence"], len(r["reason"] or "")) for r in scoring.minted(odd).collect()] == [("UNKNOWN", 0.0, 200), ("UNKNOWN", 0.0, 0), ("CLEAR", 0.8, 2)]
     assert scoring.auto_version("a/1", "b/2") == "auto(a/1|b/2)" and scenes.Thresholds().version == "reference/d40-r0.45-b10-c0.1"
