@@ -39,6 +39,15 @@ def manifest_key(camera: str, ms: str) -> Column:
     return F.expr(f"concat('manifests/', {camera}, '/', date_format({at}, 'yyyy/MM/dd/HH'), '.jsonl.gz')")
 
 
+#: Fixed: the only shape that a stored frame's key has.
+FRAME_KEY = r"^frames/[A-Za-z0-9_-]+/[0-9]{4}/[0-9]{2}/[0-9]{2}/[0-9]{2}/[0-9]+-[0-9a-f]{8}[.]jpg$"
+
+
+def is_frame_key(key: str) -> Column:
+    """Whether a key may be asked of a store of frames; nothing else, such as a path that leads out of it."""
+    return F.coalesce(F.col(key).rlike(FRAME_KEY.replace("$", r"\z")), F.lit(False))
+
+
 def frame_time(key: str) -> Column:
     """The milliseconds in a frame's file name, or null."""
     return F.expr(f"try_cast(regexp_extract({key}, '([0-9]+)-[0-9a-f]{{8}}[.]jpg$', 1) AS bigint)")

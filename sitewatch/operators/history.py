@@ -76,8 +76,19 @@ def day_night(sessions: DataFrame, newest: int = 500, least: int = 3) -> DataFra
     return mid.join(both.select("crossing_id"), "crossing_id", "left_semi").select("crossing_id", "part", F.round("minutes", 6).alias("median_minutes"), "n")
 
 
-def longest(sessions: DataFrame, k: int = 5) -> DataFrame:
-    return closed(sessions).orderBy(F.desc("seconds"), "started", "crossing_id").limit(k).select("session_id", "crossing_id", "seconds")
+def longest(sessions: DataFrame, k: int = 5, least: int = 3) -> DataFrame:
+    """The k longest sessions that count; none where they are fewer than `least`."""
+    found = closed(sessions).orderBy(F.desc("seconds"), "started", "crossing_id").limit(max(k, least)).withColumn("_r", F.row_number().over(Window.orderBy(F.desc("seconds"), "started", "crossing_id")))
+    enough = found.where(F.col("_r") == least).select(F.lit(True).alias("_enough"))  # a row or none
+    return found.join(enough, F.col("_enough"), "left_semi").where(F.col("_r") <= k).select("session_id", "crossing_id", "seconds")
+
+
+def with_layer(existing: DataFrame, layer: DataFrame, keys: list[str]) -> DataFrame:
+    """existing and what another detector's layer adds: rows whose keys are there already change nothing, and of
+    several with the same keys in the layer the least is added."""
+    rest = [c for c in existing.columns if c not in keys]
+    added = layer.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_x")).select(*keys, "_x.*").select(*existing.columns)
+    return existing.unionByName(added.join(existing.select(*keys), keys, "left_anti"))
 
 
 def coverage(readings: DataFrame) -> DataFrame:

@@ -1,7 +1,6 @@
 """The live board as tables: latest rows per camera, open sessions, change feeds, feed verdicts, health rules.
 
-Each is a batch query over everything up to an instant; within foreachBatch it runs over the latest-row
-tables that merge_sink keeps."""
+Each is a batch query over everything up to an instant; streaming.board keeps the same board as rows come in."""
 
 from __future__ import annotations
 
@@ -9,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordered import with_previous, with_running
-from .sessions import board, transitions
+from .polling import feed_health
+from .sessions import board, judging, transitions
 
 
 def on_roster(frames: DataFrame, roster: DataFrame) -> DataFrame:
@@ -38,16 +38,32 @@ def session_changes(emissions: DataFrame, values: list[str]) -> DataFrame:
     return rows.where(~F.col("_b").eqNullSafe(F.struct(*values)) | F.col("_b").isNull()).drop("_b")
 
 
-def full_board(readings: DataFrame, roster: DataFrame, emissions: DataFrame, at: int, stale_ms: int = 15 * 60_000) -> DataFrame:
-    """A row for each crossing of the roster: state, stale, witness, since when, open session, cameras with
-    their last picture. Only scoring cameras vote."""
-    votes = readings.join(roster.where("scores").select("camera_id"), "camera_id", "left_semi")
-    now = board(votes, at, stale_ms).select("crossing_id", "state", "stale", "witness", "witness_t")
-    since = transitions(votes.where(F.col("t") <= at), stale_ms).groupBy("crossing_id").agg(F.max("t").alias("since"))
-    pictures = latest_pictures(readings, at).select("camera_id", F.struct("camera_id", "object_key", "t").alias("picture"))
-    cameras = roster.join(pictures, "camera_id", "left").groupBy("crossing_id").agg(F.array_sort(F.collect_list(F.coalesce("picture", F.struct("camera_id", F.lit(None).cast("string").alias("object_key"), F.lit(None).cast("long").alias("t"))))).alias("cameras"))
-    out = cameras.join(now, "crossing_id", "left").join(since, "crossing_id", "left").join(open_sessions(emissions.where(F.col("seq") <= at)), "crossing_id", "left")
-    return out.select("crossing_id", F.coalesce("state", F.lit("UNKNOWN")).alias("state"), F.coalesce("stale", F.lit(True)).alias("stale"), "since", "witness", "witness_t", F.col("session_id").alias("open_session"), "cameras")
+#: The columns of a board's row that make a change worth telling.
+VISIBLE = ("state", "stale", "since", "open_session", "cameras", "feed", "feed_since")
+
+
+def voting(readings: DataFrame, roster: DataFrame) -> DataFrame:
+    """Readings that count on the board: judgements of the roster's scoring cameras."""
+    return judging(readings).join(roster.where("scores").select("camera_id"), "camera_id", "left_semi")
+
+
+def assembled(now: DataFrame, since: DataFrame, pictures: DataFrame, opened: DataFrame, feed: DataFrame, roster: DataFrame) -> DataFrame:
+    """A row for each crossing of the roster from its parts: consensus, the last change, its cameras' last
+    pictures, its open session, and the verdict on all feeds, which is one row."""
+    none = F.struct("camera_id", F.lit(None).cast("string").alias("object_key"), F.lit(None).cast("long").alias("t"))
+    shown = pictures.select("camera_id", F.struct("camera_id", "object_key", "t").alias("picture"))
+    cameras = roster.join(shown, "camera_id", "left").groupBy("crossing_id").agg(F.array_sort(F.collect_list(F.coalesce("picture", none))).alias("cameras"))
+    out = cameras.join(now.select("crossing_id", "state", "stale", "witness", "witness_t"), "crossing_id", "left").join(since, "crossing_id", "left").join(opened, "crossing_id", "left")
+    out = out.join(feed.select(F.col("verdict").alias("feed"), F.col("since").alias("feed_since")), F.lit(True), "left")
+    return out.select("crossing_id", F.coalesce("state", F.lit("UNKNOWN")).alias("state"), F.coalesce("stale", F.lit(True)).alias("stale"), "since", "witness", "witness_t", F.col("session_id").alias("open_session"), "cameras", "feed", "feed_since")
+
+
+def full_board(readings: DataFrame, roster: DataFrame, emissions: DataFrame, frames: DataFrame, at: int, stale_ms: int = 15 * 60_000) -> DataFrame:
+    """The board at an instant, from all that was read, emitted and polled: see assembled(). Only scoring cameras
+    vote, only the roster's cameras speak for the feeds."""
+    votes = voting(readings, roster).where(F.col("t") <= at)
+    since = transitions(votes, stale_ms).groupBy("crossing_id").agg(F.max("t").alias("since"))
+    return assembled(board(votes, at, stale_ms), since, latest_pictures(readings, at), open_sessions(emissions.where(F.col("seq") <= at)), feed_health(on_roster(frames, roster), at), roster)
 
 
 def board_changes(before: DataFrame, now: DataFrame, visible: list[str]) -> DataFrame:
@@ -90,9 +106,9 @@ def feed_transitions(frames: DataFrame, streak: int = 3, poll_ms: int = 5 * 60_0
 
 #: What is said of each verdict; {} is the time since when.
 NOTES = {
-    "upstream_stale": "No new pictures have been served{} - the pipeline is healthy and waiting.",
-    "upstream_down": "The camera server is not answering{} - the pipeline is healthy and waiting.",
-    "capture_stale": "No camera has been polled{} - this one is on us.",
+    "upstream_stale": "All cameras show what they showed before{}; new pictures are taken up as they come.",
+    "upstream_down": "Polls fail at every camera{}; they go on.",
+    "capture_stale": "Nothing has been polled{}: the fault is here.",
 }
 
 
@@ -102,7 +118,7 @@ def feed_note(verdict: str, since: str) -> Column:
 
     clock = F.date_format(local(since), "h:mm a")
     at = F.when(F.col(since).isNull(), "").otherwise(F.concat(F.lit(" since "), clock))
-    down = F.when(F.col(since).isNull(), "").otherwise(F.concat(F.lit("; no successful poll since "), clock))
+    down = F.when(F.col(since).isNull(), "").otherwise(F.concat(F.lit(" (last good one: "), clock, F.lit(")")))
     out = F
     for name, text in NOTES.items():
         head, tail = text.split("{}")

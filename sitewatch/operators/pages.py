@@ -59,8 +59,8 @@ def wait_outlook(sessions: DataFrame, elapsed_s: int) -> DataFrame:
     rows = rows.withColumns({"n": F.count("rest").over(whole), "record": F.max("seconds").over(whole), "r": F.row_number().over(whole.orderBy(F.col("rest").asc_nulls_last(), "started"))})
     one = rows.where("r = floor(n / 2) + 1 OR (n = 0 AND r = 1)").dropDuplicates(["crossing_id"])
     est = F.greatest(F.lit(5), F.ceil(F.col("rest") / 60 / 5) * 5).cast("int")
-    text = F.when(F.col("n") == 0, F.concat(F.lit("already the longest on record (previous record "), F.floor(F.col("record") / 60 + 0.5).cast("int"), F.lit(" min)")))
-    text = text.otherwise(F.concat(F.lit("trains like this usually clear within ~"), est, F.lit(" min ("), F.col("n"), F.lit(" recorded)")))
+    text = F.when(F.col("n") == 0, F.concat(F.lit("none has lasted this long (the longest took "), F.floor(F.col("record") / 60 + 0.5).cast("int"), F.lit(" min)")))
+    text = text.otherwise(F.concat(F.lit("half of those that lasted this long ended within "), est, F.lit(" more min ("), F.col("n"), F.lit(" of them)")))
     return one.select("crossing_id", text.alias("outlook"))
 
 

@@ -61,19 +61,32 @@ def refresh_cadence(frames: DataFrame) -> DataFrame:
     return ranked.groupBy("camera_id").agg(F.max(F.expr("CASE WHEN r = floor(n / 2) + 1 THEN gap END")).alias("median_ms"), F.max(F.expr("CASE WHEN r = floor(n * 0.9D) + 1 THEN gap END")).alias("p90_ms"), F.max("n").alias("gaps"))
 
 
-def feed_health(frames: DataFrame, at: int, streak: int = 3, poll_ms: int = 5 * 60_000, image_ms: int = 15 * 60_000) -> DataFrame:
-    """One verdict on all feeds at an instant: ok, capture_stale, upstream_down or upstream_stale, and since
+FEED = "camera_id string, polled long, imaged long, answered long, errors long"
+
+
+def feed_parts(frames: DataFrame) -> DataFrame:
+    """FEED: of each camera the last poll, the last new picture, the last poll that was no error, and the errors since."""
+    rows = runs(frames)
+    last = rows.groupBy("camera_id").agg(F.max("_g").alias("_last"), F.max("fetched").alias("polled"), F.max(F.when(F.col("status") == "ok", F.col("fetched"))).alias("imaged"), F.max(F.when(F.col("status") != "error", F.col("fetched"))).alias("answered"))
+    errors = rows.where("status = 'error'").groupBy(F.col("camera_id").alias("_c"), "_g").agg(F.count("*").alias("errors"))
+    per = last.join(errors, (F.col("camera_id") == F.col("_c")) & (F.col("_last") == F.col("_g")), "left")
+    return per.select("camera_id", "polled", "imaged", "answered", F.coalesce("errors", F.lit(0)).cast("long").alias("errors"))
+
+
+def feed_verdict(parts: DataFrame, at: int, streak: int = 3, poll_ms: int = 5 * 60_000, image_ms: int = 15 * 60_000) -> DataFrame:
+    """One row: the verdict on all feeds at an instant (ok, capture_stale, upstream_down or upstream_stale) and since
     when: the last poll, the last that was no error, the last new picture."""
-    rows = runs(frames.where(F.col("fetched") <= at))
-    per = rows.groupBy("camera_id").agg(F.max("fetched").alias("polled"), F.max(F.when(F.col("status") == "ok", F.col("fetched"))).alias("imaged"), F.max(F.when(F.col("status") != "error", F.col("fetched"))).alias("answered"), F.max(F.struct("_g")).alias("g"))
-    errors = rows.where("status = 'error'").groupBy("camera_id", "_g").agg(F.count("*").alias("e"))
-    per = per.join(errors, (per.camera_id == errors.camera_id) & (per.g["_g"] == errors["_g"]), "left").select(per.camera_id, "polled", "imaged", "answered", F.coalesce("e", F.lit(0)).alias("e"))
-    all_ = per.agg(F.count("*").alias("cameras"), F.max("polled").alias("polled"), F.max("imaged").alias("imaged"), F.max("answered").alias("answered"), F.min("e").alias("least"))
+    all_ = parts.agg(F.count("*").alias("cameras"), F.max("polled").alias("polled"), F.max("imaged").alias("imaged"), F.max("answered").alias("answered"), F.min("errors").alias("least"))
     verdict = F.when(F.col("cameras") == 0, "ok").when(F.col("polled") < at - poll_ms, "capture_stale").when(F.col("least") >= streak, "upstream_down").when(F.col("imaged") < at - image_ms, "upstream_stale").otherwise("ok")
     since = F.when(F.col("verdict") == "capture_stale", F.col("polled")).when(F.col("verdict") == "upstream_down", F.col("answered")).when(F.col("verdict") == "upstream_stale", F.col("imaged"))
     return all_.withColumn("verdict", verdict).select("verdict", since.alias("since"), "cameras", "polled", "imaged")
 
 
+def feed_health(frames: DataFrame, at: int, streak: int = 3, poll_ms: int = 5 * 60_000, image_ms: int = 15 * 60_000) -> DataFrame:
+    """feed_verdict() of the polls up to an instant."""
+    return feed_verdict(feed_parts(frames.where(F.col("fetched") <= at)), at, streak, poll_ms, image_ms)
+
+
 def sliding_rates(rows: DataFrame, by: str, time: str, width_min: int = 10) -> DataFrame:
     """Rows a minute over the last `width_min` minutes, at each minute that has some. Summed up by minute
     before each minute's sum goes to the minutes that see it."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,15 @@ class Thresholds:
     def version(self) -> str:
         return f"reference/d{self.changed_pixel}-r{self.row_density}-b{self.least_rows}-c{self.clear_fraction}"
 
+    @property
+    def values(self) -> dict:
+        """Each limit by name, as a model store keeps them."""
+        return asdict(self)
+
+    @classmethod
+    def of(cls, values: dict) -> "Thresholds":
+        return cls(**{f.name: (int(values[f.name]) if float(values[f.name]).is_integer() else values[f.name]) for f in fields(cls) if f.name in values})
+
 
 def cropped(scenes: DataFrame, width: int, top: int = 50, bottom: int = 44) -> DataFrame:
     """scenes without the bars burned in above and below; a picture of no more rows than these is null."""
@@ -171,13 +180,13 @@ def with_verdicts(scenes: DataFrame, model: DataFrame, limits: Thresholds = Thre
     one = compared(scenes, model, limits, side, band)
     rows, changed = F.col("band_rows"), percent(F.col("changed"))
     ladder = [
-        (F.col("bin").isNull(), "UNKNOWN", 0.0, F.lit("image could not be decoded")),
-        (F.col("luminance") < limits.dark, "UNKNOWN", 0.0, F.concat(F.lit("frame too dark to judge (luminance "), F.bround("luminance", 0).cast("int").cast("string"), F.lit(")"))),
-        (F.col("ref").isNull(), "UNKNOWN", 0.0, F.lit("no reference image for this camera and lighting")),
-        (~F.col("same_size"), "UNKNOWN", 0.0, F.lit("frame size differs from reference")),
-        (rows >= limits.least_rows, "BLOCKED", F.least(F.lit(0.95), 0.6 + 0.35 * F.least(F.lit(1.0), rows / (3 * limits.least_rows))), F.concat(F.lit("mass spans "), rows, F.lit(" rows, "), changed, F.lit(" of frame differs"))),
-        (F.col("changed") <= limits.clear_fraction, "CLEAR", 0.85, F.concat(F.lit("matches empty reference ("), changed, F.lit(" differs)"))),
-        (F.lit(True), "UNKNOWN", 0.0, F.concat(changed, F.lit(" differs but no spanning mass ("), rows, F.lit(" rows)"))),
+        (F.col("bin").isNull(), "UNKNOWN", 0.0, F.lit("unreadable picture")),
+        (F.col("luminance") < limits.dark, "UNKNOWN", 0.0, F.concat(F.lit("below the limit of light (mean level "), F.bround("luminance", 0).cast("int").cast("string"), F.lit(")"))),
+        (F.col("ref").isNull(), "UNKNOWN", 0.0, F.lit("nothing to compare with at this brightness")),
+        (~F.col("same_size"), "UNKNOWN", 0.0, F.lit("another number of pixels than the reference")),
+        (rows >= limits.least_rows, "BLOCKED", F.least(F.lit(0.95), 0.6 + 0.35 * F.least(F.lit(1.0), rows / (3 * limits.least_rows))), F.concat(F.lit("obstructed in "), rows, F.lit(" rows, "), changed, F.lit(" of pixels changed"))),
+        (F.col("changed") <= limits.clear_fraction, "CLEAR", 0.85, F.concat(F.lit("looks as when empty ("), changed, F.lit(" changed)"))),
+        (F.lit(True), "UNKNOWN", 0.0, F.concat(changed, F.lit(" changed, but full rows are too few ("), rows, F.lit(")"))),
     ]
     state = conf = reason = F
     for when, s, c, text in ladder:

@@ -19,7 +19,7 @@ from ..sources.files import STATES
 
 Scorer = Callable[[DataFrame], DataFrame]
 #: What a camera that doesn't view its site earns for a frame.
-UNSCORED_VERSION, UNSCORED_REASON = "unscored/1", "camera does not view the crossing; frame kept for context"
+UNSCORED_VERSION, UNSCORED_REASON = "unscored/1", "not judged: the tracks are out of view"
 REASON = 200
 _scorers: dict[str, Scorer] = {}
 
@@ -152,7 +152,7 @@ def classified(frames: DataFrame, load: Callable[[str], Callable | None], versio
     there = F.coalesce((F.size("features") == width) & ~F.exists("features", lambda x: x.isNull()), F.lit(False))
     full = F.when(there, F.col("features").cast("array<double>")).otherwise(F.array_repeat(F.lit(0.0), width))
     rows = frames.select("event_id", "camera_id", there.alias("_there"), model("camera_id", full).alias("_m"))
-    rows = rows.select("event_id", "camera_id", "_m.clear", "_m.blocked", F.when(F.col("_there"), F.nullif(F.col("_m.trouble"), F.lit(""))).otherwise("image could not be decoded").alias("trouble"))
+    rows = rows.select("event_id", "camera_id", "_m.clear", "_m.blocked", F.when(F.col("_there"), F.nullif(F.col("_m.trouble"), F.lit(""))).otherwise("unreadable picture").alias("trouble"))
     judged = softmax_verdict(rows, "blocked", "clear")
     bad = F.col("trouble").isNotNull()
     return judged.select("event_id", "camera_id", F.when(bad, "UNKNOWN").otherwise(F.col("state")).alias("state"), F.when(bad, 0.0).otherwise(F.col("confidence")).alias("confidence"), F.when(bad, F.col("trouble")).otherwise(F.col("reason")).alias("reason"), F.lit(version).alias("version"))

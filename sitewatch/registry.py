@@ -194,7 +194,7 @@ def _(spark, sf_dir):
     return history.day_night(derived(spark, sf_dir))
 
 
-@query("longest_sessions", f"WITH {SESSIONS_SQL} SELECT session_id, crossing_id, seconds FROM sessions WHERE certified ORDER BY seconds DESC, started, crossing_id LIMIT 5")
+@query("longest_sessions", f"WITH {SESSIONS_SQL} SELECT session_id, crossing_id, seconds FROM sessions WHERE certified AND (SELECT count(*) FROM sessions WHERE certified) >= 3 ORDER BY seconds DESC, started, crossing_id LIMIT 5")
 def _(spark, sf_dir):
     return history.longest(derived(spark, sf_dir))
 
@@ -234,10 +234,13 @@ def _(spark, sf_dir):
     return history.rebuilt(old, fresh.withColumn("seconds", F.col("seconds") + 1), windows)
 
 
-@query("layer_union", f"WITH {LAYERED_SQL} SELECT camera_id, t, version, count(*) AS copies, min(event_id) AS kept FROM (SELECT * FROM layered UNION ALL SELECT * FROM layered WHERE event_id % 3 = 0) GROUP BY 1, 2, 3")
+@query("layer_union", f"""WITH {LAYERED_SQL}, more AS (SELECT * FROM layered WHERE version = 'v2' OR event_id % 3 = 0 UNION ALL SELECT * REPLACE (state || '!' AS state) FROM layered WHERE version = 'v2' AND event_id % 5 = 0),
+ one AS (SELECT *, row_number() OVER (PARTITION BY event_id, version ORDER BY state) AS r FROM more)
+ SELECT event_id, version, state, t FROM layered WHERE version = 'v1' UNION ALL SELECT event_id, version, state, t FROM one WHERE r = 1 AND version = 'v2'""")
 def _(spark, sf_dir):
-    rows = tables.layered(spark, sf_dir)
-    return rows.unionByName(rows.where("event_id % 3 = 0")).groupBy("camera_id", "t", "version").agg(F.count("*").alias("copies"), F.min("event_id").alias("kept"))
+    rows = tables.layered(spark, sf_dir).select("event_id", "version", "state", "t")
+    again = rows.where("version = 'v2' AND event_id % 5 = 0").withColumn("state", F.concat("state", F.lit("!")))
+    return history.with_layer(rows.where("version = 'v1'"), rows.where("version = 'v2' OR event_id % 3 = 0").unionByName(again), ["event_id", "version"])
 
 
 @query("even_sample", f"""WITH {READINGS_SQL}, n AS (SELECT camera_id, t, row_number() OVER (PARTITION BY camera_id ORDER BY t, event_id) - 1 AS i, count(*) OVER (PARTITION BY camera_id) AS n FROM readings WHERE state = 'BLOCKED')
@@ -330,9 +333,9 @@ def _(spark, sf_dir):
  per AS (SELECT vec_id, count(*) FILTER (d > 0.45) AS band, sum(h) / 64 AS changed FROM rows GROUP BY 1),
  j AS (SELECT n.vec_id, camera_id, band, luminance, r, changed, CASE WHEN luminance < 12 THEN 'UNKNOWN' WHEN r IS NULL THEN 'UNKNOWN' WHEN band >= 3 THEN 'BLOCKED' WHEN changed <= 0.10 THEN 'CLEAR' ELSE 'UNKNOWN' END AS state FROM near n LEFT JOIN per USING (vec_id))
  SELECT vec_id, camera_id, state, round(CASE state WHEN 'BLOCKED' THEN least(0.95, 0.6 + 0.35 * least(1.0, band / 9)) WHEN 'CLEAR' THEN 0.85 ELSE 0 END, 6)::DOUBLE AS confidence,
-   CASE WHEN luminance < 12 THEN 'frame too dark to judge (luminance ' || round_even(luminance, 0)::INT || ')' WHEN r IS NULL THEN 'no reference image for this camera and lighting'
-     WHEN band >= 3 THEN 'mass spans ' || band || ' rows, ' || round_even(changed * 100, 0)::INT || '% of frame differs' WHEN changed <= 0.10 THEN 'matches empty reference (' || round_even(changed * 100, 0)::INT || '% differs)'
-     ELSE round_even(changed * 100, 0)::INT || '% differs but no spanning mass (' || band || ' rows)' END AS reason, 'reference/d25-r0.45-b3-c0.1' AS version FROM j""")
+   CASE WHEN luminance < 12 THEN 'below the limit of light (mean level ' || round_even(luminance, 0)::INT || ')' WHEN r IS NULL THEN 'nothing to compare with at this brightness'
+     WHEN band >= 3 THEN 'obstructed in ' || band || ' rows, ' || round_even(changed * 100, 0)::INT || '% of pixels changed' WHEN changed <= 0.10 THEN 'looks as when empty (' || round_even(changed * 100, 0)::INT || '% changed)'
+     ELSE round_even(changed * 100, 0)::INT || '% changed, but full rows are too few (' || band || ')' END AS reason, 'reference/d25-r0.45-b3-c0.1' AS version FROM j""")
 def _(spark, sf_dir):
     return scenes.judged(tables.scenes(spark, sf_dir, True), scenes.reference(tables.scenes(spark, sf_dir)), SMALL)
 

@@ -124,11 +124,14 @@ def _(spark, sf_dir):
     return spark.read.schema("object_key string, camera_id string, label string, source string, split string").json(path)
 
 
-@query("model_store", ORACLE_SQL["scene_reference"])
+@query("model_store", f"""WITH m AS ({ORACLE_SQL["scene_reference"]}) SELECT m.*, 7 AS least_rows, 31.5::DOUBLE AS changed_pixel, 2 AS top FROM m""")
 def _(spark, sf_dir):
     path = files.scratch(spark, "model")
-    files.save_model(scenes.reference(tables.scenes(spark, sf_dir)), spark.createDataFrame([("C0", 2, 7)], "camera_id string, top int, bottom int"), path)
-    return files.load_model(spark, path)[0].withColumn("spread", F.round("spread", 6))
+    limits = scenes.Thresholds(changed_pixel=31.5, least_rows=7)
+    files.save_model(scenes.reference(tables.scenes(spark, sf_dir)), spark.createDataFrame([("C0", 2, 7)], "camera_id string, top int, bottom int"), path, limits.values)
+    model, band, found = files.load_model(spark, path)
+    found = scenes.Thresholds.of(found)
+    return model.withColumns({"spread": F.round("spread", 6), "least_rows": F.lit(found.least_rows), "changed_pixel": F.lit(found.changed_pixel), "top": F.lit(band.first()["top"])})
 
 
 @query("frame_identity", f"""WITH {READINGS_SQL} SELECT event_id, 'sha256:' || sha256(digest) AS content_hash, 'manifests/' || camera_id || '/' || strftime(make_timestamp(t * 1000), '%Y/%m/%d/%H') || '.jsonl.gz' AS manifest_key,
@@ -156,6 +159,13 @@ def poll_frames(spark, sf_dir):
     return polling.frames(tables.polls(spark, sf_dir))
 
 
+@query("frame_key_shape", f"WITH {READINGS_SQL}, {FRAMED_SQL}, k AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN object_key WHEN 1 THEN '../' || object_key WHEN 2 THEN replace(object_key, '.jpg', '.jpg' || chr(10)) WHEN 3 THEN replace(object_key, '/2024', '/../2024') ELSE upper(object_key) END AS k FROM framed) SELECT event_id, coalesce(regexp_matches(k, '^frames/[A-Za-z0-9_-]+/[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}}/[0-9]{{2}}/[0-9]+-[0-9a-f]{{8}}[.]jpg$') AND NOT contains(k, chr(10)), false) AS fits FROM k")
+def _(spark, sf_dir):
+    k, r = F.col("object_key"), F.col("event_id") % 5
+    odd = F.when(r == 0, k).when(r == 1, F.concat(F.lit("../"), k)).when(r == 2, F.replace(k, F.lit(".jpg"), F.lit(".jpg\n"))).when(r == 3, F.replace(k, F.lit("/2024"), F.lit("/../2024"))).otherwise(F.upper(k))
+    return framed(spark, sf_dir).withColumn("object_key", odd).select("event_id", scalars.is_frame_key("object_key").alias("fits"))
+
+
 @query("scored_frames", f"WITH {SCORED_SQL} SELECT event_id, crossing_id, camera_id, t, state, round(confidence, 6) AS confidence, reason, version FROM scored")
 def _(spark, sf_dir):
     got = scoring.score(poll_frames(spark, sf_dir), roster(spark, sf_dir), scoring.by_table(verdicts(spark, sf_dir), "event_id"))
@@ -258,9 +268,23 @@ def emissions(spark, sf_dir):
     return row(True, F.col("started")).union(row(True, F.col("started") + 1)).union(row(False, F.col("ended") + 900_001))
 
 
-@query("open_sessions", f"WITH {SESSIONS_SQL}, {EMISSIONS_SQL}, {OPEN_SQL} SELECT crossing_id, session_id FROM open")
+@query("open_sessions", f"WITH {SESSIONS_SQL}, {EMISSIONS_SQL}, {OPEN_SQL.replace(str(NEXT), '(SELECT max(started) FROM sessions)')} SELECT crossing_id, session_id FROM open")
 def _(spark, sf_dir):
-    return live_board.open_sessions(emissions(spark, sf_dir).where(F.col("seq") <= NEXT))
+    """At the instant at which the last session began, so there is one at least."""
+    at = derived(spark, sf_dir).agg(F.max("started")).first()[0]
+    return live_board.open_sessions(emissions(spark, sf_dir).where(F.col("seq") <= at))
+
+
+@query("open_session_count", f"WITH {SESSIONS_SQL}, {EMISSIONS_SQL}, asked AS (SELECT crossing_id AS x, max(started) + 60000 AS m FROM sessions GROUP BY 1) SELECT x AS crossing_id, (SELECT count(*) FROM sessions s WHERE s.started <= m AND s.ended + 900001 > m) AS open FROM asked")
+def _(spark, sf_dir):
+    """How many sessions are open, all crossings together, a minute after each crossing's last one began."""
+    s = derived(spark, sf_dir)
+    at = {r["crossing_id"]: r["at"] for r in s.groupBy("crossing_id").agg((F.max("started") + 60_000).alias("at")).collect()}
+    told, counts = emissions(spark, sf_dir), None
+    for crossing, t in sorted(at.items()):
+        one = live_board.open_sessions(told.where(F.col("seq") <= t)).agg(F.count("*").alias("open")).select(F.lit(crossing).alias("crossing_id"), "open")
+        counts = one if counts is None else counts.unionByName(one)
+    return spark.createDataFrame([], "crossing_id string, open long") if counts is None else counts
 
 
 @query("session_changes", f"WITH {SESSIONS_SQL}, {EMISSIONS_SQL} SELECT session_id, crossing_id, is_open, seq FROM emissions WINDOW w AS (PARTITION BY crossing_id ORDER BY seq) QUALIFY lag(session_id) OVER w IS DISTINCT FROM session_id OR lag(is_open) OVER w IS DISTINCT FROM is_open")
@@ -284,10 +308,10 @@ def pictured(spark, sf_dir):
 @query("live_board", f"""WITH {SESSIONS_SQL}, {FRAMED_SQL}, {EMISSIONS_SQL}, {OPEN_SQL}, {VOTES_SQL},
  pics AS (SELECT crossing_id, camera_id, arg_max(object_key, (t, event_id)) AS k FROM framed WHERE event_id % 4 <> 0 AND t <= {NEXT} GROUP BY 1, 2), roster AS (SELECT DISTINCT crossing_id, camera_id FROM readings),
  cams AS (SELECT r.crossing_id, string_agg(r.camera_id || '=' || coalesce(k, '-'), ' ' ORDER BY r.camera_id) AS cameras FROM roster r LEFT JOIN pics USING (crossing_id, camera_id) GROUP BY 1)
- SELECT crossing_id, CASE WHEN b IS NOT NULL THEN 'BLOCKED' WHEN c IS NOT NULL THEN 'CLEAR' ELSE 'UNKNOWN' END AS state, coalesce(n, 0) = 0 AS stale, since, coalesce(b, c, u)[2] AS witness, coalesce(b, c, u)[1] AS witness_t, session_id AS open_session, cameras
- FROM cams LEFT JOIN w USING (crossing_id) LEFT JOIN since USING (crossing_id) LEFT JOIN open USING (crossing_id)""")
+ SELECT crossing_id, CASE WHEN b IS NOT NULL THEN 'BLOCKED' WHEN c IS NOT NULL THEN 'CLEAR' ELSE 'UNKNOWN' END AS state, coalesce(n, 0) = 0 AS stale, since.since AS since, coalesce(b, c, u)[2] AS witness, coalesce(b, c, u)[1] AS witness_t, session_id AS open_session, cams.cameras, h.verdict AS feed, h.since AS feed_since
+ FROM cams CROSS JOIN ({ORACLE_SQL['feed_health']}) h LEFT JOIN w USING (crossing_id) LEFT JOIN since USING (crossing_id) LEFT JOIN open USING (crossing_id)""")
 def _(spark, sf_dir):
-    got = live_board.full_board(pictured(spark, sf_dir), roster(spark, sf_dir), emissions(spark, sf_dir), NEXT)
+    got = live_board.full_board(pictured(spark, sf_dir), roster(spark, sf_dir), emissions(spark, sf_dir), poll_frames(spark, sf_dir), NEXT)
     return got.withColumn("cameras", F.array_join(F.transform("cameras", lambda c: F.concat(c["camera_id"], F.lit("="), F.coalesce(c["object_key"], F.lit("-")))), " "))
 
 
@@ -325,18 +349,35 @@ def _(spark, sf_dir):
     return live_board.health(poll_frames(spark, sf_dir), roster(spark, sf_dir), NEXT, errors=3)
 
 
-@query("stale_feed_notes", f"""WITH {FRAMES_SQL}, l AS (SELECT camera_id, max(fetched) AS since FROM frames GROUP BY 1)
- SELECT camera_id, CASE camera_id WHEN 'C0' THEN 'No new pictures have been served since ' || c || ' - the pipeline is healthy and waiting.' WHEN 'C1' THEN 'The camera server is not answering; no successful poll since ' || c || ' - the pipeline is healthy and waiting.'
-   WHEN 'C2' THEN 'No camera has been polled since ' || c || ' - this one is on us.' END AS note FROM (SELECT camera_id, ltrim(strftime({LOCAL.format('since')}, '%I:%M %p'), '0') AS c FROM l)""")
+#: Name, which polls there are, milliseconds past the last of them: feeds that earn each verdict.
+FEEDS = [("fine", "fetched <= 1706000000000", 1), ("unpolled", "true", 400_000), ("down", "status = 'error' OR fetched <= 1705000000000", 2), ("stale", "status <> 'ok' OR fetched <= 1705000000000", 3)]
+
+
+def feed_note_sql() -> str:
+    body = ORACLE_SQL["feed_health"][len("WITH ") + len(FRAMES_SQL) + 2 :]
+    one = lambda name, rule, past: f"""SELECT '{name}' AS feed, x.* FROM (WITH given AS (SELECT * FROM frames WHERE {rule}), {body.replace("FROM frames WHERE fetched <= " + str(NEXT), "FROM given").replace(str(NEXT), f"(SELECT max(fetched) + {past} FROM given)")}) x"""
+    return f"""WITH {FRAMES_SQL}, h AS ({" UNION ALL ".join(one(*f) for f in FEEDS)}), c AS (SELECT *, ltrim(strftime({LOCAL.format('since')}, '%I:%M %p'), '0') AS c FROM h)
+ SELECT feed, verdict, CASE verdict WHEN 'upstream_stale' THEN 'All cameras show what they showed before since ' || c || '; new pictures are taken up as they come.' WHEN 'upstream_down' THEN 'Polls fail at every camera (last good one: ' || c || '); they go on.'
+   WHEN 'capture_stale' THEN 'Nothing has been polled since ' || c || ': the fault is here.' END AS note FROM c"""
+
+
+@query("stale_feed_notes", feed_note_sql())
 def _(spark, sf_dir):
-    last = poll_frames(spark, sf_dir).groupBy("camera_id").agg(F.max("fetched").alias("since"))
-    named = last.withColumn("verdict", F.when(F.col("camera_id") == "C0", "upstream_stale").when(F.col("camera_id") == "C1", "upstream_down").when(F.col("camera_id") == "C2", "capture_stale").otherwise("ok"))
-    return named.select("camera_id", live_board.feed_note("verdict", "since").alias("note"))
+    frames, out = poll_frames(spark, sf_dir), None
+    for name, rule, past in FEEDS:
+        given = frames.where(rule)
+        at = (given.agg(F.max("fetched")).first()[0] or 0) + past
+        one = polling.feed_health(given, at).select(F.lit(name).alias("feed"), "verdict", live_board.feed_note("verdict", "since").alias("note"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-@query("held_back_alerts", f"WITH {READINGS_SQL}, {ALERTS_SQL} SELECT crossing_id, t FROM marks WHERE mark = 'F' AND (before IS NULL OR before = 'R') AND t >= {NEXT} - 600000 AND t <= {NEXT}")
+@query("held_back_alerts", f"WITH {READINGS_SQL}, {ALERTS_SQL}, a AS (SELECT crossing_id, t FROM marks WHERE mark = 'F' AND (before IS NULL OR before = 'R')) SELECT crossing_id, t FROM a WHERE t >= (SELECT max(t) FROM a) - 500000")
 def _(spark, sf_dir):
-    return live_board.fresh_alerts(sessions.rising_edges(tables.readings(spark, sf_dir).where(F.col("t") <= NEXT)), NEXT, True).select("crossing_id", "t")
+    """While catching up at 100 seconds past the last alert: that one and those not ten minutes old are sent."""
+    alerts = sessions.rising_edges(tables.readings(spark, sf_dir))
+    now = alerts.agg(F.max("t")).first()[0]
+    return live_board.fresh_alerts(alerts, (now or 0) + 100_000, True).select("crossing_id", "t")
 
 
 @query("silent_sessions", f"WITH {SESSIONS_SQL} SELECT session_id, false AS is_open FROM sessions WHERE started > {DAY} AND ended + 1020000 < {NEXT}")
@@ -394,7 +435,7 @@ def _(spark, sf_dir):
 
 
 @query("wait_outlook", f"""WITH {SESSIONS_SQL}, d AS (SELECT crossing_id, seconds, CASE WHEN seconds > 1200 THEN seconds - 1200 END AS rest FROM sessions WHERE certified), n AS (SELECT crossing_id, count(rest) AS n, max(seconds) AS record, list_sort(list(rest) FILTER (rest IS NOT NULL)) AS l FROM d GROUP BY 1)
- SELECT crossing_id, CASE WHEN n = 0 THEN 'already the longest on record (previous record ' || floor(record / 60 + 0.5)::INT || ' min)' ELSE 'trains like this usually clear within ~' || greatest(5, ceil(l[n // 2 + 1] / 60 / 5) * 5)::INT || ' min (' || n || ' recorded)' END AS outlook FROM n""")
+ SELECT crossing_id, CASE WHEN n = 0 THEN 'none has lasted this long (the longest took ' || floor(record / 60 + 0.5)::INT || ' min)' ELSE 'half of those that lasted this long ended within ' || greatest(5, ceil(l[n // 2 + 1] / 60 / 5) * 5)::INT || ' more min (' || n || ' of them)' END AS outlook FROM n""")
 def _(spark, sf_dir):
     return pages.wait_outlook(derived(spark, sf_dir), 1200)
 

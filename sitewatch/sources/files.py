@@ -230,22 +230,31 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def frame_bytes(spark: SparkSession, path: str, frames: DataFrame) -> DataFrame:
-    """frames (object_key, ...) with the bytes of their pictures below `path`; those without bytes go."""
+    """frames (object_key, ...) with the bytes of their pictures below `path`; those without bytes go, and those
+    whose key has another shape than a frame's."""
+    from ..functions.scalars import is_frame_key
+
+    frames = frames.where(is_frame_key("object_key"))
     keys = F.regexp_extract(F.col("path"), r"(frames/.*)$", 1)
     pictures = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jpg").load(path)
     return frames.join(pictures.select(keys.alias("_k"), "content"), F.col("object_key") == F.col("_k")).drop("_k")
 
 
-def save_model(model: DataFrame, band: DataFrame, path: str) -> None:
-    """A reference model (camera_id, bin, frames, pos, median, spread) as rows with arrays, and the bands."""
+def save_model(model: DataFrame, band: DataFrame, path: str, limits: dict | None = None) -> None:
+    """A reference model (camera_id, bin, frames, pos, median, spread) as rows with arrays, the bands, and the
+    thresholds that verdicts on it are to use, by name."""
     rows = model.groupBy("camera_id", "bin", "frames").agg(F.array_sort(F.collect_list(F.struct("pos", "median", "spread"))).alias("pixels"))
     rows.write.mode("overwrite").parquet(f"{path}/bins")
     band.write.mode("overwrite").parquet(f"{path}/bands")
+    named = [(k, float(v)) for k, v in sorted((limits or {}).items())]
+    band.sparkSession.createDataFrame(named, "name string, value double").coalesce(1).write.mode("overwrite").parquet(f"{path}/limits")
 
 
-def load_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def load_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, dict]:
+    """The model, the bands and the thresholds that save_model() wrote."""
     rows = spark.read.parquet(f"{path}/bins").select("camera_id", "bin", "frames", F.explode("pixels").alias("p"))
-    return rows.select("camera_id", "bin", "frames", "p.pos", "p.median", "p.spread"), spark.read.parquet(f"{path}/bands")
+    limits = {r["name"]: r["value"] for r in spark.read.parquet(f"{path}/limits").collect()}  # one for each threshold
+    return rows.select("camera_id", "bin", "frames", "p.pos", "p.median", "p.spread"), spark.read.parquet(f"{path}/bands"), limits
 
 
 def sync_plan(local: DataFrame, remote: DataFrame) -> DataFrame:

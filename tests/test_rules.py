@@ -194,7 +194,7 @@ def test_scorers(spark):
 
     got = {r["event_id"]: r for r in scoring.classified(frames, load, "head/1", 1).collect()}
     assert len(got) == 9 and got[1]["state"] == got[5]["state"] == "BLOCKED" and all(got[i]["state"] == "UNKNOWN" and got[i]["confidence"] == 0 for i in (2, 3, 4, 6, 7, 8, 9))
-    assert got[2]["reason"] == "no model for this camera" and got[6]["reason"] == "below zero" and {got[i]["reason"] for i in (3, 7, 8)} == {"image could not be decoded"} and {r["version"] for r in got.values()} == {"head/1"}
+    assert got[2]["reason"] == "no model for this camera" and got[6]["reason"] == "below zero" and {got[i]["reason"] for i in (3, 7, 8)} == {"unreadable picture"} and {r["version"] for r in got.values()} == {"head/1"}
     odd = spark.createDataFrame([("JAMMED", 0.7, "r" * 300), ("UNKNOWN", 0.9, None), ("CLEAR", 0.8, "ok")], "state string, confidence double, reason string")
     assert [(r["state"], r["confidence"], len(r["reason"] or "")) for r in scoring.minted(odd).collect()] == [("UNKNOWN", 0.0, 200), ("UNKNOWN", 0.0, 0), ("CLEAR", 0.8, 2)]
     assert scoring.auto_version("a/1", "b/2") == "auto(a/1|b/2)" and scenes.Thresholds().version == "reference/d40-r0.45-b10-c0.1"
@@ -210,13 +210,13 @@ def test_verdict_ladder(spark):
     mass = lambda n: [20] * (n * side) + [120] * (240 - n * side)
     got = {r["vec_id"]: r for r in scenes.judged(picture(spark, plain, mass(10), mass(9), mass(30), [5] * 240, [250] * 240, [120] * 80, [], [120] * 200 + [20] * 16 + [120] * 24), model).collect()}
     assert [got[i]["state"] for i in range(9)] == ["CLEAR", "BLOCKED", *["UNKNOWN"] * 6, "CLEAR"]
-    assert (got[1]["confidence"], got[1]["reason"]) == (round(0.6 + 0.35 * 10 / 30, 6), "mass spans 10 rows, 33% of frame differs")
-    assert got[4]["reason"] == "frame too dark to judge (luminance 5)" and got[5]["reason"] == "no reference image for this camera and lighting"
-    assert got[6]["reason"] == "frame size differs from reference" and got[7]["reason"] == "image could not be decoded"
-    assert got[2]["reason"] == "30% differs but no spanning mass (9 rows)"
+    assert (got[1]["confidence"], got[1]["reason"]) == (round(0.6 + 0.35 * 10 / 30, 6), "obstructed in 10 rows, 33% of pixels changed")
+    assert got[4]["reason"] == "below the limit of light (mean level 5)" and got[5]["reason"] == "nothing to compare with at this brightness"
+    assert got[6]["reason"] == "another number of pixels than the reference" and got[7]["reason"] == "unreadable picture"
+    assert got[2]["reason"] == "30% changed, but full rows are too few (9)"
     dim = scenes.Thresholds(least_rows=3)
     three = {r["vec_id"]: r for r in scenes.judged(picture(spark, mass(3), mass(6)), model, dim).collect()}
-    assert (three[0]["confidence"], three[1]["confidence"]) == (round(0.6 + 0.35 / 3, 6), round(0.6 + 0.35 * 6 / 9, 6)) and three[0]["reason"] == "mass spans 3 rows, 10% of frame differs"
+    assert (three[0]["confidence"], three[1]["confidence"]) == (round(0.6 + 0.35 / 3, 6), round(0.6 + 0.35 * 6 / 9, 6)) and three[0]["reason"] == "obstructed in 3 rows, 10% of pixels changed"
     band = spark.createDataFrame([("C", 10, 20)], "camera_id string, top int, bottom int")
     assert scenes.judged(picture(spark, mass(3)), model, dim, 8, band).first()["state"] == "CLEAR"
     got = scenes.bands(picture(spark, mass(4), mass(6), mass(2)), model).first()
@@ -255,8 +255,8 @@ def test_worst_hours_and_outlook(spark):
     assert worst({}) == [] and worst({6: 5}) == ["around 6 AM"] and worst({0: 5, 23: 4, 1: 3}) == ["11 PM-2 AM"] and worst({h: 5 for h in range(24)}) == ["7 PM-1 AM"]
     s = spark.createDataFrame([("X", i, m * 60, True) for i, m in enumerate([10, 12, 15, 20, 25, 40, 90])], "crossing_id string, started long, seconds long, certified boolean")
     says = lambda m: pages.wait_outlook(s, m * 60).first()["outlook"]
-    assert says(5) == "trains like this usually clear within ~15 min (7 recorded)" and says(30) == "trains like this usually clear within ~60 min (2 recorded)"
-    assert says(100) == "already the longest on record (previous record 90 min)"
+    assert says(5) == "half of those that lasted this long ended within 15 more min (7 of them)" and says(30) == "half of those that lasted this long ended within 60 more min (2 of them)"
+    assert says(100) == "none has lasted this long (the longest took 90 min)"
     text = spark.createDataFrame([(69 * 60 + 29,), (None,), (3599,)], "s long").select(scalars.duration_text("s"), scalars.ticker_text("s")).collect()
     assert [r[0] for r in text] == ["1h 9m", "-", "1h 0m"] and text[0][1] == "1h 9m 29s"
 

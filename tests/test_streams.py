@@ -178,3 +178,55 @@ def test_a_window_is_replaced_in_one_commit(spark):
     assert {k for k, _ in saved(spark, path)} == {"a", "d"} and {k for k, _ in saved(spark, path, 0)} == {"a", "b", "c"}
     versioned.replace(path, lambda old: old.where(F.lit(False)), made.limit(0), KEYS)
     assert saved(spark, path) == {}
+
+
+def test_a_running_board_is_the_batch_board_at_each_instant(spark):
+    """Replayed in files, the events give the board that a batch over all events up to then gives; what is told are
+    the rows that changed, and a batch that runs again tells the same."""
+    from sitewatch.operators import live_board, polling
+    from sitewatch.streaming import board
+
+    rng = random.Random(5)
+    roster = spark.createDataFrame([("a", "X", True), ("b", "X", True), ("c", "Y", True), ("d", "Y", False), ("e", "Z", True)], "camera_id string, crossing_id string, scores boolean")
+    site = {"a": "X", "b": "X", "c": "Y", "d": "Y", "gone": "Y"}
+    reads, polls, opens, t = [], [], [], 0
+    steps = [[] for _ in range(4)]
+    for i in range(48):
+        t += rng.choice([20, 60, 200, 400] if i % 24 < 19 else [1500, 2400]) * 1000 + 1
+        camera, step = rng.choice(list(site)), i // 12
+        state = rng.choice(["BLOCKED", "BLOCKED", "CLEAR", "CLEAR", "UNKNOWN"])
+        version = "unscored/1" if state == "UNKNOWN" and rng.random() < 0.4 else "v1"
+        reads.append((i, site[camera], camera, t, state, 0.5, version, None if rng.random() < 0.3 else f"k{i}"))
+        polls.append((i, camera, t + 7, rng.choice(["ok", "error", "error", "error", "duplicate"]) if step != 2 else "error"))
+        if rng.random() < 0.4:
+            s = rng.randrange(max(1, i - 6), i + 2)
+            opens.append((f"s{s}", "XYZ"[s % 3], rng.random() < 0.6, t + 9))
+        steps[step].append(t + 9)
+    readings_ = spark.createDataFrame(reads, READING + ", object_key string")
+    frames = spark.createDataFrame(polls, "event_id long, camera_id string, fetched long, status string")
+    emissions = spark.createDataFrame(opens, "session_id string, crossing_id string, is_open boolean, seq long")
+    ticks = spark.createDataFrame([(step[-1] + (1_200_000 if i == 2 else 0),) for i, step in enumerate(steps)], "t long")
+    instants = [r["t"] for r in ticks.collect()]
+    everything = sorted(board.events(readings_, frames, emissions, ticks).collect(), key=lambda r: (r["t"], r["kind"]))
+    feed = Feed(spark, spark.createDataFrame([], board.EVENT).schema)
+    told = {}
+    running = board.RunningBoard(f"{feed.at}/board", roster, lambda changes, n: told.setdefault(n, []).append({r["crossing_id"]: r for r in changes.collect()}))
+    before, seen = -1, {}
+    shown = lambda r: tuple(r[c] for c in ("crossing_id", *live_board.VISIBLE, "witness", "witness_t"))
+    for n, at in enumerate(instants):
+        feed.add([r for r in everything if before < r["t"] <= at])
+        board.running(feed.stream(), running, f"{feed.at}/ck", None).awaitTermination(300)
+        want = {r["crossing_id"]: r for r in live_board.full_board(readings_.where(F.col("t") <= at), roster, emissions, frames, at).collect()}
+        got = {r["crossing_id"]: r for r in running.board(spark).collect()}
+        assert {k: shown(r) for k, r in got.items()} == {k: shown(r) for k, r in want.items()}, n
+        changed = {k for k, r in want.items() if k not in seen or tuple(r[c] for c in live_board.VISIBLE) != tuple(seen[k][c] for c in live_board.VISIBLE)}
+        assert set(told[n][0]) == changed, n
+        before, seen = at, want
+    assert len({r["feed"] for t in told.values() for r in t[0].values()}) > 1 and any(r["open_session"] for t in told.values() for r in t[0].values())
+    again = spark.createDataFrame([r for r in everything if instants[-2] < r["t"] <= instants[-1]], feed.schema)
+    running(again, len(instants) - 1)
+    assert told[len(instants) - 1][0] == told[len(instants) - 1][1] and {r["crossing_id"]: shown(r) for r in running.board(spark).collect()} == {k: shown(r) for k, r in want.items()}
+    out = tempfile.mkdtemp(prefix="told-")
+    board.changes_to(out)(running.board(spark), 3)
+    assert spark.read.json(out).count() == 3 and board.board_payloads(running.board(spark)).select("key").distinct().count() == 3
+    assert polling.feed_verdict(polling.feed_parts(frames.limit(0)), 0).first()["verdict"] == "ok"
