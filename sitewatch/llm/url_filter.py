@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, saved
+from .common import saved
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: verdict, host, path.
@@ -87,20 +87,15 @@ def ways(links: DataFrame) -> DataFrame:
 def propagated(seeds: DataFrame, links: DataFrame) -> DataFrame:
     """(kind, host, mass): seeds (kind, host, mass) spread along links (src, dst, n). A round sends on what the
     round before brought; mass is what was brought in all."""
-    steps, mass = saved(ways(links), "ways"), saved(seeds.where("mass > 0"), "seeds")
-    sent = mass
-    none = steps.limit(1).isEmpty()
-    while not none:
+    steps, sent = saved(ways(links), "ways"), saved(seeds.where("mass > 0"), "seeds")
+    brought, on = sent, not steps.limit(1).isEmpty()
+    while on:
         go = sent.select(F.col("kind").alias("_kind"), F.col("host").alias("_host"), "mass")
-        old = sent
         sent = steps.join(go, (F.col("kind") == F.col("_kind")) & (F.col("at") == F.col("_host"))).groupBy("kind", F.col("to").alias("host")).agg((DAMPING * F.sum(F.col("mass") * F.col("share"))).alias("mass"))
         sent = saved(sent, "sent")
-        before, mass = mass, saved(mass.unionByName(sent).groupBy("kind", "host").agg(F.sum("mass").alias("mass")), "mass")
-        none = (sent.agg(F.max("mass")).first()[0] or 0.0) <= SETTLED
-        discard(before)
-        if old is not before:
-            discard(old)
-    return mass
+        brought = brought.unionByName(sent)
+        on = (sent.agg(F.max("mass")).first()[0] or 0.0) > SETTLED
+    return brought.groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
 
 
 def host_scores(judged: DataFrame, pages: DataFrame) -> DataFrame:
