@@ -318,8 +318,8 @@ def document_key(doc_id: Column, seed: int = SEED) -> Column:
     return F.xxhash64(F.lit(seed), doc_id.cast("long"), doc_id.isNull())
 
 
-def keyed(docs: DataFrame, seed: int) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), document_key(F.col("doc_id"), seed).alias("document"))
+def keyed(docs: DataFrame, seed: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), document_key(F.col("doc_id"), seed).alias("document"), *[F.col(c).cast("string").alias(c) for c in carry])
 
 
 def encoded(docs: DataFrame, path: str, rate: float = RATE, seed: int = SEED) -> DataFrame:
@@ -347,8 +347,9 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
     return rows.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str, rate: float = RATE, seed: int = SEED) -> DataFrame:
-    """doc_id, n_tokens, ids, the text decoded from them and whether it is the text that went in."""
+def round_trip(docs: DataFrame, path: str, rate: float = RATE, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids, the text decoded from them, whether it is the text that went in, and the columns to
+    carry along, as texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, rate, seed)
@@ -357,9 +358,9 @@ def round_trip(docs: DataFrame, path: str, rate: float = RATE, seed: int = SEED)
                 part = batch.slice(i, j - i)
                 ids = own.encode(part.column(1), part.column(2).to_numpy().view(np.uint64)).cast(pa.binary())
                 texts = own.decode(ids).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), pc.divide(pc.binary_length(ids), 2).cast(pa.int64()), ids, texts, pc.equal(texts, part.column(1))], names=["doc_id", "n_tokens", "ids", "decoded", "lossless"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pc.divide(pc.binary_length(ids), 2).cast(pa.int64()), ids, texts, pc.equal(texts, part.column(1)), *part.columns[3:]], names=["doc_id", "n_tokens", "ids", "decoded", "lossless", *carry])
 
-    return keyed(docs, seed).mapInArrow(lean(run), "doc_id long, n_tokens long, ids binary, decoded string, lossless boolean")
+    return keyed(docs, seed, carry).mapInArrow(lean(run), ", ".join(["doc_id long, n_tokens long, ids binary, decoded string, lossless boolean", *[f"{c} string" for c in carry]]))
 
 
 def model_path() -> str:

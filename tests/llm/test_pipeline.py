@@ -67,6 +67,17 @@ def test_stages_are_what_brute_force_gives(spark, tmp_path, monkeypatch):
     assert sorted((r["doc_id"], r["decoded_sha256"]) for r in got) == sorted(want) and all(r["lossless"] and len(r["ids"]) == 2 * r["n_tokens"] for r in got)
 
 
+def test_the_mix_keeps_its_order(spark, sf_dir):
+    """Read back from its files, by whatever order these are opened in, the mix has a place for every document."""
+    r = random.Random(7)
+    rows = [(i, prose(r, r.randrange(1, 400 if i % 7 == 0 else 9)), "en", "abc"[i % 3], 0) for i in range(120)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    want = [x["doc_id"] for x in corpus_pipeline.mix_sources(spark, docs, sf_dir).collect()]
+    mix = corpus_pipeline.common.saved(corpus_pipeline.mix_sources(spark, docs, sf_dir), "mix")
+    got = corpus_pipeline.encode_pieces(spark, mix, sf_dir).orderBy("place").collect()
+    assert [x["doc_id"] for x in got] == want and len({x["place"] for x in got}) == len(want) > 100
+
+
 def test_rows_stand_for_themselves(spark, sf_dir, monkeypatch):
     """Null and repeated doc_ids: a row goes for its own text only."""
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
@@ -84,7 +95,7 @@ def test_stages_on_odd_tables(spark, sf_dir, monkeypatch, stage):
     """An empty table, nulls in every column, and columns beside those of documents."""
     flagged(monkeypatch)
     name, run = corpus_pipeline.STAGES[stage]
-    odd = spark.createDataFrame([(None, None, None, None, None), (None, None, None, None, None), (1, "", None, None, 0), (2, "w " * 9, None, "s", None)], SCHEMA).withColumns({"size": F.lit(1), "key": F.lit("k"), "row": F.lit(2), "node": F.lit(3), "_key": F.lit(4)})
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, None, None, None, None), (1, "", None, None, 0), (2, "w " * 9, None, "s", None)], SCHEMA).withColumns({"size": F.lit(1), "key": F.lit("k"), "row": F.lit(2), "node": F.lit(3), "_key": F.lit(4), "_toxic": F.lit(5), "_kept": F.lit(6), "place": F.lit(7)})
     out = run(spark, odd, sf_dir)
     assert 2 in {r["doc_id"] for r in out.collect()}
     assert run(spark, odd.where("false"), sf_dir).count() == 0
