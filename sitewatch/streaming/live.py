@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scalars import session_id
 from ..operators.sessions import AlertPolicy, SessionPolicy
-from ..sources.files import Record, decode, iso
+from ..sources.files import OBSERVATION, Record, decode, iso
 from . import stateful
 
 LATENESS = "2 minutes"
@@ -99,6 +99,18 @@ def alert_payloads(alerts: DataFrame) -> DataFrame:
     return alerts.select(F.col("crossing_id").alias("key"), F.to_json(F.struct("crossing_id", iso("t").alias("started_at"), "confidence", "reason")).alias("value"))
 
 
+def observation_payloads(observations: DataFrame) -> DataFrame:
+    """key, value of observations, by their crossing: the fields of files.OBSERVATION that they have, as JSON."""
+    names = [f.name for f in OBSERVATION.schema if f.name in observations.columns]
+    return observations.select(F.col("crossing_id").alias("key"), F.to_json(F.struct(*names)).alias("value"))
+
+
+def to_topic(rows: DataFrame, servers: str, name: str, checkpoint: str, format: str = "kafka") -> StreamingQuery:
+    """Sends a stream's key and value to a topic, at least once. Another format gets the same rows and options."""
+    sent = rows.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+    return sent.writeStream.format(format).option("kafka.bootstrap.servers", servers).option("topic", name).option("path", name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def record_sink(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Appends a stream's rows below `path` until what is there has been read; each once."""
     return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

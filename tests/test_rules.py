@@ -294,6 +294,10 @@ def test_streams_of_records(spark):
     live.record_sink(live.keyed_lines(source, files.FRAME, "camera_id"), f"{folder}/out", f"{folder}/ck").awaitTermination(120)
     got = spark.read.parquet(f"{folder}/out").collect()
     assert [(r["key"], r["value"]) for r in got] == [("C", line)]
+    live.to_topic(live.keyed_lines(source, files.FRAME, "camera_id"), "nowhere", f"{folder}/topic", f"{folder}/ck3", "parquet").awaitTermination(120)
+    assert [tuple(r) for r in spark.read.parquet(f"{folder}/topic").collect()] == [("C", line)]
+    seen = spark.createDataFrame([("X", "C", "BLOCKED", 0.5, 7)], "crossing_id string, camera_id string, state string, confidence double, t long")
+    assert [(r["key"], json.loads(r["value"])) for r in live.observation_payloads(seen).collect()] == [("X", {"crossing_id": "X", "camera_id": "C", "state": "BLOCKED", "confidence": 0.5})]
     alert = spark.createDataFrame([("X", 1_704_067_200_000, 0.5, "why")], "crossing_id string, t long, confidence double, reason string")
     assert [(r["key"], json.loads(r["value"])) for r in live.alert_payloads(alert).collect()] == [("X", {"crossing_id": "X", "started_at": "2024-01-01T00:00:00+00:00", "confidence": 0.5, "reason": "why"})]
     roster = spark.createDataFrame([("C", "X", True)], "camera_id string, crossing_id string, scores boolean")
