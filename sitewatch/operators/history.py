@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import local
+from ..sources import versioned
 
 
 def latest_layer(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -133,14 +134,24 @@ def refuse(violations: DataFrame) -> None:
         raise ValueError("; ".join(f"{r['rule']} ({r['crossing_id']} {r['detail']})" for r in found))
 
 
-def rebuilt(old: DataFrame, new: DataFrame, windows: DataFrame) -> DataFrame:
-    """Sessions after a rebuild: old ones that began outside their crossing's window, and all new ones.
-    windows: (crossing_id, low, high), closed, a row a crossing."""
+def outside(old: DataFrame, windows: DataFrame) -> DataFrame:
+    """Sessions that began outside their crossing's window (crossing_id, low, high), closed, a row a crossing."""
     w = windows.select(F.col("crossing_id").alias("w"), "low", "high")
-    kept = old.join(w, (F.col("crossing_id") == F.col("w")) & F.col("started").between(F.col("low"), F.col("high")), "left_anti")
+    return old.join(w, (F.col("crossing_id") == F.col("w")) & F.col("started").between(F.col("low"), F.col("high")), "left_anti")
+
+
+def rebuilt(old: DataFrame, new: DataFrame, windows: DataFrame) -> DataFrame:
+    """Sessions after a rebuild: old ones outside the windows, and all new ones."""
+    kept = outside(old, windows)
     return kept.unionByName(new.select(*kept.columns))
 
 
+def load_rebuild(path: str, new: DataFrame, windows: DataFrame, keys: tuple[str, ...] = ("session_id", "version")) -> bool:
+    """rebuilt() of the versioned table at `path`, in one commit: no reader sees windows that are emptied and not
+    yet filled. Run guards() first."""
+    return versioned.replace(path, lambda old: outside(old, windows), new, list(keys))
+
+
 def even_sample(rows: DataFrame, keys: list[str], order: list[str], k: int = 10) -> DataFrame:
     """At most k rows of each key, evenly from the first to the last."""
     w = Window.partitionBy(*keys)

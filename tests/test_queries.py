@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from sitewatch import registry_more as registry
+from sitewatch import registry_streams as registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
