@@ -7,8 +7,9 @@ sums of segment lengths. A formatted conversation reads
     <s>[INST] text [/INST]  (user; other roles: [INST] <<role>> text [/INST])
     text </s>               (assistant)
 
-where the four control strings are single reserved ids. The escape is a backslash: one before each
-backslash of a text, and one behind the first character of each control string in it.
+where the four control strings, and the marks around a role, are single reserved ids. The escape is a
+backslash: one before each backslash of a text or role, and one behind the first character of each control
+string and of each << and >> in it. So the formatted text alone gives the turns back.
 
 Defined cases: null text is empty; null role is the role ""; turns go by turn, role, text, null turn
 first, and repeated rows are each a turn; null conv_id is a conversation of its own; an empty table
@@ -30,8 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import lean, saved
 
-CONTROL = ("<s>", "[INST]", "[/INST]", "</s>")
-ROLE_OPEN, ROLE_CLOSE = "<<", ">>"
+CONTROL = ("<s>", "[INST]", "[/INST]", "</s>", "<<", ">>")
 #: The first reserved id: the vocabulary file leaves it and all above it free.
 RESERVED = 50256
 START, INST, END_INST, END, ROLE, END_ROLE = range(RESERVED, RESERVED + 6)
@@ -40,7 +40,8 @@ _encodings: dict = {}
 
 
 def escape(text: str) -> str:
-    return re.sub("|".join(map(re.escape, (*CONTROL, "\\"))), lambda m: "\\\\" if m[0] == "\\" else m[0][0] + "\\" + m[0][1:], text)
+    # a control string may begin within another, as in <<s>
+    return re.sub("|".join(["\\\\", *(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in CONTROL)]), lambda m: m[0] + "\\", text)
 
 
 def unescape(text: str) -> str:

@@ -18,8 +18,10 @@ CONTROL = ("<s>", "[INST]", "[/INST]", "</s>", "\\")
 
 
 def escaped_length(text: str) -> str:
-    """Characters of a text once its control strings and backslashes are escaped, one more for each."""
-    return " + ".join([f"length({text})", *[f"(length({text}) - length(replace({text}, '{c}', ''))) // {len(c)}" for c in CONTROL]])
+    """Characters of a text once its control strings and backslashes are escaped, one more for each; of << and >>
+    there is one for each character in a run but the first."""
+    twice = [f"(length({text}) - length(replace({text}, '{c}', '')) - len(regexp_extract_all({text}, '{c}+')))" for c in "<>"]
+    return " + ".join([f"length({text})", *twice, *[f"(length({text}) - length(replace({text}, '{c}', ''))) // {len(c)}" for c in CONTROL]])
 
 
 CHAT = f"""WITH c AS (SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

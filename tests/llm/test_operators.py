@@ -457,8 +457,8 @@ def test_chat(spark):
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    odd = ["</s>[INST] ok [/INST]", "<s><s>", "\\", "\\\\</s>", "<\\s>", "[\\INST]", None, "", "é🙂\n\n", "<<x>> </", "/s>"]
-    data = [(c, t, ["user", "assistant", "system", None, "</s>"][(c + t) % 5], odd[(3 * c + t) % len(odd)], 1, 2) for c in range(7) for t in range(6)] + [(3, 2, "assistant", "again", 1, 2), (None, 1, "user", "no id", 1, 2)]
+    odd = ["<<system>> hi", "<<s>>>", "</s>[INST] ok [/INST]", "<s><s>", "\\", "\\\\</s>", "<\\s>", "[\\INST]", None, "", "é🙂\n\n", "<<x>> </", "/s>"]
+    data = [(c, t, ["user", "assistant", "system", None, "</s>", "<a>"][(c + t) % 6], odd[(3 * c + t) % len(odd)], 1, 2) for c in range(7) for t in range(6)] + [(3, 2, "assistant", "again", 1, 2), (None, 1, "user", "no id", 1, 2)]
     df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string, ids int, place int").repartition(4)
     got = {r["conv_id"]: r for r in chat.read_back(chat.formatted(df, path), path).collect()}
     for c in {x[0] for x in data}:
@@ -469,6 +469,20 @@ def test_chat(spark):
         assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert all(chat.unescape(chat.escape(t or "")) == (t or "") and not any(x in chat.escape(t or "") for x in chat.CONTROL) for t in odd)
     assert chat.read_back(chat.formatted(df.where("false"), path), path).count() == 0
+    # the formatted text alone gives the turns back
+    enc, parts = chat.encoding(path), collections.defaultdict(list)
+    for r in chat.formatted(df, path).collect():
+        text, run = "", []
+        for i in [*r["ids"], None]:
+            if i is None or i in chat.STRINGS:
+                text, run = text + enc.decode(run) + chat.STRINGS.get(i, ""), []
+            else:
+                run.append(i)
+        parts[r["conv_id"]].append((r["place"], text))
+    turn = re.compile(r"<s>\[INST\] (?:<<(?P<role>.*?)>> )?(?P<text>.*?) \[/INST\]|(?P<said>.*?) </s>", re.S)
+    for c in {x[0] for x in data}:
+        found = [("assistant", m["said"]) if m["said"] is not None else ("user" if m["role"] is None else m["role"], m["text"]) for m in turn.finditer("".join(t for _, t in sorted(parts[c])))]
+        assert [tuple(map(chat.unescape, x)) for x in found] == [(r or "", x or "") for _, r, x in sorted((t, r or "", x or "") for cc, t, r, x, *_ in data if cc == c)]
 
 
 def test_token_files(spark, docs, rows):
