@@ -36,8 +36,9 @@ from pyspark.sql import functions as F
 from .common import blocks, connected_components, filter_place, id_filter, in_filter, lean, mix, prefix_sums, saved, stretch_hashes, utf8
 
 SHINGLE, PERCENT, SHARED = 5, 80, 8
-#: Counters of the sketch, in slices; 4 MB once reduced to a byte each. Documents of a block at most.
-COUNTERS, SLICES, BLOCK = 1 << 22, 64, 256
+#: Counters of the sketch, as many as the texts have shingles (BYTES a shingle, about) but within these
+#: bounds; a byte each while counted, half a byte each once broadcast, so 32 MB at most. Documents of a block at most.
+FEWEST, MOST, BYTES, SLICES, BLOCK = 1 << 20, 1 << 26, 8, 64, 256
 _fold = np.arange(256, dtype=np.uint8)
 _fold[65:91] += 32
 _places = [int(x) | 1 for x in mix(np.arange(1, SHINGLE + 1, dtype=np.uint64))]
@@ -90,12 +91,25 @@ def sets_of(batch: pa.RecordBatch, column: int):
         yield from zip(range(i, j), shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
 
 
-def measured(docs: DataFrame) -> DataFrame:
+def counters_for(docs: DataFrame) -> int:
+    """Counters of the sketch: a power of two that grows with the bytes of all texts."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(MOST, max(FEWEST, 1 << (size // BYTES).bit_length()))
+
+
+def counted(counts: np.ndarray, held: list[np.ndarray]) -> None:
+    """Adds the shingles to the counters, which stop at 255 in a task."""
+    at, n = np.unique(np.concatenate(held) % np.uint64(len(counts)), return_counts=True)
+    at = at.astype(np.int64)
+    counts[at] = np.minimum(counts[at] + n, 255)
+
+
+def measured(docs: DataFrame, counters: int) -> DataFrame:
     """doc_id, key, n, node of every document (doc_id, text, key), and (slice, counts) of the sketch, one
     set for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.uint32)
+        counts = np.zeros(counters, np.uint8)
         for batch in batches:
             n, node, held, size = [], [], [], 0
             for _, s in sets_of(batch, 1):
@@ -103,36 +117,45 @@ def measured(docs: DataFrame) -> DataFrame:
                 node.append(node_of(s))
                 held.append(s)
                 if (size := size + len(s)) > 1 << 20:
-                    counts += np.bincount((np.concatenate(held) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+                    counted(counts, held)
                     held, size = [], 0
             if size:
-                np.add.at(counts, (np.concatenate(held) % np.uint64(COUNTERS)).astype(np.int64), 1)
+                counted(counts, held)
             rows = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=["doc_id", "key", "n", "node", "slice", "counts"])
         squeeze = zstandard.ZstdCompressor()
-        parts = [squeeze.compress(x.tobytes()) for x in np.split(counts, SLICES)] if counts.any() else []
-        k = len(parts)
-        none = pa.nulls(k, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "key", "n", "node", "slice", "counts"])
+        none = pa.nulls(1, pa.int64())
+        for k, part in enumerate(np.split(counts, SLICES) if counts.any() else []):
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([k], pa.int32()), pa.array([squeeze.compress(part.tobytes())], pa.binary())], names=["doc_id", "key", "n", "node", "slice", "counts"])
 
     return docs.mapInArrow(lean(run), "doc_id long, key long, n long, node long, slice int, counts binary")
 
 
-def frequency_classes(sketch: DataFrame) -> np.ndarray:
-    """Per counter, the binary logarithm of its total: COUNTERS bytes, whatever the input."""
+def frequency_classes(sketch: DataFrame, counters: int) -> np.ndarray:
+    """Per counter a class of its total, two to a byte: the binary logarithm, in twos from 2 ** 8 on."""
 
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(COUNTERS // SLICES, np.uint64)
-        for x in frame["counts"]:
-            total += np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint32)
-        return pd.DataFrame({"slice": frame["slice"].iloc[:1], "classes": [np.frexp(total.astype(np.float64))[1].astype(np.uint8).tobytes()]})
+    def add(at: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(counters // SLICES, np.uint32)
+        expand = zstandard.ZstdDecompressor()
+        for part in parts:
+            for x in part.column(1):
+                total += np.frombuffer(expand.decompress(x.as_py()), np.uint8)
+        log = np.frexp(total.astype(np.float64))[1]
+        log = np.minimum(15, np.where(log > 8, 8 + (log - 8) // 2, log)).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([at[0].as_py()], pa.int32()), pa.array([zstandard.compress((log[::2] | log[1::2] << 4).tobytes())], pa.binary())], names=["slice", "classes"])
 
-    out = np.zeros((SLICES, COUNTERS // SLICES), np.uint8)
-    for row in sketch.groupBy("slice").applyInPandas(add, "slice int, classes binary").collect():
-        out[row["slice"]] = np.frombuffer(row["classes"], np.uint8)
+    out = np.zeros((SLICES, counters // SLICES // 2), np.uint8)
+    for row in sketch.groupBy("slice").applyInArrow(add, "slice int, classes binary").collect():
+        out[row["slice"]] = np.frombuffer(zstandard.decompress(row["classes"]), np.uint8)
     return out.reshape(-1)
 
 
+def ranks(classes: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """The frequency class of each shingle."""
+    at = (s % np.uint64(2 * len(classes))).astype(np.int64)
+    return classes[at >> 1] >> ((at & 1) << 2).astype(np.uint8) & 15
+
+
 def needed(n: int) -> int:
     """Least intersection that a set of n shingles has with any set it links with."""
     return -(-PERCENT * n // 100)
@@ -150,7 +173,7 @@ def prefixes(docs: DataFrame, classes) -> DataFrame:
                 if (n := len(s)) == 0:
                     continue
                 p = min(n, n - needed(n) + SHARED)
-                key = (rank[(s % np.uint64(COUNTERS)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
+                key = (ranks(rank, s).astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
                 tokens.append(s[np.argpartition(key, p - 1)[:p]] if p < n else s)
                 nodes.append(node_of(s))
                 sizes.append(n)
@@ -306,9 +329,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    first = saved(measured(docs), "sets")
+    counters = counters_for(docs)
+    first = saved(measured(docs, counters), "sets")
     rows = first.where("slice is null").select("doc_id", "key", "n", "node")
-    classes = spark.sparkContext.broadcast(frequency_classes(first.where("slice is not null").select("slice", "counts")))
+    classes = spark.sparkContext.broadcast(frequency_classes(first.where("slice is not null").select("slice", "counts"), counters))
 
     token = Window.partitionBy("token")
     shared = prefixes(docs, classes).withColumn("least", F.min("node").over(token)).withColumn("most", F.max("node").over(token)).where("least <> most").drop("most").distinct()

@@ -15,9 +15,11 @@ A margin is linear in the kernel values, hence in the unit's weighted triples of
 of the machine's weight for each triple gives margins exactly, whatever the gaps.
 
 The model is fitted to a bounded sample of labelled rows: TOXIC_DOCS and CLEAN_DOCS at most, by hash
-of doc_id, none of which is held out. Training goes over the whole texts of the sample ROUNDS times;
-each time the unit of the largest margin joins the examples, as a toxic text's only one and as one more
-of a clean text. Everything else covers all rows and whole texts.
+of doc_id, none of which is held out. A toxic text gives every unit that begins with a telling landmark
+as an example, so insults that share a text are all learned; words that many toxic texts have also stand
+with letters put in between (virtual examples). Training goes over the whole texts of the sample ROUNDS
+times; each time the unit of the largest margin joins the examples: of a toxic text without a telling unit
+as its only one, of a clean text as one more. Everything else covers all rows and whole texts.
 
 Defined cases: null or empty text has the score of a text without a suspicious unit; null doc_id isn't
 held out; a label of null is no label and of two labels of a doc_id the larger holds; repeated rows are
@@ -31,6 +33,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,8 @@ from .common import blocks, lean, saved, utf8
 
 TOXIC_DOCS, CLEAN_DOCS = 3000, 6000
 ORDER, DECAY, LANDMARKS, THRESHOLD, ROUNDS = 3, 0.7, 64, 0.3, 6
+#: A landmark tells by itself if this share of the toxic texts has it, and PURE times as many toxic as clean ones.
+TELLING, PURE = 0.02, 4
 #: Lengths of the word beginnings that may be landmarks; letters of a unit looked at together.
 STEMS, SPAN, CANDIDATES = range(3, 11), 24, 3000
 #: Bytes of text taken at once.
@@ -345,27 +350,98 @@ def most_toxic(sample: DataFrame, model: Model) -> list[tuple[int, int, str, flo
     return sorted(tuple(r) for r in sample.mapInArrow(lean(run), "doc_id long, toxic int, unit string, margin double").collect())
 
 
+def beginnings(sample: DataFrame, landmarks: list[str]) -> list[tuple[int, int, str, str]]:
+    """(doc_id, toxic, landmark, unit) of the distinct units of each text that begin with a landmark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, sizes = set(landmarks), sorted({len(x) for x in landmarks})
+        for batch in batches:
+            found = []
+            for r in range(batch.num_rows):
+                letters, bounds, _, _ = units_of(batch.column(1).slice(r, 1))
+                text = letters.astype(np.uint32).tobytes().decode("utf-32-le")
+                units = {"^" + text[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())}
+                found += [(batch.column(0)[r].as_py(), batch.column(2)[r].as_py(), u[:k], u[1:]) for u in units for k in sizes if k <= len(u) and u[:k] in own]
+            yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "toxic", "landmark", "unit"), x)) for x in found], schema=pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("landmark", pa.string()), ("unit", pa.string())]))
+
+    return sorted(tuple(r) for r in sample.mapInArrow(lean(run), "doc_id long, toxic int, landmark string, unit string").collect())
+
+
+def telling_landmarks(found: list[tuple[int, int, str, str]], toxic_docs: int, clean_weight: float) -> list[str]:
+    """Landmarks that tell by themselves (TELLING, PURE), then, one by one, those that add most toxic texts
+    less PURE times the clean ones that have it, until one would add less than a hundredth of the toxic texts."""
+    has: dict[str, tuple[set, set]] = {}
+    for doc, toxic, landmark, _ in found:
+        has.setdefault(landmark, (set(), set()))[0 if toxic else 1].add(doc)
+    kept: list[str] = []
+    for landmark, (toxic, clean) in sorted(has.items()):
+        if len(toxic) >= max(2, TELLING * toxic_docs) and len(toxic) >= PURE * clean_weight * len(clean):
+            kept.append(landmark)
+    met = {doc for x in kept for doc in has[x][0]}
+    while rest := [x for x in sorted(has) if x not in kept]:
+        gain = lambda x: len(has[x][0] - met) - PURE * clean_weight * len(has[x][1])
+        best = max(rest, key=gain)
+        if gain(best) < max(2, toxic_docs / 100):
+            break
+        kept.append(best)
+        met |= has[best][0]
+    return kept
+
+
+def virtual(unit: str, known: str) -> list[str]:
+    """The unit with letters put in: at one joint, at two, and at each joint another; the places and the
+    letters follow from the unit by its CRC."""
+    if len(unit) < ORDER + 1:
+        return []
+    seed = crc32(unit.encode())
+    letter = lambda i: known[(seed >> 3) * (2 * i + 1) % len(known)]
+    joints = range(1, len(unit))
+    at, to = seed % len(joints), (seed >> 8) % len(joints)
+    stuffed = [{at}, {at, to}, set(range(len(joints)))]
+    return ["".join(c + (letter(i) if i in s and i < len(joints) else "") for i, c in enumerate(unit)) for s in stuffed]
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """The model of the labelled rows that aren't held out; None if only one label occurs."""
     found = sample_of(docs, labels)
     if found is None:
         return None
     sample, clean_weight = found
-    sample = saved(sample, "labelled")
+    # dealt anew: few files may hold all of the sample, which is gone over ROUNDS times
+    sample = saved(sample.repartition(32, "doc_id"), "labelled")
     landmarks = choose_landmarks(stem_counts(sample))
     if not landmarks:
         return Model(["^" + "?" * 4], np.zeros(1), 0.0, 1.0, -30.0)
     model = Model(landmarks, np.ones(len(landmarks)), 0.0, 1.0, 0.0)
     values, vectors = np.linalg.eigh(model.kernel([x[1:] for x in landmarks]))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
+    began = beginnings(sample, landmarks)
+    toxic_docs = sample.where("toxic = 1").select("doc_id").distinct().count()
+    telling = set(telling_landmarks(began, toxic_docs, clean_weight))
+    # each toxic text has every unit with a telling beginning as an example; words that many texts have
+    # also stand with letters put in, at a weight that all such forms of a word share
+    sure = sorted({(doc, unit) for doc, toxic, landmark, unit in began if toxic and landmark in telling})
+    covered = {doc for doc, _ in sure}
+    often = Counter(unit for _, unit in sure)
+    known = "".join(sorted({c for x in landmarks for c in x if c.isalnum()})) or "x"
+    stuffed = [(v, n / 3) for unit, n in sorted(often.items()) if n >= max(2, TELLING * toxic_docs) for v in virtual(unit, known)]
+    features: dict[str, np.ndarray] = {}
+
+    def seen(units: list[str]) -> np.ndarray:
+        """Features of the units; landmarks don't change, so each unit is met once."""
+        if new := sorted(set(units) - features.keys()):
+            features.update(zip(new, model.kernel(new) @ root))
+        return np.stack([features[x] for x in units])
+
     clean: set[tuple[int, str]] = set()
     for _ in range(ROUNDS):
         rows = most_toxic(sample, model)
-        witness = [unit for _, toxic, unit, _ in rows if toxic and unit]
+        witness = [unit for _, unit in sure] + [unit for doc, toxic, unit, _ in rows if toxic and unit and doc not in covered]
         clean |= {(i, unit) for i, toxic, unit, _ in rows if not toxic}
-        examples = [*witness, *(unit for _, unit in sorted(clean))]
-        y = np.array([1.0] * len(witness) + [-1.0] * len(clean))
-        w = squared_hinge(model.kernel(examples) @ root, y, np.where(y > 0, 1.0, clean_weight))
+        examples = [*witness, *(v for v, _ in stuffed), *(unit for _, unit in sorted(clean))]
+        y = np.array([1.0] * (len(witness) + len(stuffed)) + [-1.0] * len(clean))
+        weight = np.array([1.0] * len(witness) + [w for _, w in stuffed] + [clean_weight] * len(clean))
+        w = squared_hinge(seen(examples), y, weight)
         model = Model(landmarks, root @ w[:-1], float(w[-1]), 1.0, 0.0)
     rows = most_toxic(sample, model)
     toxic = np.array([r[1] for r in rows], float)

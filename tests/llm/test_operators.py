@@ -79,6 +79,41 @@ def test_difference_cover():
         assert {(a - b) % v for a in c for b in c} == set(range(v)) and len(c) < v / 2
 
 
+def test_toxicity_learns_every_insult(spark):
+    """Texts hold several insults each; every one is learned, and words beside them are not."""
+    r = random.Random(11)
+    bad = ["scumbag", "dimwit", "loathsome", "buffoon", "halfwit", "cretin"]
+    data = []
+    for i in range(600):
+        words, toxic = prose(r, 30).split(), i % 4 == 0
+        for w in r.sample(bad, 3) if toxic else []:
+            words[r.randrange(30)] = w
+        data.append((i, " ".join(words), toxic))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(y)) for i, _, y in data], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert (model.scores(pa.array(bad)) >= toxicity.THRESHOLD).all()
+    assert (model.scores(pa.array([f"{prose(r, 5)} {w}, {prose(r, 5)}" for w in bad])) >= toxicity.THRESHOLD).all()
+    assert model.scores(pa.array([prose(r, 500)]))[0] < toxicity.THRESHOLD
+
+
+def test_sketch_of_shingles(spark, monkeypatch):
+    """Classes follow the counts, whatever the tasks; the number of counters grows with the texts."""
+    monkeypatch.setattr(jaccard_join, "FEWEST", 1 << 12)
+    texts = [f"common words that all have w{i % 3} x{i} y{i} z{i} a{i}" for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "text", "doc_id as key").repartition(5)
+    counters = jaccard_join.counters_for(docs)
+    assert counters == 1 << 12 and jaccard_join.counters_for(docs.where("false")) == 1 << 12
+    classes = jaccard_join.frequency_classes(jaccard_join.measured(docs, counters).where("slice is not null").select("slice", "counts"), counters)
+    total = np.zeros(counters, np.int64)
+    sets = [jaccard_join.shingle_sets(*common.utf8(pa.array([t])))[0] for t in texts]
+    for s in sets:
+        np.add.at(total, (s % np.uint64(counters)).astype(np.int64), 1)
+    for s in sets:
+        log = [int(total[int(x) % counters]).bit_length() for x in s]
+        assert jaccard_join.ranks(classes, s).tolist() == [x if x <= 8 else 8 + (x - 8) // 2 for x in log]
+
+
 def test_toxicity(spark):
     r = random.Random(3)
     bad = ["scumbag", "dimwit", "loathsome"]
