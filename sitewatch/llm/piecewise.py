@@ -163,7 +163,8 @@ def edited_fingerprints(docs: DataFrame, docs_per_part: int = 3000) -> DataFrame
     whole = Window.partitionBy(F.lit(0))
     first = first.select("part", "f", F.coalesce(F.lag("part").over(ring), F.max("part").over(whole)).alias("before"))
     first = first.select(F.col("f.doc_id").alias("f_id"), F.col("f.h").alias("f_h"), F.col("part").alias("f_part"), "before")
-    at = docs.join(first, (docs.part == first.f_part) & docs.doc_id.eqNullSafe(first.f_id) & (docs.h == first.f_h), "left")
+    # broadcast whatever the session's bound: a join by shuffle would move every text once more
+    at = docs.join(F.broadcast(first), (docs.part == first.f_part) & docs.doc_id.eqNullSafe(first.f_id) & (docs.h == first.f_h), "left")
     places = F.when(F.col("before").isNull(), F.array(F.struct(F.col("part").alias("p"), F.lit(0).alias("peek")))).otherwise(F.array(F.struct(F.col("part").alias("p"), F.lit(0).alias("peek")), F.struct(F.col("before").alias("p"), F.lit(1).alias("peek"))))
     rows = at.select(F.explode(places).alias("x"), "doc_id", "text", "h").select("x.p", "doc_id", "text", "x.peek", "h")
     rows = rows.repartitionById(len(cuts) + 1, "p").sortWithinPartitions("p", "peek", F.col("doc_id").asc_nulls_first(), "h")

@@ -473,6 +473,19 @@ def test_piecewise(docs, rows):
     assert len(one) == 1 and one[0]["near_next"] == 1.0
 
 
+def test_piecewise_moves_texts_once(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = piecewise.edited_fingerprints(docs, 5)
+        plan = spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+    moved = re.findall(r"\) Exchange\s*\nInput \[\d+\]: \[(.*?)\]", plan)
+    assert len(moved) > 1 and sum("text#" in columns for columns in moved) == 1
+
+
 def test_edit_distance():
     def slow(a, b):
         row = list(range(len(b) + 1))
