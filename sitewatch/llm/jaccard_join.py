@@ -5,9 +5,9 @@ A document's set holds its distinct shingles of five words. Documents link when
 
 1. Documents with equal sets are one node. Shingles are ordered from rare to frequent by a sketch of
    counts over all documents (the order decides speed, never the result).
-2. Two linked nodes share SHARED shingles (or all they need, if fewer) among the first
-   n - ceil(0.8 n) + SHARED of each; a node that shares fewer with all others together has no link and
-   is done with. By these shingles, nodes that share most with the same least node are one group,
+2. Two linked nodes share asked(n) shingles (or all they need, if fewer), n being the smaller size,
+   among the first n - ceil(0.8 n) + asked(n) of each; a node that shares fewer with all others together
+   has no link and is done with. By these shingles, nodes that share most with the same least node are one group,
    split into blocks of bounded size, each with that least node as pivot. Blocks are opened: all their
    pairs are measured at once.
 3. The matrix keeps each block's union of such shingles. Block pairs that share so many, and that
@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import blocks, connected_components, filter_place, id_filter, in_filter, lean, mix, prefix_sums, saved, stretch_hashes, utf8
 
-SHINGLE, PERCENT, SHARED = 5, 80, 8
+#: asked(n) is SHARED and one more for every EACH shingles, for some dozen of a long text's are in others by chance.
+SHINGLE, PERCENT, SHARED, EACH = 5, 80, 8, 100
 #: Counters of the sketch, as many as the texts have shingles (BYTES a shingle, about) but within these
 #: bounds; a byte each while counted, half a byte each once broadcast, so 32 MB at most. Documents of a block at most.
 FEWEST, MOST, BYTES, SLICES, BLOCK = 1 << 20, 1 << 26, 8, 64, 256
@@ -104,6 +105,20 @@ def counted(counts: np.ndarray, held: list[np.ndarray]) -> None:
     counts[at] = np.minimum(counts[at] + n, 255)
 
 
+def packed_counts(counts: np.ndarray) -> bytes:
+    """Counters as the gaps between those that aren't 0, a byte place at a time, and their counts: half the
+    room of the counters themselves, compressed either way."""
+    at = np.flatnonzero(counts)
+    gaps = np.diff(at, prepend=-1).astype("<u4").view(np.uint8).reshape(-1, 4)
+    return zstandard.compress(gaps.T.tobytes() + counts[at].tobytes())
+
+
+def unpacked_counts(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places and counts of the counters that aren't 0."""
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(5, -1)
+    return np.cumsum(np.ascontiguousarray(planes[:4].T).view("<u4").ravel(), dtype=np.int64) - 1, planes[4]
+
+
 def measured(docs: DataFrame, counters: int) -> DataFrame:
     """doc_id, key, n, node of every document (doc_id, text, key), and (slice, counts) of the sketch, one
     set for each task."""
@@ -123,10 +138,9 @@ def measured(docs: DataFrame, counters: int) -> DataFrame:
                 counted(counts, held)
             rows = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=["doc_id", "key", "n", "node", "slice", "counts"])
-        squeeze = zstandard.ZstdCompressor()
         none = pa.nulls(1, pa.int64())
         for k, part in enumerate(np.split(counts, SLICES) if counts.any() else []):
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([k], pa.int32()), pa.array([squeeze.compress(part.tobytes())], pa.binary())], names=["doc_id", "key", "n", "node", "slice", "counts"])
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([k], pa.int32()), pa.array([packed_counts(part)], pa.binary())], names=["doc_id", "key", "n", "node", "slice", "counts"])
 
     return docs.mapInArrow(lean(run), "doc_id long, key long, n long, node long, slice int, counts binary")
 
@@ -136,10 +150,10 @@ def frequency_classes(sketch: DataFrame, counters: int) -> np.ndarray:
 
     def add(at: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(counters // SLICES, np.uint32)
-        expand = zstandard.ZstdDecompressor()
         for part in parts:
             for x in part.column(1):
-                total += np.frombuffer(expand.decompress(x.as_py()), np.uint8)
+                places, n = unpacked_counts(x.as_py())
+                total[places] += n
         log = np.frexp(total.astype(np.float64))[1]
         log = np.minimum(15, np.where(log > 8, 8 + (log - 8) // 2, log)).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([at[0].as_py()], pa.int32()), pa.array([zstandard.compress((log[::2] | log[1::2] << 4).tobytes())], pa.binary())], names=["slice", "classes"])
@@ -161,27 +175,31 @@ def needed(n: int) -> int:
     return -(-PERCENT * n // 100)
 
 
+def asked(n: int) -> int:
+    """Of the rarest shingles of two linked sets so many at least are common, n being the smaller size, or all they need."""
+    return SHARED + n // EACH
+
+
 def prefixes(docs: DataFrame, classes) -> DataFrame:
-    """(token, node, n): the rarest shingles of every set. Two linked sets have at least SHARED of them in
-    common, or as many as the smaller needs."""
+    """(token, node): the rarest shingles of every set. Two linked sets have asked(n) of them in common,
+    n being the smaller size, or as many as they need."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = classes.value
         for batch in batches:
-            tokens, nodes, sizes, lengths = [], [], [], []
+            tokens, nodes, lengths = [], [], []
             for _, s in sets_of(batch, 1):
                 if (n := len(s)) == 0:
                     continue
-                p = min(n, n - needed(n) + SHARED)
+                p = min(n, n - needed(n) + asked(n))
                 key = (ranks(rank, s).astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
                 tokens.append(s[np.argpartition(key, p - 1)[:p]] if p < n else s)
                 nodes.append(node_of(s))
-                sizes.append(n)
                 lengths.append(p if p < n else n)
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths))], names=["token", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), lengths))], names=["token", "node"])
 
-    return docs.mapInArrow(lean(run), "token long, node long, n int")
+    return docs.mapInArrow(lean(run), "token long, node long")
 
 
 def filtered(docs: DataFrame, bits) -> DataFrame:
@@ -300,29 +318,28 @@ def met_pairs(matrix: DataFrame, by: str) -> DataFrame:
     alike = (F.col("n_high") * 100 >= F.col("o_n_low") * PERCENT) & (F.col("o_n_high") * 100 >= F.col("n_low") * PERCENT)
     met = matrix.join(other, (F.col("token") == F.col("o_token")) & (F.col(by) < F.col(f"o_{by}")) & alike)
     met = met.groupBy(by, f"o_{by}").agg(F.count("*").alias("c"), F.min(F.least("n_low", "o_n_low")).alias("n"))
-    return met.where(enough("c", "n")).select(by, f"o_{by}")
+    return met.where(enough(F.col("c"), F.col("n"))).select(by, f"o_{by}")
 
 
-def enough(shared: str, n: str) -> Column:
-    """Whether so many shared prefix shingles may be a link of a set of n."""
-    return F.col(shared) >= F.least(F.lit(SHARED), F.ceil(F.col(n) * PERCENT / 100))
+def enough(shared: Column, n: Column) -> Column:
+    """Whether so many shared prefix shingles may be a link of two sets of n or more."""
+    return shared >= F.least(F.lit(SHARED) + F.floor(n / EACH), F.ceil(n * PERCENT / 100))
 
 
 def block_pairs(matrix: DataFrame) -> DataFrame:
-    """(block, o_block) to open: matrix has (token, block, cls, n_low, n_high), blocks of one class being in
-    one component as a whole.
+    """(block, o_block) to open: matrix has (token, block, cls, n_low, n_high) of tokens of several classes,
+    blocks of one class being in one component as a whole.
 
     Classes meet first, a row for each token and class however many blocks it has; then the blocks of
     those that met, by token and pair of classes."""
     classes = saved(matrix.groupBy("token", "cls").agg(F.min("n_low").alias("n_low"), F.max("n_high").alias("n_high")), "classes")
-    several = classes.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    met = saved(met_pairs(classes.join(several, "token", "left_semi"), "cls"), "classes-met")
+    met = saved(met_pairs(classes, "cls"), "classes-met")
     a = matrix.join(met, "cls").select("token", "cls", "o_cls", "block", "n_low", "n_high")
     b = matrix.select(F.col("token").alias("t"), F.col("cls").alias("k"), F.col("block").alias("o_block"), F.col("n_low").alias("o_n_low"), F.col("n_high").alias("o_n_high"))
     alike = (F.col("n_high") * 100 >= F.col("o_n_low") * PERCENT) & (F.col("o_n_high") * 100 >= F.col("n_low") * PERCENT)
     both = a.join(b, (F.col("token") == F.col("t")) & (F.col("o_cls") == F.col("k")) & alike)
     both = both.groupBy("block", "o_block").agg(F.count("*").alias("c"), F.min(F.least("n_low", "o_n_low")).alias("n"))
-    return both.where(enough("c", "n")).select("block", "o_block")
+    return both.where(enough(F.col("c"), F.col("n"))).select("block", "o_block")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -334,20 +351,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = first.where("slice is null").select("doc_id", "key", "n", "node")
     classes = spark.sparkContext.broadcast(frequency_classes(first.where("slice is not null").select("slice", "counts"), counters))
 
+    one_of = saved(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.min("n").alias("n")), "nodes")
+
     token = Window.partitionBy("token")
     shared = prefixes(docs, classes).withColumn("least", F.min("node").over(token)).withColumn("most", F.max("node").over(token)).where("least <> most").drop("most").distinct()
     shared = saved(shared, "prefixes")
-    # nodes that share too little with all others together have no link
-    linkable = shared.groupBy("node", "n").agg(F.count("*").alias("c")).where(enough("c", "n")).select("node")
-    shared = saved(shared.join(linkable, "node", "left_semi"), "linkable")
+    # a row for each node; those that share too little with all others together, of four fifths of their size or more, have no link
+    shared = shared.repartition("node").groupBy("node").agg(F.collect_list("token").alias("tokens"), F.collect_list("least").alias("leasts"))
+    shared = saved(shared.join(one_of.select("node", "n"), "node").where(enough(F.size("tokens"), F.ceil(F.col("n") * PERCENT / 100))), "linkable")
     # the node that a node shares most of its rare shingles with, of those that come first in theirs
-    follows = shared.where("least <> node").groupBy("node", "least").agg(F.count("*").alias("c"))
+    follows = shared.select("node", F.explode("leasts").alias("least")).where("least <> node").groupBy("node", "least").agg(F.count("*").alias("c"))
     follows = follows.groupBy("node").agg(F.max(F.struct("c", "least")).alias("x")).select("node", F.col("x.least").alias("pivot"))
-    members = shared.select("node").distinct().join(follows, "node", "left").select("node", F.coalesce("pivot", "node").alias("pivot"))
+    members = shared.select("node").join(follows, "node", "left").select("node", F.coalesce("pivot", "node").alias("pivot"))
     parts = members.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     members = saved(members.join(parts, "pivot").select("node", "pivot", F.xxhash64("pivot", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block")), "blocks")
 
-    one_of = saved(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key")), "nodes")
     blocked = saved(one_of.select("node", "key").join(members.select("node").union(members.select("pivot")).distinct(), "node", "left_semi"), "blocked")
 
     within = members.select(F.col("block").alias("pair"), F.lit(0).alias("side"), "node").union(members.select("block", F.lit(0), "pivot")).distinct()
@@ -364,8 +382,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = saved(placed.select("node", F.xxhash64("block", F.col("root").eqNullSafe(F.col("p_root"))).alias("block"), "root"), "placed")
     whole = placed.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     whole = whole.select("block", F.when(F.col("low") == F.col("high"), F.xxhash64(F.lit("root"), "low")).otherwise(F.col("block")).alias("cls"))
-    matrix = shared.select("token", "node", "n").join(placed, "node").groupBy("token", "block").agg(F.min("n").alias("n_low"), F.max("n").alias("n_high"))
-    matrix = saved(matrix.join(whole, "block"), "matrix")
+    matrix = shared.select("node", "n", "tokens").join(placed.join(whole, "block").select("node", "block", "cls"), "node")
+    matrix = matrix.select(F.explode("tokens").alias("token"), "block", "cls", "n").repartition("token").groupBy("token", "block", "cls").agg(F.min("n").alias("n_low"), F.max("n").alias("n_high"))
+    # a shingle of one class alone makes no pair
+    matrix = saved(matrix.withColumn("first", F.min("cls").over(token)).withColumn("last", F.max("cls").over(token)).where("first <> last").drop("first", "last"), "matrix")
     pairs = saved(block_pairs(matrix), "pairs").withColumn("pair", F.xxhash64("block", "o_block"))
     across = pairs.select("pair", F.lit(0).alias("side"), "block").union(pairs.select("pair", F.lit(1), "o_block")).join(placed, "block").select("pair", "side", "node", "root")
     more = opened(across.join(blocked, "node"), docs)

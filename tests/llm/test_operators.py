@@ -453,6 +453,56 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 103: 100}
 
 
+def test_jaccard_long_texts_and_a_full_sketch(spark, monkeypatch):
+    """With counters too few to tell rare from frequent: links near 80 % are found, and long texts with some dozen
+    shingles in common aren't taken up; shingles of one block alone don't get into the matrix; the sketch is small."""
+    r = random.Random(8)
+    monkeypatch.setattr(jaccard_join, "FEWEST", 128)
+    monkeypatch.setattr(jaccard_join, "MOST", 128)
+    made, save = {}, jaccard_join.saved
+    monkeypatch.setattr(jaccard_join, "saved", lambda df, name: made.setdefault(name, save(df, name)))
+    fresh = lambda n: " ".join(f"w{r.randrange(10**9)}" for _ in range(n))
+    passage = fresh(94)
+    by_chance = [f"{fresh(1400)} {passage} {fresh(1400)}" for _ in range(2)]
+    near = []
+    for n in (100, 160, 300, 700, 1500):
+        base = fresh(n).split()
+        for edits in (n // 48, n // 45, n // 43, n // 40):
+            words = list(base)
+            for k in range(edits):
+                words[10 + 7 * k] = f"x{r.randrange(10**9)}"
+            near.append(" ".join(words))
+        near.append(" ".join(base))
+    rows = list(enumerate(by_chance + near))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
+    assert 6 < len(set(root)) < len(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(tuple(x) for x in jaccard_join.near_duplicates(docs).collect())
+    assert got == [(i, len(sets[i]), root[i]) for i in range(len(rows))]
+    chance = {x["node"] for x in made["nodes"].where("doc_id < 2").collect()}
+    assert len(chance) == 2 and not chance & {x["node"] for x in made["linkable"].collect()}
+    assert made["matrix"].groupBy("token").agg(F.countDistinct("cls").alias("c")).where("c < 2").count() == 0
+
+
+def test_packed_counts():
+    r = np.random.default_rng(3)
+    counts = np.zeros(1 << 20, np.uint8)
+    counts[r.integers(0, 1 << 20, 60_000)] = 1
+    counts[[0, 7, -1]] = 255, 3, 9
+    for x in (counts, counts[:1] * 0, np.zeros(1 << 20, np.uint8), np.full(1000, 255, np.uint8)):
+        places, n = jaccard_join.unpacked_counts(jaccard_join.packed_counts(x))
+        back = np.zeros_like(x)
+        back[places] = n
+        assert (back == x).all()
+    # 60,000 of 2 ** 20 places can't be told in less than 43,000 bytes
+    assert len(jaccard_join.packed_counts(counts)) < 60_000
+
+
 def test_piecewise(docs, rows):
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
     got = piecewise.edited_fingerprints(docs, 5).collect()
