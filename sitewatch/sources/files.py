@@ -94,50 +94,70 @@ def lines(spark: SparkSession, path: str, glob: str = "*.jsonl*") -> DataFrame:
     return rows.select("value", F.col("_metadata.file_path").alias("path")).where(F.length(F.trim("value")) > 0)
 
 
-def one_object(text: str) -> Column:
-    """The JSON object that a text is, as a variant; null if it is none, has a field twice, or anything before or
-    behind it. try_parse_json stops at the end of the first value, so the text is put in a list with a mark of its
-    own behind it: only where the list has these two entries is the text one value."""
-    mark = f"cast(xxhash64({text}) AS string)"
-    pair = f"try_variant_get(try_parse_json(concat('[', {text}, ',\"', {mark}, '\"]')), '$', 'array<variant>')"
-    return F.expr(f"CASE WHEN size({pair}) = 2 AND try_variant_get(get({pair}, 1), '$', 'string') = {mark} AND schema_of_variant(get({pair}, 0)) LIKE 'OBJECT<%' THEN get({pair}, 0) END")
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with further columns, each computed once a row. Through a projection Spark takes a filter down, with the whole
+    expression in place of each use of its name, so that a line was parsed dozens of times; it doesn't through a
+    generator, here one of a single row."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def decode(rows: DataFrame, kind: Record) -> DataFrame:
     """rows (value, ...) with `record`, and `problem`: why the line is no record of its kind, else null.
-    Null values (tombstones) are left out."""
-    return checked(rows.where("value IS NOT NULL").withColumn("_given", one_object("value")), kind).drop("_given")
+    Null values (tombstones) are left out.
+
+    A line is one JSON object, with no field twice and nothing before or behind it. try_parse_json stops at the end of
+    the first value, so the text is put in an object with a mark of its own behind it: only where that object has
+    these two fields is the text one value."""
+    mark = "cast(xxhash64(value) AS string)"
+    rows = once(rows.where("value IS NOT NULL"), _given=F.expr(f"try_parse_json(concat('{{\"r\":', value, ',\"m\":\"', {mark}, '\"}}'))"))
+    shape = F.expr(f"CASE WHEN try_variant_get(_given, '$.m', 'string') = {mark} THEN schema_of_variant(_given) END")
+    return checked(once(rows, _shape=shape), kind, "$.r", "OBJECT<m: STRING, r: ", ">")
 
 
 #: By type of a field, what a JSON value must be.
-FITS = {"string": "^STRING$", "boolean": "^BOOLEAN$", "bigint": "^(BIGINT|DOUBLE|DECIMAL.*|STRING)$", "double": "^(BIGINT|DOUBLE|DECIMAL.*|STRING)$"}
+FITS = {"string": "STRING", "boolean": "BOOLEAN", "bigint": "(?:BIGINT|DOUBLE|DECIMAL[^A-Za-z]*|STRING)", "double": "(?:BIGINT|DOUBLE|DECIMAL[^A-Za-z]*|STRING)"}
+
+
+def plain(kind: Record) -> str:
+    """What schema_of_variant says (fields by name) of an object that has the required fields, none but the kind's, and
+    all of fitting types."""
+    fields = sorted((f.name, FITS[f.dataType.simpleString()]) for f in kind.schema)
+    return "OBJECT<" + "".join(f"{n}: {fit}(?:, |(?=>))" if n in kind.required else f"(?:{n}: (?:{fit}|VOID)(?:, |(?=>)))?" for n, fit in fields) + ">"
 
 
-def checked(rows: DataFrame, kind: Record) -> DataFrame:
-    """rows (_given, an object as a variant or null) with `record` and `problem`. A text must be given as a text,
-    a yes or no as one; a number as a number, or a text that is one. An explicit null is as good as no field."""
+def checked(rows: DataFrame, kind: Record, root: str = "$", before: str = "", behind: str = "") -> DataFrame:
+    """rows (_given, a variant with an object at the path `root`; _shape, what schema_of_variant says of it, in which
+    the object's stands between `before` and `behind`; ...) with `record` and `problem`. A text must be given as a
+    text, a yes or no as one; a number as a number, or a text that is one. An explicit null is as good as no field."""
     fields = {f.name: f.dataType.simpleString() for f in kind.schema}
-    at = lambda n, as_: F.expr(f"try_variant_get(_given, '$.{n}', '{as_}')")
-    flat = rows.withColumn("_types", F.transform_values(F.expr("try_variant_get(_given, '$', 'map<string,variant>')"), lambda k, v: F.schema_of_variant(v)))
-    flat = flat.withColumns({f"_f_{n}": at(n, t) for n, t in fields.items()})
+    at = lambda n, as_: F.expr(f"try_variant_get(_given, '{root}.{n}', '{as_}')")
+    flat = once(rows, _plain=F.coalesce(F.col("_shape").rlike(f"^{before}{plain(kind)}{behind}$"), F.lit(False)))
+    # only what isn't plain is looked at field by field; with fields beside `root`, a line is more than one value
+    alone = F.expr("size(try_variant_get(_given, '$', 'map<string,variant>')) = 2") if root != "$" else F.lit(True)
+    flat = once(flat, _object=F.col("_plain") | F.coalesce(F.col("_shape").startswith(before + "OBJECT<") & alone, F.lit(False)))
+    values = F.when(F.col("_object"), F.expr(f"try_variant_get(_given, '{root}', 'struct<{', '.join(f'{n}: {t}' for n, t in fields.items())}>')"))
+    flat = flat.select("*", F.inline(F.array(values)).alias(*[f"_f_{n}" for n in fields]))
+    types = F.transform_values(F.expr(f"try_variant_get(_given, '{root}', 'map<string,variant>')"), lambda k, v: F.schema_of_variant(v))
+    flat = flat.withColumn("_types", F.when(F.col("_object") & ~F.col("_plain"), types))
     kind_of = lambda n: F.coalesce(F.try_element_at(F.col("_types"), n), F.lit("VOID"))
     first = lambda names, bad: F.get(F.filter(names, bad), F.lit(0))
-    wrong = first(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(FITS[t]).alias("fit")) for n, t in fields.items()]), lambda f: ~F.rlike(kind_of(f["name"]), f["fit"]) & (kind_of(f["name"]) != "VOID"))["name"]
+    wrong = first(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(f"^{FITS[t]}$").alias("fit")) for n, t in fields.items()]), lambda f: ~F.rlike(kind_of(f["name"]), f["fit"]) & (kind_of(f["name"]) != "VOID"))["name"]
+    form = F.coalesce(
+        F.when(F.size(F.array_except(F.map_keys("_types"), F.array(*map(F.lit, fields)))) > 0, "unknown field"),
+        F.concat(F.lit("without "), first(F.array(*map(F.lit, kind.required)), lambda n: kind_of(n) == "VOID")), F.concat(F.lit("bad "), wrong))
+    flat = flat.withColumn("_form", F.when(~F.col("_object"), "malformed").when(~F.col("_plain"), form))
     # a number that none was made of, or only by cutting it; a time that isn't one
-    failed = {n: F.col(f"_f_{n}").isNull() | (F.col(f"_f_{n}").cast("double") != at(n, "double")) for n, t in fields.items() if t in ("bigint", "double")}
-    failed |= {n: utc_ms(f"_f_{n}").isNull() for n in fields if n.endswith("_at")}
-    off = first(F.array(*[F.struct(F.lit(n).alias("name"), bad.alias("bad")) for n, bad in failed.items()]), lambda f: f["bad"] & (kind_of(f["name"]) != "VOID"))["name"]
+    off = {n: F.when(F.col(f"_f_{n}").isNull(), at(n, "string").isNotNull()).otherwise(F.col(f"_f_{n}").cast("double") != at(n, "double") if t == "bigint" else F.lit(False)) for n, t in fields.items() if t in ("bigint", "double")}
+    off |= {n: F.col(f"_f_{n}").isNotNull() & utc_ms(f"_f_{n}").isNull() for n in fields if n.endswith("_at")}
 
     def broken(label: str, rule: str) -> Column:
         for name in fields:
             rule = rule.replace(name, f"_f_{name}") if name in rule.split() else rule
         return F.when(~F.expr(rule), label)
 
-    problem = F.coalesce(
-        F.when(F.col("_given").isNull(), "malformed"), F.when(F.size(F.array_except(F.map_keys("_types"), F.array(*map(F.lit, fields)))) > 0, "unknown field"),
-        F.concat(F.lit("without "), first(F.array(*map(F.lit, kind.required)), lambda n: kind_of(n) == "VOID")), F.concat(F.lit("bad "), wrong), F.concat(F.lit("bad "), off), *[broken(*r) for r in kind.rules])
+    problem = F.coalesce("_form", *[F.when(bad, f"bad {n}") for n, bad in off.items()], *[broken(*r) for r in kind.rules])
     record = F.struct(*[F.col(f"_f_{n}").alias(n) for n in fields])
-    return flat.select(*rows.columns, record.alias("record"), problem.alias("problem"))
+    return once(flat, problem=problem).select(*[c for c in rows.columns if c not in ("_given", "_shape")], record.alias("record"), "problem")
 
 
 def valid(decoded: DataFrame) -> DataFrame:
@@ -187,8 +207,8 @@ def roster_entries(spark: SparkSession, path: str) -> DataFrame:
     """(value, record, problem) of each camera of a roster: a JSON list, or an object with the list as `cameras`."""
     text = spark.read.option("wholetext", "true").text(path).where(F.length(F.trim("value")) > 0)
     whole = F.expr("coalesce(try_variant_get(try_parse_json(value), '$.cameras', 'array<variant>'), try_variant_get(try_parse_json(value), '$', 'array<variant>'), array(cast(NULL AS variant)))")
-    each = text.select(F.explode(whole).alias("_v")).select(F.expr("to_json(_v)").alias("value"), F.expr("CASE WHEN schema_of_variant(_v) LIKE 'OBJECT<%' THEN _v END").alias("_given"))
-    return checked(each, CAMERA).drop("_given")
+    each = text.select(F.explode(whole).alias("_given")).select(F.expr("to_json(_given)").alias("value"), "_given", F.expr("schema_of_variant(_given)").alias("_shape"))
+    return checked(each, CAMERA)
 
 
 def load_roster(spark: SparkSession, path: str) -> DataFrame:
