@@ -137,15 +137,13 @@ def checked(rows: DataFrame, kind: Record, root: str = "$", before: str = "", be
     flat = once(flat, _object=F.col("_plain") | F.coalesce(F.col("_shape").startswith(before + "OBJECT<") & alone, F.lit(False)))
     values = F.when(F.col("_object"), F.expr(f"try_variant_get(_given, '{root}', 'struct<{', '.join(f'{n}: {t}' for n, t in fields.items())}>')"))
     flat = flat.select("*", F.inline(F.array(values)).alias(*[f"_f_{n}" for n in fields]))
-    types = F.transform_values(F.expr(f"try_variant_get(_given, '{root}', 'map<string,variant>')"), lambda k, v: F.schema_of_variant(v))
-    flat = flat.withColumn("_types", F.when(F.col("_object") & ~F.col("_plain"), types))
-    kind_of = lambda n: F.coalesce(F.try_element_at(F.col("_types"), n), F.lit("VOID"))
-    first = lambda names, bad: F.get(F.filter(names, bad), F.lit(0))
-    wrong = first(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(f"^{FITS[t]}$").alias("fit")) for n, t in fields.items()]), lambda f: ~F.rlike(kind_of(f["name"]), f["fit"]) & (kind_of(f["name"]) != "VOID"))["name"]
+    flat = once(flat, _parts=F.when(F.col("_object") & ~F.col("_plain"), F.expr(f"try_variant_get(_given, '{root}', 'map<string,variant>')")))
+    # by one expression a field, as Spark's generated code runs no lambdas
+    kind_of = lambda n: F.coalesce(F.schema_of_variant(F.try_element_at("_parts", F.lit(n))), F.lit("VOID"))
     form = F.coalesce(
-        F.when(F.size(F.array_except(F.map_keys("_types"), F.array(*map(F.lit, fields)))) > 0, "unknown field"),
-        F.concat(F.lit("without "), first(F.array(*map(F.lit, kind.required)), lambda n: kind_of(n) == "VOID")), F.concat(F.lit("bad "), wrong))
-    flat = flat.withColumn("_form", F.when(~F.col("_object"), "malformed").when(~F.col("_plain"), form))
+        F.when(F.size(F.array_except(F.map_keys("_parts"), F.array(*map(F.lit, fields)))) > 0, "unknown field"), *[F.when(kind_of(n) == "VOID", f"without {n}") for n in kind.required],
+        *[F.when(~kind_of(n).rlike(f"^(?:{FITS[t]}|VOID)$"), f"bad {n}") for n, t in fields.items()])
+    flat = once(flat, _form=F.when(~F.col("_object"), "malformed").when(~F.col("_plain"), form))
     # a number that none was made of, or only by cutting it; a time that isn't one
     off = {n: F.when(F.col(f"_f_{n}").isNull(), at(n, "string").isNotNull()).otherwise(F.col(f"_f_{n}").cast("double") != at(n, "double") if t == "bigint" else F.lit(False)) for n, t in fields.items() if t in ("bigint", "double")}
     off |= {n: F.col(f"_f_{n}").isNotNull() & utc_ms(f"_f_{n}").isNull() for n in fields if n.endswith("_at")}
