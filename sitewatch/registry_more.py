@@ -45,7 +45,7 @@ def manifest(spark, sf_dir):
 def _(spark, sf_dir):
     path = manifest(spark, sf_dir)
     found = files.frames_of(files.read_frames(spark, path, ["C1", "C4"], "*"))
-    return files.in_order(found).select("poller_version", "camera_id", "t", "fetched", "status", "object_key", "content_hash")
+    return files.in_order(found.select("poller_version", "camera_id", "t", "fetched", "status", "object_key", "content_hash"))
 
 
 @query("manifest_quarantine", "SELECT CASE event_id % 50 WHEN 0 THEN 'unknown field' WHEN 1 THEN 'bad fetch_status' WHEN 2 THEN 'malformed' ELSE 'without camera_id' END AS problem, count(*) AS lines FROM events WHERE event_id % 50 IN (0, 1, 2, 4) GROUP BY 1")

@@ -182,8 +182,9 @@ def frames_of(decoded: DataFrame) -> DataFrame:
 
 
 def in_order(frames: DataFrame) -> DataFrame:
-    """Frames in event order; the last step, for a union keeps no order."""
-    return frames.orderBy("t", "camera_id", "fetched")
+    """Frames in event order; the last step, for a union keeps no order. A sort reads what it sorts twice, first to find
+    its ranges, so the frames are held: else each line would be read and decoded twice."""
+    return held(frames, "frames").orderBy("t", "camera_id", "fetched")
 
 
 def read_observations(spark: SparkSession, path: str) -> DataFrame:
